@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import chunks, column, fold, held_out, small_batches
 
 #: Bound of the training sample over all languages.
-FIT_ROWS = 6000
+FIT_ROWS = 4000
 DIMENSIONS = 2048
 CENTROIDS = 3
 REJECT = 0.002
@@ -93,7 +93,7 @@ def cluster(v: np.ndarray, k: int, rounds: int = 10) -> np.ndarray:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [r.astype(np.float32).tobytes() for part in chunks(column(batch, "text"), rows=128) for r in counts(part)[0]]
+        rows = [np.minimum(r, 65535).astype(np.uint16).tobytes() for part in chunks(column(batch, "text"), rows=128) for r in counts(part)[0]]
         yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "lang"), pa.array(rows, pa.binary())], ["doc_id", "lang", "x"])
 
 
@@ -103,13 +103,13 @@ def train(docs: DataFrame, rows: int = FIT_ROWS) -> Centroids:
     known = docs.filter(F.col("lang").isNotNull() & (fold("doc_id") != 0) & F.col("text").isNotNull())
     sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(rows // 20).collect()}
     share = rows // max(len(sizes), 1)
-    # the hash thins each language to about twice its share, so that no task ranks a whole language
+    # the hash thins each language to about 1.5 times its share, so that no task ranks a whole language
     u = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)
-    rate = F.create_map(*(F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, 2 * share / n)))) if sizes else None
+    rate = F.create_map(*(F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, 1.5 * share / n)))) if sizes else None
     if rate is None:
         return Centroids(np.ones(DIMENSIONS, np.float32), np.zeros((0, DIMENSIONS), np.float32), (), 0.0)
-    sample = known.filter(u < rate[F.col("lang")]).select("doc_id", "lang", "text").mapInArrow(_count, "doc_id bigint, lang string, x binary").limit(3 * rows).toArrow()
-    x = np.frombuffer(b"".join(sample["x"].to_pylist()), np.float32).reshape(-1, DIMENSIONS)
+    sample = known.filter(u < rate[F.col("lang")]).select("doc_id", "lang", "text").mapInArrow(_count, "doc_id bigint, lang string, x binary").limit(2 * rows).toArrow()
+    x = np.frombuffer(b"".join(sample["x"].to_pylist()), np.uint16).reshape(-1, DIMENSIONS)
     lang, ids = np.array(sample["lang"].to_pylist(), object), sample["doc_id"].to_numpy()
     order = np.lexsort([ids, (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))])
     picked = np.concatenate([order[lang[order] == k][:share] for k in sorted(sizes)])
