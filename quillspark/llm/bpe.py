@@ -50,7 +50,7 @@ class Vocabulary:
     @staticmethod
     def build(ranks: dict[bytes, int]) -> Vocabulary:
         n = len(ranks)
-        buckets: list[list[tuple[bytes, int, int]]] = [[] for _ in range(n // 4 + 1)]
+        buckets: list[list[tuple[bytes, int, int]]] = [[] for _ in range(n // 2 + 1)]
         for key in ranks:
             h0, h1, h2 = _hashes(key)
             buckets[h0 % len(buckets)].append((key, h1, h2))

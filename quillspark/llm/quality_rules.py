@@ -39,6 +39,8 @@ RULES = {
     "long_enough": lambda s: _vote(s("n_words") >= 60, s("n_words") < 20),
     "word_length": lambda s: _vote(_per(s("word_chars"), s("n_words")).between(2.5, 12), ~_per(s("word_chars"), s("n_words")).between(1.5, 20)),
     "few_symbols": lambda s: _vote(s("n_symbols") <= 0.05 * s("n_words"), s("n_symbols") > 0.25 * s("n_words")),
+    "symbol_share": lambda s: _vote(s("n_symbols") <= 0.01 * s("word_chars"), s("n_symbols") > 0.05 * s("word_chars")),
+    "letters": lambda s: _vote(s("n_letters") >= 0.85 * s("word_chars"), s("n_letters") < 0.75 * s("word_chars")),
     "few_repeated_lines": lambda s: _vote(s("n_dup_lines") <= 0.1 * s("n_lines"), s("n_dup_lines") > 0.5 * s("n_lines")),
     "few_repeated_words": lambda s: _vote(s("n_repeat_words") <= 0.1 * s("n_words"), s("n_repeat_words") > 0.4 * s("n_words")),
     "lower_case": lambda s: _vote(s("n_upper") <= 0.15 * s("word_chars"), s("n_upper") > 0.5 * s("word_chars")),
@@ -64,9 +66,9 @@ def statistics(docs: DataFrame) -> DataFrame:
     d = d.withColumn("g", F.when(F.col("n") < 3, F.array().cast("array<bigint>")).otherwise(F.zip_with(pairs, part("h", 3), lambda a, b: F.xxhash64(a, b))))
     # windows found twice or more: neighbours in the sorted list of (hash, place)
     d = d.withColumn("some", F.size(F.array_distinct("g")) < F.size("g"))
-    d = d.withColumn("s", F.when("some", F.sort_array(F.transform("g", lambda x, i: F.struct(x.alias("h"), i.alias("i"))))))
+    d = d.withColumn("s", F.when(F.col("some"), F.sort_array(F.transform("g", lambda x, i: F.struct(x.alias("h"), i.alias("i"))))))
     rest = F.size("s") - 1
-    d = d.withColumn("e", F.when("some", F.zip_with(F.slice("s", 2, rest), F.slice("s", 1, rest), lambda a, b: a["h"] == b["h"])))
+    d = d.withColumn("e", F.when(F.col("some"), F.zip_with(F.slice("s", 2, rest), F.slice("s", 1, rest), lambda a, b: a["h"] == b["h"])))
     marked = F.arrays_zip(F.col("s").alias("s"), F.concat(F.array(F.lit(False)), "e").alias("p"), F.concat("e", F.array(F.lit(False))).alias("q"))
     places = F.array_sort(F.transform(F.filter(marked, lambda z: z["p"] | z["q"]), lambda z: z["s"]["i"]))
     step = lambda acc, p: F.struct(p.alias("last"), (acc["n"] + F.least(F.lit(3), p - acc["last"])).alias("n"))
@@ -77,9 +79,10 @@ def statistics(docs: DataFrame) -> DataFrame:
         F.length(F.regexp_replace("t", SPACES, "")).cast("long").alias("word_chars"),
         _count("t", SYMBOLS).alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        F.when("some", covered).otherwise(0).cast("long").alias("n_repeat_words"),
+        F.when(F.col("some"), covered).otherwise(0).cast("long").alias("n_repeat_words"),
         F.size("lines").cast("long").alias("n_lines"),
         _count("t", "ABCDEFGHIJKLMNOPQRSTUVWXYZÄÖÜÉÈÊÇÑÍÓÁÚ").alias("n_upper"),
+        F.length(F.regexp_replace("t", r"\P{L}+", "")).cast("long").alias("n_letters"),
         _count("t", ".?").alias("n_stops"),
         _count("t", "!").alias("n_shouts"),
         _count("t", "0123456789").alias("n_digits"),
@@ -100,17 +103,20 @@ def _posterior(prior: float, right: dict[str, tuple[float, float]]) -> Column:
 
 
 def estimate(voted: DataFrame) -> tuple[float, dict[str, tuple[float, float]]]:
-    """Prior and rates by expectation-maximisation; rules start as better than chance and stay so."""
+    """Prior and rates by expectation-maximisation."""
     # at most 3 ** len(RULES) patterns
     patterns = voted.groupBy(*RULES).agg(F.count("*").alias("n")).coalesce(1).cache()
-    prior, right = 0.8, dict.fromkeys(RULES, (0.9, 0.6))
-    for _ in range(ROUNDS):
+    prior, right = 0.5, dict.fromkeys(RULES, (0.5, 0.5))
+    against = sum((F.coalesce(1 - F.col(k), F.lit(0)) for k in RULES), F.lit(0))
+    for i in range(ROUNDS):
         p, n = F.col("p"), F.col("n")
         sums = [F.sum(n).alias("all"), F.sum(n * p).alias("good")]
         for k in RULES:
             v = F.col(k)
             sums += [F.sum(F.when(c, n * w)).alias(f"{k}_{x}") for x, c, w in (("gg", v == 1, p), ("ga", v.isNotNull(), p), ("bb", v == 0, 1 - p), ("ba", v.isNotNull(), 1 - p))]
-        got = patterns.withColumn("p", _posterior(prior, right)).agg(*sums).first()
+        # the first round takes documents with a vote against them as bad
+        first = F.when(against > 0, F.lit(0.05)).otherwise(F.lit(0.98))
+        got = patterns.withColumn("p", _posterior(prior, right) if i else first).agg(*sums).first()
         if not got["all"]:
             break
         share = lambda a, b, start: min(0.999, max(0.5, ((got[a] or 0) + 2 * start) / ((got[b] or 0) + 2)))  # noqa: E731, B023
