@@ -2,7 +2,7 @@
 
 Tier 1: a minimal perfect hash over the vocabulary resolves a whole pre-token to its rank. Tier 2, for pre-tokens
 outside the vocabulary: a heap of candidate merges over doubly linked bytes, lowest rank first and leftmost among
-equals; ranks of merged pieces come from the same hash. Workers remember recent pre-tokens in a bounded table.
+equals, with the ranks of merged parts in a plain table. Workers remember recent pre-tokens in a bounded table.
 The vocabulary is a parameter (its rank file); tables are built once on the driver and broadcast (bounded by the
 vocabulary). Encoding and decoding are passes of Arrow batches without a shuffle.
 
@@ -80,7 +80,7 @@ class Vocabulary:
         return self.ranks[slot] if self.keys[slot] == key else None
 
 
-def merge(piece: bytes, vocabulary: Vocabulary) -> list[int]:
+def merge(piece: bytes, rank: dict[bytes, int]) -> list[int]:
     """Ids of bytes that aren't in the vocabulary as a whole."""
     n = len(piece)
     after, before, size = list(range(1, n + 1)), list(range(-1, n - 1)), [1] * n
@@ -88,7 +88,7 @@ def merge(piece: bytes, vocabulary: Vocabulary) -> list[int]:
 
     def offer(i: int) -> None:
         j = after[i]
-        if j < n and (r := vocabulary.rank(piece[i : j + size[j]])) is not None:
+        if j < n and (r := rank.get(piece[i : j + size[j]])) is not None:
             heapq.heappush(heap, (r, i, size[i] + size[j]))
 
     for i in range(n - 1):
@@ -107,7 +107,7 @@ def merge(piece: bytes, vocabulary: Vocabulary) -> list[int]:
             offer(before[i])
     out, i = [], 0
     while i < n:
-        out.append(vocabulary.rank(piece[i : i + size[i]]))
+        out.append(rank[piece[i : i + size[i]]])
         i = after[i]
     return out
 
@@ -116,11 +116,12 @@ class _Memory(dict):
     def __init__(self, vocabulary: Vocabulary):
         super().__init__()
         self.vocabulary = vocabulary
+        self.of_parts = dict(zip(vocabulary.keys, vocabulary.ranks, strict=True))
 
     def __missing__(self, token: str) -> tuple[int, ...]:
         key = token.encode()
         rank = self.vocabulary.rank(key)
-        ids = (rank,) if rank is not None else tuple(merge(key, self.vocabulary))
+        ids = (rank,) if rank is not None else tuple(merge(key, self.of_parts))
         if len(token) <= REMEMBERED_CHARS:
             if len(self) >= REMEMBERED:
                 self.clear()
