@@ -156,7 +156,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, keep: tuple[s
     spark = docs.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(Vocabulary.build(ranks))
-    kept = docs.select(*keep, "text")
+    kept = docs.select(*dict.fromkeys([*keep, "text"]))
     number = shared._jbroadcast.id()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -103,7 +103,7 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "quality", rows: int
 def score(docs: DataFrame, model: gbt.Trees, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns keep, and score; one row for each row of docs."""
     small_batches(docs.sparkSession)
-    kept = docs.select(*keep, "text")
+    kept = docs.select(*dict.fromkeys([*keep, "text"]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat_format, language_id, near_dedup, quality_classifier, quality_rules, suffix_dedup, topk_join, url_filter
+from . import bpe, chat_format, language_id, mixing, near_dedup, quality_classifier, quality_rules, suffix_dedup, topk_join, url_filter
 from .common import read
 
 #: Vocabulary file of the BPE query.
@@ -25,6 +25,10 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digests(rows.unionByName(extra))
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read(spark, sf_dir, "documents"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(read(spark, sf_dir, "documents"))
 
@@ -54,7 +58,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_classifier, op2_chat_formatting, op4_language_id, op5_minhash_dedup, op6_suffix_dedup, op7_byte_bpe, op8_quality_rules, op9_topk_search, op10_url_filter)
+    f.__name__: f for f in (op1_quality_classifier, op2_chat_formatting, op3_mixing, op4_language_id, op5_minhash_dedup, op6_suffix_dedup, op7_byte_bpe, op8_quality_rules, op9_topk_search, op10_url_filter)
 }
 
 ORACLES: dict[str, str] = {"op2_chat_formatting": chat_format.ORACLE, "op9_topk_search": topk_join.ORACLE}

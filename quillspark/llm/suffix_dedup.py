@@ -227,7 +227,7 @@ def remove(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), whole_character
     whole_characters shrinks the removed runs to UTF-8 boundaries, so that kept stays valid text.
     """
     small_batches(docs.sparkSession)
-    narrow = docs.select(*keep, "text").withColumn("row", F.xxhash64(docs["doc_id"], docs["text"]))
+    narrow = docs.select(*dict.fromkeys([*keep, "text"]), F.xxhash64("doc_id", "text").alias("row"))
     found = spans(docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row")).filter(F.col("doc_id").isNotNull()))
     joined = narrow.join(found, "row", "left")
 
