@@ -5,11 +5,11 @@ array of all bytes isn't needed: each LENGTH-byte window has one anchor, the sma
 (the first of equals), and equal windows have equal anchors. So
 
 1. one pass gathers the anchors' hashes and marks those met twice in a bitmap of bounded size (which only saves work);
-2. a second pass sends each run of windows with one marked anchor (a phrase) to its anchor's bucket, its bytes once
-   per batch; documents after the first that holds the same phrase repeat all of it;
-3. where phrases of one anchor differ, a bucket sorts the suffixes of its distinct phrases by difference cover (sort
-   sampled triples, recurse on names, merge the remaining suffixes), compares adjacent prefixes, and takes the
-   smallest document of each LENGTH-byte string;
+2. a second pass sends each run of windows with one marked anchor (a phrase) by its hash to the anchor's bucket;
+   documents after the first that holds the same phrase repeat all of it;
+3. where phrases of one anchor begin in different documents, their bytes are fetched, and a bucket sorts the suffixes
+   of its distinct phrases by difference cover (sort sampled triples, recurse on names, merge the remaining suffixes),
+   compares adjacent prefixes, and takes the smallest document of each LENGTH-byte string;
 4. the spans meet their documents again by a key of the row.
 
 Defined results: null texts are empty; texts shorter than LENGTH lose nothing; rows of equal doc_id never repeat each
@@ -23,10 +23,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, small_batches, written
+from .common import column, releasing, small_batches, written
 from .near_dedup import BASE, BYTES, _power, mix
 
 LENGTH, GRAM = 50, 20
@@ -127,15 +128,38 @@ def _marked(docs: DataFrame, bits: int) -> np.ndarray:
         flags[((again >> _U(64 - bits)) & _U(2**bits // PARTS - 1)).astype(np.int64)] = True
         return pa.table({"part": table["part"][:1], "bits": pa.array([np.packbits(flags).tobytes()], pa.binary())})
 
-    parts = docs.mapInArrow(gather, "part int, hashes binary").filter(F.length("hashes") > 0).groupBy("part").applyInArrow(twice, "part int, bits binary").toArrow()
+    parts = docs.mapInArrow(gather, "part int, hashes binary").filter(F.length("hashes") > 0).groupBy("part").applyInArrow(twice, "part int, bits binary")
+    with releasing(docs.sparkSession):
+        parts = parts.toArrow()
     out = np.zeros((PARTS, 2**bits // PARTS // 8), np.uint8)
     for part, flags in zip(parts["part"].to_pylist(), parts["bits"].to_pylist(), strict=True):
         out[part] = np.frombuffer(flags, np.uint8)
     return out.ravel()
 
 
+NAMES = ["bucket", "anchor", "phrase", "doc_id", "row", "first", "n"]
+
+
+def _split(table: pa.Table) -> pa.Table:
+    """Of one bucket's phrases: those that an earlier document has, as a whole; and, where phrases of one anchor begin in
+    different documents, the rest, whose suffixes are to be compared."""
+    anchor, phrase, doc = (table[c].to_numpy() for c in ("anchor", "phrase", "doc_id"))
+    order = np.lexsort((doc, phrase, anchor))
+    anchor, phrase, doc = anchor[order], phrase[order], doc[order]
+    new_anchor = np.append([True], anchor[1:] != anchor[:-1])
+    new = new_anchor | np.append([True], phrase[1:] != phrase[:-1])
+    kind, group = np.cumsum(new) - 1, np.cumsum(new_anchor) - 1
+    earliest = doc[new]
+    starts = np.flatnonzero(new_anchor)
+    of_kind = earliest[kind]
+    differ = np.minimum.reduceat(of_kind, starts) < np.maximum.reduceat(of_kind, starts)
+    whole = doc > of_kind
+    keep = np.flatnonzero(whole | differ[group])
+    return table.take(pa.array(order[keep])).append_column("whole", pa.array(whole[keep]))
+
+
 def _resolve(table: pa.Table) -> pa.Table:
-    """Spans that repeat an earlier document, from one bucket's phrases."""
+    """Spans that repeat an earlier document, from one bucket's phrases and their bytes."""
     anchor, phrase, doc, row, first, count = (table[c].to_numpy() for c in ("anchor", "phrase", "doc_id", "row", "first", "n"))
     order = np.lexsort((doc, phrase, anchor))
     anchor, phrase, doc, row, first, count = (x[order] for x in (anchor, phrase, doc, row, first, count))
@@ -195,30 +219,39 @@ def spans(docs: DataFrame) -> DataFrame:
         bitmap = marked.value
         for batch in batches:
             ids, keys = (column(batch, c).to_numpy() for c in ("doc_id", "row"))
-            out, given = [], set()
+            out = []
             for i, data in enumerate(_texts(batch)):
                 for a, p, first, count in phrases(data):
                     at = (a >> _U(64 - bits)).astype(np.int64)
                     keep = np.flatnonzero(bitmap[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1)
-                    texts = []
-                    for name, f, n in zip(p[keep].tolist(), first[keep].tolist(), count[keep].tolist(), strict=True):
-                        texts.append(None if name in given else data[f : f + n + LENGTH - 1].tobytes())
-                        given.add(name)
                     n = len(keep)
-                    out.append((a[keep], p[keep], np.repeat(ids[i], n), np.repeat(keys[i], n), first[keep], count[keep], texts))
-                if len(given) > 200_000:
-                    given.clear()  # bytes are then sent again
+                    out.append((a[keep].view(np.int64), p[keep].view(np.int64), np.repeat(ids[i], n), np.repeat(keys[i], n), first[keep], count[keep]))
             if out:
-                cols = [np.concatenate([o[j] for o in out]) for j in range(6)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array((cols[0] % _U(buckets)).astype(np.int32)), *(pa.array(c.view(np.int64) if c.dtype == np.uint64 else c.astype(np.int64)) for c in cols), pa.array([t for o in out for t in o[6]], pa.binary())],
-                    ["bucket", "anchor", "phrase", "doc_id", "row", "first", "n", "text"],
-                )
-
-    sent = docs.mapInArrow(send, "bucket int, anchor bigint, phrase bigint, doc_id bigint, row bigint, first bigint, n bigint, text binary")
-    found = sent.groupBy("bucket").applyInArrow(_resolve, "row bigint, first bigint, last bigint")
-    found = written(found.select("row", F.col("first").cast("int"), F.col("last").cast("int")))
-    return found.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("spans"))
+                cols = [np.concatenate(c) for c in zip(*out, strict=True)]
+                kinds = [np.int64] * 4 + [np.int32] * 2
+                bucket = (cols[0].view(np.uint64) % _U(buckets)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(bucket), *(pa.array(c.astype(k)) for c, k in zip(cols, kinds, strict=True))], NAMES)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The phrases asked for, with their bytes."""
+        for batch in batches:
+            asked, texts = column(batch, "asked"), []
+            which = pa.compute.list_parent_indices(asked).to_numpy()
+            flat = pa.compute.list_flatten(asked)
+            data = list(_texts(batch))
+            for i, first, n in zip(which.tolist(), flat.field("first").to_pylist(), flat.field("n").to_pylist(), strict=True):
+                texts.append(data[i][first : first + n + LENGTH - 1].tobytes())
+            rows = column(batch, "row").take(pa.array(which))
+            fields = {k: flat.field(k) for k in NAMES if k != "row"} | {"row": rows}
+            yield pa.RecordBatch.from_arrays([*(fields[k] for k in NAMES), pa.array(texts, pa.binary())], [*NAMES, "text"])
+
+    types = "bucket int, anchor bigint, phrase bigint, doc_id bigint, row bigint, first int, n int"
+    found = written(docs.mapInArrow(send, types).groupBy("bucket").applyInArrow(_split, f"{types}, whole boolean"))
+    asked = found.filter("not whole").groupBy("row").agg(F.collect_list(F.struct(*(k for k in NAMES if k != "row"))).alias("asked"))
+    fetched = docs.join(asked, "row").select("row", "text", "asked").mapInArrow(cut, f"{types}, text binary")
+    partly = written(fetched.groupBy("bucket").applyInArrow(_resolve, "row bigint, first bigint, last bigint"))
+    both = found.filter("whole").select("row", "first", (F.col("first") + F.col("n") + LENGTH - 1).alias("last")).union(partly.select("row", F.col("first").cast("int"), F.col("last").cast("int")))
+    return both.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("spans"))
 
 
 def remove(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), whole_characters: bool = False) -> DataFrame:
