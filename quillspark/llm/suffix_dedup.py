@@ -19,6 +19,7 @@ table gives no rows; extra columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,6 +41,17 @@ PARTS = 256
 _U = np.uint64
 
 
+def _order(*keys: np.ndarray) -> np.ndarray:
+    """Order by the keys (not negative), the first one first: by one combined number where that fits into 62 bits."""
+    bases = [int(k.max(initial=0)) + 1 for k in keys]
+    if math.prod(bases) >= 2**62:
+        return np.lexsort(keys[::-1])
+    combined = keys[0].astype(np.int64)
+    for k, base in zip(keys[1:], bases[1:], strict=True):
+        combined = combined * base + k
+    return combined.argsort(kind="stable")
+
+
 def suffix_array(s: np.ndarray) -> np.ndarray:
     """Order of the suffixes of s (whole numbers from 1) by the difference cover {1, 2} modulo 3."""
     n = len(s)
@@ -48,9 +60,9 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     padded = np.concatenate([s, [0, 0, 0, 0]]).astype(np.int64)
     ones, twos = np.arange(1, n + (n % 3 == 1), 3), np.arange(2, n, 3)
     sample = np.concatenate([ones, twos])
-    order = np.lexsort((padded[sample + 2], padded[sample + 1], padded[sample]))
-    triples = np.stack([padded[sample[order] + i] for i in range(3)])
-    new = np.append([True], (triples[:, 1:] != triples[:, :-1]).any(axis=0))
+    order = _order(padded[sample], padded[sample + 1], padded[sample + 2])
+    at = sample[order]
+    new = np.append([True], (padded[at[1:]] != padded[at[:-1]]) | (padded[at[1:] + 1] != padded[at[:-1] + 1]) | (padded[at[1:] + 2] != padded[at[:-1] + 2]))
     names = np.empty(len(sample), np.int64)
     names[order] = np.cumsum(new)
     if not new.all():
@@ -60,16 +72,30 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     rank[sorted_sample] = np.arange(1, len(sample) + 1)
     sorted_sample = sorted_sample[sorted_sample < n]
     rest = np.arange(0, n, 3)
-    rest = rest[np.lexsort((rank[rest + 1], padded[rest]))]
+    rest = rest[_order(padded[rest], rank[rest + 1])]
+    # merge: how many sampled suffixes are smaller than each of the rest; a rank decides after one symbol or after two
+    two = sorted_sample % 3 == 2
     low, high = np.zeros(len(rest), np.int64), np.full(len(rest), len(sorted_sample))
-    while (open_ := low < high).any():  # how many sampled suffixes are smaller than each of the rest
-        middle = (low + high) // 2
-        i, j = rest, sorted_sample[np.minimum(middle, len(sorted_sample) - 1)]
-        two = j % 3 == 2
-        a = (padded[i], np.where(two, padded[i + 1], rank[i + 1]), np.where(two, rank[i + 2], 0))
-        b = (padded[j], np.where(two, padded[j + 1], rank[j + 1]), np.where(two, rank[j + 2], 0))
-        less = (b[0] < a[0]) | (b[0] == a[0]) & ((b[1] < a[1]) | (b[1] == a[1]) & (b[2] < a[2]))
-        low, high = np.where(open_ & less, middle + 1, low), np.where(open_ & ~less, middle, high)
+    base = int(padded.max()) + 1
+    if base * base * (n + 4) < 2**62:
+        second = np.where(two, padded[sorted_sample + 1] * (n + 4) + rank[sorted_sample + 2], rank[sorted_sample + 1])
+        theirs = padded[sorted_sample] * np.where(two, base * (n + 4), n + 4) + second
+        after_one = padded[rest] * (n + 4) + rank[rest + 1]
+        after_two = padded[rest] * (base * (n + 4)) + padded[rest + 1] * (n + 4) + rank[rest + 2]
+        smaller = lambda j, i: theirs[j] < np.where(two[j], after_two[i], after_one[i])
+    else:
+
+        def smaller(j: np.ndarray, i: np.ndarray) -> np.ndarray:
+            x, y, t = rest[i], sorted_sample[j], two[j]
+            a = (padded[x], np.where(t, padded[x + 1], rank[x + 1]), np.where(t, rank[x + 2], 0))
+            b = (padded[y], np.where(t, padded[y + 1], rank[y + 1]), np.where(t, rank[y + 2], 0))
+            return (b[0] < a[0]) | (b[0] == a[0]) & ((b[1] < a[1]) | (b[1] == a[1]) & (b[2] < a[2]))
+
+    while len(open_ := np.flatnonzero(low < high)):
+        middle = (low[open_] + high[open_]) // 2
+        less = smaller(middle, open_)
+        low[open_[less]] = middle[less] + 1
+        high[open_[~less]] = middle[~less]
     out = np.empty(n, np.int64)
     at = low + np.arange(len(rest))
     free = np.ones(n, bool)
@@ -184,9 +210,13 @@ def _resolve(table: pa.Table) -> pa.Table:
         of = np.repeat(np.arange(len(pieces)), long)
         order = suffix_array(whole)
         order = order[order - begin[of[order]] < count[heads[mixed]][of[order]]]  # starts of windows
+        raw = np.concatenate([(whole - 1).astype(np.uint8), np.zeros(8, np.uint8)])
+        eight = np.lib.stride_tricks.sliding_window_view(raw, 8)
+        eight = np.ascontiguousarray(eight).view(np.uint64).ravel()
         same = np.ones(len(order) - 1, bool)
-        for i in range(LENGTH):
-            same &= whole[order[1:] + i] == whole[order[:-1] + i]
+        for i in [*range(0, LENGTH - 8, 8), LENGTH - 8]:  # a window has no end mark
+            word = eight[order + i]
+            same &= word[1:] == word[:-1]
         string = np.cumsum(np.append([True], ~same)) - 1
         least = np.full(string[-1] + 1, np.iinfo(np.int64).max)
         np.minimum.at(least, string, earliest[mixed][of[order]])
