@@ -34,7 +34,7 @@ class Trees:
         return 1 / (1 + np.exp(-margin))
 
 
-def fit(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 4, bins: int = 64, rate: float = 0.2, least: float = 5.0, l2: float = 1.0) -> Trees:
+def fit(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 4, bins: int = 64, rate: float = 0.2, least: float = 0.5, l2: float = 1.0) -> Trees:
     """Boost on the logistic loss. Without rows, or with one class only, the model is the smoothed share of class 1."""
     n, inner = len(y), 2**depth - 1
     share = (y.sum() + 1) / (n + 2) if n else 0.5
