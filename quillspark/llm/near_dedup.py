@@ -4,8 +4,9 @@ One pass turns each text into a set of hashed shingles, a digest of the set, ban
 signature of the minima's low bits. Documents with equal sets are one class. In each bucket of a band, members are
 paired with one representative, never with each other; pairs whose collision-corrected estimate (by bit counts) is
 well below the threshold go, and the rest are confirmed on full shingle sets. Confirmed links are joined into
-components; buckets that still hold several components go on with more representatives, until each pair of a bucket
-is linked or was compared. Nothing is capped.
+components; buckets that still hold several components go on with more representatives (the smallest document of each
+share of a bucket, by aggregation, so that no task orders a bucket), until each pair of a bucket is linked or was
+compared. Nothing is capped.
 
 Bands have 24 x 5 minima: a pair at similarity 0.85 misses all of them with probability 1e-6, at 0.8 with 7e-5. The
 estimate has a standard deviation of 0.04 at most; pairs go at 0.2 below the threshold.
@@ -22,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpointed, chunks, column, flat, small_batches, written
@@ -221,17 +222,16 @@ def find(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     while True:
         of = alive.join(labels, "v", "left").withColumn("c", F.coalesce("c", "v")) if labels is not None else alive.withColumn("c", F.col("v"))
         several = of.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("bucket")
-        open_ = of.join(several, "bucket").withColumn("place", F.row_number().over(Window.partitionBy("bucket").orderBy("v")))
-        open_ = written(open_)
+        open_ = written(of.join(several, "bucket").withColumn("share", F.pmod(F.xxhash64("v", F.lit(many)), F.lit(many))))
         if open_.limit(1).count() == 0:
             break
-        heads = open_.filter(F.col("place") <= many).select("bucket", F.col("v").alias("a"), F.col("c").alias("ca"), F.col("place").alias("at"))
-        pairs = heads.join(open_, "bucket").filter((F.col("place") > F.col("at")) & (F.col("ca") != F.col("c"))).select("a", F.col("v").alias("b")).distinct()
-        more = confirmed(pairs)
+        heads = written(open_.groupBy("bucket", "share").agg(F.min(F.struct("v", "c")).alias("head")).select("bucket", F.col("head.v").alias("a"), F.col("head.c").alias("ca")))
+        met = heads.join(open_, "bucket").filter(F.col("ca") != F.col("c"))
+        more = confirmed(met.select(F.least("a", "v").alias("a"), F.greatest("a", "v").alias("b")).distinct())
         if more is not None:
             links = more if links is None else links.union(more)
             labels = components(links)
-        alive = open_.filter(F.col("place") > many).select("bucket", "v")
+        alive = open_.select("bucket", "v").join(heads.select("bucket", F.col("a").alias("v")), ["bucket", "v"], "left_anti")
         many *= 4
     out = rows.select("doc_id", "n_shingles", "key").join(classes.select("key", "v"), "key", "left")
     out = out.join(labels, "v", "left") if labels is not None else out.withColumn("c", F.lit(None).cast("long"))
