@@ -214,11 +214,12 @@ def find(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
         full = written(full_sets(texts.join(ids, "doc_id", "left_semi"), k))
         side = lambda x: full.select(F.col("doc_id").alias(x), F.col("shingles").alias(f"s{x}"))
         both = near.join(side("a"), "a").join(side("b"), "b").withColumn("i", F.size(F.array_intersect("sa", "sb")))
-        return written(both.filter(100 * F.col("i") >= percent * (F.size("sa") + F.size("sb") - F.col("i"))).select("a", "b"))
+        found = written(both.filter(100 * F.col("i") >= percent * (F.size("sa") + F.size("sb") - F.col("i"))).select("a", "b"))
+        return found if found.limit(1).count() else None
 
     links = confirmed(alive.filter("v <> first").select(F.col("first").alias("a"), F.col("v").alias("b")).distinct())
     labels = components(links) if links is not None else None
-    alive, many = alive.filter("v <> first").select("bucket", "v"), 4
+    alive, many = alive.filter("v <> first").select("bucket", "v"), 16
     while True:
         of = alive.join(labels, "v", "left").withColumn("c", F.coalesce("c", "v")) if labels is not None else alive.withColumn("c", F.col("v"))
         several = of.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("bucket")
@@ -232,7 +233,7 @@ def find(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
             links = more if links is None else links.union(more)
             labels = components(links)
         alive = open_.select("bucket", "v").join(heads.select("bucket", F.col("a").alias("v")), ["bucket", "v"], "left_anti")
-        many *= 4
+        many *= 16
     out = rows.select("doc_id", "n_shingles", "key").join(classes.select("key", "v"), "key", "left")
     out = out.join(labels, "v", "left") if labels is not None else out.withColumn("c", F.lit(None).cast("long"))
     component = F.coalesce("c", "v", "doc_id")
