@@ -2,10 +2,12 @@
 
 One pass turns each text into a set of hashed shingles, a digest of the set, band keys of its minima, and a packed
 signature of the minima's low bits. Documents with equal sets are one class. In each bucket of a band, members are
-paired with one representative, never with each other; pairs whose collision-corrected estimate (by bit counts) is
-well below the threshold go, and the rest are confirmed on full shingle sets. Confirmed links are joined into
-components; buckets that still hold several components go on with more representatives (the smallest document of each
-share of a bucket, by aggregation, so that no task orders a bucket), until each pair of a bucket is linked or was
+first paired with one representative; pairs whose collision-corrected estimate (by bit counts) is well below the
+threshold go, and the rest are confirmed on full shingle sets. Confirmed links are joined into components. Buckets
+whose other members still lie in several components are cut into blocks, and each two blocks of a bucket meet in one
+group of bounded rows and bytes: first the signatures, to find members that have a likely partner in another component,
+then the full sets of those members alone. A group gives at most one link for each member, since a link between
+members that it has joined already adds nothing; no pairs are emitted. So each pair of a bucket is linked, in one component, or was
 compared. Nothing is capped.
 
 Bands have 24 x 5 minima: a pair at similarity 0.85 misses all of them with probability 1e-6, at 0.8 with 7e-5. The
@@ -19,7 +21,8 @@ but never name a component of documents that have ids; an empty table gives no r
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import itertools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +36,8 @@ PERMUTATIONS = 128
 LANES = PERMUTATIONS * BITS // 64
 #: How far below the threshold an estimate may be.
 MARGIN = 0.2
+#: Members and shingles of one block of a bucket (a single larger text is a block by itself).
+BLOCK_ROWS, BLOCK_SHINGLES = 512, 500_000
 #: Bytes of one text handled at a time.
 PIECE = 4 << 20
 
@@ -156,13 +161,110 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_shingles bigint, key binary, bands array<bigint>, signature array<bigint>")
 
 
-def full_sets(docs: DataFrame, k: int) -> DataFrame:
+def sets_of(docs: DataFrame, needs: DataFrame, k: int) -> DataFrame:
+    """task, v, c, head, shingles of each row of needs (task, v, c, head): a text is read and hashed once, its set goes to each task."""
+    by_v = needs.groupBy("v").agg(F.collect_list("task").alias("tasks"), F.collect_list("head").alias("heads"), F.first("c").alias("c"))
+    kind = pa.list_(pa.int64())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [s.view(np.int64) for s in sets(column(batch, "text"), k)]
-            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "shingles"])
+            v, c = column(batch, "doc_id"), column(batch, "c")
+            for i, s in enumerate(sets(column(batch, "text"), k)):
+                tasks, heads = column(batch, "tasks")[i].values, column(batch, "heads")[i].values
+                step = max(1, PIECE // (8 * len(s) + 8))
+                for j in range(0, len(tasks), step):
+                    n = min(step, len(tasks) - j)
+                    shingle = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * len(s)), pa.array(np.tile(s.view(np.int64), n)))
+                    same = [pa.array(np.full(n, x[i].as_py(), np.int64)) for x in (v, c)]
+                    yield pa.RecordBatch.from_arrays([tasks.slice(j, n), *same, heads.slice(j, n), shingle.cast(kind)], ["task", "v", "c", "head", "shingles"])
+
+    met = docs.join(by_v, docs["doc_id"] == by_v["v"]).select("doc_id", "text", "c", "tasks", "heads")
+    return met.mapInArrow(run, "task bigint, v bigint, c bigint, head boolean, shingles array<bigint>")
+
+
+def in_groups(df: DataFrame, one: Callable[[dict[str, np.ndarray], np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], lists: str, names: tuple[str, str]) -> DataFrame:
+    """What one(columns, offsets, values) returns for the rows of each task: two columns of longs. lists: the column of arrays."""
+    flats = [c for c in df.columns if c != lists]
+
+    def cut(table: pa.Table, whole: bool) -> Iterator[tuple[int, int, dict[str, np.ndarray], np.ndarray, np.ndarray]]:
+        arrays = {c: table.column(c).to_numpy() for c in flats}
+        many = table.column(lists).combine_chunks()
+        many = many.chunk(0) if isinstance(many, pa.ChunkedArray) else many
+        offsets, values = many.offsets.to_numpy(), many.values.to_numpy(zero_copy_only=False)
+        ends = [*(np.flatnonzero(np.diff(arrays["task"])) + 1).tolist(), *([len(table)] if whole else [])]
+        for start, end in zip([0, *ends], ends, strict=False):
+            yield start, end, {c: x[start:end] for c, x in arrays.items()}, offsets[start : end + 1] - offsets[start], values[offsets[start] : offsets[end]]
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, shingles array<bigint>")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in itertools.chain(batches, [None]):
+            parts = [*([held] if held is not None else []), *([pa.Table.from_batches([batch])] if batch is not None else [])]
+            if not parts:
+                return
+            table, done, found = pa.concat_tables(parts).combine_chunks(), 0, []
+            if not len(table):
+                continue
+            for _, end, columns, offsets, values in cut(table, batch is None):
+                done = end
+                if len(columns["task"]) > 1:
+                    found.append(one(columns, offsets, values))
+            held = table.slice(done)
+            for x, y in [tuple(map(np.concatenate, zip(*found, strict=True)))] if found else []:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], list(names))
+
+    return df.repartition("task").sortWithinPartitions("task").mapInArrow(run, f"{names[0]} bigint, {names[1]} bigint")
+
+
+def drivers(c: np.ndarray) -> np.ndarray:
+    """Members outside the most frequent component: one end of each pair that isn't in one component."""
+    names, counts = np.unique(c, return_counts=True)
+    return np.flatnonzero(c != names[counts.argmax()])
+
+
+def with_partner(percent: int) -> Callable:
+    """task, v of the members that have a likely partner in another component, by their signatures."""
+    ones, chance = _U(int("1" * 16, 16)), 2.0**-BITS
+    least = percent / 100 - MARGIN
+
+    def one(columns: dict[str, np.ndarray], offsets: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        c, n, lanes = columns["c"], columns["n"], values.view(np.uint64).reshape(-1, LANES)
+        has = np.zeros(len(c), bool)
+        for i in drivers(c):
+            other = np.flatnonzero((c != c[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])))
+            x = lanes[other] ^ lanes[i]
+            x |= (x >> _U(1)) | (x >> _U(2)) | (x >> _U(3))
+            equal = 1 - np.bitwise_count(x & ones).sum(axis=1) / PERMUTATIONS
+            near = other[(equal - chance) / (1 - chance) >= least]
+            has[near] = True
+            has[i] |= len(near) > 0
+        return columns["task"][has], columns["v"][has]
+
+    return one
+
+
+def joined(percent: int) -> Callable:
+    """a, b of links on full sets, none between members that are joined already; with heads, only links of those."""
+
+    def one(columns: dict[str, np.ndarray], offsets: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        v, label, size = columns["v"], columns["c"].copy(), np.diff(offsets)
+        _, shingle, times = np.unique(values, return_inverse=True, return_counts=True)
+        owner = np.repeat(np.arange(len(v)), size)[np.argsort(shingle, kind="stable")]
+        first = np.cumsum(times) - times
+        a, b = [], []
+        heads = columns["head"].astype(bool)
+        for i in np.flatnonzero(heads) if heads.any() else drivers(label):
+            own = shingle[offsets[i] : offsets[i + 1]]
+            count = times[own]
+            at = np.repeat(first[own] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+            both = np.bincount(owner[at], minlength=len(v))
+            near = np.flatnonzero((100 * both >= percent * (size[i] + size - both)) & (label != label[i]))
+            for j in near[np.unique(label[near], return_index=True)[1]]:
+                a.append(v[i])
+                b.append(v[j])
+            label[np.isin(label, label[near])] = label[i]
+        return np.array(a, np.int64), np.array(b, np.int64)
+
+    return one
 
 
 def estimate(a: str, b: str) -> Column:
@@ -200,41 +302,36 @@ def find(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     rows = written(sketches(texts, k))
     classes = written(rows.filter("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("v"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("signature").alias("signature")))
     named = classes.filter(F.col("v").isNotNull())
-    members = named.select("v", F.explode("bands").alias("bucket"))
-    shared = members.groupBy("bucket").agg(F.min("v").alias("first"), F.max("v").alias("last")).filter("first < last").select("bucket", "first")
-    alive = written(members.join(shared, "bucket"))
-
-    def confirmed(pairs: DataFrame) -> DataFrame | None:
-        one = lambda x: named.select(F.col("v").alias(x), F.col("n").alias(f"n{x}"), F.col("signature").alias(f"s{x}"))
-        near = pairs.join(one("a"), "a").join(one("b"), "b").filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).filter(estimate("sa", "sb") >= percent / 100 - MARGIN)
-        near = written(near.select("a", "b").distinct())
-        if near.limit(1).count() == 0:
-            return None
-        ids = near.select(F.col("a").alias("doc_id")).union(near.select("b")).distinct()
-        full = written(full_sets(texts.join(ids, "doc_id", "left_semi"), k))
-        side = lambda x: full.select(F.col("doc_id").alias(x), F.col("shingles").alias(f"s{x}"))
-        both = near.join(side("a"), "a").join(side("b"), "b").withColumn("i", F.size(F.array_intersect("sa", "sb")))
-        found = written(both.filter(100 * F.col("i") >= percent * (F.size("sa") + F.size("sb") - F.col("i"))).select("a", "b"))
-        return found if found.limit(1).count() else None
-
-    links = confirmed(alive.filter("v <> first").select(F.col("first").alias("a"), F.col("v").alias("b")).distinct())
-    labels = components(links) if links is not None else None
-    alive, many = alive.filter("v <> first").select("bucket", "v"), 16
-    while True:
-        of = alive.join(labels, "v", "left").withColumn("c", F.coalesce("c", "v")) if labels is not None else alive.withColumn("c", F.col("v"))
-        several = of.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("bucket")
-        open_ = written(of.join(several, "bucket").withColumn("share", F.pmod(F.xxhash64("v", F.lit(many)), F.lit(many))))
-        if open_.limit(1).count() == 0:
-            break
-        heads = written(open_.groupBy("bucket", "share").agg(F.min(F.struct("v", "c")).alias("head")).select("bucket", F.col("head.v").alias("a"), F.col("head.c").alias("ca")))
-        met = heads.join(open_, "bucket").filter(F.col("ca") != F.col("c"))
-        more = confirmed(met.select(F.least("a", "v").alias("a"), F.greatest("a", "v").alias("b")).distinct())
-        if more is not None:
-            links = more if links is None else links.union(more)
-            labels = components(links)
-        alive = open_.select("bucket", "v").join(heads.select("bucket", F.col("a").alias("v")), ["bucket", "v"], "left_anti")
-        many *= 16
+    members = named.select("v", "n", F.explode("bands").alias("bucket"))
+    shared = members.groupBy("bucket").agg(F.min("v").alias("first"), F.max("v").alias("last"), F.count("*").alias("rows"), F.sum("n").alias("size")).filter("first < last")
+    blocks = F.ceil(F.greatest(F.col("rows") / BLOCK_ROWS, F.col("size") / BLOCK_SHINGLES)).cast("int")
+    alive = written(members.join(shared.select("bucket", "first", blocks.alias("blocks")), "bucket").filter("v <> first").select("bucket", "v", "first", "blocks"))
+
+    # Each member of a bucket with its first.
+    side = lambda x: named.select(F.col("v").alias(x), F.col("n").alias(f"n{x}"), F.col("signature").alias(f"s{x}"))
+    pairs = alive.select(F.col("first").alias("a"), F.col("v").alias("b")).distinct().join(side("a"), "a").join(side("b"), "b")
+    near = pairs.filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).filter(estimate("sa", "sb") >= percent / 100 - MARGIN)
+    near = written(near.select("a", "b", "na", "nb"))
+    load = near.groupBy("a").agg(F.ceil(F.greatest(F.count("*") / BLOCK_ROWS, F.sum("nb") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    dealt = near.join(load, "a").withColumn("task", F.xxhash64("a", F.pmod(F.xxhash64("b"), F.col("blocks"))))
+    stars = dealt.select("task", F.col("b").alias("v"), F.col("b").alias("c"), F.lit(False).alias("head"))
+    stars = stars.union(dealt.select("task", F.col("a").alias("v"), F.col("a").alias("c"), F.lit(True).alias("head")).distinct())
+    labels = components(written(in_groups(sets_of(texts, stars, k), joined(percent), "shingles", ("a", "b"))))
+
+    # The other members of buckets that still hold several components, block by block.
+    of = alive.join(labels, "v", "left").withColumn("c", F.coalesce("c", "v"))
+    several = of.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("bucket")
+    own = F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int")
+    meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda y: F.xxhash64("bucket", F.least(own, y), F.greatest(own, y)))
+    open_ = of.join(several, "bucket").select("v", "c", F.explode(meets).alias("task"))
+    open_ = open_.join(named.select("v", "n", "signature"), "v").select("task", "v", "c", "n", "signature")
+    likely = written(in_groups(open_, with_partner(percent), "signature", ("task", "v")).join(labels, "v", "left").select("task", "v", F.coalesce("c", "v").alias("c"), F.lit(False).alias("head")))
+    more = in_groups(sets_of(texts, likely, k), joined(percent), "shingles", ("a", "b"))
+    name = lambda x: labels.select(F.col("v").alias(x), F.col("c").alias(f"c{x}"))
+    more = more.join(name("a"), "a", "left").join(name("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    tops = components(written(more.filter("a <> b").distinct())).select(F.col("v").alias("c"), F.col("c").alias("top"))
+
     out = rows.select("doc_id", "n_shingles", "key").join(classes.select("key", "v"), "key", "left")
-    out = out.join(labels, "v", "left") if labels is not None else out.withColumn("c", F.lit(None).cast("long"))
-    component = F.coalesce("c", "v", "doc_id")
+    out = out.join(labels, "v", "left").withColumn("c", F.coalesce("c", "v")).join(tops, "c", "left")
+    component = F.coalesce("top", "c", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
