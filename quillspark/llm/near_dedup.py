@@ -178,7 +178,8 @@ def sets_of(docs: DataFrame, needs: DataFrame, k: int) -> DataFrame:
                     same = [pa.array(np.full(n, x[i].as_py(), np.int64)) for x in (v, c)]
                     yield pa.RecordBatch.from_arrays([tasks.slice(j, n), *same, heads.slice(j, n), shingle.cast(kind)], ["task", "v", "c", "head", "shingles"])
 
-    met = docs.join(by_v, docs["doc_id"] == by_v["v"]).select("doc_id", "text", "c", "tasks", "heads")
+    # By sorting at every size: ids that fit a broadcast on small inputs only would make the plan, and its figures, another there.
+    met = docs.join(by_v.hint("merge"), docs["doc_id"] == by_v["v"]).select("doc_id", "text", "c", "tasks", "heads")
     return met.mapInArrow(run, "task bigint, v bigint, c bigint, head boolean, shingles array<bigint>")
 
 

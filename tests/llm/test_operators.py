@@ -40,8 +40,9 @@ def split(text):
     return re.findall(r"[^\x20\x09-\x0D]+", text or "")
 
 
-@pytest.mark.parametrize(("k", "percent"), [(3, 85), (5, 80)])
-def test_near_duplicates_match_all_pairs(docs, k, percent):
+@pytest.mark.parametrize(("k", "percent", "block"), [(3, 85, 512), (5, 80, 512), (3, 85, 3)])
+def test_near_duplicates_match_all_pairs(docs, monkeypatch, k, percent, block):
+    monkeypatch.setattr(near_dedup, "BLOCK_ROWS", block)
     rows = [r for r in docs.select("doc_id", "text").collect()]
     sets = {}
     for r in rows:
@@ -67,6 +68,30 @@ def test_near_duplicates_match_all_pairs(docs, k, percent):
             assert (r["n_shingles"], r["component_id"], r["kept"]) == (len(sets[r["doc_id"]]), root(r["doc_id"]), root(r["doc_id"]) == r["doc_id"])
 
 
+def test_groups_join_what_all_pairs_join(spark):
+    """A group of sets around the threshold, in batches that end within groups: components of its links are those of all pairs."""
+    r = random.Random(5)
+    base = list(range(100))
+    rows = [(t, 100 * t + i, 100 * t + i, False, sorted(r.sample(base, 88 + r.randrange(10)))) for t in range(3) for i in range(40)]
+    df = spark.createDataFrame(rows, "task long, v long, c long, head boolean, shingles array<long>")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "17")
+    links = [tuple(x) for x in near_dedup.in_groups(df, near_dedup.joined(85), "shingles", ("a", "b")).collect()]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    sets = {v: set(s) for _, v, _, _, s in rows}
+    alike = lambda a, b: 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])
+
+    def classes(pairs):
+        up = {v: v for v in sets}
+        for a, b in pairs:
+            x, y = up[a], up[b]
+            up = {v: x if u == y else u for v, u in up.items()}
+        return {frozenset(v for v in up if up[v] == u) for u in up.values()}
+
+    assert links and all(alike(a, b) for a, b in links)
+    assert classes(links) == classes((a, b) for a in sets for b in sets if a < b and a // 100 == b // 100 and alike(a, b))
+
+
 def test_suffix_array():
     r = np.random.RandomState(3)
     for n in (0, 1, 3, 4, 5, 50, 301):
