@@ -6,6 +6,7 @@ import re
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -183,6 +184,27 @@ def test_url_rules(spark):
     assert all(v[3] in ("allow", "block") for v in got.values())
 
 
+@pytest.mark.parametrize("common", [url_filter.COMMON, 3, 1])
+def test_suffixes_are_counted_on_all_pages(spark, monkeypatch, common):
+    """Scores are those of trees over exact counts of all pages, with or without rare suffixes joined by sorting."""
+    monkeypatch.setattr(url_filter, "COMMON", common)
+    r = random.Random(4)
+    host = lambda: "".join(r.choice("abcdegmnort") for _ in range(r.randint(4, 12)))
+    urls = [f"http://{host()}.{s}/{p}/{r.randrange(10**6)}" for s, p, n in (("org", "de", 300), ("com", "de", 60), ("net", "de", 400), ("co", "de", 5)) for _ in range(n)]
+    urls += [None, "none", "http://" + "x" * 100, "http://a." + "y" * 90]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").repartition(3)
+    got = {x["page_id"]: x for x in url_filter.judge(df, {"org/": "allow", "com/de/": "block"}).collect()}
+    assert len(got) == len(urls)
+    last = [got[i]["host"].rpartition(".")[2] for i in range(len(urls))]
+    seen = np.array([last.count(s) for s in last], float)
+    x = url_filter.features(pa.array(urls), pa.array([got[i]["host"] for i in range(len(urls))]), pa.array([got[i]["path"] for i in range(len(urls))]), seen)
+    ruled = [i for i in range(len(urls)) if got[i]["rule"]]
+    y = np.array([float(got[i]["rule"] == "com/de/") for i in ruled])
+    order = np.lexsort([*x[ruled].T, y])
+    assert np.allclose(gbt.fit(x[ruled][order], y[order]).predict(x), [got[i]["score"] for i in range(len(urls))])
+    assert all(got[i]["verdict"] == ("allow" if s == "net" else "block") for i, s in enumerate(last) if s in ("net", "co"))
+
+
 def test_trees_learn_and_agree():
     x = np.random.RandomState(0).rand(2000, 3)
     y = ((x[:, 0] > 0.5) ^ (x[:, 1] > 0.3)).astype(float)
