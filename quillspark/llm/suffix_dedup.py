@@ -10,6 +10,8 @@ array of all bytes isn't needed: each LENGTH-byte window has one anchor, the sma
 3. where phrases of one anchor begin in different documents, their bytes are fetched, and a bucket sorts the suffixes
    of its distinct phrases by difference cover (sort sampled triples, recurse on names, merge the remaining suffixes),
    compares adjacent prefixes, and takes the smallest document of each LENGTH-byte string;
+   an anchor with about HOT phrases or more has no bucket: its phrases are dealt by row, and Spark aggregates the smallest
+   document of each phrase, and of each LENGTH-byte string of the phrases that differ;
 4. the spans meet their documents again by a key of the row.
 
 Defined results: null texts are empty; texts shorter than LENGTH lose nothing; rows of equal doc_id never repeat each
@@ -37,6 +39,8 @@ PIECE = 1 << 21
 #: Bytes of input for each bucket, and bounds of the bitmap's size in bits (as a power of two).
 BUCKET_BYTES, LEAST_BITS, MOST_BITS = 6 << 20, 20, 30
 PARTS = 256
+#: Phrases from which an anchor is hot, estimated on one in SAMPLED documents; keys with as many rows are broadcast.
+HOT, SAMPLED = 1 << 14, 64
 
 _U = np.uint64
 
@@ -163,6 +167,47 @@ def _marked(docs: DataFrame, bits: int) -> np.ndarray:
     return out.ravel()
 
 
+def _hot(docs: DataFrame) -> np.ndarray:
+    """Anchors with about HOT phrases or more, sorted. They decide where phrases meet, never the result."""
+
+    def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in _texts(batch):
+                for a, *_ in phrases(data):
+                    yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64))], ["anchor"])
+
+    some = docs.filter(F.pmod("row", F.lit(SAMPLED)) == 0).select("text").mapInArrow(anchors, "anchor bigint")
+    found = some.groupBy("anchor").count().filter(F.col("count") * SAMPLED >= HOT).select("anchor").toArrow()
+    return np.sort(found["anchor"].to_numpy())
+
+
+def _matched(rows: DataFrame, kinds: DataFrame, keys: list[str]) -> DataFrame:
+    """rows with the columns of kinds (one row of each key, its rows counted in met). Keys with HOT rows or more, a HOT-th of the rows at most, are broadcast; the rest are sorted."""
+    common = F.broadcast(kinds.filter(F.col("met") >= HOT))
+    rest = rows.join(common, keys, "left_anti").join(kinds.filter(F.col("met") < HOT).hint("merge"), keys)
+    return rows.join(common, keys).unionByName(rest)
+
+
+def _split_hot(hot: DataFrame) -> DataFrame:
+    """What _split finds, of the phrases of hot anchors."""
+    kinds = written(hot.groupBy("anchor", "phrase").agg(F.min("doc_id").alias("earliest"), F.count("*").alias("met")))
+    differ = kinds.groupBy("anchor").agg((F.min("earliest") < F.max("earliest")).alias("differ"))
+    rows = _matched(hot.drop("whole"), kinds, ["anchor", "phrase"]).join(F.broadcast(differ), "anchor")  # a row of each hot anchor
+    whole = F.col("doc_id") > F.col("earliest")
+    return rows.filter(whole | F.col("differ")).select(*NAMES, whole.alias("whole"))
+
+
+def _windows(table: pa.Table) -> pa.Table:
+    """Each LENGTH-byte string of the phrases, with its document and place."""
+    count = table["n"].to_numpy().astype(np.int64)
+    at = np.repeat(np.arange(len(count)), count)
+    first = table["first"].to_numpy()[at] + np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count)
+    strings = [np.lib.stride_tricks.sliding_window_view(np.frombuffer(t.as_buffer(), np.uint8), LENGTH).tobytes() for t in table["text"].combine_chunks()]
+    offsets = pa.py_buffer((np.arange(len(at) + 1) * LENGTH).astype(np.int32).tobytes())
+    string = pa.Array.from_buffers(pa.binary(), len(at), [None, offsets, pa.py_buffer(b"".join(strings))])
+    return pa.table({"row": table["row"].take(pa.array(at)), "first": first.astype(np.int64), "last": (first + LENGTH).astype(np.int64), "doc_id": table["doc_id"].take(pa.array(at)), "string": string})
+
+
 NAMES = ["bucket", "anchor", "phrase", "doc_id", "row", "first", "n"]
 
 
@@ -243,6 +288,7 @@ def spans(docs: DataFrame) -> DataFrame:
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = min(MOST_BITS, max(LEAST_BITS, int(size).bit_length() - 3))
     buckets = max(16, size // BUCKET_BYTES)
+    hot = _hot(docs)
     marked = spark.sparkContext.broadcast(_marked(docs.select("text"), bits))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,6 +306,9 @@ def spans(docs: DataFrame) -> DataFrame:
                 cols = [np.concatenate(c) for c in zip(*out, strict=True)]
                 kinds = [np.int64] * 4 + [np.int32] * 2
                 bucket = (cols[0].view(np.uint64) % _U(buckets)).astype(np.int32)
+                if len(hot):
+                    dealt = hot[np.minimum(np.searchsorted(hot, cols[0]), len(hot) - 1)] == cols[0]
+                    bucket[dealt] = buckets + (cols[3][dealt].view(np.uint64) % _U(buckets)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(bucket), *(pa.array(c.astype(k)) for c, k in zip(cols, kinds, strict=True))], NAMES)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,11 +324,29 @@ def spans(docs: DataFrame) -> DataFrame:
             fields = {k: flat.field(k) for k in NAMES if k != "row"} | {"row": rows}
             yield pa.RecordBatch.from_arrays([*(fields[k] for k in NAMES), pa.array(texts, pa.binary())], [*NAMES, "text"])
 
+    def split(table: pa.Table) -> pa.Table:
+        """Phrases of hot anchors stay undecided."""
+        return _split(table) if table["bucket"][0].as_py() < buckets else table.append_column("whole", pa.nulls(len(table), pa.bool_()))
+
+    def resolve(table: pa.Table) -> pa.Table:
+        """Spans; of phrases of hot anchors, their strings."""
+        if table["bucket"][0].as_py() >= buckets:
+            return _windows(table)
+        out = _resolve(table)
+        return out.append_column("doc_id", pa.nulls(len(out), pa.int64())).append_column("string", pa.nulls(len(out), pa.binary()))
+
     types = "bucket int, anchor bigint, phrase bigint, doc_id bigint, row bigint, first int, n int"
-    found = written(docs.mapInArrow(send, types).groupBy("bucket").applyInArrow(_split, f"{types}, whole boolean"))
+    found = written(docs.mapInArrow(send, types).groupBy("bucket").applyInArrow(split, f"{types}, whole boolean"))
+    if len(hot):
+        found = found.filter("whole IS NOT NULL").union(written(_split_hot(found.filter("whole IS NULL"))).select(*found.columns))
     asked = found.filter("not whole").groupBy("row").agg(F.collect_list(F.struct(*(k for k in NAMES if k != "row"))).alias("asked"))
     fetched = docs.join(asked, "row").select("row", "text", "asked").mapInArrow(cut, f"{types}, text binary")
-    partly = written(fetched.groupBy("bucket").applyInArrow(_resolve, "row bigint, first bigint, last bigint"))
+    partly = written(fetched.groupBy("bucket").applyInArrow(resolve, "row bigint, first bigint, last bigint, doc_id bigint, string binary"))
+    if len(hot):
+        windows = partly.filter("string IS NOT NULL")
+        least = written(windows.groupBy("string").agg(F.min("doc_id").alias("earliest"), F.count("*").alias("met")))
+        repeated = _matched(windows, least, ["string"]).filter("doc_id > earliest").select("row", "first", "last")
+        partly = partly.filter("string IS NULL").select("row", "first", "last").union(repeated)
     both = found.filter("whole").select("row", "first", (F.col("first") + F.col("n") + LENGTH - 1).alias("last")).union(partly.select("row", F.col("first").cast("int"), F.col("last").cast("int")))
     return both.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("spans"))
 

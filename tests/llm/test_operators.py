@@ -132,6 +132,34 @@ def test_repeated_strings_match_brute_force(spark, docs, piece, monkeypatch):
             assert r["n_removed"] == 0
 
 
+@pytest.mark.parametrize("hot", [2, 5, 40])
+def test_hot_anchors_match_brute_force(spark, monkeypatch, hot):
+    """A passage of many documents, each with its own words around it: its anchors' phrases aren't gathered in one bucket."""
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    monkeypatch.setattr(suffix_dedup, "SAMPLED", 1)
+    biggest = spark.sparkContext.accumulator(0)
+    kept = suffix_dedup._split
+
+    def counted(table):
+        anchors = table["anchor"].to_pylist()
+        biggest.add(sum(anchors.count(a) >= hot for a in set(anchors)))
+        return kept(table)
+
+    monkeypatch.setattr(suffix_dedup, "_split", counted)
+    r = random.Random(7)
+    word = lambda: "".join(r.choice("abcdé") for _ in range(r.randint(2, 7)))
+    passage = " ".join(word() for _ in range(40))
+    rows = [(i, " ".join([*(word() for _ in range(r.randint(1, 9))), passage[r.choice([0, 30]) :], *(word() for _ in range(9))])) for i in range(60)]
+    rows += [(60, passage), (61, passage * 2), (61, passage * 2), (62, "short"), (63, None), *((i, rows[5][1]) for i in range(64, 70))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = removed(set(rows))
+    got = suffix_dedup.digests(docs).collect()
+    assert len(got) == len(rows) and all(tuple(x)[1:] == want[x["doc_id"]] for x in got)
+    assert biggest.value == 0
+    monkeypatch.setattr(suffix_dedup, "HOT", 1000)  # none is hot: all phrases of an anchor meet
+    assert sorted(map(tuple, suffix_dedup.digests(docs).collect())) == sorted(map(tuple, got)) and biggest.value > 0
+
+
 def test_rules_count_like_brute_force(docs):
     for r in quality_rules.judge(docs).join(docs.filter("doc_id IS NOT NULL").select("doc_id", "text").distinct(), "doc_id").collect():
         w, text = split(r["text"]), r["text"] or ""
