@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,24 +35,25 @@ def score(candidates: DataFrame, centroids: DataFrame) -> DataFrame:
     return candidates.crossJoin(few).groupBy("id").agg(F.max(dot(F.col("v"), F.col("centroid"))).alias("score"))
 
 
-def diversified(scored: DataFrame, group: str, k: int, weight: float = 0.7, shortlist: int = 200) -> DataFrame:
-    """Maximal marginal relevance within the best shortlist rows of each group (id, score, v): group, id, place."""
-    from .library import top_per
-
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["score", "id"], ascending=[False, True])
-        v, s = np.stack(pdf["v"].to_numpy()).astype(float), pdf["score"].to_numpy()
-        near, free, out = np.zeros(len(s)), np.ones(len(s), bool), []
-        while free.any() and len(out) < k:
-            best = int(np.where(free, weight * s - (1 - weight) * near, -np.inf).argmax())
-            free[best] = False
-            out.append(best)
-            near = np.maximum(near, v @ v[best])
-        return pd.DataFrame({group: pdf[group].iloc[0], "id": pdf["id"].to_numpy()[out], "place": range(1, len(out) + 1)})
-
-    best = top_per(scored.select(group, "id", "score", "v"), group, [F.desc("score"), F.col("id")], shortlist).drop("rank")
-    kind = dict(scored.dtypes)[group]
-    return best.groupBy(group).applyInPandas(pick, f"{group} {kind}, id bigint, place int")
+def diversified(scored: DataFrame, group: str, k: int, weight: float = 0.7) -> DataFrame:
+    """Maximal marginal relevance over all rows of each group (id, score, v): group, id, place.
+
+    Each of the k rounds takes the best row of each group by partial aggregation; of equals, the better scored and then the smaller id.
+    """
+    from ..llm.common import written
+
+    rows = written(scored.select(group, "id", "score", "v"))
+    out = None
+    for place in range(1, k + 1):
+        near, left = F.lit(0.0), rows
+        if out is not None:
+            picked = out.groupBy(group).agg(F.collect_list("id").alias("ids"), F.collect_list("v").alias("picks"))
+            left = rows.join(picked.withColumnRenamed(group, "_group"), F.col(group).eqNullSafe(F.col("_group")), "left").filter("ids IS NULL OR NOT array_contains(ids, id)")
+            near = F.aggregate("picks", F.lit(0.0), lambda n, p: F.greatest(n, dot(F.col("v"), p)))
+        best = F.struct((weight * F.col("score") - (1 - weight) * near).alias("mmr"), "score", (-F.col("id")).alias("first"))
+        one = written(left.groupBy(group).agg(F.max_by(F.struct("id", "v"), best).alias("best")).select(group, "best.*", F.lit(place).alias("place")))
+        out = one if out is None else out.unionByName(one)
+    return out.select(group, "id", "place")
 
 
 def held_out_ranks(items: DataFrame, group: str) -> DataFrame:

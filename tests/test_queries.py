@@ -1,10 +1,12 @@
 """Every registered query of the library against its DuckDB SQL at the smallest scale."""
 
 import math
+import random
 
 import duckdb
 import pytest
 
+from quillspark.operators import vectors
 from quillspark.queries import ORACLES, QUERIES
 
 DATA = "/root/testdata/sf0.001"
@@ -42,6 +44,27 @@ def test_diversified_places_are_whole(spark):
     assert {(r["label"], r["place"]) for r in rows} == {(g, p) for g in {r["label"] for r in rows} for p in range(1, sum(r["label"] == g for r in rows) + 1)}
 
 
+def test_diversified_sees_all_rows(spark):
+    """A group led by 250 near copies, and a small one, against picks over all rows."""
+    r = random.Random(3)
+    unit = lambda v: [x / math.sqrt(sum(y * y for y in v)) for x in v]
+    rows = [(0, i, 0.9 + i % 50 / 1000, unit([1.0, r.random() / 100, 0.0, 0.0])) for i in range(250)]
+    rows += [(0, 300 + i, 0.7 + i / 1000, unit([r.gauss(0, 1) for _ in range(4)])) for i in range(30)]
+    rows += [(None, 400 + i, 0.5, unit([r.gauss(0, 1) for _ in range(4)])) for i in range(3)] + [(2, 500, 0.1, [1.0, 0.0, 0.0, 0.0])]
+    want = set()
+    for g in (0, None, 2):
+        left, near, place = [x for x in rows if x[0] == g], {}, 0
+        while left and place < 5:
+            best = max(left, key=lambda x: (0.7 * x[2] - 0.3 * near.get(x[1], 0.0), x[2], -x[1]))
+            left.remove(best)
+            near = {x[1]: max(near.get(x[1], 0.0), sum(a * b for a, b in zip(x[3], best[3], strict=True))) for x in left}
+            place += 1
+            want.add((g, best[1], place))
+    df = spark.createDataFrame(rows, "label int, id long, score double, v array<double>").repartition(3)
+    assert set(map(tuple, vectors.diversified(df, "label", 5).collect())) == want
+    assert sum(g == 0 and i >= 300 for g, i, _ in want) > 1
+
+
 def test_streamed_sessions_match_batch(spark, tmp_path):
     from quillspark.streaming import sessions
 
