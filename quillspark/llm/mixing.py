@@ -1,13 +1,13 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
-Documents get a topic (nearest of TOPICS centroids over TF-IDF n-gram vectors, learned from a bounded sample) and a
-token weight (a quarter of their bytes, rounded up). Tokens are summed by (source, language, topic); raking scales
+Documents get a topic (nearest of TOPICS centroids over TF-IDF n-gram vectors; document frequencies are counted on all
+rows, centroids are learned from FIT_ROWS documents) and a token weight (a quarter of their bytes, rounded up). Tokens are summed by (source, language, topic); raking scales
 this table until its margins meet the targets of each source, language and topic. A document is then kept with its
 cell's calibrated probability min(1, s * fitted / tokens), s chosen so that the kept tokens are KEEP of all tokens, by
 a hash of its id, so that the same documents stay in every run.
 
-The table is small by construction: beyond the SOURCES and LANGUAGES largest, names share the cell OTHER. Sums and
-probabilities cover all documents.
+Every source, language and topic has its own margin. A table of at most CELLS cells is raked on the driver, a larger one
+on Spark. Sums and probabilities cover all documents.
 
 Defined results: a null source or language is the name "", a null text has no tokens; rows with equal doc_id stay or go
 together if their cells agree; cells without tokens keep probability 1; an empty table gives no rows.
@@ -20,15 +20,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import chunks, column, small_batches, written
 from .language_id import DIMENSIONS, cluster, counts, vectors
 
-SOURCES, LANGUAGES, TOPICS = 255, 31, 8
-OTHER = "(other)"
-#: Bound of the sample that topics are learned from.
+TOPICS = 8
+#: Cells that the driver takes and that are broadcast, at most.
+CELLS = 65_536
+#: Bound of the sample that centroids of topics are learned from.
 FIT_ROWS = 2000
 #: Targets are shares of tokens to this power.
 TEMPER = 0.7
@@ -41,6 +42,21 @@ class Topics:
     centroid: np.ndarray
 
 
+def _idf(docs: DataFrame) -> np.ndarray:
+    """Inverse document frequencies over all rows of docs; the driver gets one vector from each task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, having = 0, np.zeros(DIMENSIONS, np.int64)
+        for batch in batches:
+            for part in chunks(column(batch, "text"), rows=128):
+                n, having = n + len(part), having + (counts(part)[0] > 0).sum(axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([having.tobytes()], pa.binary())], ["n", "having"])
+
+    rows = docs.select("text").mapInArrow(run, "n bigint, having binary").toArrow()
+    having = sum((np.frombuffer(x, np.int64) for x in rows["having"].to_pylist()), np.zeros(DIMENSIONS, np.int64))
+    return np.log((1 + sum(rows["n"].to_pylist())) / (1 + having)).astype(np.float32)
+
+
 def learn_topics(docs: DataFrame, rows: int = FIT_ROWS) -> Topics:
     small_batches(docs.sparkSession)
     ids = docs.select(F.col("doc_id").alias("id")).filter("id is not null").distinct().orderBy(F.xxhash64("id", F.lit(7)), "id").limit(rows)
@@ -53,7 +69,7 @@ def learn_topics(docs: DataFrame, rows: int = FIT_ROWS) -> Topics:
     sample = docs.join(F.broadcast(ids), F.col("doc_id") == F.col("id")).select("text").mapInArrow(count, "x binary").limit(rows).toArrow()
     x = np.frombuffer(b"".join(sample["x"].to_pylist()), np.uint16).reshape(-1, DIMENSIONS)
     x = x[np.lexsort(x[:, :8].T)] if len(x) else x
-    idf = np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))).astype(np.float32)
+    idf = _idf(docs)
     return Topics(idf, cluster(vectors(x, idf), TOPICS) if len(x) else np.zeros((0, DIMENSIONS), np.float32))
 
 
@@ -99,17 +115,50 @@ def probabilities(tokens: np.ndarray, fitted: np.ndarray, keep: float) -> np.nda
     return np.where(tokens > 0, np.minimum(1, high * ratio), 1.0)
 
 
-def _largest(cells: DataFrame, name: str, most: int) -> list[str]:
-    return [r[name] for r in cells.groupBy(name).agg(F.sum("n").alias("n")).orderBy(F.desc("n"), name).limit(most).collect()]
+def _rake_on_spark(cells: DataFrame, temper: float, rounds: int = 200, tolerance: float = 1e-9) -> DataFrame:
+    """cells (s, l, t, n) with fitted. Names have a factor each; a cell's fitted tokens are n times its three factors."""
+    total = cells.agg(F.sum("n").cast("double")).first()[0]
+    factors = {}
+    for c in ("s", "l", "t"):
+        margin = written(cells.groupBy(c).agg(F.pow(F.sum("n").cast("double"), F.lit(temper)).alias("share")))
+        target = F.col("share") / max(margin.agg(F.sum("share")).first()[0], 1e-9) * total
+        factors[c] = written(margin.select(c, target.alias(f"target_{c}"), F.lit(1.0).alias(f"f_{c}"), F.lit(0.0).alias("change")))
+    factor = lambda c: factors[c].select(c, f"f_{c}")
+    for _ in range(rounds):
+        worst = 0.0
+        for c in factors:
+            a, b = (x for x in factors if x != c)
+            have = cells.join(factor(a), a).join(factor(b), b).groupBy(c).agg(F.sum(F.col("n") * F.col(f"f_{a}") * F.col(f"f_{b}")).alias("have"))
+            new = F.when(F.col("have") > 0, F.col(f"target_{c}") / F.col("have")).otherwise(F.col(f"f_{c}"))
+            factors[c] = written(factors[c].drop("change").join(have, c).select(c, f"target_{c}", new.alias(f"f_{c}"), F.abs(new / F.col(f"f_{c}") - 1).alias("change")))
+            worst = max(worst, factors[c].agg(F.max("change")).first()[0])
+        if worst < tolerance:
+            break
+    for c in factors:
+        cells = cells.join(factor(c), c)
+    return cells.withColumn("fitted", F.col("n") * F.col("f_s") * F.col("f_l") * F.col("f_t")).drop("f_s", "f_l", "f_t")
+
 
+def _probabilities_on_spark(cells: DataFrame, keep: float) -> DataFrame:
+    """cells (with n and fitted) with weight and probability; each pass over the cells tries 64 scales at once."""
+    cells = written(cells.withColumn("weight", F.when(F.col("n") > 0, F.col("fitted") / F.col("n")).otherwise(1.0)))
+    goal = keep * cells.agg(F.sum("n")).first()[0]
+    grid = np.geomspace(1e-12, 1e12, 65)
+    for _ in range(10):
+        stay = cells.agg(*(F.sum(F.least(F.lit(1.0), float(x) * F.col("weight")) * F.col("n")) for x in grid)).first()
+        at = next((i for i, x in enumerate(stay) if x >= goal), len(grid) - 1)
+        grid = np.linspace(grid[max(at - 1, 0)], grid[at], 65)
+    return cells.withColumn("probability", F.when(F.col("n") > 0, F.least(F.lit(1.0), float(grid[-1]) * F.col("weight"))).otherwise(1.0))
 
-def calibrate(topical: DataFrame, temper: float = TEMPER, keep: float = KEEP) -> tuple[DataFrame, list[str], list[str]]:
-    """Cells (s, l, t, tokens, weight, probability), and the sources and languages with cells of their own; topical: source, lang, _tokens, _topic."""
+
+def calibrate(topical: DataFrame, temper: float = TEMPER, keep: float = KEEP) -> DataFrame:
+    """Cells (s, l, t, met: their rows, weight, probability); topical: source, lang, _tokens, _topic."""
     spark = topical.sparkSession
-    sums = topical.groupBy(F.coalesce("source", F.lit("")).alias("s"), F.coalesce("lang", F.lit("")).alias("l"), F.col("_topic").alias("t")).agg(F.sum("_tokens").alias("n"))
+    sums = topical.groupBy(F.coalesce("source", F.lit("")).alias("s"), F.coalesce("lang", F.lit("")).alias("l"), F.col("_topic").alias("t")).agg(F.sum("_tokens").alias("n"), F.count("*").alias("met"))
     sums = written(sums)
-    sources, languages = _largest(sums, "s", SOURCES), _largest(sums, "l", LANGUAGES)
-    cells = sums.groupBy(_named("s", sources).alias("s"), _named("l", languages).alias("l"), "t").agg(F.sum("n").alias("n")).orderBy("s", "l", "t").collect()
+    if sums.count() > CELLS:
+        return written(_probabilities_on_spark(_rake_on_spark(sums, temper), keep).select("s", "l", "t", "met", "weight", "probability"))
+    cells = sums.orderBy("s", "l", "t").collect()
     tokens = np.array([r["n"] for r in cells], float)
     index = [np.unique([r[c] for r in cells], return_inverse=True)[1].ravel() if cells else np.zeros(0, int) for c in ("s", "l", "t")]
     target = []
@@ -118,26 +167,29 @@ def calibrate(topical: DataFrame, temper: float = TEMPER, keep: float = KEEP) ->
         target.append(share / max(share.sum(), 1e-9) * tokens.sum())
     fitted = rake(tokens, index, target) if len(tokens) else tokens
     p = probabilities(tokens, fitted, keep) if len(tokens) else tokens
-    rows = [(r["s"], r["l"], r["t"], float(w / n) if n else 1.0, float(q)) for r, n, w, q in zip(cells, tokens, fitted, p, strict=True)]
-    return spark.createDataFrame(rows, "s string, l string, t int, weight double, probability double"), sources, languages
-
-
-def _named(name: str, own: list[str]) -> Column:
-    return F.when(F.col(name).isin(own), F.col(name)).otherwise(F.lit(OTHER))
+    rows = [(r["s"], r["l"], r["t"], r["met"], float(w / n) if n else 1.0, float(q)) for r, n, w, q in zip(cells, tokens, fitted, p, strict=True)]
+    return spark.createDataFrame(rows, "s string, l string, t int, met bigint, weight double, probability double")
 
 
-def sample(topical: DataFrame, cells: DataFrame, sources: list[str], languages: list[str]) -> DataFrame:
-    """topical with weight, probability and kept. The cells are at most (SOURCES + 1) * (LANGUAGES + 1) * TOPICS rows, so they are broadcast."""
-    placed = topical.withColumn("s", F.coalesce("source", F.lit(""))).withColumn("l", F.coalesce("lang", F.lit("")))
-    placed = placed.withColumn("s", _named("s", sources)).withColumn("l", _named("l", languages)).withColumn("t", F.col("_topic"))
+def sample(topical: DataFrame, cells: DataFrame) -> DataFrame:
+    """topical with weight, probability and kept. Cells with a CELLS-th of the rows or more (CELLS at most) are broadcast; smaller ones are joined by sorting."""
+    placed = topical.withColumn("s", F.coalesce("source", F.lit(""))).withColumn("l", F.coalesce("lang", F.lit(""))).withColumn("t", F.col("_topic"))
     draw = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30)) / float(1 << 30)
-    return placed.join(F.broadcast(cells), ["s", "l", "t"]).withColumn("kept", draw < F.col("probability")).drop("s", "l", "t")
+    keys = ["s", "l", "t"]
+    n, rows = cells.agg(F.count("*"), F.sum("met")).first()
+    if n <= CELLS:
+        joined = placed.join(F.broadcast(cells), keys)
+    else:
+        large = F.col("met") * CELLS >= rows
+        most = F.broadcast(cells.filter(large))
+        joined = placed.join(most, keys).unionByName(placed.join(most, keys, "left_anti").join(cells.filter(~large).hint("merge"), keys))
+    return joined.withColumn("kept", draw < F.col("probability")).drop(*keys, "met")
 
 
 def mix(docs: DataFrame) -> DataFrame:
     """doc_id, source, lang, topic, tokens, weight, probability, kept for each row of docs."""
     topical = written(with_topic(docs, learn_topics(docs), ["doc_id", "source", "lang"]))
-    mixed = sample(topical, *calibrate(topical))
+    mixed = sample(topical, calibrate(topical))
     return mixed.select("doc_id", "source", "lang", F.col("_topic").alias("topic"), F.col("_tokens").alias("tokens"), "weight", "probability", "kept")
 
 
@@ -145,4 +197,4 @@ def kept_documents(docs: DataFrame) -> DataFrame:
     """The rows of docs that the mixture keeps, with their columns."""
     topics = learn_topics(docs)
     narrow = written(with_topic(docs, topics, ["doc_id", "source", "lang"]))
-    return sample(with_topic(docs, topics, docs.columns), *calibrate(narrow)).filter("kept").select(*docs.columns)
+    return sample(with_topic(docs, topics, docs.columns), calibrate(narrow)).filter("kept").select(*docs.columns)

@@ -269,6 +269,30 @@ def test_raking_meets_targets():
     assert abs((p * w).sum() - 0.7 * w.sum()) < 1e-6 and p.max() <= 1
 
 
+@pytest.mark.parametrize(("cells", "sources", "languages"), [(2, 3, 2), (mixing.CELLS, 300, 40)])
+def test_mix_matches_plain_raking(spark, monkeypatch, cells, sources, languages):
+    """Each source and language has a margin of its own, whether the driver rakes or Spark."""
+    monkeypatch.setattr(mixing, "CELLS", cells)
+    r = random.Random(6)
+    rows = [(i, r.choice(["ab cd ", "xyz "]) * r.randint(1, 30), f"l{i % languages}", f"s{i % sources}") for i in range(900)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(4)).collect()
+    assert len(got) == len(rows)
+    key = [(x["source"], x["lang"], x["topic"]) for x in got]
+    names = sorted(set(key))
+    n = np.bincount([names.index(k) for k in key], [x["tokens"] for x in got])
+    w = n.copy()
+    for _ in range(200):
+        for j in range(3):
+            own = np.unique([k[j] for k in names], return_inverse=True)[1].ravel()
+            target = np.bincount(own, n) ** 0.7
+            w = w * (target / target.sum() * n.sum() / np.bincount(own, w))[own]
+    assert np.allclose([x["weight"] for x in got], [(w / n)[names.index(k)] for k in key], rtol=1e-4)
+    p = np.array([x["probability"] for x in got])
+    scale = p[p < 1] / np.array([x["weight"] for x in got])[p < 1]
+    assert np.allclose(scale, scale[0]) and np.allclose(p, np.minimum(1, scale[0] * np.array([x["weight"] for x in got])))
+    assert abs(sum(x["probability"] * x["tokens"] for x in got) / n.sum() - 0.8) < 1e-6
+
+
 def test_mix_covers_all_rows(docs):
     got = mixing.mix(docs)
     assert got.count() == docs.count() and got.filter("probability > 1 OR probability < 0").count() == 0
