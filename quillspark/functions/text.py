@@ -45,13 +45,19 @@ def canonical_url(url: Column) -> Column:
 
 
 def clamp(x: Column, low: float, high: float) -> Column:
-    return F.least(F.lit(high), F.greatest(F.lit(low), x))
+    """x between low and high; null stays null."""
+    return F.when(x.isNotNull(), F.least(F.lit(high), F.greatest(F.lit(low), x)))
 
 
 def clamp_rating(x: Column) -> Column:
-    """To halves between 0 and 5; NaN is null."""
+    """To halves between 0 and 5; NaN and null are null."""
     return F.when(~F.isnan(x), clamp(F.floor(x * 2 + 0.5) / 2, 0.0, 5.0))
 
 
+def clamp_progress(x: Column) -> Column:
+    """Between 0 and 1; NaN and null are 0."""
+    return F.when(F.isnan(x), 0.0).otherwise(F.coalesce(clamp(x, 0.0, 1.0), F.lit(0.0)))
+
+
 def js_round(x: Column) -> Column:
     return F.floor(x + 0.5)

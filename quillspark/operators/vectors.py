@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..tables import written
+
 
 def dot(a: Column, b: Column) -> Column:
     """Inner product in double precision; 0 for different lengths."""
@@ -29,10 +31,21 @@ def weighted_mean(rows: DataFrame, vector: str, weight: str, group: str) -> Data
     return whole.select(group, F.transform("v", lambda e: F.when(F.col("norm") > 0, e["s"] / F.col("norm")).otherwise(0.0)).alias("centroid"))
 
 
+#: About so many centroids are one array of a pass of score(); a taste has three.
+FACETS = 1024
+
+
 def score(candidates: DataFrame, centroids: DataFrame) -> DataFrame:
-    """The largest cosine to a centroid. A taste has three centroids at most, so they are broadcast."""
-    few = F.broadcast(centroids.select("centroid").limit(16))
-    return candidates.crossJoin(few).groupBy("id").agg(F.max(dot(F.col("v"), F.col("centroid"))).alias("score"))
+    """The largest cosine to a centroid, over all centroids."""
+    passes = max(1, -(-centroids.count() // FACETS))
+    best = F.aggregate("centroids", F.lit(-2.0), lambda n, c: F.greatest(n, dot(F.col("v"), c)))
+    out = None
+    for i in range(passes):
+        pack = [r["centroid"] for r in centroids.select("centroid").filter(F.pmod(F.xxhash64("centroid"), F.lit(passes)) == i).collect()]
+        few = candidates.sparkSession.createDataFrame([(pack,)], "centroids array<array<double>>")
+        one = candidates.crossJoin(F.broadcast(few)).select("id", best.alias("score"))  # one row
+        out = one if out is None else out.unionByName(one)
+    return out.groupBy("id").agg(F.max("score").alias("score"))
 
 
 def diversified(scored: DataFrame, group: str, k: int, weight: float = 0.7) -> DataFrame:
@@ -40,8 +53,6 @@ def diversified(scored: DataFrame, group: str, k: int, weight: float = 0.7) -> D
 
     Each of the k rounds takes the best row of each group by partial aggregation; of equals, the better scored and then the smaller id.
     """
-    from ..llm.common import written
-
     rows = written(scored.select(group, "id", "score", "v"))
     out = None
     for place in range(1, k + 1):

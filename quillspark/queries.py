@@ -81,10 +81,12 @@ def b5_library_filter(s, d):
     return out.select("id", "title", "tags")
 
 
-@query("SELECT id, CASE WHEN isnan(value) THEN NULL ELSE least(5.0, greatest(0.0, floor(value / 50 * 2 + 0.5) / 2)) END AS rating, least(1.0, greatest(0.0, value / 100)) AS progress FROM (SELECT event_id AS id, value FROM events)")
+@query("""SELECT id, CASE WHEN x IS NULL OR isnan(x) THEN NULL ELSE least(5.0, greatest(0.0, floor(x / 50 * 2 + 0.5) / 2)) END AS rating, CASE WHEN x IS NULL OR isnan(x) THEN 0.0 ELSE least(1.0, greatest(0.0, x / 100)) END AS progress
+FROM (SELECT event_id AS id, CASE WHEN event_id % 7 = 0 THEN NULL WHEN event_id % 11 = 0 THEN 'nan'::DOUBLE WHEN event_id % 5 = 0 THEN -value ELSE value END AS x FROM events)""", views=False)
 def b14_clamps(s, d):
-    v = F.col("value")
-    return B.table(s, d, "events").select(F.col("event_id").alias("id"), T.clamp_rating(v / 50).alias("rating"), T.clamp(v / 100, 0.0, 1.0).alias("progress"))
+    e, v = F.col("event_id"), F.col("value")
+    x = F.when(e % 7 == 0, F.lit(None)).when(e % 11 == 0, float("nan")).when(e % 5 == 0, -v).otherwise(v)
+    return B.table(s, d, "events").select(e.alias("id"), x.alias("x")).select("id", T.clamp_rating(F.col("x") / 50).alias("rating"), T.clamp_progress(F.col("x") / 100).alias("progress"))
 
 
 @query("SELECT id, item_id, started_at, duration FROM kept")
