@@ -1,7 +1,9 @@
 r"""Chat formatting of reply trees, with DataFrame functions only.
 
-Messages form trees by parent_id. Iterative self-joins with doubling steps list every root-to-leaf path in
-logarithmically many rounds; branches are ranked by mean score; each chosen path becomes one formatted text. A turn is
+Messages form trees by parent. Iterative self-joins with doubling steps give each node its ancestor at distance 2 ** j
+and the scores up to there, in logarithmically many rounds, so that each root-to-leaf path is enumerated by its leaf and
+ranked by mean score; the nodes of the chosen paths alone are then listed by the same steps, and each chosen path becomes
+one formatted text. A turn is
 
     ### ROLE: TEXT</turn>\n
 
@@ -9,8 +11,9 @@ and texts and roles are escaped reversibly: \ becomes \b, the < of </turn> becom
 roles : becomes \c. Thus no control string is left inside a text, and each backslash starts an escape.
 
 Defined results: null texts and roles count as empty; equal (turn, role, text) rows all count, in that order, a null
-turn first; messages whose ancestors form a cycle or miss a parent have no root and aren't formatted; an empty table
-gives no rows; extra columns are ignored. A conversation is one output row, so its texts meet in one task.
+turn first; rows with a null conv_id are one conversation, whose conv_id is null; messages whose ancestors form a cycle
+or miss a parent have no root and aren't formatted; an empty table gives no rows; extra columns are ignored. A
+conversation is one output row, so its texts meet in one task.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, written
+from .common import dropped, written
 
 LOSS_ROLE = "assistant"
 HEAD, MID, END = "### ", ": ", "</turn>\n"
@@ -40,31 +43,40 @@ def unescaped(text: Column) -> Column:
     return text
 
 
-def paths(messages: DataFrame) -> DataFrame:
-    """tree, leaf, node, distance (from the leaf) for each node of each root-to-leaf path."""
-    nodes = checkpointed(messages.select("tree", "node", "parent"))
-    size = nodes.groupBy("tree").count().agg(F.max("count")).first()[0] or 0
-    up = nodes.filter(F.col("parent").isNotNull()).select("tree", "node", F.col("parent").alias("above"))
-    parents = up.select("tree", F.col("above").alias("node")).distinct()
-    found = nodes.join(parents, ["tree", "node"], "left_anti").select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("distance"))
-    step = 1
-    while step < size:
-        # found: the nodes nearer to the leaf than step; up: the ancestor at distance step
-        found = checkpointed(found.unionByName(found.join(up, ["tree", "node"]).select("tree", "leaf", F.col("above").alias("node"), (F.col("distance") + step).alias("distance"))))
-        further = up.select("tree", F.col("node").alias("above"), F.col("above").alias("top"))
-        step *= 2
-        if step < size:
-            up = checkpointed(up.join(further, ["tree", "above"]).select("tree", "node", F.col("top").alias("above")))
-    return found
+def lifted(messages: DataFrame) -> list[DataFrame]:
+    """Tables j = 0, 1, ... of tree, node, above (the ancestor at distance 2 ** j, null beyond the root), total and
+    length (scores and nodes from node up to, without, above). The last one has no ancestor left, but for broken trees.
+    """
+    up = [written(messages.select("tree", "node", F.col("parent").alias("above"), F.coalesce("score", F.lit(0.0)).alias("total"), F.lit(1).cast("long").alias("length")))]
+    size = up[0].groupBy("tree").count().agg(F.max("count")).first()[0] or 0
+    while 2 ** len(up) < 2 * size and not up[-1].filter("above IS NOT NULL").isEmpty():
+        one = up[-1]
+        top = one.select("tree", F.col("node").alias("above"), F.col("above").alias("top"), F.col("total").alias("more"), F.col("length").alias("longer"))
+        joined = one.join(top, ["tree", "above"], "left")
+        # an ancestor that isn't there stays: its node never gets a root
+        gone = F.col("above").isNotNull() & F.col("longer").isNull()
+        up.append(written(joined.select("tree", "node", F.when(gone, F.col("above")).otherwise(F.col("top")).alias("above"), (F.col("total") + F.coalesce("more", F.lit(0.0))).alias("total"), (F.col("length") + F.coalesce("longer", F.lit(0))).alias("length"))))
+    return up
 
 
 def branches(messages: DataFrame, best: int = 1) -> DataFrame:
-    """The paths of the best branches of each tree: by mean score, then length, then the smaller leaf; with branch (rank from 1)."""
-    scored = paths(messages).join(messages.select("tree", "node", "score", F.col("parent").isNull().alias("root")), ["tree", "node"])
-    ranked = scored.groupBy("tree", "leaf").agg(F.avg(F.coalesce("score", F.lit(0.0))).alias("score"), F.count("*").alias("length"), F.max("root").alias("rooted")).filter("rooted")
+    """tree, leaf, branch (rank from 1), node, distance (from the leaf) of the paths of the best branches of each tree: by
+    mean score, then length, then the smaller leaf."""
+    up = lifted(messages)
+    whole = up[-1].filter("above IS NULL")
+    parents = up[0].select("tree", F.col("above").alias("node")).distinct()
+    leaves = whole.join(parents, ["tree", "node"], "left_anti").select("tree", F.col("node").alias("leaf"), (F.col("total") / F.col("length")).alias("score"), "length")
     order = Window.partitionBy("tree").orderBy(F.desc("score"), F.desc("length"), "leaf")
-    chosen = ranked.withColumn("branch", F.row_number().over(order)).filter(F.col("branch") <= best).select("tree", "leaf", "branch")
-    return scored.select("tree", "leaf", "node", "distance").join(chosen, ["tree", "leaf"])
+    chosen = leaves.withColumn("branch", F.row_number().over(order)).filter(F.col("branch") <= best)
+    found = written(chosen.select("tree", "leaf", "branch", F.col("leaf").alias("node"), F.lit(0).cast("long").alias("distance")))
+    for j, table in enumerate(up[:-1]):
+        # found: the nodes nearer to the leaf than 2 ** j
+        further = found.join(table.filter("above IS NOT NULL").select("tree", "node", "above"), ["tree", "node"])
+        longer = written(found.unionByName(further.select("tree", "leaf", "branch", F.col("above").alias("node"), (F.col("distance") + 2**j).alias("distance"))))
+        dropped(found)
+        found = longer
+    dropped(*up)
+    return found
 
 
 def format_trees(messages: DataFrame, best: int = 1) -> DataFrame:
@@ -83,10 +95,12 @@ def format_trees(messages: DataFrame, best: int = 1) -> DataFrame:
 
 
 def linear_trees(conversations: DataFrame) -> DataFrame:
-    """Messages of conversations without branches: each row answers the one before it, by turn, role, text."""
-    rows = conversations.select(F.col("conv_id").alias("tree"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    """Messages of conversations without branches: each row answers the one before it, by turn, role, text. tree is conv_id
+    as text; `none` where that is null."""
+    tree = F.coalesce(F.col("conv_id").cast("string"), F.lit("none"))
+    rows = conversations.select(tree.alias("tree"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     node = F.row_number().over(Window.partitionBy("tree").orderBy(F.asc_nulls_first("turn"), "role", "text"))
-    rows = written(rows.filter(F.col("tree").isNotNull()).withColumn("node", node.cast("long")))
+    rows = written(rows.withColumn("node", node.cast("long")))
     return rows.select("tree", "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), "role", "text", F.lit(1.0).alias("score"))
 
 
@@ -108,7 +122,7 @@ def digests(conversations: DataFrame) -> DataFrame:
     back = read_back(format_trees(linear_trees(conversations)))
     whole = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return back.select(
-        F.col("tree").alias("conv_id"),
+        F.when(F.col("tree") != "none", F.col("tree")).cast("long").alias("conv_id"),
         F.size("turns").cast("long").alias("n_turns"),
         F.sha2(whole.cast("binary"), 256).alias("turns_sha256"),
         F.length("loss_text").cast("long").alias("loss_chars"),
@@ -120,7 +134,7 @@ def digests(conversations: DataFrame) -> DataFrame:
 #: The same digests, counted from the rows.
 ORACLE = r"""
 WITH r AS (
-  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
   UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
 l AS (

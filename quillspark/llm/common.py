@@ -1,10 +1,7 @@
-"""Helpers that the operators share: shared-folder checkpoints, Arrow buffers, folds."""
+"""Helpers that the operators share: Arrow buffers, chunks of texts, folds."""
 
 from __future__ import annotations
 
-import contextlib
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +10,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..tables import dropped, matched, releasing, shared_dir, written
+
+__all__ = ["dropped", "matched", "releasing", "shared_dir", "written"]
+
 #: Rows of one Arrow batch: bounds what a Python worker holds (texts of some KB each).
 ARROW_ROWS = 2000
 #: Bytes of text that a worker turns into numpy arrays at a time.
@@ -23,43 +24,6 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); a temporary one only where that is unset, as in tests."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
-        where = spark.sparkContext.getCheckpointDir()
-    return where
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df, computed once, its lineage cut by a reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-@contextlib.contextmanager
-def releasing(spark: SparkSession) -> Iterator[None]:
-    """Within, the shuffle files of each query go when it ends, not when the driver collects its garbage."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, "false")
-    spark.conf.set(key, "true")
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
-
-
-def written(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the shared folder: for larger intermediates (columnar, compressed, with statistics)."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
-    with releasing(spark):
-        df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def small_batches(spark: SparkSession) -> None:
     """Keep Arrow batches small, since texts may be long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, chunks, column, flat, small_batches, written
+from .common import chunks, column, flat, small_batches, written
 
 BANDS, ROWS, BITS = 24, 5, 4
 PERMUTATIONS = 128
@@ -282,14 +282,14 @@ def estimate(a: str, b: str) -> Column:
 
 def components(links: DataFrame) -> DataFrame:
     """v, c of each end of links (a, b): c is the smallest vertex reachable. Labels spread to neighbours and jump until none changes."""
-    both = checkpointed(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    both = written(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("v"), F.least("a", "m").alias("c"))
-    labels = checkpointed(labels)
+    labels = written(labels)
     while True:
         near = both.join(labels, both["b"] == labels["v"]).groupBy("a").agg(F.min("c").alias("m"))
         spread = labels.join(near, labels["v"] == near["a"]).select("v", F.col("c").alias("old"), F.least("c", "m").alias("c"))
         top = labels.select(F.col("v").alias("t"), F.col("c").alias("of_top"))
-        moved = checkpointed(spread.join(top, spread["c"] == top["t"]).select("v", "old", F.least("c", "of_top").alias("c")))
+        moved = written(spread.join(top, spread["c"] == top["t"]).select("v", "old", F.least("c", "of_top").alias("c")))
         changed = moved.filter("c < old").limit(1).count()
         labels = moved.select("v", "c")
         if not changed:

@@ -1,10 +1,13 @@
 """Exact top-k search: a Voronoi kNN join on integer inner products.
 
-Data vectors are grouped by their nearest pivot (pivots are data rows, at most PIVOTS). Each group's summary
-(largest and smallest distance to the pivot, largest norm, rows) bounds the inner product of a query with any of
-its rows; the pivots' own scores and the summaries bound a query's k-th best from below. A query goes only to
-groups whose upper bound reaches that; groups and their queries are cut into blocks, so that neither a large group
-nor a common vector lands in one task. Each block keeps its k best per query; the best of these are the result.
+1. Rows are grouped by their nearest pivot (pivots are rows, at most PIVOTS), queries likewise.
+2. Each query is solved against the rows of its own group; the k-th best score there, or among the pivots, is its floor.
+3. A summary of each group (its rows' largest and smallest distance to the pivot and largest norm) bounds what a query
+   can score with any row of it. A query is replicated to those groups that may reach its floor, and to no other.
+4. Groups and the queries sent to them are cut into blocks, solved locally, and the k best of all blocks remain.
+
+So a large group, a common vector or a hot pivot never lands in one task. reach() gives the share of pairs of a query and
+a group that are compared; what can be pruned depends on the data (nothing among random directions in many dimensions).
 
 Defined results: vectors that are null, empty, of another length than most (ties: the longer), or hold a null or
 non-finite component take no part, nor do rows without an id; equal scores go to the smaller id, and repeated rows
@@ -16,6 +19,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -28,6 +32,7 @@ from .common import column, small_batches, written
 PIVOTS = 256
 #: Rows of a block of data, and of queries.
 BLOCK, QUERY_BLOCK = 4096, 2048
+LOCAL = "query_id bigint, vec_id bigint, score bigint"
 
 
 def quantised(vectors: DataFrame, scale: int = 256) -> DataFrame:
@@ -47,59 +52,33 @@ def _distances(x: np.ndarray, p: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum((x**2).sum(1)[:, None] + (p**2).sum(1) - 2 * x @ p.T, 0))
 
 
-def search(vectors: DataFrame, is_query: str = "vec_id % 50 = 0", k: int = 5) -> DataFrame:
-    """query_id, rank, vec_id, score: the k largest inner products of each query with the other rows."""
-    spark = vectors.sparkSession
-    small_batches(spark)
-    data = written(quantised(vectors))
-    rows = data.count()
-    schema = "query_id bigint, rank int, vec_id bigint, score bigint"
-    if rows == 0:
-        return spark.createDataFrame([], schema)
-    sample = data.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(4 * PIVOTS).collect()
-    count = max(1, min(PIVOTS, math.isqrt(rows)))
-    pivots: dict[tuple, int] = {}
-    for r in sample:
-        pivots.setdefault(tuple(r["v"]), r["vec_id"])
-    at = np.array(list(pivots)[:count])
+@dataclass(frozen=True)
+class Groups:
+    """pivots: [group, dimension] and the ids of those rows; of each group's rows: how many, largest and smallest distance to the pivot, largest norm."""
+
+    pivots: np.ndarray
+    ids: np.ndarray
+    rows: np.ndarray
+    far: np.ndarray
+    near: np.ndarray
+    norm: np.ndarray
+
+
+def grouped(data: DataFrame, pivots: np.ndarray) -> DataFrame:
+    """data with g, the nearest pivot, d, the distance to it, and norm."""
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = _matrix(column(batch, "v"))
-            d = _distances(x, at)
+            d = _distances(x, pivots)
             g = d.argmin(axis=1)
             yield pa.RecordBatch.from_arrays([column(batch, "vec_id"), column(batch, "v"), pa.array(g, pa.int32()), pa.array(d[np.arange(len(x)), g]), pa.array(np.sqrt((x**2).sum(1)))], ["vec_id", "v", "g", "d", "norm"])
 
-    grouped = written(data.mapInArrow(assign, "vec_id bigint, v array<double>, g int, d double, norm double"))
-    # one row for each pivot
-    summary = {r["g"]: r for r in grouped.groupBy("g").agg(F.max("d").alias("far"), F.min("d").alias("near"), F.max("norm").alias("norm"), F.count("*").alias("n")).collect()}
-    own = sorted(summary)
-    p, far, near, norm, size = at[own], *(np.array([summary[g][c] for g in own]) for c in ("far", "near", "norm", "n"))
-    blocks = np.ceil(size / BLOCK).astype(int)
+    return data.mapInArrow(assign, "vec_id bigint, v array<double>, g int, d double, norm double")
 
-    def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A query to each group that may hold one of its k best."""
-        for batch in batches:
-            x = _matrix(column(batch, "v"))
-            length = np.sqrt((x**2).sum(1))[:, None]
-            to, score = _distances(x, p), x @ p.T
-            gap = np.maximum(np.maximum(to - far, near - to), 0)
-            upper = np.minimum(score + length * far, (length**2 + norm**2 - gap**2) / 2)
-            # the pivots are rows: all but one of the k + 1 best are other rows than the query
-            known = np.sort(x @ at.T, axis=1)[:, ::-1]
-            least = known[:, k] if known.shape[1] > k else np.full(len(x), -np.inf)
-            q, g = np.nonzero(upper + 1e-6 * (1 + np.abs(upper)) >= least[:, None])
-            yield pa.RecordBatch.from_arrays([column(batch, "vec_id").take(pa.array(q)), column(batch, "v").take(pa.array(q)), pa.array(np.array(own)[g], pa.int32())], ["vec_id", "v", "g"])
-
-    sent = written(grouped.filter(is_query).dropDuplicates(["vec_id", "v"]).select("vec_id", "v").mapInArrow(replicate, "vec_id bigint, v array<double>, g int"))
-    asked = {r["g"]: r["n"] for r in sent.groupBy("g").agg(F.count("*").alias("n")).collect()}
-    halves = {g: max(1, math.ceil(asked.get(g, 0) / QUERY_BLOCK)) for g in own}
-    lookup = lambda values: F.element_at(F.array(*(F.lit(int(x)) for x in values)), F.col("at") + 1)
-    place = F.create_map(*(F.lit(x) for i, g in enumerate(own) for x in (g, i)))[F.col("g")]
-    cuts, splits = lookup(blocks), lookup([halves[g] for g in own])
-    queries = sent.withColumn("at", place).withColumn("half", F.pmod(F.xxhash64("vec_id"), splits)).withColumn("block", F.explode(F.sequence(F.lit(0), cuts - 1)))
-    wanted = [g for g in own if g in asked]
-    others = grouped.filter(F.col("g").isin(wanted)).withColumn("at", place).withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), cuts).cast("int")).withColumn("half", F.explode(F.sequence(F.lit(0).cast("long"), (splits - 1).cast("long"))))
+
+def solved(queries: DataFrame, rows: DataFrame, asked: dict[int, int], sizes: dict[int, int], k: int) -> DataFrame:
+    """query_id, vec_id, score: the k best of each block of rows (vec_id, v, g) for the queries (vec_id, v, g) of the same g."""
 
     def solve(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -114,12 +93,86 @@ def search(vectors: DataFrame, is_query: str = "vec_id % 50 = 0", k: int = 5) ->
         found = pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
         return found[found["score"] > -np.inf].astype("int64")
 
+    spark = queries.sparkSession
+    cuts = [(g, max(1, math.ceil(sizes[g] / BLOCK)), max(1, math.ceil(n / QUERY_BLOCK))) for g, n in asked.items()]
+    few = F.broadcast(spark.createDataFrame(cuts, "g int, blocks int, halves int"))  # a row of each group
+    q = queries.join(few, "g").withColumn("half", F.pmod(F.xxhash64("vec_id"), "halves").cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    x = rows.join(few, "g").withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), "blocks").cast("int")).withColumn("half", F.explode(F.sequence(F.lit(0), F.col("halves") - 1)))
     keys = ["g", "half", "block"]
-    local = queries.select(*keys, "vec_id", "v").groupBy(*keys).cogroup(others.select(*keys, "vec_id", "v").groupBy(*keys)).applyInPandas(solve, "query_id bigint, vec_id bigint, score bigint")
+    return q.select(*keys, "vec_id", "v").groupBy(*keys).cogroup(x.select(*keys, "vec_id", "v").groupBy(*keys)).applyInPandas(solve, LOCAL)
+
+
+def replicated(queries: DataFrame, groups: Groups, k: int) -> DataFrame:
+    """vec_id, v, g of each query (vec_id, v, g, floor) for each group, other than its own, that may reach its floor."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, own, ids = _matrix(column(batch, "v")), column(batch, "g").to_numpy(), column(batch, "vec_id").to_numpy()
+            floor = column(batch, "floor").to_numpy()
+            length = np.sqrt((x**2).sum(1))[:, None]
+            to, score = _distances(x, groups.pivots), x @ groups.pivots.T
+            gap = np.maximum(np.maximum(to - groups.far, groups.near - to), 0)
+            upper = np.minimum(score + length * groups.far, (length**2 + groups.norm**2 - gap**2) / 2)
+            # pivots are rows: the k-th best of those with another id than the query's is a floor as well
+            others = np.sort(np.where(ids[:, None] == groups.ids, -np.inf, score), axis=1)
+            if others.shape[1] >= k:
+                floor = np.maximum(floor, others[:, -k])
+            i, g = np.nonzero((upper + 1e-6 * (1 + np.abs(upper)) >= floor[:, None]) & (np.arange(len(groups.rows)) != own[:, None]) & (groups.rows > 0))
+            yield pa.RecordBatch.from_arrays([column(batch, "vec_id").take(pa.array(i)), column(batch, "v").take(pa.array(i)), pa.array(g, pa.int32())], ["vec_id", "v", "g"])
+
+    return queries.mapInArrow(send, "vec_id bigint, v array<double>, g int")
+
+
+def search(vectors: DataFrame, is_query: str = "vec_id % 50 = 0", k: int = 5) -> DataFrame:
+    """query_id, rank, vec_id, score: the k largest inner products of each query with the other rows."""
+    local, _ = parts(vectors, is_query, k)
+    if local is None:
+        return vectors.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return local.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
+def reach(vectors: DataFrame, is_query: str = "vec_id % 50 = 0", k: int = 5) -> float:
+    """The share of the pairs of a query and a group of rows that are compared, of all such pairs."""
+    return parts(vectors, is_query, k)[1]
+
+
+def parts(vectors: DataFrame, is_query: str, k: int) -> tuple[DataFrame | None, float]:
+    """query_id, vec_id, score of the best of each block (None without rows), and the share of pairs sent."""
+    spark = vectors.sparkSession
+    small_batches(spark)
+    data = written(quantised(vectors))
+    rows = data.count()
+    if rows == 0:
+        return None, 0.0
+    sample = data.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(4 * PIVOTS).collect()
+    distinct: dict[tuple, int] = {}
+    for r in sample:
+        distinct.setdefault(tuple(r["v"]), r["vec_id"])
+    n = max(1, min(PIVOTS, math.isqrt(rows), len(distinct)))
+    pivots, ids = np.array(list(distinct)[:n]), np.array(list(distinct.values())[:n])
+    own = written(grouped(data, pivots))
+    queries = written(own.filter(is_query).select("vec_id", "v", "g").dropDuplicates())
+
+    # a row of each group
+    of = {r["g"]: r for r in own.groupBy("g").agg(F.count("*").alias("rows"), F.max("d").alias("far"), F.min("d").alias("near"), F.max("norm").alias("norm")).collect()}
+    groups = Groups(pivots, ids, *(np.array([of[g][c] if g in of else 0.0 for g in range(n)]) for c in ("rows", "far", "near", "norm")))
+    sizes = {g: r["rows"] for g, r in of.items()}
+    asked = lambda q: {r["g"]: r["count"] for r in q.groupBy("g").count().collect()}
+    data = own.select("vec_id", "v", "g")
+    first = written(solved(queries, data, asked(queries), sizes, k))
+
+    # of an id that asks with several vectors, the best of them may not bound the others
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score")))
+    kth = first.withColumn("place", place).filter(F.col("place") == k).select(F.col("query_id").alias("vec_id"), F.col("score").cast("double").alias("floor"))
+    single = queries.groupBy("vec_id").count().filter("count = 1").select("vec_id")
+    floored = queries.join(kth.join(single, "vec_id"), "vec_id", "left").select("vec_id", "v", "g", F.coalesce("floor", F.lit(float("-inf"))).alias("floor"))
+    sent = written(replicated(floored, groups, k))
+    further = asked(sent)
+    share = (sum(further.values()) + queries.count()) / max(1, queries.count() * len(of))
+    return first.unionByName(solved(sent, data.filter(F.col("g").isin(list(further))), further, sizes, k)) if further else first, share
+
+
 #: Brute force in SQL.
 ORACLE = """
 WITH usable AS (

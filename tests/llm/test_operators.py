@@ -203,6 +203,42 @@ def test_topk_with_odd_rows(spark):
     assert topk_join.search(df.limit(0)).collect() == []
 
 
+def best_of(rows, k=5):
+    """Brute force over rows of (id, vector): each row of an id counts, and an id asks once with each of its vectors."""
+    good = [(i, np.floor(256 * np.float32(v).astype(float))) for i, v in rows]
+    want = []
+    for q in {i for i, _ in good if i % 50 == 0}:
+        asking = {tuple(v): v for i, v in good if i == q}.values()
+        found = sorted((-int(a @ b), x) for a in asking for x, b in good if x != q)
+        want += [(q, n + 1, x, -s) for n, (s, x) in enumerate(found[:k])]
+    return sorted(want)
+
+
+@pytest.mark.parametrize(("block", "others"), [(4096, 9), (7, 9), (4096, 200), (7, 200)])
+def test_topk_with_repeated_ids_and_small_blocks(spark, monkeypatch, block, others):
+    """Twelve rows of one id, which become pivots, next to others; groups cut into blocks."""
+    monkeypatch.setattr(topk_join, "BLOCK", block)
+    monkeypatch.setattr(topk_join, "QUERY_BLOCK", max(2, block // 3))
+    r = np.random.RandomState(8)
+    rows = [(0, [5.0 + i / 9, 5.0, 5.0, 5.0]) for i in range(12)] + [(0, [5.0] * 4)] * 3
+    rows += [(1 + i, [float(x) for x in r.rand(4)]) for i in range(others)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    assert sorted(map(tuple, topk_join.search(df).collect())) == best_of(rows)
+
+
+def test_topk_prunes_clustered_rows(spark):
+    """Of twelve tight clusters, a query meets a few groups only; results stay exact."""
+    r = np.random.RandomState(4)
+    centers = r.randn(12, 16)
+    centers /= np.linalg.norm(centers, axis=1)[:, None]
+    x = centers[r.randint(12, size=900)] + r.randn(900, 16) * 0.02
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    rows = [(i, [float(y) for y in v]) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    assert sorted(map(tuple, topk_join.search(df).collect())) == best_of(rows)
+    assert topk_join.reach(df) < 0.5
+
+
 def test_url_rules(spark):
     rows = [(1, "http://A.example.ORG/es/x?y"), (2, "https://org/"), (3, "http://x.org"), (4, "http://b.com/de/1#q"), (5, "http://b.com/fr"), (6, None), (7, "no scheme"), (8, "http://sub.example.org/en/12"), (9, "http://notorg/")]
     got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()}
