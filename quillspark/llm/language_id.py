@@ -2,7 +2,8 @@
 
 A text's vector counts hashed character trigrams of its lower-cased letters (runs of other characters are one
 blank), damped by a logarithm, weighted by inverse document frequency and scaled to length 1. Each language has up
-to CENTROIDS centroids, by spherical k-means over its share of a sample of at most FIT_ROWS training documents. A
+to CENTROIDS centroids, by spherical k-means over its share of a sample of training documents: FIT_ROWS over all languages,
+but LEAST_ROWS of each language at least (or all it has), so that every language of the training folds can be predicted. A
 document gets the language of the centroid of largest cosine; where that cosine is below the threshold that
 rejects REJECT of the training sample, accepted is false (the nearest language is still reported).
 
@@ -18,13 +19,13 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, column, fold, held_out, small_batches
+from .common import chunks, column, fold, held_out, matched, small_batches, written
 
-#: Bound of the training sample over all languages.
-FIT_ROWS = 4000
+#: Bound of the training sample over all languages, and what each language may have however many there are.
+FIT_ROWS, LEAST_ROWS = 6000, 20
 DIMENSIONS = 2048
 CENTROIDS = 3
 REJECT = 0.002
@@ -78,12 +79,9 @@ def vectors(count: np.ndarray, idf: np.ndarray) -> np.ndarray:
 
 
 def cluster(v: np.ndarray, k: int, rounds: int = 10) -> np.ndarray:
-    """Spherical k-means; seeds: the vector nearest to the mean, then the one least similar to all seeds so far."""
-    mean = v.mean(axis=0)
-    seeds = [int((v @ mean).argmax())]
-    while len(seeds) < min(k, len(v)):
-        seeds.append(int((v @ v[seeds].T).max(axis=1).argmin()))
-    c = v[seeds]
+    """Spherical k-means; seeds are spread evenly over the order of similarity to the mean, so that no outlier is one."""
+    near = np.argsort(v @ v.mean(axis=0), kind="stable")
+    c = v[near[(np.arange(min(k, len(v))) + 0.5).astype(int) if len(v) <= k else ((np.arange(k) + 0.5) * len(v) / k).astype(int)]]
     for _ in range(rounds):
         of = (v @ c.T).argmax(axis=1)
         c = np.stack([v[of == j].mean(axis=0) if (of == j).any() else c[j] for j in range(len(c))])
@@ -94,31 +92,33 @@ def cluster(v: np.ndarray, k: int, rounds: int = 10) -> np.ndarray:
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = [np.minimum(r, 65535).astype(np.uint16).tobytes() for part in chunks(column(batch, "text"), rows=128) for r in counts(part)[0]]
-        yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "lang"), pa.array(rows, pa.binary())], ["doc_id", "lang", "x"])
+        yield pa.RecordBatch.from_arrays([column(batch, "lang"), column(batch, "h"), pa.array(rows, pa.binary())], ["lang", "h", "x"])
 
 
-def train(docs: DataFrame, rows: int = FIT_ROWS) -> Centroids:
-    """Learn from at most rows documents: an equal number of each language, those first by a hash of the id."""
+def train(docs: DataFrame, rows: int = FIT_ROWS, least: int = LEAST_ROWS) -> Centroids:
+    """Learn from an equal number of documents of each language, those first by a hash of id and text; equal rows count once."""
     small_batches(docs.sparkSession)
-    known = docs.filter(F.col("lang").isNotNull() & (fold("doc_id") != 0) & F.col("text").isNotNull())
-    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(rows // 20).collect()}
-    share = rows // max(len(sizes), 1)
-    # the hash thins each language to about 1.5 times its share, so that no task ranks a whole language
-    u = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)
-    rate = F.create_map(*(F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, 1.5 * share / n)))) if sizes else None
-    if rate is None:
+    known = docs.filter(F.col("lang").isNotNull() & (fold("doc_id") != 0) & F.col("text").isNotNull()).select("doc_id", "lang", "text")
+    sizes = written(known.groupBy("lang").agg(F.count("*").alias("n"), F.count("*").alias("met")))
+    kinds = sizes.count()
+    if not kinds:
         return Centroids(np.ones(DIMENSIONS, np.float32), np.zeros((0, DIMENSIONS), np.float32), (), 0.0)
-    sample = known.filter(u < rate[F.col("lang")]).select("doc_id", "lang", "text").mapInArrow(_count, "doc_id bigint, lang string, x binary").limit(2 * rows).toArrow()
+    share = max(least, rows // kinds)
+    # the hash thins each language to about twice its share, so that no task ranks a whole language
+    hashed = known.withColumn("h", F.xxhash64("doc_id", "text"))
+    thin = matched(hashed, sizes, ["lang"]).filter(F.pmod("h", F.lit(1 << 30)) < (1 << 30) * F.lit(2.0 * share) / F.col("n"))
+    once = thin.groupBy("lang", "h").agg(F.first("text").alias("text"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    sample = once.withColumn("place", place).filter(F.col("place") <= share).select("lang", "h", "text").mapInArrow(_count, "lang string, h bigint, x binary").toArrow()
     x = np.frombuffer(b"".join(sample["x"].to_pylist()), np.uint16).reshape(-1, DIMENSIONS)
-    lang, ids = np.array(sample["lang"].to_pylist(), object), sample["doc_id"].to_numpy()
-    order = np.lexsort([ids, (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))])
-    picked = np.concatenate([order[lang[order] == k][:share] for k in sorted(sizes)])
-    x, lang = x[picked], lang[picked]
+    lang = np.array(sample["lang"].to_pylist(), object)
+    order = np.lexsort([sample["h"].to_numpy(), np.unique(lang.astype(str), return_inverse=True)[1]])
+    x, lang = x[order], lang[order]
     idf = np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))).astype(np.float32) + 1
     v = vectors(x, idf)
-    parts = {k: cluster(v[lang == k], CENTROIDS) for k in sorted(sizes) if (lang == k).any()}
+    parts = {k: cluster(v[lang == k], CENTROIDS) for k in sorted(set(lang))}
     centroid = np.concatenate(list(parts.values()))
-    near = (v @ centroid.T).max(axis=1)
+    near = np.concatenate([(v[i : i + 1024] @ centroid.T).max(axis=1) for i in range(0, len(v), 1024)])
     near = near[near > 0]
     return Centroids(idf, centroid, tuple(k for k, c in parts.items() for _ in c), float(np.quantile(near, REJECT)) if len(near) else 0.0)
 

@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import chunks, column, flat, small_batches, written
+from .hashing import BLANKS, LOWER, PIECE, mix, runs, series
 
 BANDS, ROWS, BITS = 24, 5, 4
 PERMUTATIONS = 128
@@ -38,70 +39,11 @@ LANES = PERMUTATIONS * BITS // 64
 MARGIN = 0.2
 #: Members and shingles of one block of a bucket (a single larger text is a block by itself).
 BLOCK_ROWS, BLOCK_SHINGLES = 512, 500_000
-#: Bytes of one text handled at a time.
-PIECE = 4 << 20
 
 _U = np.uint64
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
-    return x ^ (x >> _U(31))
-
-
-def _series(seed: int, n: int) -> np.ndarray:
-    return mix(np.arange(1, n + 1, dtype=np.uint64) * _U(0x9E3779B97F4A7C15) + _U(seed))
-
-
-BASE = 0x9E3779B97F4A7C15
-BYTES, MULTIPLY, ADD = _series(1, 256), _series(2, PERMUTATIONS) | _U(1), _series(3, PERMUTATIONS)
-_powers: dict[str, np.ndarray] = {}
-
-
-def _power(base: int, n: int) -> np.ndarray:
-    have = _powers.get(str(base))
-    if have is None or len(have) < n:
-        steps = np.full(max(n, 1 << 20), base % 2**64, np.uint64)
-        steps[0] = 1
-        have = _powers[str(base)] = np.multiply.accumulate(steps)
-    return have[:n]
-
-
-SPACE = np.zeros(256, bool)
-SPACE[[32, 9, 10, 11, 12, 13]] = True
-LOWER = np.arange(256, dtype=np.uint8)
-LOWER[65:91] += 32
-
-
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash of each word, and how many words each text has; words end at blanks and with the text."""
-    if len(data) == 0:
-        return np.empty(0, np.uint64), np.zeros(len(offsets) - 1, np.int64)
-    if len(offsets) == 2 and len(data) > PIECE:
-        out, start = [], 0
-        while start < len(data):
-            gap = np.flatnonzero(SPACE[data[start + PIECE :]])[:1] if start + PIECE < len(data) else []
-            end = start + PIECE + int(gap[0]) if len(gap) else len(data)
-            part = data[start:end]
-            out.append(_words(part, np.array([0, len(part)]))[0])
-            start = end
-        found = np.concatenate(out)
-        return found, np.array([len(found)])
-    return _words(data, offsets)
-
-
-def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    n = len(data)
-    total = np.cumsum(BYTES[LOWER[data]] * _power(BASE, n))
-    space = SPACE[data]
-    first = np.zeros(n + 1, bool)
-    first[offsets] = True
-    start = ~space & (first[:-1] | np.concatenate([[True], space[:-1]]))
-    end = ~space & (first[1:] | np.concatenate([space[1:], [True]]))
-    s, e = np.flatnonzero(start), np.flatnonzero(end)
-    before = np.where(s > 0, total[s - 1], _U(0))
-    return mix((total[e] - before) * _power(pow(BASE, -1, 2**64), n)[s]), np.diff(np.searchsorted(s, offsets))
+MULTIPLY, ADD = series(2, PERMUTATIONS) | _U(1), series(3, PERMUTATIONS)
 
 
 def shingles(hashes: np.ndarray, k: int) -> np.ndarray:
@@ -121,7 +63,7 @@ def shingles(hashes: np.ndarray, k: int) -> np.ndarray:
 
 def sets(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
     for part in chunks(texts):
-        hashes, counts = words(*flat(part))
+        hashes, counts = runs(*flat(part), BLANKS, LOWER)
         yield from (shingles(h, k) for h in np.split(hashes, np.cumsum(counts)[:-1]))
 
 
@@ -135,7 +77,7 @@ def minima(shingle: np.ndarray) -> np.ndarray:
 def sketch(shingle: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Band keys, and the packed low bits of the minima, as int64."""
     m = minima(shingle)
-    keys = _series(4, BANDS)
+    keys = series(4, BANDS)
     for row in m[: BANDS * ROWS].reshape(BANDS, ROWS).T:
         keys = mix(keys + row)
     low = (mix(m) & _U(2**BITS - 1)).reshape(LANES, -1)

@@ -17,15 +17,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import gbt
+from . import gbt, hashing
 from .common import chunks, column, flat, fold, held_out, small_batches
 
 #: Bound of the training sample.
 FIT_ROWS = 20_000
 #: Scores from here on count as good quality.
 THRESHOLD = 0.3
-#: Characters of one piece when distinct words are counted; longer texts are counted piece by piece.
-PIECE = 1 << 20
+#: Bytes of a text from which its statistics are summed piece by piece (cut at blanks, so that sums and sets are those of the whole).
+PIECE = 4 << 20
 
 LOWER, UPPER, DIGIT, BLANK, NEWLINE, STOP, SYMBOL, MARK, LEAD, TAIL, CONTROL = range(11)
 CLASSES = 16
@@ -42,22 +42,9 @@ CLASS = _classes()
 FEATURES = ("log_chars", "log_words", "word_mean", "word_std", "lower", "upper", "digit", "blank", "newline", "stop", "symbol", "mark", "non_ascii", "control", "doubled", "distinct_words", "repeated_lines", "line_words")
 
 
-def _distinct(text: str) -> tuple[float, float]:
-    """Share of distinct words, and of non-blank lines that repeat an earlier one (counted within pieces of PIECE characters)."""
-    words = kinds = lines = line_kinds = 0
-    for i in range(0, len(text), PIECE):
-        piece = text[i : i + PIECE]
-        split = piece.split()
-        words, kinds = words + len(split), kinds + len(set(split))
-        split = [x for x in piece.split("\n") if x]
-        lines, line_kinds = lines + len(split), line_kinds + len(set(split))
-    return kinds / max(words, 1), 1 - line_kinds / lines if lines else 0.0
-
-
-def statistics(texts: pa.Array) -> np.ndarray:
-    """FEATURES of each text, float32."""
-    data, offsets = flat(texts)
-    n, lengths = len(texts), np.diff(offsets)
+def _sums(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Of each text: counts by class of byte, words, their lengths, squares of these, and bytes like the one before."""
+    n, lengths = len(offsets) - 1, np.diff(offsets)
     doc = np.repeat(np.arange(n), lengths)
     kind = CLASS[data]
     count = np.bincount(doc * CLASSES + kind, minlength=n * CLASSES).reshape(n, CLASSES).astype(float)
@@ -68,15 +55,30 @@ def statistics(texts: pa.Array) -> np.ndarray:
     end = np.append(start[1:] | space[1:] | first[1:], True) & ~space if len(data) else first
     at = np.flatnonzero(start)
     long = np.flatnonzero(end) - at + 1.0
-    of = doc[at]
-    words, total, squares = (np.bincount(of, w, n) for w in (None, long, long**2))
-    mean = total / np.maximum(words, 1)
+    words, total, squares = (np.bincount(doc[at], w, n) for w in (None, long, long**2))
     doubled = np.bincount(doc[1:][(data[1:] == data[:-1]) & ~first[1:]], minlength=n) if len(data) > 1 else np.zeros(n)
+    return np.column_stack([count, words, total, squares, doubled])
+
+
+def statistics(texts: pa.Array) -> np.ndarray:
+    """FEATURES of each text, float32."""
+    data, offsets = flat(texts)
+    n, lengths = len(texts), np.diff(offsets)
+    if n == 1 and len(data) > PIECE:
+        sums = sum(_sums(data[a:b], np.array([0, b - a])) for a, b in hashing.cuts(data, hashing.BLANKS, PIECE))
+        sums[:, -1] = np.count_nonzero(data[1:] == data[:-1])  # pairs may span two pieces
+    else:
+        sums = _sums(data, offsets)
+    count, (words, total, squares, doubled) = sums[:, :CLASSES], sums[:, CLASSES:].T
+    mean = total / np.maximum(words, 1)
     chars = np.maximum(lengths - count[:, TAIL], 1)
-    distinct = np.array([_distinct(t or "") for t in texts.to_pylist()]).reshape(n, 2)
+    kinds, of_words = hashing.runs(data, offsets)
+    lines, of_lines = hashing.runs(data, offsets, hashing.NEWLINES)
+    fresh = hashing.distinct(kinds, of_words) / np.maximum(of_words, 1)
+    again = np.where(of_lines > 0, 1 - hashing.distinct(lines, of_lines) / np.maximum(of_lines, 1), 0.0)
     out = [np.log1p(lengths), np.log1p(words), mean, np.sqrt(np.maximum(squares / np.maximum(words, 1) - mean**2, 0))]
     out += [count[:, k] / chars for k in (LOWER, UPPER, DIGIT, BLANK, NEWLINE, STOP, SYMBOL, MARK, LEAD, CONTROL)]
-    out += [doubled / chars, distinct[:, 0], distinct[:, 1], np.log1p(words / (count[:, NEWLINE] + 1))]
+    out += [doubled / chars, fresh, again, np.log1p(words / (count[:, NEWLINE] + 1))]
     return np.stack(out, axis=1).astype(np.float32)
 
 
@@ -84,16 +86,16 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = column(batch, "text")
         rows = [r.tobytes() for part in chunks(texts) for r in statistics(part)]
-        yield pa.RecordBatch.from_arrays([column(batch, "y"), pa.array(rows, pa.binary())], ["y", "x"])
+        yield pa.RecordBatch.from_arrays([column(batch, "id"), column(batch, "y"), pa.array(rows, pa.binary())], ["id", "y", "x"])
 
 
 def train(docs: DataFrame, labels: DataFrame, target: str = "quality", rows: int = FIT_ROWS) -> gbt.Trees:
-    """Fit on at most rows documents of the training folds that have a label."""
+    """Fit on at most rows documents of the training folds that have a label; of several texts of one id, one counts."""
     small_batches(docs.sparkSession)
     picked = labels.filter(F.col(target).isNotNull() & (fold("doc_id") != 0)).groupBy(F.col("doc_id").alias("id")).agg(F.max(target).cast("int").alias("y"))
     picked = picked.orderBy(F.xxhash64("id"), "id").limit(rows)
-    chosen = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("id")).select("doc_id", "y", "text")
-    sample = chosen.select("y", "text").mapInArrow(_measure, "y int, x binary").limit(rows).toArrow()
+    chosen = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("id")).select("id", "y", "text")
+    sample = chosen.mapInArrow(_measure, "id bigint, y int, x binary").groupBy("id").agg(F.max("y").alias("y"), F.max("x").alias("x")).toArrow()
     x = np.frombuffer(b"".join(sample["x"].to_pylist()), np.float32).reshape(-1, len(FEATURES))
     y = sample["y"].to_numpy().astype(float)
     order = np.lexsort([*x.T, y])  # rows come in any order

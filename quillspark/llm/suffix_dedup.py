@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import column, releasing, small_batches, written
-from .near_dedup import BASE, BYTES, _power, mix
+from .hashing import mix, series
 
 LENGTH, GRAM = 50, 20
 #: Windows of one text handled at a time.
@@ -43,6 +43,17 @@ PARTS = 256
 HOT, SAMPLED = 1 << 14, 64
 
 _U = np.uint64
+BASE, BYTES = 0x9E3779B97F4A7C15, series(1, 256)
+_powers: dict[str, np.ndarray] = {}
+
+
+def _power(base: int, n: int) -> np.ndarray:
+    have = _powers.get(str(base))
+    if have is None or len(have) < n:
+        steps = np.full(max(n, 1 << 20), base % 2**64, np.uint64)
+        steps[0] = 1
+        have = _powers[str(base)] = np.multiply.accumulate(steps)
+    return have[:n]
 
 
 def _order(*keys: np.ndarray) -> np.ndarray:

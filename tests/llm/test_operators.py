@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.llm import chat_format, gbt, language_id, mixing, near_dedup, quality_classifier, quality_rules, queries, suffix_dedup, topk_join, url_filter
+from quillspark.llm import chat_format, gbt, hashing, language_id, mixing, near_dedup, quality_classifier, quality_rules, queries, suffix_dedup, topk_join, url_filter
 
 DATA = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, v string, row long, bucket int"
@@ -348,3 +348,47 @@ def test_pipeline(spark, tmp_path):
         docs = after
     last = corpus_pipeline.STAGES[-1][1](spark, docs, DATA)
     assert last.count() == docs.count()
+
+
+def test_runs_are_hashed_strongly(monkeypatch):
+    """Thue-Morse words and their complements collide in polynomials modulo 2 ** 64; long texts are cut between runs only."""
+    word = "a"
+    while len(word) < 4096:
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    hash_of = lambda t: hashing.runs(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]))[0].tolist()
+    assert len(set(hash_of(f"{word} {other} {word[:-1]} {word[1:]} b{word[1:]}"))) == 5
+    text = "one two  three " * 50 + word + " end"
+    whole = hash_of(text)
+    monkeypatch.setattr(hashing, "PIECE", 20)
+    assert hash_of(text) == whole and len(whole) == 152 and whole[0] == whole[3] != whole[1]
+
+
+def test_statistics_of_long_texts_are_those_of_the_whole(monkeypatch):
+    r = random.Random(2)
+    texts = ["".join(r.choice("aab é\n \t.#3Z") for _ in range(n)) for n in (0, 1, 700, 5000)]
+    texts.append(texts[-1] + " " + texts[-1])
+    whole = quality_classifier.statistics(pa.array(texts))
+    monkeypatch.setattr(quality_classifier, "PIECE", 64)
+    monkeypatch.setattr(hashing, "PIECE", 64)
+    assert np.allclose(np.concatenate([quality_classifier.statistics(pa.array([t])) for t in texts]), whole)
+    names = quality_classifier.FEATURES
+    for t, row in zip(texts, whole, strict=True):
+        w, lines = split(t), [x for x in t.split("\n") if x]
+        assert np.isclose(row[names.index("distinct_words")], len(set(w)) / max(1, len(w)))
+        assert np.isclose(row[names.index("repeated_lines")], 1 - len(set(lines)) / len(lines) if lines else 0)
+        assert np.isclose(row[names.index("word_mean")], np.mean([len(x.encode()) for x in w]) if w else 0)
+        assert np.isclose(row[names.index("log_words")], np.log1p(len(w)))
+
+
+def test_every_language_is_learned(spark):
+    """230 languages, one of them with a third of all rows, a repeated row a thousand times, and long texts."""
+    alphabet = [chr(0x4E00 + i) for i in range(2300)]
+    rows, r = [], random.Random(1)
+    for lang in range(230):
+        for _ in range(6 if lang else 700):
+            rows.append((len(rows), "".join(r.choice(alphabet[10 * lang : 10 * lang + 3]) for _ in range(90)), f"l{lang}"))
+    rows += [rows[3]] * 1000
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    found = language_id.predict(docs).join(docs.distinct(), "doc_id").filter("lang_pred = lang").count()
+    assert found >= 0.97 * len(rows)
