@@ -18,6 +18,8 @@ conversation is one output row, so its texts meet in one task.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,40 +45,42 @@ def unescaped(text: Column) -> Column:
     return text
 
 
-def lifted(messages: DataFrame) -> list[DataFrame]:
-    """Tables j = 0, 1, ... of tree, node, above (the ancestor at distance 2 ** j, null beyond the root), total and
-    length (scores and nodes from node up to, without, above). The last one has no ancestor left, but for broken trees.
+def lifted(messages: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """Tables j = 0, 1, ... of tree, node, above (the ancestor at distance 2 ** j) of the nodes that have one, and tree, node,
+    total, length (scores and nodes from the node to its root). A node that has met its root isn't joined again.
     """
+    state = ["tree", "node", "above", "total", "length"]
     up = [written(messages.select("tree", "node", F.col("parent").alias("above"), F.coalesce("score", F.lit(0.0)).alias("total"), F.lit(1).cast("long").alias("length")))]
     size = up[0].groupBy("tree").count().agg(F.max("count")).first()[0] or 0
-    while 2 ** len(up) < 2 * size and not up[-1].filter("above IS NOT NULL").isEmpty():
-        one = up[-1]
-        top = one.select("tree", F.col("node").alias("above"), F.col("above").alias("top"), F.col("total").alias("more"), F.col("length").alias("longer"))
-        joined = one.join(top, ["tree", "above"], "left")
-        # an ancestor that isn't there stays: its node never gets a root
-        gone = F.col("above").isNotNull() & F.col("longer").isNull()
-        up.append(written(joined.select("tree", "node", F.when(gone, F.col("above")).otherwise(F.col("top")).alias("above"), (F.col("total") + F.coalesce("more", F.lit(0.0))).alias("total"), (F.col("length") + F.coalesce("longer", F.lit(0))).alias("length"))))
-    return up
+    done = up[0].filter("above IS NULL")
+    while 2 ** len(up) < 2 * size and not (one := up[-1].filter("above IS NOT NULL")).isEmpty():
+        top = one.unionByName(done).select("tree", F.col("node").alias("above"), F.col("above").alias("top"), F.col("total").alias("more"), F.col("length").alias("longer"))
+        # without an ancestor of that name, above stays: such a node never meets a root
+        gone = F.col("longer").isNull()
+        new = {"above": F.when(gone, F.col("above")).otherwise(F.col("top")), "total": F.col("total") + F.coalesce("more", F.lit(0.0)), "length": F.col("length") + F.coalesce("longer", F.lit(0))}
+        up.append(written(one.join(top, ["tree", "above"], "left").select(*(new.get(c, F.col(c)).alias(c) for c in state))))
+        done = done.unionByName(up[-1].filter("above IS NULL"))
+    return up, done
 
 
 def branches(messages: DataFrame, best: int = 1) -> DataFrame:
     """tree, leaf, branch (rank from 1), node, distance (from the leaf) of the paths of the best branches of each tree: by
     mean score, then length, then the smaller leaf."""
-    up = lifted(messages)
-    whole = up[-1].filter("above IS NULL")
+    up, whole = lifted(messages)
     parents = up[0].select("tree", F.col("above").alias("node")).distinct()
     leaves = whole.join(parents, ["tree", "node"], "left_anti").select("tree", F.col("node").alias("leaf"), (F.col("total") / F.col("length")).alias("score"), "length")
     order = Window.partitionBy("tree").orderBy(F.desc("score"), F.desc("length"), "leaf")
     chosen = leaves.withColumn("branch", F.row_number().over(order)).filter(F.col("branch") <= best)
-    found = written(chosen.select("tree", "leaf", "branch", F.col("leaf").alias("node"), F.lit(0).cast("long").alias("distance")))
-    for j, table in enumerate(up[:-1]):
-        # found: the nodes nearer to the leaf than 2 ** j
-        further = found.join(table.filter("above IS NOT NULL").select("tree", "node", "above"), ["tree", "node"])
-        longer = written(found.unionByName(further.select("tree", "leaf", "branch", F.col("above").alias("node"), (F.col("distance") + 2**j).alias("distance"))))
-        dropped(found)
-        found = longer
+    found = [written(chosen.select("tree", "leaf", "branch", F.col("leaf").alias("node"), F.lit(0).cast("long").alias("distance"), "length"))]
+    for j, table in enumerate(up):
+        # found: the nodes nearer to the leaf than 2 ** j; those with an ancestor that far
+        near = reduce(DataFrame.unionByName, found).filter(F.col("distance") + 2**j < F.col("length"))
+        if near.isEmpty():
+            break
+        further = near.join(table.select("tree", "node", "above"), ["tree", "node"])
+        found.append(written(further.select("tree", "leaf", "branch", F.col("above").alias("node"), (F.col("distance") + 2**j).alias("distance"), "length")))
     dropped(*up)
-    return found
+    return reduce(DataFrame.unionByName, found).drop("length")
 
 
 def format_trees(messages: DataFrame, best: int = 1) -> DataFrame:

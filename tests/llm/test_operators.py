@@ -189,6 +189,46 @@ def test_branches_and_escapes(spark):
     assert [r["loss_text"] for r in got] == [text, "low"]
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_branches_match_brute_force(spark, seed):
+    """Random trees, a long chain with side branches, a star, cycles and missing parents; the three best branches of each."""
+    r = random.Random(seed)
+    rows = [(1, 0, None, "user", "t0", 0.5)] + [(1, i, r.randrange(max(0, i - 4), i), "assistant", f"t{i}", r.choice([None, 0.25, 0.5, 0.75])) for i in range(1, 40)]
+    rows += [(2, i, i - 1 if i else None, "user", f"c{i}", 0.5) for i in range(70)] + [(2, 100 + i, i * 3, "assistant", "", 1.0) for i in range(20)]
+    rows += [(3, 0, None, "user", "hub", 0.0)] + [(3, i, 0, "assistant", f"s{i}", i / 64) for i in range(1, 30)]
+    rows += [(4, 1, 2, "user", "a", 1.0), (4, 2, 1, "user", "b", 1.0), (4, 3, 99, "user", "lost", 1.0), (4, 4, 3, "user", "lost", 1.0), (None, 1, None, "user", "no tree", 1.0)]
+    df = spark.createDataFrame(rows, "tree long, node long, parent long, role string, text string, score double").repartition(3)
+    want = {}
+    for t in (1, 2, 3):
+        own = {x[1]: x for x in rows if x[0] == t}
+        parents = {x[2] for x in own.values()}
+        paths = []
+        for leaf in set(own) - parents:
+            path = [leaf]
+            while own[path[-1]][2] is not None:
+                path.append(own[path[-1]][2])
+            paths.append((-sum(own[n][5] or 0.0 for n in path) / len(path), -len(path), leaf, path))
+        want |= {(t, i + 1): p[3][::-1] for i, p in enumerate(sorted(paths)[:3])}
+    found = chat_format.branches(df, best=3).filter("tree IS NOT NULL").collect()
+    got = {}
+    for x in sorted(found, key=lambda x: -x["distance"]):
+        got.setdefault((x["tree"], x["branch"]), []).append(x["node"])
+    assert got == want
+
+
+def test_chat_of_odd_rows(spark):
+    """Null turns, roles, texts and conversations, repeated rows, a long text, an empty table, extra columns with inner names."""
+    rows = [(1, None, "user", "first", 0), (1, 2, None, None, 0), (1, 2, None, None, 0), (1, 3, "assistant", "a###</turn>\\" * 40000, 0), (None, 1, "assistant", "no id", 0), (None, 0, "user", "q", 0)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, node int").withColumn("tree", F.lit(3)).withColumn("distance", F.lit(1))
+    got = {x["conv_id"]: x for x in chat_format.digests(df).collect()}
+    turns = {1: [("user", "first"), ("", ""), ("", ""), ("assistant", rows[3][3])], None: [("user", "q"), ("assistant", "no id")]}
+    assert set(got) == set(turns)
+    for k, v in turns.items():
+        assert got[k]["n_turns"] == len(v) and got[k]["turns_sha256"] == hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in v).encode()).hexdigest()
+        assert got[k]["loss_chars"] == sum(len(b) for a, b in v if a == "assistant")
+    assert chat_format.digests(df.limit(0)).collect() == []
+
+
 def test_topk_with_odd_rows(spark):
     r = np.random.RandomState(5)
     rows = [(i, [float(x) for x in v]) for i, v in enumerate(r.randn(300, 8))] + [(400 + i, [0.5] * 8) for i in range(50)]
@@ -295,38 +335,57 @@ def test_odd_rows_in_models(spark, docs):
 
 
 def test_raking_meets_targets():
+    """Margins are met by probabilities of at most 1, also where cells are full; without full cells it is plain raking."""
     r = np.random.RandomState(2)
-    w, i = r.rand(60) + 0.1, [r.randint(0, k, 60) for k in (3, 4, 5)]
-    t = [np.bincount(x, w) ** 0.5 for x in i]
-    t = [x / x.sum() * w.sum() for x in t]
-    fitted = mixing.rake(w, i, t)
-    assert all(np.allclose(np.bincount(x, fitted), y) for x, y in zip(i, t, strict=True))
-    p = mixing.probabilities(w, fitted, 0.7)
-    assert abs((p * w).sum() - 0.7 * w.sum()) < 1e-6 and p.max() <= 1
+    n, i = r.rand(60) + 0.1, [r.randint(0, k, 60) for k in (3, 4, 5)]
+    for keep in (0.3, 0.9):
+        true = n * np.minimum(1, keep * np.prod([r.rand(k)[x] + 0.6 for k, x in zip((3, 4, 5), i, strict=True)], axis=0))
+        t = [np.bincount(x, true) for x in i]
+        weight, worst = mixing.rake(n, i, t)
+        assert worst < 1e-4
+        assert all(np.allclose(np.bincount(x, n * np.minimum(1, weight)), y, rtol=1e-4) for x, y in zip(i, t, strict=True))
+        w = n.copy()
+        for _ in range(300):
+            for x, y in zip(i, t, strict=True):
+                w = w * (y / np.bincount(x, w))[x]
+        assert np.allclose(w, n * weight, rtol=1e-3) == bool((weight <= 1).all())
+
+
+def mixed_rows(sources, languages, n=900):
+    r = random.Random(6)
+    return [(i, r.choice(["ab cd ", "xyz "]) * r.randint(1, 30), f"l{i % languages}", f"s{i % sources}") for i in range(n)]
 
 
-@pytest.mark.parametrize(("cells", "sources", "languages"), [(2, 3, 2), (mixing.CELLS, 300, 40)])
+@pytest.mark.parametrize(("cells", "sources", "languages"), [(2, 3, 2), (mixing.CELLS, 300, 7)])
 def test_mix_matches_plain_raking(spark, monkeypatch, cells, sources, languages):
     """Each source and language has a margin of its own, whether the driver rakes or Spark."""
     monkeypatch.setattr(mixing, "CELLS", cells)
-    r = random.Random(6)
-    rows = [(i, r.choice(["ab cd ", "xyz "]) * r.randint(1, 30), f"l{i % languages}", f"s{i % sources}") for i in range(900)]
+    if cells == 2:
+        monkeypatch.setattr(mixing._rake_on_spark, "__defaults__", (15, 1e-2))
+    rows = mixed_rows(sources, languages)
     got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(4)).collect()
     assert len(got) == len(rows)
-    key = [(x["source"], x["lang"], x["topic"]) for x in got]
-    names = sorted(set(key))
-    n = np.bincount([names.index(k) for k in key], [x["tokens"] for x in got])
-    w = n.copy()
-    for _ in range(200):
-        for j in range(3):
-            own = np.unique([k[j] for k in names], return_inverse=True)[1].ravel()
-            target = np.bincount(own, n) ** 0.7
-            w = w * (target / target.sum() * n.sum() / np.bincount(own, w))[own]
-    assert np.allclose([x["weight"] for x in got], [(w / n)[names.index(k)] for k in key], rtol=1e-4)
-    p = np.array([x["probability"] for x in got])
-    scale = p[p < 1] / np.array([x["weight"] for x in got])[p < 1]
-    assert np.allclose(scale, scale[0]) and np.allclose(p, np.minimum(1, scale[0] * np.array([x["weight"] for x in got])))
-    assert abs(sum(x["probability"] * x["tokens"] for x in got) / n.sum() - 0.8) < 1e-6
+    n, p = (np.array([x[c] for x in got], float) for c in ("tokens", "probability"))
+    assert p.max() <= 1 and np.allclose(p, np.minimum(1, [x["weight"] for x in got]))
+    for c in mixing.NAMES:
+        own = np.unique([str(x[c]) for x in got], return_inverse=True)[1].ravel()
+        have, most = np.bincount(own, n * p), np.bincount(own, n)
+        share = most**0.7 / (most**0.7).sum()
+        low, high = 0.0, 1e3
+        for _ in range(100):  # targets beyond all tokens of a name go to the others
+            low, high = ((low + high) / 2, high) if np.minimum(most, (low + high) / 2 * share * n.sum()).sum() < 0.8 * n.sum() else (low, (low + high) / 2)
+        assert np.allclose(have, np.minimum(most, high * share * n.sum()), rtol=0.03), c
+
+
+def test_kept_shares_meet_given_targets(spark):
+    rows = mixed_rows(3, 2, 6000)
+    docs = spark.createDataFrame([*rows, (None, "ab cd " * 9, None, None)], "doc_id long, text string, lang string, source string").repartition(4)
+    mixed = mixing.mix(docs, {"source": {"s0": 0.5, "s1": 0.3}, "lang": {"l0": 0.4, "l1": 0.6, None: 0.0}}, keep=0.5)
+    share = {(r["margin"], r["name"]): r["share"] for r in mixing.margins(mixed).collect()}
+    assert all(abs(share["source", k] - v) < 0.03 for k, v in {"s0": 0.5, "s1": 0.3}.items())
+    assert abs(share["lang", "l0"] - 0.4) < 0.03 and abs(share["lang", "l1"] - 0.6) < 0.03
+    with pytest.warns(UserWarning, match="short of"):
+        mixing.mix(docs, {"source": {"s0": 0.9, "s1": 0.1}}, keep=0.9)
 
 
 def test_mix_covers_all_rows(docs):
