@@ -157,7 +157,7 @@ def reachable(margin: DataFrame, goal: float, rounds: int = 50) -> tuple[DataFra
     scale = goal
     for _ in range(rounds):
         target = F.least("n", F.col("share") * scale)
-        have, rest, lack = margin.agg(F.sum(target), F.sum(F.when(target < F.col("n"), F.col("share"))), F.max(1 - F.col("n") / (F.col("share") * goal))).first()
+        have, rest, lack = margin.agg(F.sum(target), F.sum(F.when(target < F.col("n"), F.col("share"))), F.max(F.when(F.col("share") * goal > 0, 1 - F.col("n") / (F.col("share") * goal)))).first()
         if have is None or not rest or goal - have < 1e-9 * goal:
             break
         scale += (goal - have) / rest
