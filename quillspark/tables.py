@@ -74,3 +74,12 @@ def matched(rows: DataFrame, one: DataFrame, keys: list[str], met: str = "met")
     few, rest = one.filter(heavy).drop(met), one.filter(~heavy).drop(met)
     out = rows.join(F.broadcast(few), keys)
     return out if rest.isEmpty() else out.unionByName(rows.join(F.broadcast(few.select(*keys)), keys, "left_anti").join(rest, keys))
+
+
+#: Numbers that few() broadcasts, at most.
+FEW = 1 << 20
+
+
+def few(ids: DataFrame) -> DataFrame:
+    """ids (a table of one column of longs), to be broadcast if they are FEW at most; beyond that, as Spark joins."""
+    return F.broadcast(ids) if ids.limit(FEW + 1).count() <= FEW else ids
