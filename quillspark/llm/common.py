@@ -9,10 +9,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from ..tables import dropped, matched, releasing, shared_dir, written
+from ..tables import HEAVY_KEYS, dropped, few, matched, releasing, shared_dir, written
 
-__all__ = ["dropped", "matched", "releasing", "shared_dir", "written"]
+__all__ = ["HEAVY_KEYS", "dropped", "few", "matched", "releasing", "shared_dir", "written"]
 
 #: Rows of one Arrow batch: bounds what a Python worker holds (texts of some KB each).
 ARROW_ROWS = 2000
@@ -29,6 +30,11 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
+def extended(df: DataFrame, fields: str) -> StructType:
+    """The schema of df with further fields (as DDL)."""
+    return StructType([*df.schema.fields, *StructType.fromDDL(fields).fields])
+
+
 def fold(doc_id: str | Column, n: int = 5) -> Column:
     """crc32 of the id as text, modulo n (null for a null id)."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary") if isinstance(doc_id, str) else doc_id.cast("string").cast("binary")) % n

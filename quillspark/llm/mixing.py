@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, column, dropped, matched, small_batches, written
+from .common import chunks, column, dropped, extended, matched, small_batches, written
 from .language_id import DIMENSIONS, cluster, counts, vectors
 
 TOPICS = 8
@@ -128,8 +128,7 @@ def with_topic(docs: DataFrame, topics: Topics, tokens: Column | None = None) ->
             found = [np.empty(0, np.int64), *(topics.nearest(part)[1] for part in chunks(text, rows=128))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(found), pa.int32())], [*batch.schema.names, "topic"])
 
-    fields = ", ".join(f"{c} {t}" for c, t in packed.dtypes if c != "document")
-    return packed.mapInArrow(run, f"document {docs.schema.simpleString()}, {fields}, topic int")
+    return packed.mapInArrow(run, extended(packed, "topic int"))
 
 
 def rake(tokens: np.ndarray, index: list[np.ndarray], target: list[np.ndarray], rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> tuple[np.ndarray, float]:

@@ -8,14 +8,20 @@ whose other members still lie in several components are cut into blocks, and eac
 group of bounded rows and bytes: first the signatures, to find members that have a likely partner in another component,
 then the full sets of those members alone. A group gives at most one link for each member, since a link between
 members that it has joined already adds nothing; no pairs are emitted. So each pair of a bucket is linked, in one component, or was
-compared. Nothing is capped.
+compared. Nothing is capped. Signatures meet in numpy, 64 bytes a pair, so a bucket of many members that are alike but not
+linked costs the square of its members there, in blocks that Spark spreads; full sets are sent for likely partners alone.
+
+Buckets and classes that hold much of all rows are joined by broadcasting their one row (HEAVY_KEYS at most); the rows of
+labels are a few numbers, and joins with a large component's label are left to adaptive splitting. Texts whose sets are
+needed are picked before they are shuffled, by their ids where these are few enough to be broadcast.
 
 Bands have 24 x 5 minima: a pair at similarity 0.85 misses all of them with probability 1e-6, at 0.8 with 7e-5. The
 estimate has a standard deviation of 0.04 at most; pairs go at 0.2 below the threshold.
 
 Defined results: texts without words (or null) have no shingles and link with nothing; texts with fewer words than
-a shingle are one shingle; repeated rows of one doc_id count as one document; rows with a null doc_id link like others
-but never name a component of documents that have ids; an empty table gives no rows; extra columns are ignored.
+a shingle are one shingle; rows of one doc_id count as one document, which links by each of its texts; rows with a null
+doc_id are no documents that a component could name: they link with nothing, have a null component and are kept; an empty
+table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, column, flat, small_batches, written
+from .common import chunks, column, dropped, few, flat, matched, small_batches, written
 from .hashing import BLANKS, LOWER, PIECE, mix, runs, series
 
 BANDS, ROWS, BITS = 24, 5, 4
@@ -105,7 +111,7 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
 
 def sets_of(docs: DataFrame, needs: DataFrame, k: int) -> DataFrame:
     """task, v, c, head, shingles of each row of needs (task, v, c, head): a text is read and hashed once, its set goes to each task."""
-    by_v = needs.groupBy("v").agg(F.collect_list("task").alias("tasks"), F.collect_list("head").alias("heads"), F.first("c").alias("c"))
+    by_v = written(needs.groupBy("v").agg(F.collect_list("task").alias("tasks"), F.collect_list("head").alias("heads"), F.first("c").alias("c")))
     kind = pa.list_(pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,8 +126,9 @@ def sets_of(docs: DataFrame, needs: DataFrame, k: int) -> DataFrame:
                     same = [pa.array(np.full(n, x[i].as_py(), np.int64)) for x in (v, c)]
                     yield pa.RecordBatch.from_arrays([tasks.slice(j, n), *same, heads.slice(j, n), shingle.cast(kind)], ["task", "v", "c", "head", "shingles"])
 
-    # By sorting at every size: ids that fit a broadcast on small inputs only would make the plan, and its figures, another there.
-    met = docs.join(by_v.hint("merge"), docs["doc_id"] == by_v["v"]).select("doc_id", "text", "c", "tasks", "heads")
+    ids = written(by_v.select("v"))
+    asked = docs.join(few(ids), docs["doc_id"] == ids["v"], "left_semi")
+    met = asked.join(by_v, asked["doc_id"] == by_v["v"]).select("doc_id", "text", "c", "tasks", "heads")
     return met.mapInArrow(run, "task bigint, v bigint, c bigint, head boolean, shingles array<bigint>")
 
 
@@ -243,12 +250,13 @@ def find(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     small_batches(docs.sparkSession)
     texts = docs.select("doc_id", "text")
     rows = written(sketches(texts, k))
-    classes = written(rows.filter("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("v"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("signature").alias("signature")))
-    named = classes.filter(F.col("v").isNotNull())
+    linked = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
+    named = written(rows.filter(linked).groupBy("key").agg(F.min("doc_id").alias("v"), F.count("*").alias("met"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("signature").alias("signature")))
     members = named.select("v", "n", F.explode("bands").alias("bucket"))
-    shared = members.groupBy("bucket").agg(F.min("v").alias("first"), F.max("v").alias("last"), F.count("*").alias("rows"), F.sum("n").alias("size")).filter("first < last")
-    blocks = F.ceil(F.greatest(F.col("rows") / BLOCK_ROWS, F.col("size") / BLOCK_SHINGLES)).cast("int")
-    alive = written(members.join(shared.select("bucket", "first", blocks.alias("blocks")), "bucket").filter("v <> first").select("bucket", "v", "first", "blocks"))
+    blocks = F.ceil(F.greatest(F.col("met") / BLOCK_ROWS, F.col("size") / BLOCK_SHINGLES)).cast("int")
+    shared = members.groupBy("bucket").agg(F.min("v").alias("first"), F.max("v").alias("last"), F.count("*").alias("met"), F.sum("n").alias("size")).filter("first < last")
+    shared = written(shared.select("bucket", "first", blocks.alias("blocks"), "met"))
+    alive = written(matched(members, shared, ["bucket"]).filter("v <> first").select("bucket", "v", "first", "blocks"))
 
     # Each member of a bucket with its first.
     side = lambda x: named.select(F.col("v").alias(x), F.col("n").alias(f"n{x}"), F.col("signature").alias(f"s{x}"))
@@ -262,11 +270,11 @@ def find(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     labels = components(written(in_groups(sets_of(texts, stars, k), joined(percent), "shingles", ("a", "b"))))
 
     # The other members of buckets that still hold several components, block by block.
-    of = alive.join(labels, "v", "left").withColumn("c", F.coalesce("c", "v"))
-    several = of.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("bucket")
+    of = written(alive.join(labels, "v", "left").withColumn("c", F.coalesce("c", "v")))
+    several = written(of.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("met")).filter("lo < hi").select("bucket", "met"))
     own = F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int")
     meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda y: F.xxhash64("bucket", F.least(own, y), F.greatest(own, y)))
-    open_ = of.join(several, "bucket").select("v", "c", F.explode(meets).alias("task"))
+    open_ = matched(of, several, ["bucket"]).select("v", "c", F.explode(meets).alias("task"))
     open_ = open_.join(named.select("v", "n", "signature"), "v").select("task", "v", "c", "n", "signature")
     likely = written(in_groups(open_, with_partner(percent), "signature", ("task", "v")).join(labels, "v", "left").select("task", "v", F.coalesce("c", "v").alias("c"), F.lit(False).alias("head")))
     more = in_groups(sets_of(texts, likely, k), joined(percent), "shingles", ("a", "b"))
@@ -274,7 +282,9 @@ def find(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     more = more.join(name("a"), "a", "left").join(name("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
     tops = components(written(more.filter("a <> b").distinct())).select(F.col("v").alias("c"), F.col("c").alias("top"))
 
-    out = rows.select("doc_id", "n_shingles", "key").join(classes.select("key", "v"), "key", "left")
-    out = out.join(labels, "v", "left").withColumn("c", F.coalesce("c", "v")).join(tops, "c", "left")
-    component = F.coalesce("top", "c", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
+    classes = named.select("key", "met", "v").join(labels, "v", "left").withColumn("c", F.coalesce("c", "v")).join(tops, "c", "left")
+    classes = written(classes.select("key", "met", F.coalesce("top", "c").alias("component_id")))
+    dropped(shared, alive, near, of, several, likely, named)
+    found = matched(rows.filter(linked).select("doc_id", "n_shingles", "key"), classes, ["key"]).select("doc_id", "n_shingles", "component_id")
+    alone = rows.filter(~linked).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return found.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

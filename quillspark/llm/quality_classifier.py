@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import gbt, hashing
-from .common import chunks, column, flat, fold, held_out, small_batches
+from .common import chunks, column, extended, flat, fold, held_out, small_batches
 
 #: Bound of the training sample.
 FIT_ROWS = 20_000
@@ -113,8 +113,7 @@ def score(docs: DataFrame, model: gbt.Trees, keep: tuple[str, ...] = ("doc_id",)
             scores = pa.array(np.concatenate(parts) if parts else [], pa.float64())
             yield pa.RecordBatch.from_arrays([*(column(batch, k) for k in keep), scores], [*keep, "score"])
 
-    fields = ", ".join(f"`{k}` {t}" for k, t in kept.dtypes if k in keep)
-    return kept.mapInArrow(run, f"{fields}, score double")
+    return kept.mapInArrow(run, extended(kept.select(*keep), "score double"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -10,9 +10,11 @@ array of all bytes isn't needed: each LENGTH-byte window has one anchor, the sma
 3. where phrases of one anchor begin in different documents, their bytes are fetched, and a bucket sorts the suffixes
    of its distinct phrases by difference cover (sort sampled triples, recurse on names, merge the remaining suffixes),
    compares adjacent prefixes, and takes the smallest document of each LENGTH-byte string;
-   an anchor with about HOT phrases or more has no bucket: its phrases are dealt by row, and Spark aggregates the smallest
-   document of each phrase, and of each LENGTH-byte string of the phrases that differ;
-4. the spans meet their documents again by a key of the row.
+   an anchor with about HOT phrases or more has no bucket: its phrases are dealt by phrase, and its LENGTH-byte strings by
+   string; of a phrase or string that is common itself, the smallest document is aggregated and broadcast;
+4. the spans meet their documents again by doc_id and a hash of the row.
+
+A phrase is told from others of its anchor by both hashes, 128 bits in all; other strings are compared as bytes.
 
 Defined results: null texts are empty; texts shorter than LENGTH lose nothing; rows of equal doc_id never repeat each
 other, so repeated rows lose the same bytes; rows with a null doc_id lose nothing and count for nothing; an empty
@@ -30,7 +32,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, releasing, small_batches, written
+from .common import HEAVY_KEYS, column, extended, releasing, small_batches, written
 from .hashing import mix, series
 
 LENGTH, GRAM = 50, 20
@@ -38,8 +40,9 @@ LENGTH, GRAM = 50, 20
 PIECE = 1 << 21
 #: Bytes of input for each bucket, and bounds of the bitmap's size in bits (as a power of two).
 BUCKET_BYTES, LEAST_BITS, MOST_BITS = 6 << 20, 20, 30
-PARTS = 256
-#: Phrases from which an anchor is hot, estimated on one in SAMPLED documents; keys with as many rows are broadcast.
+#: Bytes of input whose anchors meet in one task (at least 256 tasks).
+PART_BYTES = 16 << 20
+#: Phrases from which an anchor is hot, estimated on one in SAMPLED documents.
 HOT, SAMPLED = 1 << 14, 64
 
 _U = np.uint64
@@ -141,39 +144,42 @@ def phrases(data: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarr
         yield gram[anchor[first]], name, first + begin, count
 
 
-def _texts(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-    for t in column(batch, "text"):
+def _texts(texts: pa.Array) -> Iterator[np.ndarray]:
+    for t in texts:
         raw = t.as_buffer() if t.is_valid else None
         yield np.frombuffer(raw, np.uint8) if raw is not None and raw.size else np.empty(0, np.uint8)
 
 
-def _marked(docs: DataFrame, bits: int) -> np.ndarray:
+def _marked(docs: DataFrame, bits: int, size: int) -> np.ndarray:
     """The bitmap of anchors met twice, by their hash's leading bits."""
+    lead = min(bits - 3, max(8, (size // PART_BYTES).bit_length()))
+    parts = 2**lead
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [np.empty(0, np.uint64)]
-            for data in _texts(batch):
+            for data in _texts(column(batch, "text")):
                 own = [a for a, *_ in phrases(data)]
                 if own:
                     found.append(np.unique(np.concatenate(own)))
             hashes, count = np.unique(np.concatenate(found), return_counts=True)
             hashes = np.sort(np.concatenate([hashes, hashes[count > 1]]))
-            cut = np.searchsorted(hashes, np.arange(PARTS, dtype=np.uint64) << _U(56)).tolist() + [len(hashes)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([hashes[a:b].tobytes() for a, b in zip(cut, cut[1:])], pa.binary())], ["part", "hashes"])
+            part = (hashes >> _U(64 - lead)).astype(np.int32)
+            cut = np.append(np.flatnonzero(np.append([True], part[1:] != part[:-1]))[: len(part)], len(part))
+            yield pa.RecordBatch.from_arrays([pa.array(part[cut[:-1]]), pa.array([hashes[a:b].tobytes() for a, b in zip(cut, cut[1:])], pa.binary())], ["part", "hashes"])
 
     def twice(table: pa.Table) -> pa.Table:
         hashes = np.sort(np.frombuffer(b"".join(table["hashes"].to_pylist()), np.uint64))
         again = hashes[1:][hashes[1:] == hashes[:-1]]
-        flags = np.zeros(2**bits // PARTS, bool)
-        flags[((again >> _U(64 - bits)) & _U(2**bits // PARTS - 1)).astype(np.int64)] = True
+        flags = np.zeros(2**bits // parts, bool)
+        flags[((again >> _U(64 - bits)) & _U(2**bits // parts - 1)).astype(np.int64)] = True
         return pa.table({"part": table["part"][:1], "bits": pa.array([np.packbits(flags).tobytes()], pa.binary())})
 
-    parts = docs.mapInArrow(gather, "part int, hashes binary").filter(F.length("hashes") > 0).groupBy("part").applyInArrow(twice, "part int, bits binary")
+    flagged = docs.mapInArrow(gather, "part int, hashes binary").groupBy("part").applyInArrow(twice, "part int, bits binary")
     with releasing(docs.sparkSession):
-        parts = parts.toArrow()
-    out = np.zeros((PARTS, 2**bits // PARTS // 8), np.uint8)
-    for part, flags in zip(parts["part"].to_pylist(), parts["bits"].to_pylist(), strict=True):
+        found = flagged.toArrow()
+    out = np.zeros((parts, 2**bits // parts // 8), np.uint8)
+    for part, flags in zip(found["part"].to_pylist(), found["bits"].to_pylist(), strict=True):
         out[part] = np.frombuffer(flags, np.uint8)
     return out.ravel()
 
@@ -183,7 +189,7 @@ def _hot(docs: DataFrame) -> np.ndarray:
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for data in _texts(batch):
+            for data in _texts(column(batch, "text")):
                 for a, *_ in phrases(data):
                     yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64))], ["anchor"])
 
@@ -192,20 +198,40 @@ def _hot(docs: DataFrame) -> np.ndarray:
     return np.sort(found["anchor"].to_numpy())
 
 
-def _matched(rows: DataFrame, kinds: DataFrame, keys: list[str]) -> DataFrame:
-    """rows with the columns of kinds (one row of each key, its rows counted in met). Keys with HOT rows or more, a HOT-th of the rows at most, are broadcast; the rest are sorted."""
-    common = F.broadcast(kinds.filter(F.col("met") >= HOT))
-    rest = rows.join(common, keys, "left_anti").join(kinds.filter(F.col("met") < HOT).hint("merge"), keys)
-    return rows.join(common, keys).unionByName(rest)
+def _earliest(rows: DataFrame, keys: list[str], buckets: int) -> DataFrame:
+    """rows with earliest, the smallest doc_id among those of equal keys (longs, or one binary column)."""
+    counts = rows.groupBy(*keys).agg(F.min("doc_id").alias("earliest"), F.count("*").alias("met"))
+    total = rows.count()
+    common = counts.filter((F.col("met") >= 64) & (F.col("met") * HEAVY_KEYS >= total)).toArrow()  # HEAVY_KEYS rows at most
+
+    def key_of(table: pa.Table | pa.RecordBatch) -> pa.Array:
+        if len(keys) == 1:
+            found = table.column(table.schema.get_field_index(keys[0]))
+            return found.combine_chunks() if isinstance(found, pa.ChunkedArray) else found
+        both = np.stack([table.column(table.schema.get_field_index(k)).to_numpy() for k in keys], axis=1)
+        return pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * len(keys)), len(both), [None, pa.py_buffer(both.tobytes())])
+
+    known = key_of(common)
+    known = known.chunk(0) if isinstance(known, pa.ChunkedArray) else known
+    least = common["earliest"].to_numpy()
 
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = pa.compute.index_in(key_of(batch), value_set=known)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(least).take(at)], [*batch.schema.names, "earliest"])
+
+    def find(table: pa.Table) -> pa.Table:
+        coded = key_of(table).dictionary_encode()
+        coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
+        code, doc = coded.indices.to_numpy(), table["doc_id"].to_numpy()
+        first = np.full(len(coded.dictionary), np.iinfo(np.int64).max)
+        np.minimum.at(first, code, doc)
+        return table.drop_columns(["_bucket", "earliest"]).append_column("earliest", pa.array(first[code]))
 
-def _split_hot(hot: DataFrame) -> DataFrame:
-    """What _split finds, of the phrases of hot anchors."""
-    kinds = written(hot.groupBy("anchor", "phrase").agg(F.min("doc_id").alias("earliest"), F.count("*").alias("met")))
-    differ = kinds.groupBy("anchor").agg((F.min("earliest") < F.max("earliest")).alias("differ"))
-    rows = _matched(hot.drop("whole"), kinds, ["anchor", "phrase"]).join(F.broadcast(differ), "anchor")  # a row of each hot anchor
-    whole = F.col("doc_id") > F.col("earliest")
-    return rows.filter(whole | F.col("differ")).select(*NAMES, whole.alias("whole"))
+    types = ", ".join(f"{c} {t}" for c, t in rows.dtypes)
+    looked = written(rows.mapInArrow(look, f"{types}, earliest bigint"))
+    rest = looked.filter("earliest IS NULL").withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)))
+    return looked.filter("earliest IS NOT NULL").unionByName(rest.groupBy("_bucket").applyInArrow(find, f"{types}, earliest bigint"))
 
 
 def _windows(table: pa.Table) -> pa.Table:
@@ -216,9 +242,10 @@ def _windows(table: pa.Table) -> pa.Table:
     strings = [np.lib.stride_tricks.sliding_window_view(np.frombuffer(t.as_buffer(), np.uint8), LENGTH).tobytes() for t in table["text"].combine_chunks()]
     offsets = pa.py_buffer((np.arange(len(at) + 1) * LENGTH).astype(np.int32).tobytes())
     string = pa.Array.from_buffers(pa.binary(), len(at), [None, offsets, pa.py_buffer(b"".join(strings))])
-    return pa.table({"row": table["row"].take(pa.array(at)), "first": first.astype(np.int64), "last": (first + LENGTH).astype(np.int64), "doc_id": table["doc_id"].take(pa.array(at)), "string": string})
+    return pa.table({"doc_id": table["doc_id"].take(pa.array(at)), "row": table["row"].take(pa.array(at)), "first": first.astype(np.int64), "last": (first + LENGTH).astype(np.int64), "string": string})
 
 
+KEY = ["doc_id", "row"]
 NAMES = ["bucket", "anchor", "phrase", "doc_id", "row", "first", "n"]
 
 
@@ -251,7 +278,7 @@ def _resolve(table: pa.Table) -> pa.Table:
     heads = np.flatnonzero(new)
     earliest = doc[heads]
     later = doc > earliest[kind]
-    rows, starts, ends = [row[later]], [first[later]], [first[later] + count[later] + LENGTH - 1]
+    ids, rows, starts, ends = [doc[later]], [row[later]], [first[later]], [first[later] + count[later] + LENGTH - 1]
     group = np.cumsum(new_anchor)[heads]
     mixed = np.flatnonzero(np.bincount(group)[group] > 1)
     if len(mixed):
@@ -287,27 +314,28 @@ def _resolve(table: pa.Table) -> pa.Table:
             for o in range(heads[k], end):
                 if doc[o] != earliest[k]:
                     break
+                ids.append(np.repeat(doc[o], len(a)))
                 rows.append(np.repeat(row[o], len(a)))
                 starts.append(first[o] + a)
                 ends.append(first[o] + b)
-    return pa.table({"row": np.concatenate(rows), "first": np.concatenate(starts).astype(np.int64), "last": np.concatenate(ends).astype(np.int64)})
+    return pa.table({"doc_id": np.concatenate(ids), "row": np.concatenate(rows), "first": np.concatenate(starts).astype(np.int64), "last": np.concatenate(ends).astype(np.int64)})
 
 
 def spans(docs: DataFrame) -> DataFrame:
-    """row, spans: array of (first, last) in bytes, sorted, perhaps overlapping; docs: doc_id, text, row."""
+    """doc_id, row, spans: array of (first, last) in bytes, sorted, perhaps overlapping; docs: doc_id, text, row."""
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = min(MOST_BITS, max(LEAST_BITS, int(size).bit_length() - 3))
     buckets = max(16, size // BUCKET_BYTES)
     hot = _hot(docs)
-    marked = spark.sparkContext.broadcast(_marked(docs.select("text"), bits))
+    marked = spark.sparkContext.broadcast(_marked(docs.select("text"), bits, size))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = marked.value
         for batch in batches:
             ids, keys = (column(batch, c).to_numpy() for c in ("doc_id", "row"))
             out = []
-            for i, data in enumerate(_texts(batch)):
+            for i, data in enumerate(_texts(column(batch, "text"))):
                 for a, p, first, count in phrases(data):
                     at = (a >> _U(64 - bits)).astype(np.int64)
                     keep = np.flatnonzero(bitmap[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1)
@@ -328,11 +356,10 @@ def spans(docs: DataFrame) -> DataFrame:
             asked, texts = column(batch, "asked"), []
             which = pa.compute.list_parent_indices(asked).to_numpy()
             flat = pa.compute.list_flatten(asked)
-            data = list(_texts(batch))
+            data = list(_texts(column(batch, "text")))
             for i, first, n in zip(which.tolist(), flat.field("first").to_pylist(), flat.field("n").to_pylist(), strict=True):
                 texts.append(data[i][first : first + n + LENGTH - 1].tobytes())
-            rows = column(batch, "row").take(pa.array(which))
-            fields = {k: flat.field(k) for k in NAMES if k != "row"} | {"row": rows}
+            fields = {k: flat.field(k) for k in NAMES if k not in KEY} | {k: column(batch, k).take(pa.array(which)) for k in KEY}
             yield pa.RecordBatch.from_arrays([*(fields[k] for k in NAMES), pa.array(texts, pa.binary())], [*NAMES, "text"])
 
     def split(table: pa.Table) -> pa.Table:
@@ -344,38 +371,39 @@ def spans(docs: DataFrame) -> DataFrame:
         if table["bucket"][0].as_py() >= buckets:
             return _windows(table)
         out = _resolve(table)
-        return out.append_column("doc_id", pa.nulls(len(out), pa.int64())).append_column("string", pa.nulls(len(out), pa.binary()))
+        return out.append_column("string", pa.nulls(len(out), pa.binary()))
 
     types = "bucket int, anchor bigint, phrase bigint, doc_id bigint, row bigint, first int, n int"
     found = written(docs.mapInArrow(send, types).groupBy("bucket").applyInArrow(split, f"{types}, whole boolean"))
     if len(hot):
-        found = found.filter("whole IS NOT NULL").union(written(_split_hot(found.filter("whole IS NULL"))).select(*found.columns))
-    asked = found.filter("not whole").groupBy("row").agg(F.collect_list(F.struct(*(k for k in NAMES if k != "row"))).alias("asked"))
-    fetched = docs.join(asked, "row").select("row", "text", "asked").mapInArrow(cut, f"{types}, text binary")
-    partly = written(fetched.groupBy("bucket").applyInArrow(resolve, "row bigint, first bigint, last bigint, doc_id bigint, string binary"))
+        dealt = _earliest(found.filter("whole IS NULL").drop("whole"), ["anchor", "phrase"], buckets)
+        dealt = written(dealt.select(*NAMES, (F.col("doc_id") > F.col("earliest")).alias("whole")))
+        found = found.filter("whole IS NOT NULL").union(dealt)
+    asked = found.filter("not whole").groupBy("doc_id", "row").agg(F.collect_list(F.struct(*(k for k in NAMES if k not in KEY))).alias("asked"))
+    fetched = docs.join(asked, KEY).select(*KEY, "text", "asked").mapInArrow(cut, f"{types}, text binary")
+    partly = written(fetched.groupBy("bucket").applyInArrow(resolve, "doc_id bigint, row bigint, first bigint, last bigint, string binary"))
     if len(hot):
-        windows = partly.filter("string IS NOT NULL")
-        least = written(windows.groupBy("string").agg(F.min("doc_id").alias("earliest"), F.count("*").alias("met")))
-        repeated = _matched(windows, least, ["string"]).filter("doc_id > earliest").select("row", "first", "last")
-        partly = partly.filter("string IS NULL").select("row", "first", "last").union(repeated)
-    both = found.filter("whole").select("row", "first", (F.col("first") + F.col("n") + LENGTH - 1).alias("last")).union(partly.select("row", F.col("first").cast("int"), F.col("last").cast("int")))
-    return both.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("spans"))
+        repeated = written(_earliest(partly.filter("string IS NOT NULL"), ["string"], buckets).filter("doc_id > earliest").select(*KEY, "first", "last"))
+        partly = partly.filter("string IS NULL").select(*KEY, "first", "last").union(repeated)
+    both = found.filter("whole").select(*KEY, "first", (F.col("first") + F.col("n") + LENGTH - 1).alias("last")).union(partly.select(*KEY, F.col("first").cast("int"), F.col("last").cast("int")))
+    return both.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("spans"))
 
 
-def remove(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), whole_characters: bool = False) -> DataFrame:
-    """The columns keep, n_bytes, n_removed, n_spans and kept (binary: the remaining bytes) of each row of docs.
+def remove(docs: DataFrame, whole_characters: bool = False) -> DataFrame:
+    """document (a struct of the columns of docs), n_bytes, n_removed, n_spans and kept (binary: the remaining bytes) of each row of docs.
 
     whole_characters shrinks the removed runs to UTF-8 boundaries, so that kept stays valid text.
     """
     small_batches(docs.sparkSession)
-    narrow = docs.select(*dict.fromkeys([*keep, "text"]), F.xxhash64("doc_id", "text").alias("row"))
-    found = spans(docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row")).filter(F.col("doc_id").isNotNull()))
-    joined = narrow.join(found, "row", "left")
+    row = F.xxhash64("doc_id", "text").alias("row")
+    whole = docs.select(F.struct(*docs.columns).alias("document"), "doc_id", row)
+    found = spans(docs.select("doc_id", "text", row).filter(F.col("doc_id").isNotNull()))
+    joined = whole.join(found, KEY, "left").select("document", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for data, own in zip(_texts(batch), column(batch, "spans"), strict=True):
+            out, documents = [], column(batch, "document")
+            for data, own in zip(_texts(documents.field("text")), column(batch, "spans"), strict=True):
                 n = len(data)
                 if not own.is_valid or n == 0:
                     out.append((n, 0, 0, data.tobytes()))
@@ -390,14 +418,11 @@ def remove(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), whole_character
                 runs = int(np.count_nonzero(gone[1:] & ~gone[:-1])) + int(gone[0])
                 out.append((n, int(gone.sum()), runs, data[~gone].tobytes()))
             n, removed, runs, kept = zip(*out, strict=True) if out else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([*(column(batch, k) for k in keep), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.binary())], [*keep, "n_bytes", "n_removed", "n_spans", "kept"])
+            yield pa.RecordBatch.from_arrays([documents, pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.binary())], ["document", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    own = dict(narrow.dtypes)
-    fields = ", ".join(f"`{k}` {own[k]}" for k in keep)
-    columns = list(dict.fromkeys([*keep, "text", "spans"]))
-    return joined.select(*columns).mapInArrow(run, f"{fields}, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
+    return joined.mapInArrow(run, extended(joined.select("document"), "n_bytes bigint, n_removed bigint, n_spans bigint, kept binary"))
 
 
 def digests(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row of docs."""
-    return remove(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return remove(docs.select("doc_id", "text")).select("document.doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
