@@ -7,30 +7,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import bpe, mixing, near_dedup, quality_classifier, suffix_dedup
-from quillspark.llm.common import read, written
+from quillspark.llm.common import few, read, written
 from quillspark.llm.queries import RANKS
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier scores as good."""
     model = quality_classifier.train(docs, read(spark, sf_dir, "labels"))
-    scored = quality_classifier.score(docs, model, tuple(docs.columns))
-    return scored.filter(F.col("score") >= quality_classifier.THRESHOLD).select(*docs.columns)
+    whole = docs.select("text", F.struct(*docs.columns).alias("document"))  # the operators' own columns may have any name
+    scored = quality_classifier.score(whole, model, ("document",))
+    return scored.filter(F.col("score") >= quality_classifier.THRESHOLD).select("document.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: shingles of five words, similarity of 0.8 or more."""
-    dropped = near_dedup.find(docs).filter("not kept").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    """One document of each group: shingles of five words, similarity of 0.8 or more. Rows without an id stay."""
+    gone = written(near_dedup.find(docs).filter("not kept").select("doc_id").distinct())
+    return docs.join(few(gone), "doc_id", "left_anti").select(*docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the bytes that an earlier one has; those with nothing left go."""
-    rest = suffix_dedup.remove(docs, tuple(docs.columns), whole_characters=True)
-    left = rest.withColumn("rest", F.when(F.col("n_removed") > 0, F.decode("kept", "UTF-8")).otherwise(F.col("text")))
-    left = left.filter((F.col("n_removed") == 0) | (F.length("rest") > 0))
-    changed = {"text": F.col("rest"), "n_chars": F.when(F.col("n_removed") > 0, F.length("rest").cast("long")).otherwise(F.col("n_chars"))}
-    return left.select(*(changed.get(c, F.col(c)).alias(c) for c in docs.columns))
+    rest = suffix_dedup.remove(docs, whole_characters=True)
+    cut = F.col("n_removed") > 0
+    rest = rest.withColumn("rest", F.when(cut, F.decode("kept", "UTF-8"))).filter(~cut | (F.length("rest") > 0))
+    changed = {"text": F.when(cut, F.col("rest")).otherwise(F.col("document.text")), "n_chars": F.when(cut, F.length("rest").cast("long")).otherwise(F.col("document")["n_chars"])}
+    return rest.select(*(changed.get(c, F.col("document")[c]).alias(c) for c in docs.columns))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +46,7 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("repeated_passages", repeated_passages), ("mixture", mixture), ("encoded", encoded)]
 
-#: SQL expresses neither the trees nor the sketches; the tests compare each stage with a brute-force version.
+#: SQL expresses neither the trees nor the sketches; tests/llm/test_pipeline.py compares run() with a plain version of each stage.
 ORACLE_SQL = None
 
 
