@@ -73,16 +73,28 @@ def first_per(df: DataFrame, key: str, order: list) -> DataFrame:
     return top_per(df, key, order, 1).drop("rank")
 
 
-def title_tokens(title: str = "title", stop: tuple[str, ...] = ("the", "of", "and", "a", "in")) -> Column:
-    """Distinct words of a normalised title without stop words."""
-    return F.array_distinct(F.filter(F.split(T.norm(F.col(title)), " "), lambda t: (t != "") & ~t.isin(*stop)))
+#: Words of titles that don't tell books apart.
+TITLE_NOISE = "the a an of and or to in on for with by at from oceanofpdf com www http https pdf epub mobi azw3 ebook".split()
+
+
+def title_tokens(title: str = "title") -> Column:
+    """Distinct words of a normalised title without noise."""
+    return F.array_distinct(F.filter(F.split(T.norm(F.col(title)), " "), lambda t: (t != "") & ~t.isin(*TITLE_NOISE)))
 
 
 def not_contained(candidates: DataFrame, owned: DataFrame) -> DataFrame:
-    """C14: candidates without an owned title that has all their tokens; by joins on tokens, never all pairs."""
-    enough = (F.size("tokens") >= 2) | ((F.size("tokens") == 1) & (F.length(F.element_at("tokens", 1)) >= 5))
-    c = candidates.withColumn("tokens", title_tokens())
-    wanted = c.filter(F.size("tokens") > 0).filter(enough).select("id", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
-    have = owned.select(F.col("id").alias("owner"), F.explode(title_tokens()).alias("token"))
-    hit = wanted.join(have, "token").groupBy("id", "owner", "n").count().filter(F.col("count") == F.col("n")).select("id").distinct()
+    """C14: candidates without an owned title that has all their tokens.
+
+    A candidate meets only the owned titles that have its rarest token (by how many owned titles have it), so a common
+    word pairs nothing; the rest of its tokens is then looked for in the owned title.
+    """
+    enough = (F.size("tokens") >= 2) | ((F.size("tokens") == 1) & (F.length(F.element_at("tokens", 1)) >= 5))  # B13
+    wanted = candidates.select("id", title_tokens().alias("tokens")).filter(F.size("tokens") > 0).filter(enough)
+    have = owned.select(title_tokens().alias("own")).distinct()
+    each = have.select("own", F.explode("own").alias("token"))
+    common = each.groupBy("token").agg(F.count("*").alias("n"))
+    # tokens that no owned title has rule the candidate out
+    rarest = wanted.select("id", "tokens", F.explode("tokens").alias("token")).join(common, "token").groupBy("id").agg(F.count("*").alias("met"), F.first("tokens").alias("tokens"), F.min_by("token", F.struct("n", "token")).alias("token"))
+    met = rarest.filter(F.col("met") == F.size("tokens")).join(each, "token")
+    hit = met.filter(F.size(F.array_except("tokens", "own")) == 0).select("id").distinct()
     return candidates.join(hit, "id", "left_anti")

@@ -8,25 +8,9 @@ from pyspark.sql import functions as F
 from .functions import text as T
 from .operators import library, merge, search, stats, vectors
 from .plans import binding as B
+from .registry import AS_OF, AS_OF_DAY, ORACLES, QUERIES, query
 from .streaming import sessions as streams
 
-AS_OF, AS_OF_DAY = 1_706_745_600_000, "2024-01-31"
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None, views: bool = True):
-    """Register a function of (session, folder) under its name, with its SQL over the views."""
-
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = f"WITH {B.DUCK.strip()}{'' if sql.startswith(',') else chr(10)}{sql}" if views else sql
-        return f
-
-    return register
-
-
 def _dated(df: DataFrame, day: str = "day") -> DataFrame:
     """Dates as text, which both engines write alike."""
     return df.withColumn(day, F.col(day).cast("string"))
@@ -50,9 +34,9 @@ def a3_trash(s, d):
     return library.trash(B.items(s, d)).select("id", "deleted_at")
 
 
-@query(f"SELECT id, deleted_at FROM items WHERE purged_at IS NULL AND deleted_at < {AS_OF - 30 * B.DAY}")
+@query(f"SELECT id, deleted_at FROM items WHERE purged_at IS NULL AND deleted_at < {AS_OF + 2 * B.DAY - 30 * B.DAY}")
 def a4_expired_trash(s, d):
-    return library.expired(B.items(s, d), AS_OF).select("id", "deleted_at")
+    return library.expired(B.items(s, d), AS_OF + 2 * B.DAY).select("id", "deleted_at")
 
 
 @query("SELECT id, sha256(text) AS hash FROM items WHERE sha256(text) = (SELECT sha256(text) FROM documents ORDER BY doc_id LIMIT 1)")
@@ -104,18 +88,19 @@ def c6_nested_tags(s, d):
     return library.nested_tags(B.items(s, d).select("id"), B.item_tags(s, d))
 
 
-@query("SELECT id FROM items WHERE deleted_at IS NULL AND id NOT IN (SELECT id FROM vectors) AND id NOT IN (SELECT item_id FROM item_tags)")
+@query("SELECT id FROM items WHERE deleted_at IS NULL AND id NOT IN (SELECT id FROM vectors WHERE owned) AND id NOT IN (SELECT item_id FROM item_tags WHERE tag = 'Brand#12')")
 def c12_backfill_worklist(s, d):
-    out = library.live(B.items(s, d)).select("id").join(B.vectors(s, d).select("id"), "id", "left_anti")
-    return out.join(B.item_tags(s, d).select(F.col("item_id").alias("id")), "id", "left_anti")
+    out = library.live(B.items(s, d)).select("id").join(B.vectors(s, d).filter("owned").select("id"), "id", "left_anti")
+    return out.join(B.item_tags(s, d).filter("tag = 'Brand#12'").select(F.col("item_id").alias("id")), "id", "left_anti")
+
+
+_TOKENS = "list_distinct(list_filter(string_split(lower(title), ' '), lambda t: t <> '' AND t NOT IN ('the', 'a', 'an', 'of', 'and', 'or', 'to', 'in', 'on', 'for', 'with', 'by', 'at', 'from', 'oceanofpdf', 'com', 'www', 'http', 'https', 'pdf', 'epub', 'mobi', 'azw3', 'ebook')))"
 
 
-@query("""SELECT c.id FROM (SELECT p_partkey AS id, list_distinct(list_filter(string_split(lower(p_name), ' '), lambda t: t <> '' AND t NOT IN ('the', 'of', 'and', 'a', 'in'))) AS tokens FROM part) c
-WHERE NOT (len(tokens) >= 2 OR (len(tokens) = 1 AND length(tokens[1]) >= 5)) OR NOT EXISTS (SELECT 1 FROM
-(SELECT list_distinct(list_filter(string_split(lower(p_name), ' '), lambda t: t <> '' AND t NOT IN ('the', 'of', 'and', 'a', 'in'))) AS own FROM part WHERE p_partkey % 7 = 0) o WHERE list_has_all(own, c.tokens))""")
+@query(f"""SELECT c.id FROM (SELECT id, {_TOKENS} AS tokens FROM candidates) c WHERE NOT (len(tokens) >= 2 OR (len(tokens) = 1 AND length(tokens[1]) >= 5)) OR NOT EXISTS (SELECT 1 FROM (SELECT {_TOKENS} AS own FROM candidates WHERE owned) o WHERE list_has_all(own, c.tokens))""")
 def c14_fuzzy_containment(s, d):
-    parts = B.table(s, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"))
-    return library.not_contained(parts, parts.filter("id % 7 = 0")).select("id")
+    rows = B.candidates(s, d).select("id", "title", "owned")
+    return library.not_contained(rows, rows.filter("owned")).select("id")
 
 
 @query("SELECT coalesce(derived_from, id) AS family, max(coalesce(scroll, 0)) AS scroll, count(*) AS members, bool_or(coalesce(status = 'finished', false)) AS finished FROM items i LEFT JOIN progress p ON p.item_id = i.id GROUP BY 1")
@@ -352,3 +337,6 @@ def m1_session_windows(s, d):
 @query("SELECT cast(cast(ts AS DATE) AS VARCHAR) AS day, round(sum(value), 4) AS value, count(*) AS n FROM events GROUP BY 1", views=False)
 def m10_daily_totals(s, d):
     return _dated(streams.daily_totals(B.table(s, d, "events"))).withColumn("value", F.round("value", 4))
+
+
+from . import queries_lists  # noqa: E402, F401  each registers its queries
