@@ -65,13 +65,3 @@ def diversified(scored: DataFrame, group: str, k: int, weight: float = 0.7) -> D
         one = written(left.groupBy(group).agg(F.max_by(F.struct("id", "v"), best).alias("best")).select(group, "best.*", F.lit(place).alias("place")))
         out = one if out is None else out.unionByName(one)
     return out.select(group, "id", "place")
-
-
-def held_out_ranks(items: DataFrame, group: str) -> DataFrame:
-    """J14 with one centroid: each liked item against the mean of the others of its group (sum less own), as a cosine."""
-    sums = items.select(group, F.posexplode("v").alias("i", "x")).groupBy(group, "i").agg(F.sum(F.col("x").cast("double")).alias("s"))
-    total = sums.groupBy(group).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "s"))), lambda e: e["s"]).alias("total"))
-    rest = F.zip_with("total", "v", lambda t, x: t - x.cast("double"))
-    fold = items.join(total, group).withColumn("rest", rest)
-    norm = F.sqrt(dot(F.col("rest"), F.col("rest")))
-    return fold.select("id", group, F.when(norm > 0, dot(F.col("v"), F.col("rest")) / norm).otherwise(0.0).alias("cosine"))

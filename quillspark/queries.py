@@ -284,30 +284,6 @@ def j3_j4_affinity(s, d):
     return signals.select("id", F.round(vectors.affinity(), 6).alias("affinity"))
 
 
-_CENTROIDS = "c AS (SELECT label, list(s ORDER BY i) AS s FROM (SELECT label, i, sum(cast(x AS DOUBLE)) AS s FROM (SELECT label, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM vectors WHERE owned AND label < 3) GROUP BY 1, 2) GROUP BY 1)"
-
-
-@query(f", {_CENTROIDS} SELECT id, round(max(list_dot_product(cast(v AS DOUBLE[]), s) / sqrt(list_dot_product(s, s))), 6) AS score FROM vectors, c WHERE NOT owned GROUP BY 1")
-def j8_j10_scores(s, d):
-    v = B.vectors(s, d)
-    taste = vectors.weighted_mean(v.filter("owned AND label < 3").withColumn("w", F.lit(1.0)), "v", "w", "label")
-    return vectors.score(v.filter("NOT owned"), taste).select("id", F.round("score", 6).alias("score"))
-
-
-@query()
-def j11_diversified(s, d):
-    v = B.vectors(s, d)
-    taste = vectors.weighted_mean(v.filter("owned AND label < 3").withColumn("w", F.lit(1.0)), "v", "w", "label")
-    scored = vectors.score(v.filter("NOT owned"), taste).join(v, "id")
-    return vectors.diversified(scored, "label", 5)
-
-
-@query(""", t AS (SELECT label, list(s ORDER BY i) AS s FROM (SELECT label, i, sum(cast(x AS DOUBLE)) AS s FROM (SELECT label, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM vectors WHERE label < 4) GROUP BY 1, 2) GROUP BY 1)
-SELECT id, label, round(list_dot_product(w, r) / sqrt(list_dot_product(r, r)), 6) AS cosine FROM (SELECT id, label, cast(v AS DOUBLE[]) AS w, list_transform(list_zip(s, v), lambda z: z[1] - cast(z[2] AS DOUBLE)) AS r FROM vectors JOIN t USING (label))""")
-def j14_leave_one_out(s, d):
-    return vectors.held_out_ranks(B.vectors(s, d).filter("label < 4"), "label").select("id", "label", F.round("cosine", 6).alias("cosine"))
-
-
 _TERMS = "list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: w <> '')"
 
 
@@ -339,4 +315,4 @@ def m10_daily_totals(s, d):
     return _dated(streams.daily_totals(B.table(s, d, "events"))).withColumn("value", F.round("value", 4))
 
 
-from . import queries_lists  # noqa: E402, F401  each registers its queries
+from . import queries_lists, queries_taste  # noqa: E402, F401  each registers its queries
