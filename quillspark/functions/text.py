@@ -61,3 +61,224 @@ def clamp_progress(x: Column) -> Column:
 
 def js_round(x: Column) -> Column:
     return F.floor(x + 0.5)
+
+
+# hashes and keys
+
+
+def content_hash(text: Column) -> Column:
+    """H4: length and a 31-multiplier hash of the text's UTF-16 units (of its first and last 2,000, if it has more than 4,000).
+
+    Texts are of the basic plane here: a character beyond it counts as one unit by its code point.
+    """
+    n = F.length(text)
+    sample = F.when(n > 4000, F.concat(F.substring(text, 1, 2000), F.right(text, F.lit(2000)))).otherwise(text)
+    step = lambda h, c: (h * 31 + F.ascii(c)).bitwiseAND(0xFFFFFFFF)
+    h = F.when(F.length(sample) > 0, F.aggregate(F.split(sample, ""), F.lit(0).cast("long"), step)).otherwise(F.lit(0).cast("long"))
+    return F.concat(n.cast("string"), F.lit(":"), h.cast("string"))
+
+
+def hash31(id: Column) -> Column:
+    """The same hash as an unsigned number."""
+    step = lambda h, c: (h * 31 + F.ascii(c)).bitwiseAND(0xFFFFFFFF)
+    return F.when(F.length(id) > 0, F.aggregate(F.split(id, ""), F.lit(0).cast("long"), step)).otherwise(F.lit(0).cast("long"))
+
+
+def color_of(id: Column, palette: int, signed: bool = False) -> Column:
+    """The place of an id's color, by the unsigned hash, or by the absolute value of the signed one."""
+    h = hash31(id)
+    return (F.when(h >= 2**31, 2**32 - h).otherwise(h) if signed else h) % palette
+
+
+def embedding_hash(meta: Column, content: Column) -> Column:
+    """H6: changes with either; a null content is an empty one."""
+    return F.sha2(F.concat(meta, F.lit("\x1f"), F.coalesce(content, F.lit(""))), 256)
+
+
+def tombstone(name: Column, id: Column) -> Column:
+    """A name that is free for others again."""
+    return F.concat(name, F.lit("\x1f"), id.cast("string"))
+
+
+def composite(*columns: Column) -> Column:
+    """One key of several columns, told apart from any other."""
+    return F.to_json(F.array(*(c.cast("string") for c in columns)))
+
+
+# HTML and URLs
+
+
+def body_text(html: Column) -> Column:
+    """The text of the body, with numeric entities of the ASCII range decoded as well."""
+    body = F.regexp_extract(html, r"(?is)<body\b[^>]*>(.*?)</body\s*>", 1)
+    out = html_to_text(F.when(F.length(body) > 0, body).otherwise(html))
+    for code in range(33, 127):
+        if code not in (38, 39):
+            out = F.replace(out, F.lit(f"&#{code};"), F.lit(chr(code)))
+    return out
+
+
+def is_http(url: Column) -> Column:
+    """B16."""
+    return F.coalesce(url.rlike(r"(?i)^https?://[^/?#\s]+"), F.lit(False))
+
+
+def resolved_url(base: Column, link: Column) -> Column:
+    """A link of a page as an absolute URL (paths with dots stay as they are)."""
+    scheme, origin = F.regexp_extract(base, r"^([A-Za-z]+:)", 1), F.regexp_extract(base, r"^([A-Za-z]+://[^/?#]*)", 1)
+    folder = F.regexp_extract(F.regexp_replace(base, r"[?#].*$", ""), r"^([A-Za-z]+://.*/)", 1)
+    own = F.when(F.length(F.regexp_extract(base, r"^[A-Za-z]+://[^/]*(/)", 1)) > 0, folder).otherwise(F.concat(origin, F.lit("/")))
+    return F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), link).when(link.startswith("//"), F.concat(scheme, link)).when(link.startswith("/"), F.concat(origin, link)).when(link.startswith("#") | link.startswith("?"), F.concat(F.regexp_replace(base, r"[?#].*$", ""), link)).otherwise(F.concat(own, link))
+
+
+def numeric_chapter(url: Column) -> Column:
+    """struct(head, number, tail) of a URL whose path ends with a number; null without one."""
+    p = r"^(.*[/_-])(\d+)(/?(?:[?#].*)?)$"
+    return F.when(url.rlike(p), F.struct(F.regexp_extract(url, p, 1).alias("head"), F.regexp_extract(url, p, 2).cast("long").alias("number"), F.regexp_extract(url, p, 3).alias("tail")))
+
+
+def links(html: Column) -> Column:
+    """The targets of a page's links."""
+    return F.regexp_extract_all(html, F.lit(r'(?i)<a\s[^>]*href="([^"]*)"'), 1)
+
+
+def page_kind(html: Column) -> Column:
+    """Toc, chapter or article, by its links and paragraphs."""
+    n, p = F.size(links(html)), F.regexp_count(html, F.lit("(?i)<p[ >]"))
+    return F.when((n >= 5) & (n > p), "toc").when(html.rlike(r"(?i)\bchapter\s+\d+"), "chapter").otherwise("article")
+
+
+def chapter_count(html: Column) -> Column:
+    """Options of a chapter list, else what `N chapters` says, else 1."""
+    options, said = F.regexp_count(html, F.lit("(?i)<option[ >]")), F.regexp_extract(html, r"(?i)(\d+)\s+chapters", 1)
+    return F.when(options > 0, options).when(F.length(said) > 0, said.cast("int")).otherwise(1)
+
+
+def page_title(html: Column) -> Column:
+    """The first heading, else the title, as text; null without either."""
+    h1, title = (html_to_text(F.regexp_extract(html, rf"(?is)<{t}\b[^>]*>(.*?)</{t}\s*>", 1)) for t in ("h1", "title"))
+    return F.when(F.length(h1) > 0, h1).when(F.length(title) > 0, title)
+
+
+def site_key(url: Column) -> Column:
+    """The last two labels of the host."""
+    host = F.lower(F.regexp_extract(url, r"^[A-Za-z]+://([^/?#:]*)", 1))
+    return F.substring_index(host, ".", -2)
+
+
+def escaped_html(text: Column) -> Column:
+    """H12."""
+    out = text
+    for char, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        out = F.replace(out, F.lit(char), F.lit(entity))
+    return out
+
+
+def chapter_block(title: Column, html: Column) -> Column:
+    """A chapter as a block; chapter_blocks() reads them back."""
+    return F.concat(F.lit('<div class="chapter"><h2>'), escaped_html(title), F.lit("</h2>"), html, F.lit("</div><!--/chapter-->"))
+
+
+def chapter_blocks(html: Column) -> Column:
+    """The inner HTML of the chapters."""
+    return F.regexp_extract_all(html, F.lit(r'(?s)<div class="chapter">(.*?)</div><!--/chapter-->'), 1)
+
+
+def int_loose(text: Column) -> Column:
+    """The digits of a text as a number; null without one."""
+    digits = F.regexp_replace(text, r"\D", "")
+    return F.when(F.length(digits) > 0, digits.cast("long"))
+
+
+def work_status(chapters: Column) -> Column:
+    """X/Y: complete when all are there; null for other texts."""
+    p = r"^\s*([\d,]+)\s*/\s*([\d,]+|\?)\s*$"
+    a, b = (F.regexp_replace(F.regexp_extract(chapters, p, i), ",", "") for i in (1, 2))
+    return F.when(chapters.rlike(p), F.when(a == b, "complete").otherwise("in-progress"))
+
+
+# words and labels
+
+
+def metadata(title: Column, author: Column, tags: Column, description: Column, most: int = 400) -> Column:
+    """Labelled parts, those that are there; long ones are cut."""
+    cut = F.when(F.length(description) > most, F.rtrim(F.substring(description, 1, most))).otherwise(description)
+    labelled = lambda k, c: F.when(F.length(c) > 0, F.concat(F.lit(f"{k}: "), c))
+    return F.concat_ws(" | ", F.concat(F.lit("title: "), title), labelled("author", author), labelled("tags", F.array_join(tags, ", ")), labelled("description", cut))
+
+
+def duration(ms: Column) -> Column:
+    """45s, 12m, 3h 5m."""
+    h, m = F.floor(ms / 3_600_000), F.floor(F.pmod(ms, F.lit(3_600_000)) / 60_000 + 0.5)
+    hours = F.when(m > 0, F.concat(h.cast("string"), F.lit("h "), m.cast("string"), F.lit("m"))).otherwise(F.concat(h.cast("string"), F.lit("h")))
+    return F.when(ms < 60_000, F.concat(js_round(ms / 1000).cast("string"), F.lit("s"))).when(ms < 3_600_000, F.concat(js_round(ms / 60_000).cast("string"), F.lit("m"))).otherwise(hours)
+
+
+def word_label(n: Column) -> Column:
+    """950, 12K, 1.2M."""
+    return F.when(n >= 1_000_000, F.concat(F.format_string("%.1f", n / 1_000_000), F.lit("M"))).when(n >= 1000, F.concat(js_round(n / 1000).cast("string"), F.lit("K"))).otherwise(n.cast("string"))
+
+
+def book_fraction(chapter: Column, within: Column, chapters: Column) -> Column:
+    """How far into the book a place of a chapter is; null without a chapter or chapters."""
+    return F.when(chapter.isNotNull() & (chapters > 0), clamp((chapter + clamp(within, 0.0, 1.0)) / chapters, 0.0, 1.0))
+
+
+def fraction_chapter(fraction: Column, n: Column) -> Column:
+    """The chapter (from 0) that a fraction of the book stands for."""
+    return F.when(n <= 1, 0).otherwise(js_round(fraction * (n - 1))).cast("long")
+
+
+def chapter_fraction(chapter: Column, n: Column) -> Column:
+    """H47."""
+    return F.when(n <= 1, 0.0).otherwise(chapter / F.greatest(n - 1, F.lit(1)))
+
+
+def backoff(base: int, n: Column, most: int) -> Column:
+    """H41."""
+    return F.least(base * F.pow(F.lit(2.0), n), F.lit(float(most))).cast("long")
+
+
+def progress(done: Column, total: Column) -> Column:
+    """A percentage; null without a total."""
+    return F.when(total > 0, js_round(done / F.when(total > 0, total) * 100).cast("long"))
+
+
+def chapter_progress(message: Column) -> Column:
+    """struct(done, total) of `chapter N of M` or `N/M`; null for other texts."""
+    p = r"(?i)(\d+)\s*(?:/|of)\s*(\d+)"
+    return F.when(message.rlike(p), F.struct(F.regexp_extract(message, p, 1).cast("long").alias("done"), F.regexp_extract(message, p, 2).cast("long").alias("total")))
+
+
+def context_score(a: Column, b: Column) -> Column:
+    """How many characters two contexts share at the same places."""
+    n = F.least(F.length(a), F.length(b))
+    at = F.sequence(F.lit(1), F.greatest(n, F.lit(1)))
+    return F.when(n > 0, F.size(F.filter(at, lambda i: F.substr(a, i, F.lit(1)) == F.substr(b, i, F.lit(1))))).otherwise(0)
+
+
+def normal_word(raw: Column) -> Column:
+    """Lower case, without what isn't a letter at either end."""
+    return F.regexp_replace(F.trim(F.lower(raw)), r"^[^\p{L}]+|[^\p{L}]+$", "")
+
+
+#: Suffixes of inflected words and what replaces them, in the order of trial.
+SUFFIXES = (("ies", "y"), ("ches", "ch"), ("shes", "sh"), ("sses", "ss"), ("xes", "x"), ("zes", "z"), ("es", ""), ("s", ""), ("ied", "y"), ("ed", ""), ("ed", "e"), ("ing", ""), ("ing", "e"), ("er", ""), ("est", ""), ("er", "e"), ("est", "e"))
+
+
+def base_forms(word: Column) -> Column:
+    """The words that an inflected one may come from, in the order of trial."""
+    by_rule = [F.when(word.endswith(suffix), F.concat(F.substr(word, F.lit(1), F.length(word) - len(suffix)), F.lit(new))) for suffix, new in SUFFIXES]
+    p = r"^(.*[aeiou])([bcdfghjklmnpqrstvwxyz])\2(ing|ed)$"
+    doubled = F.when(word.rlike(p), F.concat(F.regexp_extract(word, p, 1), F.regexp_extract(word, p, 2)))
+    return F.array_distinct(F.filter(F.array_compact(F.array(*by_rule, doubled)), lambda x: (F.length(x) >= 2) & (x != word)))
+
+
+def is_heading(line: Column) -> Column:
+    """A line that begins a chapter."""
+    return F.coalesce(line.rlike(r"(?i)^\s*(chapter|part|book|prologue|epilogue)\b"), F.lit(False))
+
+
+def is_blob_key(key: Column) -> Column:
+    """B19."""
+    return F.coalesce(key.rlike(r"^users/[^/]+/(content|cover)/[0-9a-f]{64}$"), F.lit(False))

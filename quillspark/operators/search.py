@@ -1,41 +1,163 @@
-"""Full-text search: postings, prefix queries, BM25."""
+"""Full-text search: postings by term, prefix and boolean queries, BM25, finding within texts, dictionary lookup."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import unicodedata
+from dataclasses import dataclass
+from functools import reduce
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+
+from ..functions import text as T
+from ..tables import written
+
+
+@pandas_udf("string")
+def folded(text: pd.Series) -> pd.Series:
+    """H8: lower case without diacritics."""
+
+    def one(t: str | None) -> str | None:
+        return None if t is None else "".join(c for c in unicodedata.normalize("NFD", t.lower()) if not 0x300 <= ord(c) <= 0x36F)
+
+    return text.map(one, na_action="ignore")
+
+
+@dataclass(frozen=True)
+class Index:
+    """K1: postings (term, field, id, tf), a table sorted by term, so that a scan reads few row groups; lengths (id, length)."""
+
+    postings: DataFrame
+    lengths: DataFrame
+
+
+def terms(text: Column, fold: bool = True) -> Column:
+    return F.filter(F.split(folded(text) if fold else F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+
+
+def built(docs: DataFrame, key: str, fields: list[str], fold: bool = True) -> Index:
+    """K1: the index of the fields of docs; written once, for many queries."""
+    each = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f"_{f}").alias("terms")) for f in fields)))
+    split = docs.select(F.col(key).alias("id"), *(terms(F.coalesce(f, F.lit("")), fold).alias(f"_{f}") for f in fields))
+    rows = split.select("id", each.alias("e")).select("id", "e.field", F.explode("e.terms").alias("term"))
+    counted = rows.groupBy("term", "field", "id").agg(F.count("*").alias("tf"))
+    postings = written(counted.repartitionByRange("term", "id").sortWithinPartitions("term", "id"))
+    held = postings.groupBy("id").agg(F.sum("tf").alias("length"))
+    return Index(postings, written(docs.select(F.col(key).alias("id")).join(held, "id", "left").select("id", F.coalesce("length", F.lit(0)).alias("length"))))
+
 
+def replaced(index: Index, gone: DataFrame, new: Index | None = None) -> Index:
+    """K4: index without the rows of gone (id), and with those of new."""
+    ids = gone.select("id").distinct()
+    left = Index(index.postings.join(ids, "id", "left_anti").select(*index.postings.columns), index.lengths.join(ids, "id", "left_anti"))
+    return left if new is None else Index(left.postings.unionByName(new.postings), left.lengths.unionByName(new.lengths))
 
-def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """K1: (id, term, tf) and the length of each text in terms."""
-    terms = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")
-    split = docs.select(F.col(key).alias("id"), terms.alias("terms"))
-    return split.select("id", F.size("terms").alias("length"), F.explode("terms").alias("term")).groupBy("id", "length", "term").agg(F.count("*").alias("tf"))
 
+def as_prefixes(query: str) -> list[str]:
+    """H7: the words of a query as prefixes; operators, quoted words and those with a star stay as they are."""
+    return [w if w.upper() in ("AND", "OR", "NOT") or w.startswith('"') or w.endswith("*") else f"{w}*" for w in query.split()]
 
-def matching(index: DataFrame, prefixes: list[str]) -> DataFrame:
-    """K2: ids that have a term for every prefix."""
-    hit = F.array(*(F.when(F.col("term").startswith(p), F.lit(i)) for i, p in enumerate(prefixes)))
-    found = index.select("id", F.explode(F.filter(hit, lambda x: x.isNotNull())).alias("p")).distinct()
-    return found.groupBy("id").count().filter(F.col("count") == len(set(prefixes))).select("id")
 
+def alternatives(query: str) -> list[tuple[list[str], list[str]]] | None:
+    """K2: the wanted and unwanted words of each alternative of a query; None if it is malformed. NOT binds closest, then AND (or
+    nothing between two words), then OR."""
+    out: list[tuple[list[str], list[str]]] = [([], [])]
+    operator = "AND"
+    for word in as_prefixes(query):
+        upper = word.upper()
+        if upper in ("AND", "OR", "NOT") and not word.startswith('"'):
+            if operator:  # two operators, or one at the start
+                return None
+            operator = upper
+            continue
+        bare = word.strip('"*')
+        if word.count('"') % 2 or not bare or any(not c.isalnum() for c in bare):
+            return None
+        if operator == "OR":
+            out.append(([], []))
+        out[-1][operator == "NOT"].append(word.lower().replace('"', ""))
+        operator = ""
+    return None if operator else out
 
-def bm25(docs: DataFrame, key: str, text: str, terms: list[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """K3: id and score of the texts with any of the terms. Only the query's terms are counted, so nothing else is shuffled."""
-    split = docs.select(F.col(key).alias("id"), F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != "").alias("terms"))
-    count = lambda term: F.size(F.filter("terms", lambda x: x == F.lit(term)))
-    tf = [count(t).alias(f"tf{i}") for i, t in enumerate(terms)]
-    counted = split.select("id", F.size("terms").alias("length"), *tf)
-    whole = counted.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))))
-    joined = counted.filter(" OR ".join(f"tf{i} > 0" for i in range(len(terms)))).crossJoin(F.broadcast(whole))  # one row
+
+def _hits(word: str) -> Column:
+    return F.col("term").startswith(word[:-1]) if word.endswith("*") else F.col("term") == word
+
+
+def matching(index: Index, query: str) -> DataFrame:
+    """K2: ids of texts that fit a query; none fits a malformed one. Only postings of the query's words are read and shuffled."""
+    options = alternatives(query)
+    if not options:
+        return index.postings.select("id").limit(0)
+    words = sorted({w for both in options for part in both for w in part})
+    hit = {w: F.col(f"w{i}") for i, w in enumerate(words)}
+    found = index.postings.filter(reduce(lambda a, b: a | b, map(_hits, words)))
+    flags = found.groupBy("id").agg(*(F.bool_or(_hits(w)).alias(f"w{i}") for i, w in enumerate(words)))
+    fits = [reduce(lambda a, b: a & b, [*(hit[w] for w in want), *(~hit[w] for w in bar)]) for want, bar in options]
+    return flags.filter(reduce(lambda a, b: a | b, fits)).select("id")
+
+
+def ranked(index: Index, query: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """Id and BM25 score (larger is better) of the texts that fit a query, over the wanted words of all alternatives."""
+    options = alternatives(query)
+    ids = matching(index, query)
+    if not options:
+        return ids.withColumn("score", F.lit(0.0))
+    words = sorted({w for want, _ in options for w in want})
+    n, mean = index.lengths.agg(F.count("*"), F.avg("length")).first()
+    found = index.postings.filter(reduce(lambda a, b: a | b, map(_hits, words)))
+    tf = found.groupBy("id").agg(*(F.coalesce(F.sum(F.when(_hits(w), F.col("tf"))), F.lit(0)).alias(f"f{i}") for i, w in enumerate(words)))
+    tf = written(tf)
+    df = tf.agg(*(F.count_if(F.col(f"f{i}") > 0).alias(f"d{i}") for i in range(len(words)))).first()  # a number of each word
     score = F.lit(0.0)
-    for i in range(len(terms)):
-        df, f = F.col(f"df{i}"), F.col(f"tf{i}")
-        score = score + F.log(1 + (F.col("n") - df + 0.5) / (df + 0.5)) * f * (k1 + 1) / (f + k1 * (1 - b + b * F.col("length") / F.col("mean")))
-    return joined.select("id", score.alias("score"))
+    for i in range(len(words)):
+        idf = F.greatest(F.lit(1e-6), F.log(F.lit((n - df[i] + 0.5) / (df[i] + 0.5))))
+        f = F.col(f"f{i}")
+        score = score + idf * f * (k1 + 1) / (f + k1 * (1 - b + b * F.col("length") / F.lit(float(mean or 1) or 1.0)))
+    return tf.join(ids, "id", "left_semi").join(index.lengths, "id").select("id", score.alias("score"))
 
 
 def occurrences(docs: DataFrame, key: str, text: str, needle: str) -> DataFrame:
     """K5: how often each text has the needle, without overlaps, in any case."""
     n = F.size(F.split(F.lower(text), r"\Q" + needle.lower() + r"\E", -1)) - 1
     return docs.select(F.col(key).alias("id"), n.cast("long").alias("n")).filter("n > 0")
+
+
+def places(docs: DataFrame, key: str, text: str, needle: str) -> DataFrame:
+    """K6: id, n (from 1), start (characters before it) of each occurrence of the needle, folded, without overlaps; needles of one character find nothing."""
+    if len(needle.strip()) < 2:
+        return docs.select(F.col(key).alias("id"), F.lit(0).alias("n"), F.lit(0).alias("start")).limit(0)
+    parts = F.split(F.translate(F.lower(text), "áàâäéèêëíìîïóòôöúùûüñç", "aaaaeeeeiiiioooouuuunc"), r"\Q" + needle.lower() + r"\E", -1)
+    cut = docs.select(F.col(key).alias("id"), parts.alias("p")).filter(F.size("p") > 1)
+    before = F.transform(F.sequence(F.lit(1), F.size("p") - 1), lambda i: F.aggregate(F.slice("p", 1, i), F.lit(0), lambda s, x: s + F.length(x)) + (i - 1) * len(needle))
+    return cut.select("id", F.posexplode(before).alias("n", "start")).select("id", (F.col("n") + 1).alias("n"), "start")
+
+
+#: Parts of speech in the order they are shown, and how many senses of each.
+POS = ("n", "v", "a", "r")
+SENSES = 6
+
+
+def looked_up(words: DataFrame, entries: DataFrame, lemmas: DataFrame) -> DataFrame:
+    """For each raw word the entry found (word), by itself, else by its irregular lemma, else by a base form; null if none.
+
+    words: raw; entries: word, pos, sense, definition; lemmas: form, lemma. Three equi-joins on distinct words, first hit first.
+    """
+    asked = words.select("raw").distinct().withColumn("w", T.normal_word(F.col("raw"))).filter((F.length("w") > 0) & (F.length("w") <= 64))
+    tries = asked.select("raw", F.lit(0).alias("at"), F.col("w").alias("word"))
+    tries = tries.unionByName(asked.join(lemmas, asked["w"] == lemmas["form"]).select("raw", F.lit(1).alias("at"), F.col("lemma").alias("word")))
+    tries = tries.unionByName(asked.select("raw", F.posexplode(T.base_forms(F.col("w"))).alias("at", "word")).withColumn("at", F.col("at") + 2))
+    found = tries.join(entries.select("word").distinct(), "word", "left_semi").groupBy("raw").agg(F.min_by("word", F.struct("at", "word")).alias("word"))
+    return words.select("raw").distinct().join(found, "raw", "left")
+
+
+def shaped(entries: DataFrame) -> DataFrame:
+    """Of each word, its parts of speech in order, with the first senses of each."""
+    listed = F.slice(F.array_sort(F.collect_list(F.struct("sense", "definition"))), 1, SENSES)
+    known = entries.filter(F.col("pos").isin(*POS))
+    by_pos = known.groupBy("word", "pos").agg(listed.alias("senses"))
+    order = F.array_position(F.array(*map(F.lit, POS)), F.col("pos"))
+    one = F.struct(order.alias("o"), "pos", F.transform("senses", lambda x: x["definition"]).alias("definitions"))
+    return by_pos.groupBy("word").agg(F.transform(F.array_sort(F.collect_list(one)), lambda e: F.struct(e["pos"].alias("pos"), e["definitions"].alias("definitions"))).alias("entries"))

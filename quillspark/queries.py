@@ -284,21 +284,6 @@ def j3_j4_affinity(s, d):
     return signals.select("id", F.round(vectors.affinity(), 6).alias("affinity"))
 
 
-_TERMS = "list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: w <> '')"
-
-
-@query(f"SELECT doc_id AS id FROM (SELECT doc_id, {_TERMS} AS w FROM documents) WHERE len(list_filter(w, lambda x: starts_with(x, 'than'))) > 0 AND len(list_filter(w, lambda x: starts_with(x, 'ing'))) > 0", views=False)
-def k2_prefix_search(s, d):
-    return search.matching(search.postings(B.table(s, d, "documents"), "doc_id", "text"), ["than", "ing"])
-
-
-@query(f"""WITH w AS (SELECT doc_id AS id, {_TERMS} AS w FROM documents), f AS (SELECT id, len(w) AS len, len(list_filter(w, lambda x: x = 'the')) AS a, len(list_filter(w, lambda x: x = 'with')) AS b FROM w),
-g AS (SELECT count(*) AS n, avg(len) AS m, count(*) FILTER (a > 0) AS da, count(*) FILTER (b > 0) AS db FROM f)
-SELECT id, round(ln(1 + (n - da + 0.5) / (da + 0.5)) * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * len / m)) + ln(1 + (n - db + 0.5) / (db + 0.5)) * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * len / m)), 6) AS score FROM f, g WHERE a > 0 OR b > 0""", views=False)
-def k3_bm25(s, d):
-    return search.bm25(B.table(s, d, "documents"), "doc_id", "text", ["the", "with"]).select("id", F.round("score", 6).alias("score"))
-
-
 @query("SELECT doc_id AS id, cast((length(text) - length(replace(lower(text), 'with', ''))) // 4 AS BIGINT) AS n FROM documents WHERE contains(lower(text), 'with')", views=False)
 def k5_occurrences(s, d):
     return search.occurrences(B.table(s, d, "documents"), "doc_id", "text", "with")
@@ -315,4 +300,4 @@ def m10_daily_totals(s, d):
     return _dated(streams.daily_totals(B.table(s, d, "events"))).withColumn("value", F.round("value", 4))
 
 
-from . import queries_lists, queries_taste  # noqa: E402, F401  each registers its queries
+from . import queries_lists, queries_sync, queries_taste, queries_text  # noqa: E402, F401  each registers its queries
