@@ -253,7 +253,7 @@ r AS (SELECT c_custkey, c_name, c_acctbal + c_custkey % 4 AS c_acctbal, c_custke
 
 @query(f"""SELECT c_custkey, action, CASE WHEN action IN ('apply', 'merge') THEN rn ELSE ln END AS c_name, greatest(la, ra) AS c_acctbal FROM (WITH {_SYNC}
 SELECT r.c_custkey, r.c_name AS rn, l.c_name AS ln, r.c_acctbal AS ra, l.c_acctbal AS la, CASE WHEN l.c_custkey IS NULL THEN 'apply' WHEN l.dirty THEN 'skip_dirty'
-WHEN r.updated_at > l.updated_at OR (r.updated_at = l.updated_at AND r.c_name || '|' || cast(r.c_acctbal AS VARCHAR) > l.c_name || '|' || cast(l.c_acctbal AS VARCHAR)) THEN 'merge' ELSE 'keep' END AS action FROM r LEFT JOIN l ON l.c_custkey = r.c_custkey)""", views=False)
+WHEN r.updated_at > l.updated_at OR (r.updated_at = l.updated_at AND '["' || r.c_name || '","' || cast(r.c_acctbal AS VARCHAR) || '"]' > '["' || l.c_name || '","' || cast(l.c_acctbal AS VARCHAR) || '"]') THEN 'merge' ELSE 'keep' END AS action FROM r LEFT JOIN l ON l.c_custkey = r.c_custkey)""", views=False)
 def i10_i12_pull(s, d):
     k = F.col("c_custkey")
     c = B.table(s, d, "customer").select("c_custkey", "c_name", "c_acctbal")
