@@ -107,7 +107,7 @@ def learn_topics(docs: DataFrame, rows: int = FIT_ROWS, passes: int = PASSES) ->
             out = [np.minimum(r, 65535).astype(np.uint16).tobytes() for part in chunks(column(batch, "text"), rows=128) for r in counts(part)[0]]
             yield pa.RecordBatch.from_arrays([column(batch, "id"), pa.array(out, pa.binary())], ["id", "x"])
 
-    sample = docs.join(F.broadcast(ids), F.col("doc_id") == F.col("id")).select("id", "text").mapInArrow(count, "id bigint, x binary").groupBy("id").agg(F.max("x").alias("x")).toArrow().sort_by("id")
+    sample = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("id")).select("id", "text").mapInArrow(count, "id bigint, x binary").groupBy("id").agg(F.max("x").alias("x")).toArrow().sort_by("id")
     x = np.frombuffer(b"".join(sample["x"].to_pylist()), np.uint16).reshape(-1, DIMENSIONS)
     idf = _idf(docs)
     topics = Topics(idf, cluster(vectors(x, idf), TOPICS) if len(x) else np.zeros((0, DIMENSIONS), np.float32))
