@@ -1,13 +1,15 @@
 """Byte-level BPE encoding and decoding by a two-tier lookup.
 
-Tier 1: a minimal perfect hash over the vocabulary resolves a whole pre-token to its rank. Tier 2, for pre-tokens
-outside the vocabulary: a heap of candidate merges over doubly linked bytes, lowest rank first and leftmost among
-equals, with the ranks of merged parts in a plain table. Workers remember recent pre-tokens in a bounded table.
+Tier 1: a minimal perfect hash over the vocabulary resolves a whole pre-token to its rank. It holds packed seeds, ranks and
+the keys' bytes, no object for each key. Tier 2, for pre-tokens outside the vocabulary: a heap of candidate merges over
+doubly linked bytes, lowest rank first and leftmost among equals; the ranks of merged parts come from the same hash.
+Workers remember recent pre-tokens and parts in bounded tables.
 The vocabulary is a parameter (its rank file); tables are built once on the driver and broadcast (bounded by the
 vocabulary). Encoding and decoding are passes of Arrow batches without a shuffle.
 
 Defined results: a null text counts as empty and has no ids; null ids decode to no bytes; rows are handled one by
-one, so repeated rows get equal results; texts of any length are encoded whole; extra columns are ignored.
+one, so repeated rows get equal results; texts of any length are encoded whole (long ones in pieces, where the pattern is
+known to end a match at the cut); extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -15,11 +17,13 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
+from itertools import accumulate, chain
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -29,9 +33,9 @@ from .common import column, small_batches
 
 #: Pre-tokens that a worker remembers, and the longest of them in characters.
 REMEMBERED, REMEMBERED_CHARS = 400_000, 64
-#: Longer texts are cut where the pattern ends a match anyway: before a blank between two letters.
+#: Longer texts are cut before a blank between two letters, where these patterns end a match anyway; for others they aren't.
 PIECE = 1 << 20
-CUT = regex.compile(r"(?<=\p{L}) (?=\p{L})")
+CUTS = {public_tokenizers.PATTERN: regex.compile(r"(?<=\p{L}) (?=\p{L})")}
 
 
 def _hashes(key: bytes) -> tuple[int, int, int]:
@@ -43,9 +47,10 @@ def _hashes(key: bytes) -> tuple[int, int, int]:
 class Vocabulary:
     """A minimal perfect hash: slot = h1 + seed * h2 (mod n) with the seed of the bucket of h0; a negative seed names the slot itself."""
 
-    seeds: list[int]
-    keys: list[bytes]
-    ranks: list[int]
+    seeds: array
+    ranks: array
+    ends: array
+    blob: bytes
 
     @staticmethod
     def build(ranks: dict[bytes, int]) -> Vocabulary:
@@ -71,16 +76,35 @@ class Vocabulary:
                     break
                 seed += 1
             seeds[b] = seed
-        return Vocabulary(seeds, slots, [ranks[k] for k in slots])
+        return Vocabulary(array("q", seeds), array("l", (ranks[k] for k in slots)), array("q", accumulate(map(len, slots), initial=0)), b"".join(slots))
 
     def rank(self, key: bytes) -> int | None:
+        n = len(self.ranks)
+        if not n:
+            return None
         h0, h1, h2 = _hashes(key)
         seed = self.seeds[h0 % len(self.seeds)]
-        slot = -seed - 1 if seed < 0 else (h1 + seed * h2) % len(self.keys)
-        return self.ranks[slot] if self.keys[slot] == key else None
+        slot = -seed - 1 if seed < 0 else (h1 + seed * h2) % n
+        return self.ranks[slot] if self.blob[self.ends[slot] : self.ends[slot + 1]] == key else None
 
 
-def merge(piece: bytes, rank: dict[bytes, int]) -> list[int]:
+class _Parts(dict):
+    """Ranks of parts of pre-tokens (None outside the vocabulary), of which the recent ones are remembered."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        super().__init__()
+        self.vocabulary = vocabulary
+
+    def __missing__(self, part: bytes) -> int | None:
+        rank = self.vocabulary.rank(part)
+        if len(part) <= REMEMBERED_CHARS:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[part] = rank
+        return rank
+
+
+def merge(piece: bytes, rank: _Parts) -> list[int]:
     """Ids of bytes that aren't in the vocabulary as a whole."""
     n = len(piece)
     after, before, size = list(range(1, n + 1)), list(range(-1, n - 1)), [1] * n
@@ -88,7 +112,7 @@ def merge(piece: bytes, rank: dict[bytes, int]) -> list[int]:
 
     def offer(i: int) -> None:
         j = after[i]
-        if j < n and (r := rank.get(piece[i : j + size[j]])) is not None:
+        if j < n and (r := rank[piece[i : j + size[j]]]) is not None:
             heapq.heappush(heap, (r, i, size[i] + size[j]))
 
     for i in range(n - 1):
@@ -116,7 +140,7 @@ class _Memory(dict):
     def __init__(self, vocabulary: Vocabulary):
         super().__init__()
         self.vocabulary = vocabulary
-        self.of_parts = dict(zip(vocabulary.keys, vocabulary.ranks, strict=True))
+        self.of_parts = _Parts(vocabulary)
 
     def __missing__(self, token: str) -> tuple[int, ...]:
         key = token.encode()
@@ -129,16 +153,16 @@ class _Memory(dict):
         return ids
 
 
-def _pieces(text: str) -> Iterator[str]:
+def _pieces(text: str, cut: regex.Pattern | None) -> Iterator[str]:
     start = 0
-    while len(text) - start > PIECE and (m := CUT.search(text, start + PIECE)):
+    while cut and len(text) - start > PIECE and (m := cut.search(text, start + PIECE)):
         yield text[start : m.start()]
         start = m.start()
     yield text[start:]
 
 
 def tokens(text: str, pattern: regex.Pattern, memory: _Memory) -> np.ndarray:
-    parts = [np.fromiter(chain.from_iterable(map(memory.__getitem__, pattern.findall(p))), np.int32) for p in _pieces(text)]
+    parts = [np.fromiter(chain.from_iterable(map(memory.__getitem__, pattern.findall(p))), np.int32) for p in _pieces(text, CUTS.get(pattern.pattern))]
     return parts[0] if len(parts) == 1 else np.concatenate(parts)
 
 

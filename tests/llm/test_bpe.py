@@ -17,8 +17,9 @@ def reference():
 
 def test_hash_is_minimal_and_perfect():
     v = bpe.Vocabulary.build(RANKS)
-    assert len(v.keys) == len(RANKS) and all(v.rank(k) == r for k, r in RANKS.items())
+    assert len(v.ranks) == len(RANKS) and v.ends[-1] == sum(map(len, RANKS)) and all(v.rank(k) == r for k, r in RANKS.items())
     assert v.rank(b"not a token at all") is None
+    assert bpe.Vocabulary.build({}).rank(b"a") is None
 
 
 def test_long_texts_are_cut_without_effect(monkeypatch, reference):
@@ -45,3 +46,22 @@ def test_round_trip(spark, reference):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert bpe.round_trip(docs, RANKS, public_tokenizers.PATTERN).collect() == []
+
+
+def test_other_patterns_are_never_cut(monkeypatch):
+    """A pattern that spans blanks between letters, on a text longer than a piece."""
+    import regex
+
+    monkeypatch.setattr(bpe, "PIECE", 20)
+    pattern = r"(?:\p{L}+ ?)+|."
+    text = "many words in one match " * 9
+    plain = tiktoken.Encoding("other", pat_str=pattern, mergeable_ranks=RANKS, special_tokens={})
+    assert bpe.tokens(text, regex.compile(pattern), bpe._Memory(bpe.Vocabulary.build(RANKS))).tolist() == plain.encode_ordinary(text)
+
+
+def test_remembered_tables_are_bounded(monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBERED", 50)
+    memory = bpe._Memory(bpe.Vocabulary.build(RANKS))
+    for i in range(500):
+        memory[f"qzx{i}jk"]
+    assert len(memory) <= 50 and len(memory.of_parts) <= 50
