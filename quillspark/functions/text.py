@@ -282,3 +282,87 @@ def is_heading(line: Column) -> Column:
 def is_blob_key(key: Column) -> Column:
     """B19."""
     return F.coalesce(key.rlike(r"^users/[^/]+/(content|cover)/[0-9a-f]{64}$"), F.lit(False))
+
+
+# sites
+
+
+#: Genres of story lines, one of which has a slash.
+GENRES = (
+    "Adventure Angst Crime Drama Family Fantasy Friendship General Horror Humor Hurt/Comfort Mystery Parody Poetry Romance Sci-Fi Spiritual Supernatural Suspense Tragedy Western"
+).split()
+
+
+def story_line(line: Column) -> Column:
+    """struct(rating, words, favs, follows, status, genres, characters, pairings) of a line `Rated: T - English - Drama/Humor - [A, B] C - Words: 1,234 - ...`.
+
+    A segment of known genres only holds genres; names in brackets are a pairing; a line without a status is in progress.
+    """
+    parts = F.filter(F.transform(F.split(collapse(line), " - "), lambda x: F.trim(x)), lambda x: x != "")
+    labelled = r"(?i)^(Rated|Words|Favs|Follows|Chapters|Reviews|Status|Updated|Published|id):"
+    value = lambda k: F.get(F.transform(F.filter(parts, lambda x: x.rlike(f"(?i)^{k}:")), lambda x: F.trim(F.regexp_replace(x, r"(?i)^\w+:\s*", ""))), F.lit(0))
+    free = F.filter(parts, lambda x, i: (i != 1) & ~x.rlike(labelled))
+    known = "|".join(g.replace("/", "/") for g in GENRES)
+    is_genre = lambda x: x.rlike(f"^({known})(/({known}))*$")
+    names = F.filter(free, lambda x: ~is_genre(x))
+    genres = F.flatten(F.transform(F.filter(free, is_genre), lambda x: F.regexp_extract_all(x, F.lit(f"({known})"), 1)))
+    trimmed = lambda x: F.filter(F.transform(F.split(x, ","), lambda y: F.trim(y)), lambda y: y != "")
+    brackets = F.flatten(F.transform(names, lambda x: F.regexp_extract_all(x, F.lit(r"\[([^\]]+)\]"), 1)))
+    pairs = F.filter(F.transform(brackets, trimmed), lambda p: F.size(p) > 1)
+    loose = F.flatten(F.transform(names, lambda x: trimmed(F.regexp_replace(x, r"\[[^\]]+\]", " "))))
+    people = F.concat(F.flatten(F.transform(brackets, trimmed)), loose)
+    status = F.when(value("Status").rlike("(?i)complete"), "complete").otherwise("in-progress")
+    return F.struct(value("Rated").alias("rating"), *(int_loose(value(k)).alias(k.lower()) for k in ("Words", "Favs", "Follows")), status.alias("status"), genres.alias("genres"), people.alias("characters"), F.transform(pairs, lambda p: F.array_join(p, "/")).alias("pairings"))
+
+
+def top_name(reply: Column) -> Column:
+    """The first name of an autocomplete reply (a JSON array of objects with a name)."""
+    names = F.transform(F.from_json(reply, "array<struct<name: string>>"), lambda x: F.trim(x["name"]))
+    return F.get(F.filter(names, lambda x: x != ""), F.lit(0))
+
+
+def pairing_name(reply: Column, a: Column, b: Column) -> Column:
+    """The first name of a reply that is a pairing of just these two people, in either order."""
+    names = F.transform(F.from_json(reply, "array<struct<name: string>>"), lambda x: F.trim(x["name"]))
+    people = lambda x: F.array_sort(F.transform(F.split(x, "/"), lambda y: F.trim(y)))
+    return F.get(F.filter(names, lambda x: ~F.contains(x, F.lit("&")) & (a != b) & (people(x) == F.array_sort(F.array(a, b)))), F.lit(0))
+
+
+def without_title(text: Column, title: Column) -> Column:
+    """A text without its title at the start (in any case), however often it stands there."""
+    n = F.length(title) + 1
+    lead = lambda t: F.startswith(F.lower(t), F.concat(F.lower(title), F.lit(" ")))
+    once = lambda t: F.when((F.length(title) > 0) & lead(t), F.ltrim(F.substr(t, n))).otherwise(t)
+    return once(once(once(text)))
+
+
+def resolved_path(base: Column, path: Column) -> Column:
+    """A path of an archive, as seen from a file of it; parts .. go up, but not beyond the top."""
+    whole = F.concat(F.regexp_replace(base, r"[^/]*$", ""), F.regexp_replace(path, r"[?#].*$", ""))
+    step = lambda done, x: F.when((x == "") | (x == "."), done).when(x == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(x)))
+    return F.array_join(F.aggregate(F.split(whole, "/"), F.array().cast("array<string>"), step), "/")
+
+
+#: Tags that sanitised HTML keeps.
+TAGS = "a b blockquote br code div em figcaption figure h1 h2 h3 h4 h5 h6 hr i img li ol p pre s section span strong sub sup table tbody td th thead tr u ul".split()
+
+
+def sanitised(html: Column) -> Column:
+    """HTML with known tags only, without scripts, styles, comments, handlers, inline styles and links other than http, mailto or fragments."""
+    out = F.regexp_replace(html, r"(?is)<(script|style|iframe|object)\b.*?</\1\s*>|<!--.*?-->", "")
+    out = F.regexp_replace(out, rf"(?is)</?(?!(?:{'|'.join(TAGS)})\b)[a-z!][^>]*>", "")
+    out = F.regexp_replace(out, r"""(?is)\s(?:on\w+|style)\s*=\s*(?:"[^"]*"|'[^']*'|[^\s>]+)""", "")
+    return F.regexp_replace(out, r"""(?is)\s(?:href|src)\s*=\s*(?:"(?!https?:|mailto:|#|/|\.)[^"]*"|'(?!https?:|mailto:|#|/|\.)[^']*')""", "")
+
+
+def article(html: Column) -> Column:
+    """L2: the inner HTML of the article, else of the main part, else of the body, else all, without navigation."""
+    bare = F.regexp_replace(html, r"(?is)<(nav|header|footer|aside)\b.*?</\1\s*>", " ")
+    inner = [F.regexp_extract(bare, rf"(?is)<{t}\b[^>]*>(.*)</{t}\s*>", 1) for t in ("article", "main", "body")]
+    return F.coalesce(*(F.when(F.length(x) > 0, x) for x in inner), bare)
+
+
+def list_entries(html: Column) -> Column:
+    """struct(link, title) of each list entry that is a link."""
+    found = F.regexp_extract_all(html, F.lit(r'(?is)<li[^>]*>\s*(<a\s[^>]*href="[^"]*"[^>]*>.*?</a>)'), 1)
+    return F.transform(found, lambda x: F.struct(F.regexp_extract(x, r'href="([^"]*)"', 1).alias("link"), html_to_text(x).alias("title")))
