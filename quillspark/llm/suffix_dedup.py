@@ -11,7 +11,8 @@ array of all bytes isn't needed: each LENGTH-byte window has one anchor, the sma
    of its distinct phrases by difference cover (sort sampled triples, recurse on names, merge the remaining suffixes),
    compares adjacent prefixes, and takes the smallest document of each LENGTH-byte string;
    an anchor with about HOT phrases or more has no bucket: its phrases are dealt by phrase, and its LENGTH-byte strings by
-   string; of a phrase or string that is common itself, the smallest document is aggregated and broadcast;
+   string; of a phrase or string that is common itself, the smallest document is aggregated and broadcast, so that its rows
+   can be dealt by row;
 4. the spans meet their documents again by doc_id and a hash of the row.
 
 A phrase is told from others of its anchor by both hashes, 128 bits in all; other strings are compared as bytes.
@@ -32,7 +33,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HEAVY_KEYS, column, extended, releasing, small_batches, written
+from .common import HEAVY_KEYS, column, dropped, extended, releasing, small_batches, written
 from .hashing import mix, series
 
 LENGTH, GRAM = 50, 20
@@ -44,6 +45,8 @@ BUCKET_BYTES, LEAST_BITS, MOST_BITS = 6 << 20, 20, 30
 PART_BYTES = 16 << 20
 #: Phrases from which an anchor is hot, estimated on one in SAMPLED documents.
 HOT, SAMPLED = 1 << 14, 64
+#: Rows from which a phrase of a hot anchor is common: its first document is broadcast (HEAVY_KEYS of them at most, by that estimate).
+COMMON = 1 << 10
 
 _U = np.uint64
 BASE, BYTES = 0x9E3779B97F4A7C15, series(1, 256)
@@ -150,26 +153,61 @@ def _texts(texts: pa.Array) -> Iterator[np.ndarray]:
         yield np.frombuffer(raw, np.uint8) if raw is not None and raw.size else np.empty(0, np.uint8)
 
 
-def _marked(docs: DataFrame, bits: int, size: int) -> np.ndarray:
-    """The bitmap of anchors met twice, by their hash's leading bits."""
+HEAVY = np.dtype([("anchor", "<u8"), ("phrase", "<u8"), ("doc_id", "<i8"), ("met", "<i8")])
+
+
+def _reduced(rows: np.ndarray) -> np.ndarray:
+    """One row of each phrase (of HEAVY): its smallest document, and how often it was met."""
+    rows = rows[np.lexsort((rows["doc_id"], rows["phrase"], rows["anchor"]))]
+    new = np.flatnonzero(np.append([True], (rows["anchor"][1:] != rows["anchor"][:-1]) | (rows["phrase"][1:] != rows["phrase"][:-1]))[: len(rows)])
+    out = rows[new]
+    if len(new):
+        out["met"] = np.add.reduceat(rows["met"], new)
+    return out
+
+
+def _member(values: np.ndarray, among: np.ndarray) -> np.ndarray:
+    """Which values are among the given ones (sorted)."""
+    return among[np.minimum(np.searchsorted(among, values), len(among) - 1)] == values if len(among) else np.zeros(len(values), bool)
+
+
+def _marked(docs: DataFrame, bits: int, size: int, hot: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The bitmap of anchors met twice, by their hash's leading bits; and of the phrases of hot anchors, those met least times or more (HEAVY)."""
     lead = min(bits - 3, max(8, (size // PART_BYTES).bit_length()))
     parts = 2**lead
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [np.empty(0, np.uint64)]
-            for data in _texts(column(batch, "text")):
-                own = [a for a, *_ in phrases(data)]
+            found, common = [np.empty(0, np.uint64)], [np.empty(0, HEAVY)]
+            for doc, data in zip(column(batch, "doc_id").to_numpy(), _texts(column(batch, "text")), strict=True):
+                own = []
+                for a, p, *_ in phrases(data):
+                    own.append(a)
+                    at = np.flatnonzero(_member(a.view(np.int64), hot))
+                    if len(at):
+                        rows = np.empty(len(at), HEAVY)
+                        rows["anchor"], rows["phrase"], rows["doc_id"], rows["met"] = a[at], p[at], doc, 1
+                        common.append(rows)
                 if own:
                     found.append(np.unique(np.concatenate(own)))
             hashes, count = np.unique(np.concatenate(found), return_counts=True)
             hashes = np.sort(np.concatenate([hashes, hashes[count > 1]]))
             part = (hashes >> _U(64 - lead)).astype(np.int32)
             cut = np.append(np.flatnonzero(np.append([True], part[1:] != part[:-1]))[: len(part)], len(part))
-            yield pa.RecordBatch.from_arrays([pa.array(part[cut[:-1]]), pa.array([hashes[a:b].tobytes() for a, b in zip(cut, cut[1:])], pa.binary())], ["part", "hashes"])
+            names, blobs = list(part[cut[:-1]]), [hashes[a:b].tobytes() for a, b in zip(cut, cut[1:])]
+            rows = _reduced(np.concatenate(common))
+            of = (rows["phrase"] % _U(parts)).astype(np.int32)
+            for k in np.unique(of):
+                names.append(parts + k)
+                blobs.append(rows[of == k].tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(blobs, pa.binary())], ["part", "hashes"])
 
     def twice(table: pa.Table) -> pa.Table:
-        hashes = np.sort(np.frombuffer(b"".join(table["hashes"].to_pylist()), np.uint64))
+        blob = b"".join(table["hashes"].to_pylist())
+        if table["part"][0].as_py() >= parts:
+            rows = _reduced(np.frombuffer(blob, HEAVY))
+            return pa.table({"part": table["part"][:1], "bits": pa.array([rows[rows["met"] >= least].tobytes()], pa.binary())})
+        hashes = np.sort(np.frombuffer(blob, np.uint64))
         again = hashes[1:][hashes[1:] == hashes[:-1]]
         flags = np.zeros(2**bits // parts, bool)
         flags[((again >> _U(64 - bits)) & _U(2**bits // parts - 1)).astype(np.int64)] = True
@@ -178,14 +216,17 @@ def _marked(docs: DataFrame, bits: int, size: int) -> np.ndarray:
     flagged = docs.mapInArrow(gather, "part int, hashes binary").groupBy("part").applyInArrow(twice, "part int, bits binary")
     with releasing(docs.sparkSession):
         found = flagged.toArrow()
-    out = np.zeros((parts, 2**bits // parts // 8), np.uint8)
+    out, heavy = np.zeros((parts, 2**bits // parts // 8), np.uint8), [np.empty(0, HEAVY)]
     for part, flags in zip(found["part"].to_pylist(), found["bits"].to_pylist(), strict=True):
-        out[part] = np.frombuffer(flags, np.uint8)
-    return out.ravel()
+        if part < parts:
+            out[part] = np.frombuffer(flags, np.uint8)
+        else:
+            heavy.append(np.frombuffer(flags, HEAVY))
+    return out.ravel(), _reduced(np.concatenate(heavy))
 
 
-def _hot(docs: DataFrame) -> np.ndarray:
-    """Anchors with about HOT phrases or more, sorted. They decide where phrases meet, never the result."""
+def _hot(docs: DataFrame) -> tuple[np.ndarray, int]:
+    """Anchors with about HOT phrases or more, sorted, and how many phrases they have. They decide where phrases meet, never the result."""
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -194,34 +235,26 @@ def _hot(docs: DataFrame) -> np.ndarray:
                     yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64))], ["anchor"])
 
     some = docs.filter(F.pmod("row", F.lit(SAMPLED)) == 0).select("text").mapInArrow(anchors, "anchor bigint")
-    found = some.groupBy("anchor").count().filter(F.col("count") * SAMPLED >= HOT).select("anchor").toArrow()
-    return np.sort(found["anchor"].to_numpy())
+    found = some.groupBy("anchor").count().filter(F.col("count") * SAMPLED >= HOT).select("anchor", "count").toArrow()
+    return np.sort(found["anchor"].to_numpy()), SAMPLED * sum(found["count"].to_pylist())
 
 
-def _earliest(rows: DataFrame, keys: list[str], buckets: int) -> DataFrame:
-    """rows with earliest, the smallest doc_id among those of equal keys (longs, or one binary column)."""
-    counts = rows.groupBy(*keys).agg(F.min("doc_id").alias("earliest"), F.count("*").alias("met"))
+def _earliest(rows: DataFrame, key: str, buckets: int) -> DataFrame:
+    """rows with earliest, the smallest doc_id among those of equal keys (binary). Common keys are aggregated and broadcast, the others meet
+    in buckets."""
+    counts = rows.groupBy(key).agg(F.min("doc_id").alias("earliest"), F.count("*").alias("met"))
     total = rows.count()
     common = counts.filter((F.col("met") >= 64) & (F.col("met") * HEAVY_KEYS >= total)).toArrow()  # HEAVY_KEYS rows at most
-
-    def key_of(table: pa.Table | pa.RecordBatch) -> pa.Array:
-        if len(keys) == 1:
-            found = table.column(table.schema.get_field_index(keys[0]))
-            return found.combine_chunks() if isinstance(found, pa.ChunkedArray) else found
-        both = np.stack([table.column(table.schema.get_field_index(k)).to_numpy() for k in keys], axis=1)
-        return pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * len(keys)), len(both), [None, pa.py_buffer(both.tobytes())])
-
-    known = key_of(common)
-    known = known.chunk(0) if isinstance(known, pa.ChunkedArray) else known
-    least = common["earliest"].to_numpy()
+    known, least = common[key].combine_chunks(), common["earliest"].to_numpy()
+    known = known.chunk(0) if isinstance(known, pa.ChunkedArray) and known.num_chunks else known
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = pa.compute.index_in(key_of(batch), value_set=known)
+            at = pa.compute.index_in(column(batch, key), value_set=known)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(least).take(at)], [*batch.schema.names, "earliest"])
 
     def find(table: pa.Table) -> pa.Table:
-        coded = key_of(table).dictionary_encode()
+        coded = table[key].combine_chunks().dictionary_encode()
         coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
         code, doc = coded.indices.to_numpy(), table["doc_id"].to_numpy()
         first = np.full(len(coded.dictionary), np.iinfo(np.int64).max)
@@ -230,19 +263,13 @@ def _earliest(rows: DataFrame, keys: list[str], buckets: int) -> DataFrame:
 
     types = ", ".join(f"{c} {t}" for c, t in rows.dtypes)
     looked = written(rows.mapInArrow(look, f"{types}, earliest bigint"))
-    rest = looked.filter("earliest IS NULL").withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)))
+    rest = looked.filter("earliest IS NULL").withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(buckets)))
     return looked.filter("earliest IS NOT NULL").unionByName(rest.groupBy("_bucket").applyInArrow(find, f"{types}, earliest bigint"))
 
 
-def _windows(table: pa.Table) -> pa.Table:
-    """Each LENGTH-byte string of the phrases, with its document and place."""
-    count = table["n"].to_numpy().astype(np.int64)
-    at = np.repeat(np.arange(len(count)), count)
-    first = table["first"].to_numpy()[at] + np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count)
-    strings = [np.lib.stride_tricks.sliding_window_view(np.frombuffer(t.as_buffer(), np.uint8), LENGTH).tobytes() for t in table["text"].combine_chunks()]
-    offsets = pa.py_buffer((np.arange(len(at) + 1) * LENGTH).astype(np.int32).tobytes())
-    string = pa.Array.from_buffers(pa.binary(), len(at), [None, offsets, pa.py_buffer(b"".join(strings))])
-    return pa.table({"doc_id": table["doc_id"].take(pa.array(at)), "row": table["row"].take(pa.array(at)), "first": first.astype(np.int64), "last": (first + LENGTH).astype(np.int64), "string": string})
+def _windows(text: bytes) -> list[bytes]:
+    """The LENGTH-byte strings of a phrase."""
+    return [text[i : i + LENGTH] for i in range(len(text) - LENGTH + 1)]
 
 
 KEY = ["doc_id", "row"]
@@ -321,17 +348,33 @@ def _resolve(table: pa.Table) -> pa.Table:
     return pa.table({"doc_id": np.concatenate(ids), "row": np.concatenate(rows), "first": np.concatenate(starts).astype(np.int64), "last": np.concatenate(ends).astype(np.int64)})
 
 
+def _split_hot(table: pa.Table) -> pa.Table:
+    """Of a bucket of phrases of hot anchors: which an earlier document has. A negative n says so of a common phrase, whose other rows are
+    of its first document; the rows of another phrase are all here."""
+    anchor, phrase, doc, n = (table[c].to_numpy() for c in ("anchor", "phrase", "doc_id", "n"))
+    order = np.lexsort((doc, n < 0, phrase, anchor))
+    a, p, d, count = anchor[order], phrase[order], doc[order], n[order]
+    new = np.append([True], (a[1:] != a[:-1]) | (p[1:] != p[:-1]))
+    whole = (count < 0) | (d > d[new][np.cumsum(new) - 1])
+    at = table.schema.get_field_index("n")
+    return table.take(pa.array(order)).set_column(at, "n", pa.array(np.abs(count))).append_column("whole", pa.array(whole))
+
+
 def spans(docs: DataFrame) -> DataFrame:
     """doc_id, row, spans: array of (first, last) in bytes, sorted, perhaps overlapping; docs: doc_id, text, row."""
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = min(MOST_BITS, max(LEAST_BITS, int(size).bit_length() - 3))
     buckets = max(16, size // BUCKET_BYTES)
-    hot = _hot(docs)
-    marked = spark.sparkContext.broadcast(_marked(docs.select("text"), bits, size))
+    dealt = max(buckets, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    hot, met = _hot(docs)
+    bitmap, heavy = _marked(docs.select("doc_id", "text"), bits, size, hot, max(COMMON, met // HEAVY_KEYS))
+    shared = spark.sparkContext.broadcast((bitmap, heavy["anchor"] ^ mix(heavy["phrase"]), heavy))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap = marked.value
+        bitmap, mixed, heavy = shared.value
+        order = np.argsort(mixed)
+        mixed, heavy = mixed[order], heavy[order]
         for batch in batches:
             ids, keys = (column(batch, c).to_numpy() for c in ("doc_id", "row"))
             out = []
@@ -345,47 +388,54 @@ def spans(docs: DataFrame) -> DataFrame:
                 cols = [np.concatenate(c) for c in zip(*out, strict=True)]
                 kinds = [np.int64] * 4 + [np.int32] * 2
                 bucket = (cols[0].view(np.uint64) % _U(buckets)).astype(np.int32)
-                if len(hot):
-                    dealt = hot[np.minimum(np.searchsorted(hot, cols[0]), len(hot) - 1)] == cols[0]
-                    bucket[dealt] = buckets + (cols[3][dealt].view(np.uint64) % _U(buckets)).astype(np.int32)
+                at = np.flatnonzero(_member(cols[0], hot))
+                if len(at):
+                    a, p, d, row = (c[at] for c in cols[:4])
+                    bucket[at] = buckets + (mix(a.view(np.uint64) ^ mix(p.view(np.uint64))) % _U(dealt)).astype(np.int32)
+                    if len(heavy):
+                        near = np.minimum(np.searchsorted(mixed, a.view(np.uint64) ^ mix(p.view(np.uint64))), len(mixed) - 1)
+                        common = (heavy["anchor"][near] == a.view(np.uint64)) & (heavy["phrase"][near] == p.view(np.uint64))
+                        bucket[at[common]] = buckets + (mix(row[common].view(np.uint64)) % _U(dealt)).astype(np.int32)
+                        later = at[common & (d > heavy["doc_id"][near])]
+                        cols[5][later] = -cols[5][later]
                 yield pa.RecordBatch.from_arrays([pa.array(bucket), *(pa.array(c.astype(k)) for c, k in zip(cols, kinds, strict=True))], NAMES)
 
+    def split(table: pa.Table) -> pa.Table:
+        return _split(table) if table["bucket"][0].as_py() < buckets else _split_hot(table)
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The phrases asked for, with their bytes."""
+        """The phrases asked for, with their bytes; those of hot anchors as LENGTH-byte strings."""
         for batch in batches:
-            asked, texts = column(batch, "asked"), []
+            asked = column(batch, "asked")
             which = pa.compute.list_parent_indices(asked).to_numpy()
             flat = pa.compute.list_flatten(asked)
             data = list(_texts(column(batch, "text")))
-            for i, first, n in zip(which.tolist(), flat.field("first").to_pylist(), flat.field("n").to_pylist(), strict=True):
-                texts.append(data[i][first : first + n + LENGTH - 1].tobytes())
-            fields = {k: flat.field(k) for k in NAMES if k not in KEY} | {k: column(batch, k).take(pa.array(which)) for k in KEY}
+            from_, texts, starts, sizes = [], [], [], []
+            for j, (i, bucket, first, n) in enumerate(zip(which.tolist(), flat.field("bucket").to_pylist(), flat.field("first").to_pylist(), flat.field("n").to_pylist(), strict=True)):
+                text = data[i][first : first + n + LENGTH - 1].tobytes()
+                strings = [text] if bucket < buckets else _windows(text)
+                from_ += [j] * len(strings)
+                texts += strings
+                starts += [first] if bucket < buckets else range(first, first + n)
+                sizes += [n] if bucket < buckets else [1] * n
+            at = pa.array(from_, pa.int64())
+            fields = {k: flat.field(k).take(at) for k in NAMES if k not in KEY} | {k: column(batch, k).take(pa.array(which[from_] if from_ else which[:0])) for k in KEY}
+            fields |= {"first": pa.array(starts, pa.int32()), "n": pa.array(sizes, pa.int32())}
             yield pa.RecordBatch.from_arrays([*(fields[k] for k in NAMES), pa.array(texts, pa.binary())], [*NAMES, "text"])
 
-    def split(table: pa.Table) -> pa.Table:
-        """Phrases of hot anchors stay undecided."""
-        return _split(table) if table["bucket"][0].as_py() < buckets else table.append_column("whole", pa.nulls(len(table), pa.bool_()))
-
-    def resolve(table: pa.Table) -> pa.Table:
-        """Spans; of phrases of hot anchors, their strings."""
-        if table["bucket"][0].as_py() >= buckets:
-            return _windows(table)
-        out = _resolve(table)
-        return out.append_column("string", pa.nulls(len(out), pa.binary()))
-
     types = "bucket int, anchor bigint, phrase bigint, doc_id bigint, row bigint, first int, n int"
     found = written(docs.mapInArrow(send, types).groupBy("bucket").applyInArrow(split, f"{types}, whole boolean"))
-    if len(hot):
-        dealt = _earliest(found.filter("whole IS NULL").drop("whole"), ["anchor", "phrase"], buckets)
-        dealt = written(dealt.select(*NAMES, (F.col("doc_id") > F.col("earliest")).alias("whole")))
-        found = found.filter("whole IS NOT NULL").union(dealt)
     asked = found.filter("not whole").groupBy("doc_id", "row").agg(F.collect_list(F.struct(*(k for k in NAMES if k not in KEY))).alias("asked"))
     fetched = docs.join(asked, KEY).select(*KEY, "text", "asked").mapInArrow(cut, f"{types}, text binary")
-    partly = written(fetched.groupBy("bucket").applyInArrow(resolve, "doc_id bigint, row bigint, first bigint, last bigint, string binary"))
     if len(hot):
-        repeated = written(_earliest(partly.filter("string IS NOT NULL"), ["string"], buckets).filter("doc_id > earliest").select(*KEY, "first", "last"))
-        partly = partly.filter("string IS NULL").select(*KEY, "first", "last").union(repeated)
+        fetched = written(fetched)
+    partly = written(fetched.filter(F.col("bucket") < buckets).groupBy("bucket").applyInArrow(_resolve, "doc_id bigint, row bigint, first bigint, last bigint"))
     both = found.filter("whole").select(*KEY, "first", (F.col("first") + F.col("n") + LENGTH - 1).alias("last")).union(partly.select(*KEY, F.col("first").cast("int"), F.col("last").cast("int")))
+    if len(hot):
+        strings = fetched.filter(F.col("bucket") >= buckets).select(*KEY, "first", F.col("text").alias("string"))
+        repeated = written(_earliest(strings, "string", dealt).filter("doc_id > earliest").select(*KEY, "first"))
+        both = both.union(repeated.select(*KEY, "first", F.col("first") + LENGTH))
+        dropped(fetched)
     return both.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("spans"))
 
 

@@ -137,6 +137,7 @@ def test_hot_anchors_match_brute_force(spark, monkeypatch, hot):
     """A passage of many documents, each with its own words around it: its anchors' phrases aren't gathered in one bucket."""
     monkeypatch.setattr(suffix_dedup, "HOT", hot)
     monkeypatch.setattr(suffix_dedup, "SAMPLED", 1)
+    monkeypatch.setattr(suffix_dedup, "COMMON", {2: 3, 5: 10, 40: 1024}[hot])
     biggest = spark.sparkContext.accumulator(0)
     kept = suffix_dedup._split
 
@@ -160,6 +161,103 @@ def test_hot_anchors_match_brute_force(spark, monkeypatch, hot):
     assert sorted(map(tuple, suffix_dedup.digests(docs).collect())) == sorted(map(tuple, got)) and biggest.value > 0
 
 
+def test_repeated_strings_of_odd_texts(spark, monkeypatch):
+    """One repeated byte, texts longer than a piece, equal ids with other texts, the same passage in every text."""
+    monkeypatch.setattr(suffix_dedup, "PIECE", 200)
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("abcdé") for _ in range(r.randint(2, 7)))
+    passage = " ".join(word() for _ in range(30))
+    rows = [(0, "x" * 700), (1, "x" * 49), (2, "x" * 50), (3, "y" + "x" * 300 + "z"), (4, "ab" * 400), (5, "b" + "ab" * 30)]
+    rows += [(10 + i, " ".join([*(word() for _ in range(r.randint(0, 60))), passage, *(word() for _ in range(r.randint(0, 60)))])) for i in range(25)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = removed(rows)
+    assert all(tuple(x)[1:] == want[x["doc_id"]] for x in suffix_dedup.digests(docs).collect())
+    same = spark.createDataFrame([(7, passage + " one"), (7, passage + " two"), (8, "of " + passage)], "doc_id long, text string")
+    assert sorted((x["doc_id"], x["n_removed"] > 0) for x in suffix_dedup.digests(same).collect()) == [(7, False), (7, False), (8, True)]
+
+
+def test_near_duplicates_of_odd_texts(spark, monkeypatch):
+    """Long texts and words beyond a piece; a Thue-Morse word and its complement; rows without an id; an id with two texts."""
+    monkeypatch.setattr(hashing, "PIECE", 64)
+    word = "a"
+    while len(word) < 2048:
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    r = random.Random(3)
+    long = " ".join("".join(r.choice("abcd") for _ in range(r.randint(1, 90))) for _ in range(400))
+    rows = [(1, word), (2, other), (3, word), (4, long), (5, long + " end"), (None, word), (None, long), (6, "six words of quite another text"), (6, other), (7, long.upper())]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("v", F.lit(1)).withColumn("key", F.lit("k"))
+    got = near_dedup.find(docs, 3, 85).collect()
+    assert len(got) == len(rows) and all(x["kept"] and x["component_id"] is None for x in got if x["doc_id"] is None)
+    component = {x["doc_id"]: x["component_id"] for x in got if x["doc_id"] is not None}
+    assert component == {1: 1, 2: 2, 3: 1, 4: 4, 5: 4, 6: 2, 7: 4}
+
+
+def test_rates_match_plain_expectation_maximisation(docs, monkeypatch):
+    """Prior, rates and posteriors from vote patterns on Spark are those of a walk over documents."""
+    names = list(quality_rules.RULES)
+    voted = quality_rules.votes(quality_rules.statistics(docs)).collect()
+    votes = np.array([[np.nan if x[k] is None else x[k] for k in names] for x in voted])
+    prior, right = 0.5, None
+    p = np.where((votes == 0).any(axis=1), 0.05, 0.98)
+    for i in range(quality_rules.ROUNDS):
+        if i:
+            odds = np.full(len(votes), np.log(prior / (1 - prior)))
+            for j, (good, bad) in enumerate(right):
+                odds += np.where(votes[:, j] == 1, np.log(good / (1 - bad)), np.where(votes[:, j] == 0, np.log((1 - good) / bad), 0))
+            p = 1 / (1 + np.exp(-odds))
+        new = []
+        for j in range(len(names)):
+            v = votes[:, j]
+            seen = ~np.isnan(v)
+            new.append((np.clip((p[v == 1].sum() + 1.8) / (p[seen].sum() + 2), 0.5, 0.999), np.clip(((1 - p)[v == 0].sum() + 1.2) / ((1 - p)[seen].sum() + 2), 0.02, 0.999)))
+        before, prior = prior, np.clip((p.sum() + 8) / (len(p) + 10), 0.05, 0.99)
+        change = max(abs(prior - before), *(abs(a - b) for x, y in zip(new, right or [(0.5, 0.5)] * len(names), strict=True) for a, b in zip(x, y, strict=True)))
+        right = new
+        if change < quality_rules.TOLERANCE:
+            break
+    got_prior, got = quality_rules.estimate(quality_rules.votes(quality_rules.statistics(docs)))
+    assert np.isclose(got_prior, prior) and np.allclose([got[k] for k in names], right)
+    odds = np.full(len(votes), np.log(prior / (1 - prior)))
+    for j, (good, bad) in enumerate(right):
+        odds += np.where(votes[:, j] == 1, np.log(good / (1 - bad)), np.where(votes[:, j] == 0, np.log((1 - good) / bad), 0))
+    judged = quality_rules.judge(docs).collect()
+    assert np.allclose(sorted(x["posterior"] for x in judged), np.sort(1 / (1 + np.exp(-odds))))
+    assert all(x["kept"] == (not x["base_failed"] and x["posterior"] >= quality_rules.KEEP) for x in judged)
+
+
+def test_rules_count_long_texts(spark):
+    r = random.Random(6)
+    text = "\n".join(" ".join(r.choice(["ab", "cd", "é#", "$x"]) + str(r.randrange(300)) for _ in range(9)) for _ in range(9000))
+    w = split(text)
+    x = quality_rules.judge(spark.createDataFrame([(1, text, 5)], "doc_id long, text string, n long")).first()
+    grams: dict = {}
+    for i in range(len(w) - 2):
+        grams.setdefault(tuple(w[i : i + 3]), []).append(i)
+    again = {i + o for at in grams.values() if len(at) > 1 for i in at for o in range(3)}
+    lines = text.split("\n")
+    assert (x["n_words"], x["n_repeat_words"], x["n_dup_lines"]) == (len(w), len(again), len(lines) - len(set(lines)))
+
+
+def test_urls_of_odd_rows_and_held_out(spark):
+    """Null, empty, repeated and very long URLs, extra columns with inner names, an empty table; and held-out URLs of a rule."""
+    rows = [(1, None), (2, ""), (3, "http://a.org/x"), (3, "http://a.org/x"), (None, "http://b.com/de/" + "y" * 200000), (5, "://"), (6, "http://a." + "b." * 5000 + "net?q")]
+    df = spark.createDataFrame(rows, "page_id long, url string").withColumn("host", F.lit("h")).withColumn("rule", F.lit(1)).withColumn("score", F.lit(2)).withColumn("suffix", F.lit("s"))
+    got = url_filter.judge(df).collect()
+    assert len(got) == len(rows) and sorted(x["verdict"] for x in got if x["page_id"] == 3) == ["allow", "allow"]
+    assert next(x for x in got if x["page_id"] is None)["verdict"] == "block"
+    assert url_filter.judge(df.limit(0)).collect() == []
+    pages = url_filter.parts(spark.read.parquet("/root/testdata/sf0.1/pages.parquet")).withColumn("rule", url_filter.fitting(url_filter.RULES)).withColumn("suffix", url_filter.suffix()).filter("rule IS NOT NULL")
+    labelled = pages.withColumn("y", F.col("rule").isin([k for k, v in url_filter.RULES.items() if v == "block"]).cast("int"))
+    counts = pages.groupBy("suffix").agg(F.count("*").alias("seen"))
+    model = url_filter.train(labelled.filter("page_id % 5 > 0"), counts)
+    rest = labelled.filter("page_id % 5 = 0").join(counts, "suffix").toPandas()
+    x = url_filter.features(*(pa.array(rest[c], pa.string()) for c in ("url", "host", "path")), rest["seen"].to_numpy(float))
+    share = ((model.predict(x) >= 0.5) == (rest["y"] == 1)).mean()
+    most = max(rest["y"].mean(), 1 - rest["y"].mean())
+    assert share > most + 0.5 * (1 - most)
+
+
 def test_rules_count_like_brute_force(docs):
     for r in quality_rules.judge(docs).join(docs.filter("doc_id IS NOT NULL").select("doc_id", "text").distinct(), "doc_id").collect():
         w, text = split(r["text"]), r["text"] or ""
