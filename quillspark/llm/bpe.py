@@ -16,10 +16,10 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from heapq import heapify, heappop, heappush
 from itertools import accumulate, chain
 
 import numpy as np
@@ -105,34 +105,36 @@ class _Parts(dict):
 
 
 def merge(piece: bytes, rank: _Parts) -> list[int]:
-    """Ids of bytes that aren't in the vocabulary as a whole."""
-    n = len(piece)
-    after, before, size = list(range(1, n + 1)), list(range(-1, n - 1)), [1] * n
-    heap: list[tuple[int, int, int]] = []
-
-    def offer(i: int) -> None:
-        j = after[i]
-        if j < n and (r := rank[piece[i : j + size[j]]]) is not None:
-            heapq.heappush(heap, (r, i, size[i] + size[j]))
+    """Ids of bytes that aren't in the vocabulary as a whole.
 
-    for i in range(n - 1):
-        offer(i)
+    Parts are linked by the places where they and their neighbours begin. A candidate is one number: its rank, then
+    where it begins and ends, so that the smallest is the leftmost of the lowest rank; it is stale unless two parts that
+    are neighbours still make it up.
+    """
+    n = len(piece)
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    heap = [r << 64 | i << 32 | i + 2 for i in range(n - 1) if (r := rank[piece[i : i + 2]]) is not None]
+    heapify(heap)
     while heap:
-        _, i, length = heapq.heappop(heap)
+        top = heappop(heap)
+        i, end = top >> 32 & 0xFFFFFFFF, top & 0xFFFFFFFF
         j = after[i]
-        if not size[i] or j >= n or size[i] + size[j] != length:
-            continue  # one of the two has been merged since
-        size[i], size[j] = length, 0
-        after[i] = after[j]
-        if after[i] < n:
-            before[after[i]] = i
-        offer(i)
-        if before[i] >= 0:
-            offer(before[i])
+        if not j or j == n or after[j] != end:  # a part that was merged into the one before it has no place behind it
+            continue
+        after[i], after[j] = end, 0
+        if end < n:
+            before[end] = i
+            last = after[end]
+            if (r := rank[piece[i:last]]) is not None:
+                heappush(heap, r << 64 | i << 32 | last)
+        first = before[i]
+        if first >= 0 and (r := rank[piece[first:end]]) is not None:
+            heappush(heap, r << 64 | first << 32 | end)
     out, i = [], 0
     while i < n:
-        out.append(rank[piece[i : i + size[i]]])
-        i = after[i]
+        j = after[i]
+        out.append(rank[piece[i:j]])
+        i = j
     return out
 
 
