@@ -141,11 +141,11 @@ def j16_e16_chunks(s, d):
     return c.select("id", F.size("c").alias("n_chunks"), F.transform(taste.sampled(F.col("c"), 3), lambda x: F.sha2(x, 256)).alias("sampled"))
 
 
-@query("SELECT a.id, list_transform(list_zip(cast(a.v AS DOUBLE[]), cast(b.v AS DOUBLE[])), lambda z: round((z[1] + z[2]) / sqrt(list_sum(list_transform(list_zip(cast(a.v AS DOUBLE[]), cast(b.v AS DOUBLE[])), lambda y: (y[1] + y[2]) * (y[1] + y[2])))), 5)) AS v FROM vectors a JOIN vectors b ON b.id = a.id + 1")
+@query("SELECT a.id, list_transform(list_zip(cast(a.v AS DOUBLE[]), cast(b.v AS DOUBLE[])), lambda z: round((z[1] + z[2]) / sqrt(list_sum(list_transform(list_zip(cast(a.v AS DOUBLE[]), cast(b.v AS DOUBLE[])), lambda y: (y[1] + y[2]) * (y[1] + y[2])))), 5) + 0.0::DOUBLE) AS v FROM vectors a JOIN vectors b ON b.id = a.id + 1")
 def j17_two_tier(s, d):
     a = B.vectors(s, d)
     b = a.select((F.col("id") - 1).alias("id"), F.col("v").alias("content"))
-    return a.join(b, "id").select("id", F.transform(taste.two_tier(F.col("v"), F.col("content")), lambda x: F.round(x, 5)).alias("v"))
+    return a.join(b, "id").select("id", F.transform(taste.two_tier(F.col("v"), F.col("content")), lambda x: F.round(x, 5) + 0.0).alias("v"))
 
 
 @query("SELECT label, list(round(s / n, 6) ORDER BY i) AS pooled FROM (SELECT *, sqrt(sum(s * s) OVER (PARTITION BY label)) AS n FROM (SELECT label, i, avg(cast(x AS DOUBLE)) AS s FROM (SELECT label, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM vectors) GROUP BY 1, 2)) GROUP BY 1")
