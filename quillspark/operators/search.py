@@ -10,12 +10,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 from ..functions import text as T
+from ..functions.stem import stem, stemmed
 from ..tables import written
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def folded(text: pd.Series) -> pd.Series:
     """H8: lower case without diacritics."""
 
@@ -27,32 +29,35 @@ def folded(text: pd.Series) -> pd.Series:
 
 @dataclass(frozen=True)
 class Index:
-    """K1: postings (term, field, id, tf), a table sorted by term, so that a scan reads few row groups; lengths (id, length)."""
+    """K1: postings (term, field, id, tf), a table sorted by term, so that a scan reads few row groups; lengths (id, length); whether terms are stems."""
 
     postings: DataFrame
     lengths: DataFrame
+    stems: bool = False
 
 
 def terms(text: Column, fold: bool = True) -> Column:
     return F.filter(F.split(folded(text) if fold else F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
-def built(docs: DataFrame, key: str, fields: list[str], fold: bool = True) -> Index:
-    """K1: the index of the fields of docs; written once, for many queries."""
+def built(docs: DataFrame, key: str, fields: list[str], fold: bool = True, stems: bool = False) -> Index:
+    """K1: the index of the fields of docs; written once, for many queries. With stems, English inflections of a word are one term."""
     each = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f"_{f}").alias("terms")) for f in fields)))
     split = docs.select(F.col(key).alias("id"), *(terms(F.coalesce(f, F.lit("")), fold).alias(f"_{f}") for f in fields))
     rows = split.select("id", each.alias("e")).select("id", "e.field", F.explode("e.terms").alias("term"))
     counted = rows.groupBy("term", "field", "id").agg(F.count("*").alias("tf"))
+    if stems:
+        counted = counted.withColumn("term", stemmed("term")).groupBy("term", "field", "id").agg(F.sum("tf").alias("tf"))
     postings = written(counted.repartitionByRange("term", "id").sortWithinPartitions("term", "id"))
     held = postings.groupBy("id").agg(F.sum("tf").alias("length"))
-    return Index(postings, written(docs.select(F.col(key).alias("id")).join(held, "id", "left").select("id", F.coalesce("length", F.lit(0)).alias("length"))))
+    return Index(postings, written(docs.select(F.col(key).alias("id")).join(held, "id", "left").select("id", F.coalesce("length", F.lit(0)).alias("length"))), stems)
 
 
 def replaced(index: Index, gone: DataFrame, new: Index | None = None) -> Index:
     """K4: index without the rows of gone (id), and with those of new."""
     ids = gone.select("id").distinct()
-    left = Index(index.postings.join(ids, "id", "left_anti").select(*index.postings.columns), index.lengths.join(ids, "id", "left_anti"))
-    return left if new is None else Index(left.postings.unionByName(new.postings), left.lengths.unionByName(new.lengths))
+    left = Index(index.postings.join(ids, "id", "left_anti").select(*index.postings.columns), index.lengths.join(ids, "id", "left_anti"), index.stems)
+    return left if new is None else Index(left.postings.unionByName(new.postings), left.lengths.unionByName(new.lengths), index.stems)
 
 
 def as_prefixes(query: str) -> list[str]:
@@ -60,7 +65,7 @@ def as_prefixes(query: str) -> list[str]:
     return [w if w.upper() in ("AND", "OR", "NOT") or w.startswith('"') or w.endswith("*") else f"{w}*" for w in query.split()]
 
 
-def alternatives(query: str) -> list[tuple[list[str], list[str]]] | None:
+def alternatives(query: str, stems: bool = False) -> list[tuple[list[str], list[str]]] | None:
     """K2: the wanted and unwanted words of each alternative of a query; None if it is malformed. NOT binds closest, then AND (or
     nothing between two words), then OR."""
     out: list[tuple[list[str], list[str]]] = [([], [])]
@@ -77,7 +82,8 @@ def alternatives(query: str) -> list[tuple[list[str], list[str]]] | None:
             return None
         if operator == "OR":
             out.append(([], []))
-        out[-1][operator == "NOT"].append(word.lower().replace('"', ""))
+        term = "".join(c for c in unicodedata.normalize("NFD", bare.lower()) if not 0x300 <= ord(c) <= 0x36F)
+        out[-1][operator == "NOT"].append((stem(term) if stems else term) + "*" * word.rstrip('"').endswith("*"))
         operator = ""
     return None if operator else out
 
@@ -88,7 +94,7 @@ def _hits(word: str) -> Column:
 
 def matching(index: Index, query: str) -> DataFrame:
     """K2: ids of texts that fit a query; none fits a malformed one. Only postings of the query's words are read and shuffled."""
-    options = alternatives(query)
+    options = alternatives(query, index.stems)
     if not options:
         return index.postings.select("id").limit(0)
     words = sorted({w for both in options for part in both for w in part})
@@ -101,7 +107,7 @@ def matching(index: Index, query: str) -> DataFrame:
 
 def ranked(index: Index, query: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """Id and BM25 score (larger is better) of the texts that fit a query, over the wanted words of all alternatives."""
-    options = alternatives(query)
+    options = alternatives(query, index.stems)
     ids = matching(index, query)
     if not options:
         return ids.withColumn("score", F.lit(0.0))

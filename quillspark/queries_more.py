@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType, BinaryType, FloatType
 
 from .functions import text as T
 from .operators import candidates, library, taste, vectors
@@ -17,13 +18,13 @@ from .queries_text import _STRIP
 from .registry import query
 
 
-@pandas_udf("binary")
+@pandas_udf(BinaryType())
 def encoded(v: pd.Series) -> pd.Series:
     """A vector as little-endian 32-bit floats."""
     return v.map(lambda x: None if x is None else struct.pack(f"<{len(x)}f", *x))
 
 
-@pandas_udf("array<float>")
+@pandas_udf(ArrayType(FloatType()))
 def decoded(b: pd.Series) -> pd.Series:
     """A27."""
     return b.map(lambda x: None if x is None else list(struct.unpack(f"<{len(x) // 4}f", x)))

@@ -33,6 +33,13 @@ def k2_h7_boolean_search(s, d):
     return search.matching(_index(s, d), 'the NOT "of" OR auf AND "und"')
 
 
+@query()
+def k1_stemmed_search(s, d):
+    """Inflections of a word are one term; stems aren't said in SQL but compared with a plain version in the tests."""
+    index = search.built(B.table(s, d, "documents").select("doc_id", "source", "text"), "doc_id", ["source", "text"], stems=True)
+    return search.matching(index, '"ables" OR "heres"')
+
+
 @query("SELECT doc_id AS id FROM documents WHERE false", views=False)
 def k2_malformed_search(s, d):
     return search.matching(_index(s, d), '"unbalanced')
