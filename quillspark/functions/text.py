@@ -366,3 +366,42 @@ def list_entries(html: Column) -> Column:
     """struct(link, title) of each list entry that is a link."""
     found = F.regexp_extract_all(html, F.lit(r'(?is)<li[^>]*>\s*(<a\s[^>]*href="[^"]*"[^>]*>.*?</a>)'), 1)
     return F.transform(found, lambda x: F.struct(F.regexp_extract(x, r'href="([^"]*)"', 1).alias("link"), html_to_text(x).alias("title")))
+
+
+def date_label(ms: Column) -> Column:
+    """Jan 5, 2024 (of the session's time zone)."""
+    return F.date_format(F.timestamp_millis(ms), "MMM d, yyyy")
+
+
+def plain_term(text: Column) -> Column:
+    """Without quotes, in single blanks."""
+    return collapse(F.regexp_replace(F.coalesce(text, F.lit("")), '"', " "))
+
+
+def owned_query(title: Column, author: Column) -> Column:
+    """What a catalogue is asked for a book."""
+    a = plain_term(author)
+    return F.when(a != "", F.concat(plain_term(title), F.lit(' author:"'), a, F.lit('"'))).otherwise(plain_term(title))
+
+
+def keyword_query(fandom: Column, extras: Column, page: int = 1) -> Column:
+    """The address of a site's story search for a fandom and further terms."""
+    words = F.array_join(F.concat(F.array(fandom), extras), " ")
+    return F.concat(F.lit("/search/?keywords="), F.url_encode(words), F.lit(f"&type=story&ppage={page}"))
+
+
+def best_place(text: Column, quote: Column, before: Column, after: Column) -> Column:
+    """Where (characters before it) a quote stands best: of its occurrences (without overlaps) the one whose neighbourhood shares most
+    characters with the contexts, and of equals the first; null if it doesn't occur."""
+    parts = F.split(text, F.concat(F.lit("\\Q"), quote, F.lit("\\E")), -1)
+    n = F.length(quote)
+
+    def scored(i: Column) -> Column:
+        at = F.aggregate(F.slice(parts, 1, i), F.lit(0), lambda s, x: s + F.length(x)) + (i - 1) * n
+        back = F.reverse(F.substr(text, F.greatest(at - F.length(before) + 1, F.lit(1)), F.least(at, F.length(before))))
+        ahead = F.substr(text, at + n + 1, F.length(after))
+        score = context_score(back, F.reverse(before)) + context_score(ahead, after)
+        return F.struct(score.alias("score"), (-at).alias("at"))
+
+    found = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), scored)
+    return F.when((n > 0) & (F.size(parts) > 1), -F.array_max(found)["at"])

@@ -138,3 +138,23 @@ def c11_signals_vectors(s, d):
 def j1_j2_unit_vectors(s, d):
     v = F.col("v")
     return B.vectors(s, d).select("id", F.round(F.sqrt(vectors.dot(v, v)), 6).alias("n"), F.transform(taste.normalised(v), lambda x: F.round(x, 5) + 0.0).alias("unit"))
+
+
+@query("SELECT id, strftime(make_timestamp(date_saved * 1000), '%b %-d, %Y') AS saved FROM items")
+def h27_dates(s, d):
+    return B.items(s, d).select("id", T.date_label(F.col("date_saved")).alias("saved"))
+
+
+@query("SELECT id, CASE WHEN author IS NOT NULL THEN title || ' author:\"' || author || '\"' ELSE title END AS q, '/search/?keywords=' || replace(title, ' ', '+') || '+' || lower(subjects[1]) || '&type=story&ppage=2' AS url FROM candidates")
+def h25_query_strings(s, d):
+    title = F.concat(F.lit(' "'), "title", F.lit('"  '))
+    return B.candidates(s, d).select("id", T.owned_query(title, F.col("author")).alias("q"), T.keyword_query(F.col("title"), F.array(F.lower(F.element_at("subjects", 1))), 2).alias("url"))
+
+
+@query("SELECT doc_id AS id, 49 AS place FROM documents WHERE length(text) >= 120 AND position(substr(text, 50, 12) IN substr(text, 38, 24)) = 13", views=False)
+def h29_best_places(s, d):
+    """A quote of each text, found again by its contexts."""
+    t = F.col("text")
+    alone = F.expr("locate(substring(text, 50, 12), substring(text, 38, 24))") == 13
+    docs = B.table(s, d, "documents").filter((F.length(t) >= 120) & alone)
+    return docs.select(F.col("doc_id").alias("id"), T.best_place(t, F.substring(t, 50, 12), F.substring(t, 10, 40), F.substring(t, 62, 40)).alias("place"))
