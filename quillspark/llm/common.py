@@ -16,9 +16,9 @@ from ..tables import HEAVY_KEYS, dropped, few, matched, releasing, shared_dir, w
 __all__ = ["HEAVY_KEYS", "dropped", "few", "matched", "releasing", "shared_dir", "written"]
 
 #: Rows of one Arrow batch: bounds what a Python worker holds (texts of some KB each).
-ARROW_ROWS = 2000
+ARROW_ROWS = 1000
 #: Bytes of text that a worker turns into numpy arrays at a time.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

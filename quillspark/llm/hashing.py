@@ -69,13 +69,13 @@ def _runs(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray, as_read:
     start = ~gap & (first[:-1] | np.concatenate([[True], gap[:-1]]))
     end = ~gap & (first[1:] | np.concatenate([gap[1:], [True]]))
     s, e = np.flatnonzero(start), np.flatnonzero(end)
-    at = np.arange(n)
-    place = at - np.maximum.accumulate(np.where(start, at, 0))
-    number = NUMBERS[(np.minimum(place, PLACES - 1) << 8) | as_read[data]]
+    place = np.arange(n, dtype=np.int32)
+    place -= np.maximum.accumulate(np.where(start, place, np.int32(0)))
+    number = NUMBERS[(np.minimum(place, np.int32(PLACES - 1)) << np.int32(8)) | as_read[data]]
     late = np.flatnonzero(place >= PLACES)
     if len(late):
         number[late] = mix(((place[late].astype(np.uint64) << _U(8)) | as_read[data[late]]) * _U(0xD1B54A32D192ED03) + _U(5))
-    total = np.cumsum(number)
+    total = np.cumsum(number, out=number)
     before = np.where(s > 0, total[s - 1], _U(0))
     return mix(total[e] - before + (e - s + 1).astype(np.uint64) * _U(0x9E3779B97F4A7C15)), np.diff(np.searchsorted(s, offsets))
 

@@ -104,19 +104,22 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "quality", rows: int
 
 def score(docs: DataFrame, model: gbt.Trees, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns keep, and score; one row for each row of docs."""
-    small_batches(docs.sparkSession)
-    kept = docs.select(*dict.fromkeys([*keep, "text"]))
+    return scored(docs.select(F.struct(*dict.fromkeys([*keep, "text"])).alias("document")), model).select(*(F.col("document")[k].alias(k) for k in keep), "score")
+
+
+def scored(documents: DataFrame, model: gbt.Trees) -> DataFrame:
+    """documents (one column, document: a struct with text) with score. Other fields may have any name."""
+    small_batches(documents.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = [model.predict(statistics(part)) for part in chunks(column(batch, "text"))]
+            parts = [model.predict(statistics(part)) for part in chunks(column(batch, "document").field("text"))]
             scores = pa.array(np.concatenate(parts) if parts else [], pa.float64())
-            yield pa.RecordBatch.from_arrays([*(column(batch, k) for k in keep), scores], [*keep, "score"])
+            yield pa.RecordBatch.from_arrays([column(batch, "document"), scores], ["document", "score"])
 
-    return kept.mapInArrow(run, extended(kept.select(*keep), "score double"))
+    return documents.mapInArrow(run, extended(documents, "score double"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted for each row of docs."""
-    scored = score(docs, train(docs, labels))
-    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return score(docs, train(docs, labels)).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
