@@ -14,8 +14,7 @@ from quillspark.llm.queries import RANKS
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier scores as good."""
     model = quality_classifier.train(docs, read(spark, sf_dir, "labels"))
-    whole = docs.select("text", F.struct(*docs.columns).alias("document"))  # the operators' own columns may have any name
-    scored = quality_classifier.score(whole, model, ("document",))
+    scored = quality_classifier.scored(docs.select(F.struct(*docs.columns).alias("document")), model)
     return scored.filter(F.col("score") >= quality_classifier.THRESHOLD).select("document.*")
 
 
