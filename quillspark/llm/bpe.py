@@ -155,7 +155,7 @@ class _Memory(dict):
         return ids
 
 
-def _pieces(text: str, cut: regex.Pattern | None) -> Iterator[str]:
+def pieces(text: str, cut: regex.Pattern | None) -> Iterator[str]:
     start = 0
     while cut and len(text) - start > PIECE and (m := cut.search(text, start + PIECE)):
         yield text[start : m.start()]
@@ -164,7 +164,7 @@ def _pieces(text: str, cut: regex.Pattern | None) -> Iterator[str]:
 
 
 def tokens(text: str, pattern: regex.Pattern, memory: _Memory) -> np.ndarray:
-    parts = [np.fromiter(chain.from_iterable(map(memory.__getitem__, pattern.findall(p))), np.int32) for p in _pieces(text, CUTS.get(pattern.pattern))]
+    parts = [np.fromiter(chain.from_iterable(map(memory.__getitem__, pattern.findall(p))), np.int32) for p in pieces(text, CUTS.get(pattern.pattern))]
     return parts[0] if len(parts) == 1 else np.concatenate(parts)
 
 
