@@ -64,16 +64,17 @@ def dropped(*tables: DataFrame) -> None:
 HEAVY_KEYS = 4096
 
 
-def matched(rows: DataFrame, one: DataFrame, keys: list[str], met: str = "met") -> DataFrame:
+def matched(rows: DataFrame, one: DataFrame, keys: list[str], met: str = "met", how: str = "inner") -> DataFrame:
     """rows with the columns of one (a table), which has a row for each of their keys and how many rows have it (met).
 
     Keys with a HEAVY_KEYS-th of all rows or more, so HEAVY_KEYS at most, are broadcast; a task of the sorted rest gets no heavy key.
+    how: left keeps rows without a match as well.
     """
     total = one.agg(F.sum(met)).first()[0] or 0
     heavy = F.col(met) * HEAVY_KEYS >= total
     few, rest = one.filter(heavy).drop(met), one.filter(~heavy).drop(met)
     out = rows.join(F.broadcast(few), keys)
-    return out if rest.isEmpty() else out.unionByName(rows.join(F.broadcast(few.select(*keys)), keys, "left_anti").join(rest, keys))
+    return out if how == "inner" and rest.isEmpty() else out.unionByName(rows.join(F.broadcast(few.select(*keys)), keys, "left_anti").join(rest, keys, how))
 
 
 #: Numbers that few() broadcasts, at most.
