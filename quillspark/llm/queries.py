@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat_format, language_id, mixing, near_dedup, packing, periodic_runs, quality_classifier, quality_rules, suffix_dedup, topk_join, url_filter
+from . import bpe, chat_format, language_id, mixing, near_dedup, packing, periodic_runs, prefix_trie, quality_classifier, quality_rules, suffix_dedup, topk_join, url_filter
 from .common import read
 
 #: Vocabulary file of the BPE query.
@@ -63,6 +63,10 @@ def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(read(spark, sf_dir, "conversations"))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.find(read(spark, sf_dir, "documents"))
 
@@ -71,8 +75,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_quality_classifier, op2_chat_formatting, op3_mixing, op4_language_id, op5_minhash_dedup, op6_suffix_dedup, op7_byte_bpe, op8_quality_rules,
-        op9_topk_search, op10_url_filter, op11_packing, op13_periodic_runs,
+        op9_topk_search, op10_url_filter, op11_packing, op12_prefix_trie, op13_periodic_runs,
     )
 }
 
-ORACLES: dict[str, str] = {"op2_chat_formatting": chat_format.ORACLE, "op9_topk_search": topk_join.ORACLE}
+ORACLES: dict[str, str] = {"op2_chat_formatting": chat_format.ORACLE, "op9_topk_search": topk_join.ORACLE, "op12_prefix_trie": prefix_trie.ORACLE}
