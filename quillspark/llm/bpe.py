@@ -88,12 +88,26 @@ class Vocabulary:
         return self.ranks[slot] if self.blob[self.ends[slot] : self.ends[slot + 1]] == key else None
 
 
+class _Pairs(dict):
+    """Ranks of two bytes, by the number 256 * first + second."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        super().__init__()
+        self.vocabulary = vocabulary
+
+    def __missing__(self, pair: int) -> int | None:
+        rank = self[pair] = self.vocabulary.rank(bytes((pair >> 8, pair & 255)))
+        return rank
+
+
 class _Parts(dict):
     """Ranks of parts of pre-tokens (None outside the vocabulary), of which the recent ones are remembered."""
 
     def __init__(self, vocabulary: Vocabulary):
         super().__init__()
         self.vocabulary = vocabulary
+        self.single = [vocabulary.rank(bytes((b,))) for b in range(256)]
+        self.pairs = _Pairs(vocabulary)
 
     def __missing__(self, part: bytes) -> int | None:
         rank = self.vocabulary.rank(part)
@@ -112,29 +126,32 @@ def merge(piece: bytes, rank: _Parts) -> list[int]:
     are neighbours still make it up.
     """
     n = len(piece)
+    bits = n.bit_length()
+    mask, two = (1 << bits) - 1, 2 * bits
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    heap = [r << 64 | i << 32 | i + 2 for i in range(n - 1) if (r := rank[piece[i : i + 2]]) is not None]
+    ids, pairs = [rank.single[b] for b in piece], rank.pairs
+    heap = [r << two | i << bits | i + 2 for i, (a, b) in enumerate(zip(piece, piece[1:], strict=False)) if (r := pairs[a << 8 | b]) is not None]
     heapify(heap)
     while heap:
         top = heappop(heap)
-        i, end = top >> 32 & 0xFFFFFFFF, top & 0xFFFFFFFF
+        i, end = top >> bits & mask, top & mask
         j = after[i]
         if not j or j == n or after[j] != end:  # a part that was merged into the one before it has no place behind it
             continue
+        ids[i] = top >> two
         after[i], after[j] = end, 0
         if end < n:
             before[end] = i
             last = after[end]
             if (r := rank[piece[i:last]]) is not None:
-                heappush(heap, r << 64 | i << 32 | last)
+                heappush(heap, r << two | i << bits | last)
         first = before[i]
         if first >= 0 and (r := rank[piece[first:end]]) is not None:
-            heappush(heap, r << 64 | first << 32 | end)
+            heappush(heap, r << two | first << bits | end)
     out, i = [], 0
     while i < n:
-        j = after[i]
-        out.append(rank[piece[i:j]])
-        i = j
+        out.append(ids[i])
+        i = after[i]
     return out
 
 
