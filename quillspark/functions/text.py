@@ -2,11 +2,44 @@
 
 from __future__ import annotations
 
+import unicodedata
+from functools import cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Entities that the HTML reader decodes, in this order (the ampersand last).
-ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&"))
+#: Entities that the HTML reader decodes, in any case and in this order (the ampersand before what it may set free).
+ENTITIES = (("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;|&apos;", "'"))
+#: Marks that folding takes away.
+MARKS = range(0x300, 0x370)
+
+
+def folded_name(text: str) -> str:
+    """H8 for one text on the driver."""
+    return "".join(c for c in unicodedata.normalize("NFD", text.lower()) if ord(c) not in MARKS)
+
+
+@cache
+def _folding() -> tuple[str, str]:
+    """Lower-case characters of the basic plane that fold to one other, what they fold to, then the marks that vanish."""
+    one = [(c, f) for c in map(chr, (*range(0x80, 0xD800), *range(0xE000, 0x10000))) if ord(c) not in MARKS and c == c.lower() and len(f := folded_name(c)) == 1 and f != c]
+    return "".join(c for c, _ in one) + "".join(map(chr, MARKS)), "".join(f for _, f in one)
+
+
+@cache
+def fold_variants() -> dict[str, str]:
+    """The other characters of the basic plane that fold to a character, by that character."""
+    out: dict[str, str] = {}
+    for c in map(chr, (*range(0x41, 0xD800), *range(0xE000, 0x10000))):
+        if ord(c) not in MARKS and len(f := folded_name(c)) == 1 and f != c:
+            out[f] = out.get(f, "") + c
+    return out
+
+
+def folded(text: str | Column) -> Column:
+    """H8: lower case without diacritics, by a table that the Unicode decompositions give. Characters that decompose to several letters
+    (Hangul syllables) stay composed."""
+    return F.translate(F.lower(text), *_folding())
 
 
 def collapse(text: Column) -> Column:
@@ -30,10 +63,29 @@ def word_count(text: Column) -> Column:
 def html_to_text(html: Column) -> Column:
     """H9: drop scripts, styles and tags, decode the common entities, collapse blanks."""
     out = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>", " ")
-    out = F.regexp_replace(out, r"<[^>]*>", " ")
+    return collapse(common_entities(F.regexp_replace(out, r"<[^>]*>", " ")))
+
+
+def common_entities(text: Column) -> Column:
     for entity, char in ENTITIES:
-        out = F.replace(out, F.lit(entity), F.lit(char))
-    return collapse(out)
+        text = F.regexp_replace(text, f"(?i){entity}", char)
+    return text
+
+
+def _character(code: Column) -> Column:
+    """The character of a UTF-16 unit; half of a pair is the replacement character."""
+    unit = code.bitwiseAND(0xFFFF)
+    return F.when(unit.between(0xD800, 0xDFFF), "\ufffd").otherwise(F.decode(F.unhex(F.lpad(F.hex(unit), 4, "0")), "UTF-16BE"))
+
+
+def decoded_numbers(text: Column, end: str = ";") -> Column:
+    """text with all numeric entities (decimal, then hexadecimal) as characters."""
+    number = {10: lambda n: _character(n.cast("long")), 16: lambda n: _character(F.conv(n, 16, 10).cast("long"))}
+    for pattern, base in ((rf"&#(\d{{1,9}}){end}", 10), (rf"(?i)&#x([\da-f]{{1,7}}){end}", 16)):
+        codes = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), number[base])
+        whole = F.zip_with(F.split(text, pattern, -1), codes, lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
+        text = F.when(text.rlike(pattern), F.array_join(whole, "")).otherwise(text)
+    return text
 
 
 def canonical_url(url: Column) -> Column:
@@ -66,16 +118,26 @@ def js_round(x: Column) -> Column:
 # hashes and keys
 
 
-def content_hash(text: Column) -> Column:
-    """H4: length and a 31-multiplier hash of the text's UTF-16 units (of its first and last 2,000, if it has more than 4,000).
+def _units(text: Column) -> Column:
+    """The UTF-16 units of a text: two for each character beyond the basic plane."""
+    code = lambda c: F.ascii(c).cast("long")
+    pair = lambda c: F.array(F.shiftright(code(c) - 0x10000, 10) + 0xD800, (code(c) - 0x10000).bitwiseAND(0x3FF) + 0xDC00)
+    each = F.when(F.length(text) > 0, F.split(text, "")).otherwise(F.array().cast("array<string>"))
+    wide = F.flatten(F.transform(each, lambda c: F.when(code(c) > 0xFFFF, pair(c)).otherwise(F.array(code(c)))))
+    return F.when(text.rlike(r"[\x{10000}-\x{10FFFF}]"), wide).otherwise(F.transform(each, code))
 
-    Texts are of the basic plane here: a character beyond it counts as one unit by its code point.
-    """
-    n = F.length(text)
-    sample = F.when(n > 4000, F.concat(F.substring(text, 1, 2000), F.right(text, F.lit(2000)))).otherwise(text)
-    step = lambda h, c: (h * 31 + F.ascii(c)).bitwiseAND(0xFFFFFFFF)
-    h = F.when(F.length(sample) > 0, F.aggregate(F.split(sample, ""), F.lit(0).cast("long"), step)).otherwise(F.lit(0).cast("long"))
-    return F.concat(n.cast("string"), F.lit(":"), h.cast("string"))
+
+def _hashed(units: Column) -> Column:
+    return F.aggregate(units, F.lit(0).cast("long"), lambda h, c: (h * 31 + c).bitwiseAND(0xFFFFFFFF))
+
+
+def content_hash(text: Column) -> Column:
+    """H4: length and a 31-multiplier hash of the text's UTF-16 units (of its first and last 2,000, if it has more than 4,000)."""
+    wide = text.rlike(r"[\x{10000}-\x{10FFFF}]")
+    n = F.length(text) + F.when(wide, F.regexp_count(text, F.lit(r"[\x{10000}-\x{10FFFF}]"))).otherwise(0)
+    # 2,000 characters have 2,000 units at least, so the ends of the sample are cut from these
+    ends = F.concat(F.slice(_units(F.substring(text, 1, 2000)), 1, 2000), F.reverse(F.slice(F.reverse(_units(F.right(text, F.lit(2000)))), 1, 2000)))
+    return F.concat(n.cast("string"), F.lit(":"), _hashed(F.when(n > 4000, ends).otherwise(_units(text))).cast("string"))
 
 
 def hash31(id: Column) -> Column:
@@ -109,13 +171,9 @@ def composite(*columns: Column) -> Column:
 
 
 def body_text(html: Column) -> Column:
-    """The text of the body, with numeric entities of the ASCII range decoded as well."""
+    """The text of the body, with numeric entities decoded as well."""
     body = F.regexp_extract(html, r"(?is)<body\b[^>]*>(.*?)</body\s*>", 1)
-    out = html_to_text(F.when(F.length(body) > 0, body).otherwise(html))
-    for code in range(33, 127):
-        if code not in (38, 39):
-            out = F.replace(out, F.lit(f"&#{code};"), F.lit(chr(code)))
-    return out
+    return collapse(F.translate(decoded_numbers(html_to_text(F.when(F.length(body) > 0, body).otherwise(html))), "\u00a0", " "))
 
 
 def is_http(url: Column) -> Column:
@@ -123,12 +181,25 @@ def is_http(url: Column) -> Column:
     return F.coalesce(url.rlike(r"(?i)^https?://[^/?#\s]+"), F.lit(False))
 
 
+def without_dots(url: Column) -> Column:
+    """An absolute URL whose path has no . and .. segments; .. doesn't go beyond the top."""
+    head, path, tail = (F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)([^?#]*)(.*)$", i) for i in (1, 2, 3))
+    step = lambda done, x: F.when(x == ".", done).when(x == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(x)))
+    parts = F.aggregate(F.split(F.substr(path, F.lit(2)), "/"), F.array().cast("array<string>"), step)
+    end = F.when(path.rlike(r"/\.\.?$") & (F.size(parts) > 0), "/").otherwise("")
+    return F.when(path.rlike(r"/\.\.?(/|$)"), F.concat(head, F.lit("/"), F.array_join(parts, "/"), end, tail)).otherwise(url)
+
+
 def resolved_url(base: Column, link: Column) -> Column:
-    """A link of a page as an absolute URL (paths with dots stay as they are)."""
+    """A link of a page as an absolute URL."""
     scheme, origin = F.regexp_extract(base, r"^([A-Za-z]+:)", 1), F.regexp_extract(base, r"^([A-Za-z]+://[^/?#]*)", 1)
-    folder = F.regexp_extract(F.regexp_replace(base, r"[?#].*$", ""), r"^([A-Za-z]+://.*/)", 1)
+    bare = F.regexp_replace(base, r"(?s)[?#].*$", "")
+    folder = F.regexp_extract(bare, r"^([A-Za-z]+://.*/)", 1)
     own = F.when(F.length(F.regexp_extract(base, r"^[A-Za-z]+://[^/]*(/)", 1)) > 0, folder).otherwise(F.concat(origin, F.lit("/")))
-    return F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), link).when(link.startswith("//"), F.concat(scheme, link)).when(link.startswith("/"), F.concat(origin, link)).when(link.startswith("#") | link.startswith("?"), F.concat(F.regexp_replace(base, r"[?#].*$", ""), link)).otherwise(F.concat(own, link))
+    query = F.regexp_replace(base, r"(?s)#.*$", "")
+    found = F.when(link == "", query).when(link.startswith("//"), F.concat(scheme, link)).when(link.startswith("/"), F.concat(origin, link))
+    found = found.when(link.startswith("#"), F.concat(query, link)).when(link.startswith("?"), F.concat(bare, link)).otherwise(F.concat(own, link))
+    return without_dots(F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), link).otherwise(found))
 
 
 def numeric_chapter(url: Column) -> Column:
@@ -330,10 +401,8 @@ def pairing_name(reply: Column, a: Column, b: Column) -> Column:
 
 def without_title(text: Column, title: Column) -> Column:
     """A text without its title at the start (in any case), however often it stands there."""
-    n = F.length(title) + 1
-    lead = lambda t: F.startswith(F.lower(t), F.concat(F.lower(title), F.lit(" ")))
-    once = lambda t: F.when((F.length(title) > 0) & lead(t), F.ltrim(F.substr(t, n))).otherwise(t)
-    return once(once(once(text)))
+    quoted = F.concat(F.lit(r"\Q"), F.replace(title, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+    return F.when(F.length(title) > 0, F.regexp_replace(text, F.concat(F.lit("(?iu)^(?:"), quoted, F.lit(" +)+")), F.lit(""))).otherwise(text)
 
 
 def resolved_path(base: Column, path: Column) -> Column:
@@ -343,16 +412,58 @@ def resolved_path(base: Column, path: Column) -> Column:
     return F.array_join(F.aggregate(F.split(whole, "/"), F.array().cast("array<string>"), step), "/")
 
 
-#: Tags that sanitised HTML keeps.
-TAGS = "a b blockquote br code div em figcaption figure h1 h2 h3 h4 h5 h6 hr i img li ol p pre s section span strong sub sup table tbody td th thead tr u ul".split()
+#: Tags that sanitised HTML keeps, the attributes of each that stay, and the schemes of links.
+TAGS = (
+    "p br hr h1 h2 h3 h4 h5 h6 ul ol li dl dt dd strong em b i u s del ins sup sub mark blockquote pre code a img figure figcaption "
+    "table thead tbody tfoot tr th td div span section article aside"
+).split()
+ATTRIBUTES = {"a": ("href", "title"), "img": ("src", "alt", "title", "loading"), "td": ("colspan", "rowspan"), "th": ("colspan", "rowspan")}
+SCHEMES = ("http", "https")
+#: Tags without an end, tags that go with all that is in them, a tag or declaration, an attribute.
+VOID, WHOLE = ("br", "hr", "img"), "script|style|textarea|option"
+TAG = r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<[!?/][^>]*+>"""
+ATTRIBUTE = r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'<>`]+)))?"""
+
+
+def _safe_link(value: Column) -> Column:
+    """Whether a link is relative or of a known scheme, once entities are decoded and blanks and control characters dropped, as readers do."""
+    plain = F.regexp_replace(common_entities(decoded_numbers(common_entities(value), ";?")), "(?i)&colon;?", ":")
+    plain = F.regexp_replace(plain, r"(?is)&(?:tab|newline);?|[\x00-\x20\x7f-\xa0\u200b-\u200f\u2028-\u202f\ufeff]+|<!--.*?-->", "")
+    scheme = F.lower(F.regexp_extract(plain, r"^([^/?#:]*):", 1))
+    return ~plain.rlike("^[^/?#:]*:") | scheme.isin(*SCHEMES)
+
+
+def _kept_tag(tag: Column) -> Column:
+    name = F.lower(F.regexp_extract(tag, r"^</?([a-zA-Z][^\s/>]*)", 1))
+    found = F.regexp_extract_all(F.regexp_replace(tag, r"^<[a-zA-Z][^\s/>]*", ""), F.lit(ATTRIBUTE), F.lit(0))
+
+    def parsed(a: Column) -> Column:
+        part = lambda i: F.regexp_extract(a, f"(?s)^{ATTRIBUTE}$", i)
+        return F.struct(F.lower(part(1)).alias("name"), F.concat(part(2), part(3), part(4)).alias("value"))
+
+    def allowed(a: Column, i: Column, every: Column) -> Column:
+        known = [(name == t) & a["name"].isin(*names) for t, names in ATTRIBUTES.items()]
+        first = F.array_position(F.transform(every, lambda x: x["name"]), a["name"]) == i + 1
+        link = ~a["name"].isin("href", "src") | _safe_link(a["value"])
+        return (known[0] | known[1] | known[2] | known[3]) & (a["name"] != "loading") & first & link
+
+    every = F.transform(found, parsed)
+    value = lambda v: F.replace(F.replace(F.replace(v, F.lit('"'), F.lit("&quot;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    kept = F.transform(F.filter(every, lambda a, i: allowed(a, i, every)), lambda a: F.concat(F.lit(" "), a["name"], F.lit('="'), value(a["value"]), F.lit('"')))
+    lazy = F.when(name == "img", ' loading="lazy"').otherwise("")
+    opened = F.concat(F.lit("<"), name, F.array_join(kept, ""), lazy, F.when(name.isin(*VOID), " />").otherwise(">"))
+    closed = F.when(name.isin(*VOID), "").otherwise(F.concat(F.lit("</"), name, F.lit(">")))
+    return F.when(~name.isin(*TAGS), "").when(tag.startswith("</"), closed).otherwise(opened)
 
 
 def sanitised(html: Column) -> Column:
-    """HTML with known tags only, without scripts, styles, comments, handlers, inline styles and links other than http, mailto or fragments."""
-    out = F.regexp_replace(html, r"(?is)<(script|style|iframe|object)\b.*?</\1\s*>|<!--.*?-->", "")
-    out = F.regexp_replace(out, rf"(?is)</?(?!(?:{'|'.join(TAGS)})\b)[a-z!][^>]*>", "")
-    out = F.regexp_replace(out, r"""(?is)\s(?:on\w+|style)\s*=\s*(?:"[^"]*"|'[^']*'|[^\s>]+)""", "")
-    return F.regexp_replace(out, r"""(?is)\s(?:href|src)\s*=\s*(?:"(?!https?:|mailto:|#|/|\.)[^"]*"|'(?!https?:|mailto:|#|/|\.)[^']*')""", "")
+    """HTML rebuilt from its tokens: known tags with the attributes that they may have, links that are relative or http(s), images that load
+    lazily, and text. Scripts, styles and forms' values go with what is in them, comments and declarations go, a < that begins no
+    tag is text. Ends without a beginning aren't looked for."""
+    bare = F.regexp_replace(html, rf"(?is)<!--.*?(?:-->|\z)|<({WHOLE})\b[^>]*>.*?(?:</\1\s*>|\z)", "")
+    texts = F.transform(F.split(bare, TAG, -1), lambda t: F.replace(F.replace(t, F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")))
+    tags = F.transform(F.regexp_extract_all(bare, F.lit(TAG), F.lit(0)), _kept_tag)
+    return F.array_join(F.zip_with(texts, tags, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
 
 
 def article(html: Column) -> Column:

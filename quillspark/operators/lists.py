@@ -10,9 +10,11 @@ from .library import live, with_progress
 from .stats import finished, period_start
 
 DAY = 86_400_000
-#: The color of highlights without one, and the labels of colors.
+#: The swatches of highlights in their order (name, dot), and what each color means unless a user says otherwise.
+SWATCHES = {"yellow": ("Yellow", "#facc15"), "green": ("Green", "#4ade80"), "blue": ("Blue", "#60a5fa"), "pink": ("Pink", "#f472b6")}
+LABELS = {"yellow": "Key quote", "green": "Theme / motif", "blue": "Vocabulary / craft", "pink": "Question"}
+#: The color of highlights without one.
 DEFAULT_COLOR = "yellow"
-LABELS = {"yellow": "Highlight", "green": "Insight", "blue": "Question", "pink": "Favorite", "purple": "Definition"}
 
 
 def contains(text: Column, part: str) -> Column:
@@ -147,10 +149,21 @@ def theme_choice(themes: DataFrame, query: str) -> DataFrame:
     return themes.agg(F.sort_array(F.collect_set(F.when(F.lower("name").contains(q), F.col("name")))).alias("shown"), (~F.coalesce(F.bool_or(F.lower("name") == q), F.lit(False)) & F.lit(bool(q))).alias("offers"))
 
 
+def _by_color(values: dict[str, str], color: Column) -> Column:
+    return F.create_map(*(F.lit(x) for kv in values.items() for x in kv))[F.coalesce(color, F.lit(DEFAULT_COLOR))]
+
+
+def swatch(color: Column) -> Column:
+    """The dot of a highlight's color; that of the first swatch for an unknown one."""
+    return F.coalesce(_by_color({k: dot for k, (_, dot) in SWATCHES.items()}, color), F.lit(next(iter(SWATCHES.values()))[1]))
+
+
 def category(color: Column, overrides: dict[str, str] | None = None) -> Column:
-    """The label of a highlight's color."""
-    labels = LABELS | (overrides or {})
-    return F.coalesce(F.create_map(*(F.lit(x) for kv in labels.items() for x in kv))[F.coalesce(color, F.lit(DEFAULT_COLOR))], F.lit("Other"))
+    """The label of a highlight's color: the user's, else what the color means; the swatch's own name where a user's label is blank, and
+    the first swatch's for an unknown color."""
+    label = _by_color(LABELS | (overrides or {}), color)
+    name = F.coalesce(_by_color({k: n for k, (n, _) in SWATCHES.items()}, color), F.lit(next(iter(SWATCHES.values()))[0]))
+    return F.when(label != "", label).otherwise(name)
 
 
 def location(fraction: Column, page: Column, chapter: Column) -> Column:

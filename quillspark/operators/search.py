@@ -1,56 +1,66 @@
-"""Full-text search: postings by term, prefix and boolean queries, BM25, finding within texts, dictionary lookup."""
+"""Full-text search: positional postings by term, prefix, phrase and boolean queries, BM25, finding within texts, dictionary lookup."""
 
 from __future__ import annotations
 
+import re
 import unicodedata
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import StringType
 
 from ..functions import text as T
 from ..functions.stem import stem, stemmed
+from ..functions.text import folded, folded_name
 from ..tables import written
 
 
-@pandas_udf(StringType())
-def folded(text: pd.Series) -> pd.Series:
-    """H8: lower case without diacritics."""
-
-    def one(t: str | None) -> str | None:
-        return None if t is None else "".join(c for c in unicodedata.normalize("NFD", t.lower()) if not 0x300 <= ord(c) <= 0x36F)
-
-    return text.map(one, na_action="ignore")
-
-
 @dataclass(frozen=True)
 class Index:
-    """K1: postings (term, field, id, tf), a table sorted by term, so that a scan reads few row groups; lengths (id, length); whether terms are stems."""
+    """K1: postings (term, field, id, tf, places), a table sorted by term, so that a scan reads few row groups; lengths (id, length); whether
+    terms are stems; how many texts there are and their terms, if known."""
 
     postings: DataFrame
     lengths: DataFrame
     stems: bool = False
+    totals: tuple[int, int] | None = None
 
 
-def terms(text: Column, fold: bool = True) -> Column:
-    return F.filter(F.split(folded(text) if fold else F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+#: What parts two terms: neither letters nor numbers, nor marks that folding takes away.
+GAP = r"[^\p{L}\p{N}\u0300-\u036F]+"
 
 
-def built(docs: DataFrame, key: str, fields: list[str], fold: bool = True, stems: bool = False) -> Index:
-    """K1: the index of the fields of docs; written once, for many queries. With stems, English inflections of a word are one term."""
+def terms(text: Column) -> Column:
+    """The terms of a text before they are folded."""
+    return F.filter(F.split(F.lower(text), GAP), lambda t: t != "")
+
+
+def term_postings(docs: DataFrame, key: str, fields: list[str], stems: bool = False) -> DataFrame:
+    """K1: term, field, id, tf, places (numbers of the terms of the field, from 0), sorted by term. Texts are split in the JVM; only terms
+    beyond ASCII are folded, and only distinct terms of a text are stemmed."""
     each = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f"_{f}").alias("terms")) for f in fields)))
-    split = docs.select(F.col(key).alias("id"), *(terms(F.coalesce(f, F.lit("")), fold).alias(f"_{f}") for f in fields))
-    rows = split.select("id", each.alias("e")).select("id", "e.field", F.explode("e.terms").alias("term"))
-    counted = rows.groupBy("term", "field", "id").agg(F.count("*").alias("tf"))
+    split = docs.select(F.col(key).alias("id"), *(terms(F.coalesce(f, F.lit(""))).alias(f"_{f}") for f in fields))
+    rows = split.select("id", each.alias("e")).select("id", "e.field", F.posexplode("e.terms").alias("place", "raw"))
+    term = F.when(F.col("raw").rlike(r"[^\x00-\x7F]"), folded("raw")).otherwise(F.col("raw"))
+    grouped = rows.select("id", "field", "place", term.alias("term")).filter("term <> ''").groupBy("term", "field", "id").agg(F.collect_list("place").alias("places"))
     if stems:
-        counted = counted.withColumn("term", stemmed("term")).groupBy("term", "field", "id").agg(F.sum("tf").alias("tf"))
-    postings = written(counted.repartitionByRange("term", "id").sortWithinPartitions("term", "id"))
+        grouped = grouped.withColumn("term", stemmed("term")).groupBy("term", "field", "id").agg(F.flatten(F.collect_list("places")).alias("places"))
+    out = grouped.select("term", "field", "id", F.size("places").cast("long").alias("tf"), F.array_sort("places").alias("places"))
+    return out.repartitionByRange("term", "id").sortWithinPartitions("term", "id")
+
+
+def text_lengths(docs: DataFrame, key: str, postings: DataFrame) -> DataFrame:
+    """id, length (terms) of each row of docs."""
     held = postings.groupBy("id").agg(F.sum("tf").alias("length"))
-    return Index(postings, written(docs.select(F.col(key).alias("id")).join(held, "id", "left").select("id", F.coalesce("length", F.lit(0)).alias("length"))), stems)
+    return docs.select(F.col(key).alias("id")).join(held, "id", "left").select("id", F.coalesce("length", F.lit(0)).alias("length"))
+
+
+def built(docs: DataFrame, key: str, fields: list[str], stems: bool = False) -> Index:
+    """K1: the index of the fields of docs; written once, for many queries. With stems, English inflections of a word are one term."""
+    postings = written(term_postings(docs, key, fields, stems))
+    return Index(postings, written(text_lengths(docs, key, postings)), stems)
 
 
 def replaced(index: Index, gone: DataFrame, new: Index | None = None) -> Index:
@@ -60,69 +70,139 @@ def replaced(index: Index, gone: DataFrame, new: Index | None = None) -> Index:
     return left if new is None else Index(left.postings.unionByName(new.postings), left.lengths.unionByName(new.lengths), index.stems)
 
 
+@dataclass(frozen=True)
+class Phrase:
+    """Words that follow one another in a field (any, if None); prefix: the last one is the beginning of a word."""
+
+    words: tuple[str, ...]
+    prefix: bool = False
+    field: str | None = None
+
+
+#: Of each alternative: the phrases wanted, and groups of phrases that mustn't all be there.
+Alternative = tuple[list[Phrase], list[list[Phrase]]]
+
+
 def as_prefixes(query: str) -> list[str]:
-    """H7: the words of a query as prefixes; operators, quoted words and those with a star stay as they are."""
+    """H7: the words of a query as prefixes; operators, words that begin with a quote and those with a star stay as they are."""
     return [w if w.upper() in ("AND", "OR", "NOT") or w.startswith('"') or w.endswith("*") else f"{w}*" for w in query.split()]
 
 
-def alternatives(query: str, stems: bool = False) -> list[tuple[list[str], list[str]]] | None:
-    """K2: the wanted and unwanted words of each alternative of a query; None if it is malformed. NOT binds closest, then AND (or
-    nothing between two words), then OR."""
-    out: list[tuple[list[str], list[str]]] = [([], [])]
-    operator = "AND"
-    for word in as_prefixes(query):
-        upper = word.upper()
-        if upper in ("AND", "OR", "NOT") and not word.startswith('"'):
-            if operator:  # two operators, or one at the start
-                return None
-            operator = upper
+_TOKEN = re.compile(r'\s*(?:(?:(\w+)\s*:\s*)?(?:"((?:[^"]|"")*)"|([\w\u0080-\U0010FFFF]+))\s*(\*)?)')
+
+
+def _tokens(query: str, stems: bool) -> list[Phrase | str] | None:
+    """The phrases and operators of a query of prefixes; None if something else stands there."""
+    out, at, whole = [], 0, " ".join(as_prefixes(query))
+    while at < len(whole):
+        m = _TOKEN.match(whole, at)
+        if not m:
+            return None
+        field, quoted, bare, star = m.groups()
+        at = m.end()
+        if not field and not star and bare in ("AND", "OR", "NOT"):
+            out.append(bare)
             continue
-        bare = word.strip('"*')
-        if word.count('"') % 2 or not bare or any(not c.isalnum() for c in bare):
+        words = [w for w in re.split(r"[\W_]+", folded_name(quoted if quoted is not None else bare)) if w]
+        if not words:
             return None
-        if operator == "OR":
-            out.append(([], []))
-        term = "".join(c for c in unicodedata.normalize("NFD", bare.lower()) if not 0x300 <= ord(c) <= 0x36F)
-        out[-1][operator == "NOT"].append((stem(term) if stems else term) + "*" * word.rstrip('"').endswith("*"))
-        operator = ""
-    return None if operator else out
+        out.append(Phrase(tuple(map(stem, words)) if stems else tuple(words), bool(star), field.lower() if field else None))
+    return out
+
+
+def _parted(tokens: list, operator: str) -> Iterator[list]:
+    """The stretches of tokens between operators."""
+    start = 0
+    for i, t in enumerate([*tokens, operator]):
+        if t == operator:
+            yield tokens[start:i]
+            start = i + 1
+
+
+def alternatives(query: str, stems: bool = False) -> list[Alternative] | None:
+    """K2: the alternatives of a query; None if it is malformed. Words side by side belong together, then NOT binds closest, then AND,
+    then OR; words in double quotes are a phrase, name: before a word or phrase looks in that field only."""
+    tokens = _tokens(query, stems)
+    if not tokens:
+        return None
+    out: list[Alternative] = []
+    for option in _parted(tokens, "OR"):
+        want: list[Phrase] = []
+        bar: list[list[Phrase]] = []
+        for part in _parted(option, "AND"):
+            groups = list(_parted(part, "NOT"))
+            if not all(groups):  # two operators, or one at an end
+                return None
+            want += groups[0]
+            bar += groups[1:]
+        out.append((want, bar))
+    return out
+
+
+def _hits(phrase: Phrase, i: int) -> Column:
+    """Whether a posting is of the word i of the phrase."""
+    word, last = phrase.words[i], i == len(phrase.words) - 1
+    hit = F.col("term").startswith(word) if phrase.prefix and last else F.col("term") == word
+    return hit if phrase.field is None else hit & (F.col("field") == phrase.field)
+
+
+def _counted(index: Index, phrases: list[Phrase]) -> DataFrame:
+    """id and how often its text has each phrase (f0, f1, ...). Only postings of the words of the phrases are read and shuffled."""
+    words = [_hits(p, i) for p in phrases for i in range(len(p.words))]
+    found = index.postings.filter(reduce(lambda a, b: a | b, words))
+    each, counts = [], []
+    for k, p in enumerate(phrases):
+        if len(p.words) == 1:
+            each.append(F.coalesce(F.sum(F.when(_hits(p, 0), F.col("tf"))), F.lit(0)).alias(f"f{k}"))
+            counts.append(F.col(f"f{k}"))
+            continue
+        each += [F.flatten(F.collect_list(F.when(_hits(p, i), F.col("places")))).alias(f"p{k}_{i}") for i in range(len(p.words))]
+        met = F.col(f"p{k}_0")
+        for i in range(1, len(p.words)):  # where the words so far are followed by this one
+            met = F.array_intersect(F.transform(met, lambda x: x + 1), F.col(f"p{k}_{i}"))
+        counts.append(F.size(met).cast("long"))
+    by_field = found.groupBy("id", "field").agg(*each).select("id", *(c.alias(f"f{k}") for k, c in enumerate(counts)))
+    return by_field.groupBy("id").agg(*(F.sum(f"f{k}").alias(f"f{k}") for k in range(len(phrases))))
+
 
+def _fitting(counted: DataFrame, phrases: list[Phrase], options: list[Alternative]) -> DataFrame:
+    has = {p: F.col(f"f{k}") > 0 for k, p in enumerate(phrases)}
+    both = lambda group: reduce(lambda a, b: a & b, [has[p] for p in group])
+    fits = [reduce(lambda a, b: a & b, [both(want), *(~both(group) for group in bar)]) for want, bar in options]
+    return counted.filter(reduce(lambda a, b: a | b, fits))
 
-def _hits(word: str) -> Column:
-    return F.col("term").startswith(word[:-1]) if word.endswith("*") else F.col("term") == word
+
+def _phrases(options: list[Alternative]) -> list[Phrase]:
+    """All phrases, those wanted first."""
+    return list(dict.fromkeys([*(p for want, _ in options for p in want), *(p for _, bar in options for group in bar for p in group)]))
 
 
 def matching(index: Index, query: str) -> DataFrame:
-    """K2: ids of texts that fit a query; none fits a malformed one. Only postings of the query's words are read and shuffled."""
+    """K2: ids of texts that fit a query; none fits a malformed one."""
     options = alternatives(query, index.stems)
     if not options:
-        return index.postings.select("id").limit(0)
-    words = sorted({w for both in options for part in both for w in part})
-    hit = {w: F.col(f"w{i}") for i, w in enumerate(words)}
-    found = index.postings.filter(reduce(lambda a, b: a | b, map(_hits, words)))
-    flags = found.groupBy("id").agg(*(F.bool_or(_hits(w)).alias(f"w{i}") for i, w in enumerate(words)))
-    fits = [reduce(lambda a, b: a & b, [*(hit[w] for w in want), *(~hit[w] for w in bar)]) for want, bar in options]
-    return flags.filter(reduce(lambda a, b: a | b, fits)).select("id")
+        return index.lengths.select("id").limit(0)
+    phrases = _phrases(options)
+    return _fitting(_counted(index, phrases), phrases, options).select("id")
 
 
 def ranked(index: Index, query: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """Id and BM25 score (larger is better) of the texts that fit a query, over the wanted words of all alternatives."""
+    """Id and BM25 score (larger is better) of the texts that fit a query, over the wanted phrases of all alternatives."""
     options = alternatives(query, index.stems)
-    ids = matching(index, query)
     if not options:
-        return ids.withColumn("score", F.lit(0.0))
-    words = sorted({w for want, _ in options for w in want})
-    n, mean = index.lengths.agg(F.count("*"), F.avg("length")).first()
-    found = index.postings.filter(reduce(lambda a, b: a | b, map(_hits, words)))
-    tf = found.groupBy("id").agg(*(F.coalesce(F.sum(F.when(_hits(w), F.col("tf"))), F.lit(0)).alias(f"f{i}") for i, w in enumerate(words)))
-    tf = written(tf)
-    df = tf.agg(*(F.count_if(F.col(f"f{i}") > 0).alias(f"d{i}") for i in range(len(words)))).first()  # a number of each word
+        return index.lengths.select("id", F.lit(0.0).alias("score")).limit(0)
+    phrases = _phrases(options)
+    wanted = len({p for want, _ in options for p in want})
+    n, total = index.totals or index.lengths.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
+    mean = total / n if n and total else 1.0
+    tf = written(_counted(index, phrases))
+    df = tf.agg(*(F.count_if(F.col(f"f{i}") > 0).alias(f"d{i}") for i in range(wanted))).first()  # a number of each phrase
     score = F.lit(0.0)
-    for i in range(len(words)):
+    for i in range(wanted):
         idf = F.greatest(F.lit(1e-6), F.log(F.lit((n - df[i] + 0.5) / (df[i] + 0.5))))
         f = F.col(f"f{i}")
-        score = score + idf * f * (k1 + 1) / (f + k1 * (1 - b + b * F.col("length") / F.lit(float(mean or 1) or 1.0)))
-    return tf.join(ids, "id", "left_semi").join(index.lengths, "id").select("id", score.alias("score"))
+        score = score + idf * f * (k1 + 1) / (f + k1 * (1 - b + b * F.col("length") / F.lit(float(mean))))
+    return _fitting(tf, phrases, options).join(index.lengths, "id").select("id", score.alias("score"))
 
 
 def occurrences(docs: DataFrame, key: str, text: str, needle: str) -> DataFrame:
@@ -131,14 +211,25 @@ def occurrences(docs: DataFrame, key: str, text: str, needle: str) -> DataFrame:
     return docs.select(F.col(key).alias("id"), n.cast("long").alias("n")).filter("n > 0")
 
 
+def folded_pattern(needle: str) -> str:
+    """A pattern for texts in any form that, folded, are the folded needle."""
+    one = lambda c: "[" + "".join(f"\\x{{{ord(v):x}}}" for v in sorted({c, *T.fold_variants().get(c, ())})) + r"][\u0300-\u036F]*"
+    return "(?iu)" + "".join(map(one, folded_name(needle)))
+
+
 def places(docs: DataFrame, key: str, text: str, needle: str) -> DataFrame:
-    """K6: id, n (from 1), start (characters before it) of each occurrence of the needle, folded, without overlaps; needles of one character find nothing."""
-    if len(needle.strip()) < 2:
-        return docs.select(F.col(key).alias("id"), F.lit(0).alias("n"), F.lit(0).alias("start")).limit(0)
-    parts = F.split(F.translate(F.lower(text), "áàâäéèêëíìîïóòôöúùûüñç", "aaaaeeeeiiiioooouuuunc"), r"\Q" + needle.lower() + r"\E", -1)
-    cut = docs.select(F.col(key).alias("id"), parts.alias("p")).filter(F.size("p") > 1)
-    before = F.transform(F.sequence(F.lit(1), F.size("p") - 1), lambda i: F.aggregate(F.slice("p", 1, i), F.lit(0), lambda s, x: s + F.length(x)) + (i - 1) * len(needle))
-    return cut.select("id", F.posexplode(before).alias("n", "start")).select("id", (F.col("n") + 1).alias("n"), "start")
+    """K6: id, n (from 1), start (characters before it), length of each occurrence of the needle in the text as it is: both may be in
+    any case, with diacritics, composed or not. Without overlaps; needles of one character find nothing."""
+    if len(needle.strip()) < 2 or not folded_name(needle):
+        return docs.select(F.col(key).alias("id"), *(F.lit(0).alias(c) for c in ("n", "start", "length"))).limit(0)
+    pattern = folded_pattern(needle)
+    cut = docs.select(F.col(key).alias("id"), F.monotonically_increasing_id().alias("row"), F.split(text, pattern, -1).alias("p"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"))
+    # where a match ends: the lengths of all before it, summed up in one pass
+    step = F.zip_with("p", "m", lambda p, m: F.struct(F.length(p).alias("gap"), F.length(m).alias("length")))
+    spans = cut.filter(F.size("m") > 0).select("id", "row", F.posexplode(F.slice(step, 1, F.size("m"))).alias("n", "s"))
+    before = Window.partitionBy("row").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    end = F.sum(F.col("s.gap") + F.col("s.length")).over(before)
+    return spans.select("id", (F.col("n") + 1).alias("n"), (end - F.col("s.length")).cast("int").alias("start"), F.col("s.length").alias("length"))
 
 
 #: Parts of speech in the order they are shown, and how many senses of each.

@@ -223,10 +223,11 @@ def h3_word_count(s, d):
     return B.items(s, d).select("id", "word_count")
 
 
-@query("""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '(?is)<script\\b.*?</script\\s*>|<style\\b.*?</style\\s*>', ' ', 'g'), '<[^>]*>', ' ', 'g'),
-'&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&apos;', ''''), '&amp;', '&'), '\\s+', ' ', 'g')) AS text FROM pages""")
+@query("""SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\\b.*?</script\\s*>|<style\\b.*?</style\\s*>', ' ', 'g'), '<[^>]*>', ' ', 'g'),
+'&nbsp;', ' ', 'gi'), '&amp;', '&', 'gi'), '&lt;', '<', 'gi'), '&gt;', '>', 'gi'), '&quot;', '"', 'gi'), '&#39;|&apos;', '''', 'gi'), '\\s+', ' ', 'g')) || ' <b>' AS text FROM pages""")
 def h9_html_to_text(s, d):
-    return B.table(s, d, "pages").select("page_id", T.html_to_text(F.col("html")).alias("text"))
+    html = F.concat("html", F.lit(" &amp;lt;b&amp;GT;"))
+    return B.table(s, d, "pages").select("page_id", T.html_to_text(html).alias("text"))
 
 
 @query("SELECT url, min(page_id) AS page_id, count(*) AS copies FROM (SELECT page_id, lower(regexp_extract(b, '^([A-Za-z]+://[^/?]*)', 1)) || regexp_replace(substr(b, length(regexp_extract(b, '^([A-Za-z]+://[^/?]*)', 1)) + 1), '/+$', '') AS url FROM (SELECT page_id, regexp_replace(url, '#.*$', '') AS b FROM pages)) GROUP BY 1")

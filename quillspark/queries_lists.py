@@ -241,10 +241,11 @@ def f13_reordered(s, d):
     return lists.reordered(links, order).select("collection_id", "item_id", F.col("sort_order").cast("long").alias("sort_order"))
 
 
-@query("SELECT id, CASE coalesce(color, 'yellow') WHEN 'yellow' THEN 'Quote' WHEN 'green' THEN 'Insight' WHEN 'blue' THEN 'Question' END AS category, concat_ws(' · ', floor(position * 100 + 0.5)::BIGINT || '%', CASE WHEN page IS NOT NULL THEN 'p. ' || page WHEN chapter IS NOT NULL THEN 'Ch. ' || (chapter + 1) END) AS location FROM (SELECT *, CASE WHEN id % 2 = 0 THEN id % 90 END AS page FROM annotations)")
+@query("SELECT id, CASE coalesce(color, 'yellow') WHEN 'yellow' THEN 'Quote' WHEN 'green' THEN 'Theme / motif' WHEN 'blue' THEN 'Blue' ELSE 'Yellow' END AS category, CASE color WHEN 'green' THEN '#4ade80' WHEN 'blue' THEN '#60a5fa' ELSE '#facc15' END AS swatch, concat_ws(' · ', floor(position * 100 + 0.5)::BIGINT || '%', CASE WHEN page IS NOT NULL THEN 'p. ' || page WHEN chapter IS NOT NULL THEN 'Ch. ' || (chapter + 1) END) AS location FROM (SELECT *, CASE WHEN id % 2 = 0 THEN id % 90 END AS page FROM (SELECT * REPLACE (CASE WHEN id % 7 = 0 THEN 'mauve' ELSE color END AS color) FROM annotations))")
 def h35_h45_labels(s, d):
     page = F.when(F.col("id") % 2 == 0, F.col("id") % 90)
-    return B.annotations(s, d).select("id", lists.category(F.col("color"), {"yellow": "Quote"}).alias("category"), lists.location(F.col("position"), page, F.col("chapter")).alias("location"))
+    color = F.when(F.col("id") % 7 == 0, "mauve").otherwise(F.col("color"))
+    return B.annotations(s, d).select("id", lists.category(color, {"yellow": "Quote", "blue": ""}).alias("category"), lists.swatch(color).alias("swatch"), lists.location(F.col("position"), page, F.col("chapter")).alias("location"))
 
 
 @query("""SELECT a.item_id, concat_ws(chr(10) || chr(10), '# ' || min(title), string_agg(CASE WHEN selected_text IS NOT NULL THEN '> ' || replace(selected_text, chr(10), chr(10) || '> ') ELSE note_text END, chr(10) || chr(10) ORDER BY coalesce(chapter, -1), position, created_at, a.id)) AS markdown

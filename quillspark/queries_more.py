@@ -70,22 +70,30 @@ def h37_autocomplete(s, d):
     return B.table(s, d, "part").select(p.alias("id"), T.top_name(reply).alias("top"), T.pairing_name(pairs, F.lit("x"), F.lit("y")).alias("pairing"))
 
 
-@query("SELECT id, title || ' rest of it' AS a, CASE WHEN id % 2 = 0 THEN 'rest' ELSE 'other rest' END AS b, 'OEBPS/text/c' || id || '.html' AS path, 'images/i.png' AS up FROM candidates")
+@query("SELECT id, 'rest of ' || title AS a, CASE WHEN id % 2 = 0 THEN 'rest' ELSE 'other rest' END AS b, 'OEBPS/text/c' || id || '.html' AS path, 'images/i.png' AS up FROM candidates")
 def h42_h43_titles_paths(s, d):
     c = B.candidates(s, d)
     i = F.col("id").cast("string")
-    a = T.without_title(F.concat(F.upper("title"), F.lit(" "), "title", F.lit("  "), F.lit("title rest of it")), F.col("title"))
+    headers = F.array_join(F.array_repeat(F.concat(F.upper("title"), F.lit("  "), "title"), (F.col("id") % 6 + 1).cast("int")), " ")
+    a = T.without_title(F.concat(headers, F.lit(" rest of "), "title"), F.col("title"))
     b = T.without_title(F.when(F.col("id") % 2 == 0, F.concat(F.upper("title"), F.lit(" "), "title", F.lit(" rest"))).otherwise(F.lit("other rest")), F.col("title"))
     path = T.resolved_path(F.lit("OEBPS/nav/toc.html"), F.concat(F.lit("../text/./c"), i, F.lit(".html#x")))
-    return c.select("id", F.concat("title", F.lit(" "), F.regexp_replace(a, "^title ", "")).alias("a"), b.alias("b"), path.alias("path"), T.resolved_path(F.lit("a.html"), F.lit("../../images/i.png")).alias("up"))
+    return c.select("id", a.alias("a"), b.alias("b"), path.alias("path"), T.resolved_path(F.lit("a.html"), F.lit("../../images/i.png")).alias("up"))
 
 
-@query("SELECT page_id, 0 AS scripts, 0 AS handlers, regexp_matches(html, '(?i)<article') AS article FROM pages", views=False)
+_NAMES = ", ".join(f"'{t}'" for t in T.TAGS)
+_HOSTILE = """<p onclick="x()" style="y">t</p><a href="javascript:z()" title="k">u</a><a href='mailto:a'>m</a><blink>v</blink><script>w</script><p/onclick=x()><img src=//h/i.png alt=q><td colspan=2 class=c>"""
+_CLEAN = """<p>t</p><a title="k">u</a><a>m</a>v<p><img src="//h/i.png" alt="q" loading="lazy" /><td colspan="2">"""
+
+
+@query(f"""SELECT page_id, list_reduce(list_prepend('', list_transform(range(1, len(texts) + 1), lambda i: replace(replace(texts[i], '<', '&lt;'), '>', '&gt;') || coalesce(CASE
+WHEN NOT list_contains([{_NAMES}], names[i]) THEN '' WHEN starts_with(tags[i], '</') THEN CASE WHEN names[i] IN ('br', 'hr', 'img') THEN '' ELSE '</' || names[i] || '>' END
+ELSE '<' || names[i] || CASE WHEN names[i] = 'a' AND regexp_matches(tags[i], ' href="') THEN ' href="' || regexp_extract(tags[i], ' href="([^"]*)"', 1) || '"' ELSE '' END || CASE WHEN names[i] IN ('br', 'hr') THEN ' />' ELSE '>' END END, ''))), lambda a, b: a || b) || '{_CLEAN}' AS clean,
+regexp_matches(html, '(?i)<article') AS article FROM (SELECT *, list_transform(tags, lambda t: lower(regexp_extract(t, '^</?([a-zA-Z][^\\s/>]*)', 1))) AS names FROM (SELECT page_id, html, regexp_split_to_array(b, '<[^>]*>') AS texts, regexp_extract_all(b, '<[^>]*>') AS tags
+FROM (SELECT *, regexp_replace(html, '(?is)<!--.*?-->|<script\\b[^>]*>.*?</script\\s*>|<style\\b[^>]*>.*?</style\\s*>', '', 'g') AS b FROM pages)))""", views=False)
 def h11_l2_sanitised(s, d):
-    clean = T.sanitised(F.concat(F.col("html"), F.lit('<p onclick="x()" style="y">t</p><a href="javascript:z()">u</a><blink>v</blink><script>w</script>')))
-    bad = F.regexp_count(clean, F.lit(r"(?i)<script|<style|<blink|<nav|<html|javascript:"))
-    rows = B.table(s, d, "pages").select("page_id", bad.alias("scripts"), F.regexp_count(clean, F.lit(r"(?i)\sonclick|\sstyle=")).alias("handlers"), "html")
-    return rows.select("page_id", "scripts", "handlers", ((F.length(T.article(F.col("html"))) > 0) & F.col("html").rlike("(?i)<article")).alias("article"))
+    rows = B.table(s, d, "pages").select("page_id", T.sanitised(F.concat("html", F.lit(_HOSTILE))).alias("clean"), "html")
+    return rows.select("page_id", "clean", ((F.length(T.article(F.col("html"))) > 0) & F.col("html").rlike("(?i)<article")).alias("article"))
 
 
 @query(f"SELECT page_id, regexp_extract(x, 'href=\"([^\"]*)\"', 1) AS link, {_STRIP.format('x')} AS title FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<li[^>]*>\\s*(<a\\s[^>]*href=\"[^\"]*\"[^>]*>.*?</a>)', 1)) AS x FROM pages)", views=False)

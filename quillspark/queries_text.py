@@ -2,20 +2,38 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .functions import text as T
-from .operators import layout, lists, search
+from .operators import layout, lists, search, text_index
 from .plans import binding as B
 from .registry import AS_OF, query
+from .tables import shared_dir
 
 _TERMS = "list_filter(regexp_split_to_array(strip_accents(lower(source || ' ' || text)), '[^\\p{L}\\p{N}]+'), lambda w: w <> '')"
 _SPLIT = f"WITH w AS MATERIALIZED (SELECT doc_id AS id, {_TERMS} AS w FROM documents)"
 
 
+_stored: dict[tuple[str, str], text_index.StoredIndex] = {}
+
+
+def _texts(s, d):
+    return B.table(s, d, "documents").select("doc_id", "source", "text")
+
+
+def _new_index(s, name):
+    return text_index.create(s, f"{shared_dir(s)}/{name}-{uuid.uuid4().hex}", "doc_id", ["source", "text"])
+
+
 def _index(s, d):
-    return search.built(B.table(s, d, "documents").select("doc_id", "source", "text"), "doc_id", ["source", "text"])
+    """The stored index of the documents, which all search queries of a session share."""
+    at = (s.sparkContext.applicationId, d)
+    if at not in _stored:
+        _stored[at] = _new_index(s, "documents").add(_texts(s, d))
+    return _stored[at].index()
 
 
 @query(f"{_SPLIT} SELECT t AS term, count(DISTINCT id) AS texts, count(*) AS n FROM (SELECT id, unnest(w) AS t FROM w) GROUP BY 1", views=False)
@@ -64,17 +82,59 @@ def c8_search_live_items(s, d):
 
 @query(f"{_SPLIT} SELECT t AS term, count(*) AS n FROM (SELECT id, unnest(CASE WHEN id % 3 = 0 THEN list_concat(w, ['changed']) ELSE w END) AS t FROM w WHERE id % 5 <> 1) GROUP BY 1", views=False)
 def k4_replaced_postings(s, d):
-    docs = B.table(s, d, "documents").select("doc_id", "source", "text")
+    docs = _texts(s, d)
     old = search.built(docs, "doc_id", ["source", "text"])
     gone = docs.filter("doc_id % 5 = 1 OR doc_id % 3 = 0").select(F.col("doc_id").alias("id"))
     new = search.built(docs.filter("doc_id % 3 = 0 AND doc_id % 5 <> 1").withColumn("text", F.concat("text", F.lit(" changed"))), "doc_id", ["source", "text"])
     return search.replaced(old, gone, new).postings.groupBy("term").agg(F.sum("tf").alias("n"))
 
 
-@query("SELECT doc_id AS id, n, cast(len(string_split(lower(translate(text, 'áàâäéèêëíìîïóòôöúùûüñçÁÀÂÄÉÈÊËÍÌÎÏÓÒÔÖÚÙÛÜÑÇ', 'aaaaeeeeiiiioooouuuuncaaaaeeeeiiiioooouuuunc')), 'wh')) - 1 AS INTEGER) AS found FROM (SELECT doc_id, text, unnest(range(1, len(string_split(lower(translate(text, 'áàâäéèêëíìîïóòôöúùûüñçÁÀÂÄÉÈÊËÍÌÎÏÓÒÔÖÚÙÛÜÑÇ', 'aaaaeeeeiiiioooouuuuncaaaaeeeeiiiioooouuuunc')), 'wh')))) AS n FROM documents)", views=False)
+_FIELDS = f"""WITH f AS MATERIALIZED (SELECT id, field, list_filter(regexp_split_to_array(strip_accents(lower(t)), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '') AS w
+FROM (SELECT doc_id AS id, unnest(['source', 'text']) AS field, unnest([source, text]) AS t FROM documents))"""
+
+
+def _at(*words, prefix=True):
+    """How often the words stand side by side in w, the last one as a prefix."""
+    last = len(words) - 1
+    each = " AND ".join(f"starts_with(w[i + {k}], '{x}')" if k == last and prefix else f"w[i + {k}] = '{x}'" for k, x in enumerate(words))
+    return f"len(list_filter(range(1, len(w) - {last} + 1), lambda i: {each}))"
+
+
+@query(f"""{_FIELDS}, h AS (SELECT id, max(CASE WHEN field = 'text' THEN 1 ELSE 0 END) AS one, sum({_at('of', 'the')}) AS a, sum({_at('is')}) AS b, sum({_at('and', 'attion', 'to')}) AS c,
+sum(CASE WHEN field = 'source' THEN {_at('src1')} ELSE 0 END) AS d, sum(CASE WHEN field = 'text' THEN {_at('a', 'the')} ELSE 0 END) AS e FROM f GROUP BY id)
+SELECT id FROM h WHERE (a > 0 AND NOT b > 0) OR c > 0 OR (d > 0 AND e > 0)""", views=False)
+def k2_phrases(s, d):
+    return search.matching(_index(s, d), '"of the" NOT is OR "and attion to" OR source:src1 AND text:"a the"')
+
+
+@query(f"""{_FIELDS}, l AS (SELECT id, sum(len(w)) AS len, sum({_at('of', 'the')}) AS a, sum({_at('the', 'and')}) AS b FROM f GROUP BY id),
+g AS (SELECT count(*) AS n, avg(len) AS m, count(*) FILTER (a > 0) AS da, count(*) FILTER (b > 0) AS db FROM l)
+SELECT id, round(greatest(1e-6, ln((n - da + 0.5) / (da + 0.5))) * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * len / m)) + greatest(1e-6, ln((n - db + 0.5) / (db + 0.5))) * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * len / m)), 6) AS score FROM l, g WHERE a > 0 OR b > 0""", views=False)
+def k3_phrase_scores(s, d):
+    return search.ranked(_index(s, d), '"of the" OR "the and"').withColumn("score", F.round("score", 6))
+
+
+@query(f"""WITH f AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(strip_accents(lower(source || ' ' || CASE WHEN doc_id % 3 = 0 THEN text || ' and then changed' ELSE text END)), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '') AS w
+FROM documents WHERE doc_id % 5 <> 1), t AS (SELECT id, {_at('changed')} AS a, {_at('then', 'changed')} AS b, {_at('the', 'and')} AS c, len(w) AS length FROM f)
+SELECT id, length, a > 0 AS changed, c > 0 AS phrase, count(*) OVER () AS texts, sum(length) OVER ()::BIGINT AS terms, b AS n FROM t""", views=False)
+def k4_segments(s, d):
+    """Batches of texts, a third of them replaced, a fifth removed, then merged; what is left is as if it were indexed at once."""
+    docs = _texts(s, d)
+    index = _new_index(s, "segments")
+    for part in range(2):
+        index = index.add(docs.filter(F.col("doc_id") % 2 == part))
+    index = index.add(docs.filter("doc_id % 3 = 0").withColumn("text", F.concat("text", F.lit(" and then changed"))))
+    index = index.remove(docs.filter("doc_id % 5 = 1").select(F.col("doc_id").alias("id"))).merge()
+    now = text_index.opened(s, index.folder).index()
+    hit = {c: search.matching(now, q).withColumn(c, F.lit(True)) for c, q in (("changed", "changed"), ("phrase", '"the and"'))}
+    n = search._counted(now, [search.Phrase(("then", "changed"), True)]).select("id", F.col("f0").alias("n"))
+    rows = now.lengths.join(hit["changed"], "id", "left").join(hit["phrase"], "id", "left").join(n, "id", "left").fillna({"changed": False, "phrase": False, "n": 0})
+    return rows.select("id", "length", "changed", "phrase", F.lit(now.totals[0]).cast("long").alias("texts"), F.lit(now.totals[1]).cast("long").alias("terms"), "n")
+
+
+@query("SELECT id, n, cast(list_sum(list_transform(p[1:n], lambda x: length(x))) + (n - 1) * 2 AS INTEGER) AS start, 2 AS length FROM (SELECT id, p, unnest(range(1, len(p))) AS n FROM (SELECT doc_id AS id, string_split(strip_accents(lower(text)), 'ue') AS p FROM documents))", views=False)
 def k6_places(s, d):
-    p = search.places(B.table(s, d, "documents"), "doc_id", "text", "wh")
-    return p.select("id", "n", F.count("*").over(Window.partitionBy("id")).cast("int").alias("found"))
+    return search.places(B.table(s, d, "documents"), "doc_id", "text", "Üe")
 
 
 @query("SELECT doc_id AS id, strip_accents(lower(text)) AS folded FROM documents", views=False)
@@ -137,12 +197,18 @@ def h44_colors(s, d):
     return B.table(s, d, "supplier").select(F.col("s_name").alias("id"), T.color_of(F.col("s_name"), 8).alias("trash"), T.color_of(F.col("s_name"), 12, signed=True).alias("card"))
 
 
-_STRIP = "trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace({0}, '(?is)<script\\b.*?</script\\s*>|<style\\b.*?</style\\s*>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&apos;', ''''), '&amp;', '&'), '\\s+', ' ', 'g'))"
+_TAGLESS = "regexp_replace(regexp_replace({0}, '(?is)<script\\b.*?</script\\s*>|<style\\b.*?</style\\s*>', ' ', 'g'), '<[^>]*>', ' ', 'g')"
+_COMMON = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '&nbsp;', ' ', 'gi'), '&amp;', '&', 'gi'), '&lt;', '<', 'gi'), '&gt;', '>', 'gi'), '&quot;', '\"', 'gi'), '&#39;|&apos;', '''', 'gi')"
+_STRIP = f"trim(regexp_replace({_COMMON.format(_TAGLESS)}, '\\s+', ' ', 'g'))"
 
 
-@query(f"SELECT page_id, {_STRIP.format('b')} AS text FROM (SELECT page_id, CASE WHEN length(regexp_extract(html, '(?is)<body\\b[^>]*>(.*?)</body\\s*>', 1)) > 0 THEN regexp_extract(html, '(?is)<body\\b[^>]*>(.*?)</body\\s*>', 1) ELSE html END AS b FROM pages)", views=False)
+@query(f"SELECT page_id, {_STRIP.format('b')} || ' ' || chr((page_id % 900 + 200)::INTEGER) || chr((page_id % 700 + 300)::INTEGER) || ' <i> &#1' AS text FROM (SELECT page_id, CASE WHEN length(regexp_extract(html, '(?is)<body\\b[^>]*>(.*?)</body\\s*>', 1)) > 0 THEN regexp_extract(html, '(?is)<body\\b[^>]*>(.*?)</body\\s*>', 1) ELSE html END AS b FROM pages)", views=False)
 def h10_body_text(s, d):
-    return B.table(s, d, "pages").select("page_id", T.body_text(F.col("html")).alias("text"))
+    n = lambda m, k: F.col("page_id") % m + k
+    more = F.concat(F.lit("&nbsp; &#"), n(900, 200).cast("string"), F.lit(";&#X"), F.lower(F.hex(n(700, 300))), F.lit("; &amp;LT;i&GT;&#160;&amp;#1"))
+    html = F.col("html")
+    body = F.when(html.rlike(r"(?i)</body\s*>"), F.regexp_replace(html, r"(?i)</body\s*>", F.concat(more, F.lit("</body>")))).otherwise(F.concat(html, more))
+    return B.table(s, d, "pages").select("page_id", T.body_text(body).alias("text"))
 
 
 @query(f"SELECT page_id, h AS title, n AS links, CASE WHEN n >= 5 AND n > p THEN 'toc' WHEN regexp_matches(html, '(?i)\\bchapter\\s+\\d+') THEN 'chapter' ELSE 'article' END AS kind, CASE WHEN o > 0 THEN o WHEN length(c) > 0 THEN c::INTEGER ELSE 1 END AS chapters FROM (SELECT page_id, html, len(regexp_extract_all(html, '(?i)<a\\s[^>]*href=\"([^\"]*)\"')) AS n, len(regexp_extract_all(html, '(?i)<p[ >]')) AS p, len(regexp_extract_all(html, '(?i)<option[ >]')) AS o, regexp_extract(html, '(?i)(\\d+)\\s+chapters', 1) AS c, {_STRIP.format(chr(34) + 'hh' + chr(34))} AS h FROM (SELECT *, CASE WHEN regexp_extract(html, '(?is)<h1\\b[^>]*>(.*?)</h1\\s*>', 1) <> '' THEN regexp_extract(html, '(?is)<h1\\b[^>]*>(.*?)</h1\\s*>', 1) ELSE regexp_extract(html, '(?is)<title\\b[^>]*>(.*?)</title\\s*>', 1) END AS hh FROM pages))", views=False)

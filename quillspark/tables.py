@@ -35,7 +35,8 @@ def releasing(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
-def _folder(spark: SparkSession, path: str) -> tuple:
+def path_of(spark: SparkSession, path: str) -> tuple:
+    """Hadoop's file system of a path, and the path."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), at
 
@@ -46,7 +47,7 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     with releasing(spark):
         df.write.parquet(path)
-    files, at = _folder(spark, path)
+    files, at = path_of(spark, path)
     files.deleteOnExit(at)
     table = spark.read.schema(df.schema).parquet(path)
     table._written_at = path
@@ -56,7 +57,7 @@ def written(df: DataFrame) -> DataFrame:
 def dropped(*tables: DataFrame) -> None:
     """Delete tables of written() that nothing reads any more."""
     for table in tables:
-        files, at = _folder(table.sparkSession, table._written_at)
+        files, at = path_of(table.sparkSession, table._written_at)
         files.delete(at, True)
 
 
