@@ -20,7 +20,7 @@ from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from heapq import heapify, heappop, heappush
-from itertools import accumulate, chain
+from itertools import accumulate, chain, islice
 
 import numpy as np
 import public_tokenizers
@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 
 from .common import column, small_batches
 
-#: Pre-tokens that a worker remembers, and the longest of them in characters.
-REMEMBERED, REMEMBERED_CHARS = 400_000, 64
+#: Pre-tokens that a worker remembers within a task, those it keeps beyond that (the ones it met first), and the longest of them in characters.
+REMEMBERED, KEPT, REMEMBERED_CHARS = 400_000, 100_000, 64
 #: Longer texts are cut before a blank between two letters, where these patterns end a match anyway; for others they aren't.
 PIECE = 1 << 20
 CUTS = {public_tokenizers.PATTERN: regex.compile(r"(?<=\p{L}) (?=\p{L})")}
@@ -113,7 +113,7 @@ class _Parts(dict):
         rank = self.vocabulary.rank(part)
         if len(part) <= REMEMBERED_CHARS:
             if len(self) >= REMEMBERED:
-                self.clear()
+                _shrink(self)
             self[part] = rank
         return rank
 
@@ -155,19 +155,28 @@ def merge(piece: bytes, rank: _Parts) -> list[int]:
     return out
 
 
+def _shrink(memory: dict) -> None:
+    """Forget all but the entries met first, among which are the common ones."""
+    first = list(islice(memory.items(), min(KEPT, REMEMBERED // 2)))
+    memory.clear()
+    memory.update(first)
+
+
 class _Memory(dict):
+    """Ids of pre-tokens, as the bytes of 32-bit numbers."""
+
     def __init__(self, vocabulary: Vocabulary):
         super().__init__()
         self.vocabulary = vocabulary
         self.of_parts = _Parts(vocabulary)
 
-    def __missing__(self, token: str) -> tuple[int, ...]:
+    def __missing__(self, token: str) -> bytes:
         key = token.encode()
         rank = self.vocabulary.rank(key)
-        ids = (rank,) if rank is not None else tuple(merge(key, self.of_parts))
+        ids = array("i", (rank,) if rank is not None else merge(key, self.of_parts)).tobytes()
         if len(token) <= REMEMBERED_CHARS:
             if len(self) >= REMEMBERED:
-                self.clear()
+                _shrink(self)
             self[token] = ids
         return ids
 
@@ -181,8 +190,7 @@ def pieces(text: str, cut: regex.Pattern | None) -> Iterator[str]:
 
 
 def tokens(text: str, pattern: regex.Pattern, memory: _Memory) -> np.ndarray:
-    parts = [np.fromiter(chain.from_iterable(map(memory.__getitem__, pattern.findall(p))), np.int32) for p in pieces(text, CUTS.get(pattern.pattern))]
-    return parts[0] if len(parts) == 1 else np.concatenate(parts)
+    return np.frombuffer(b"".join(chain.from_iterable(map(memory.__getitem__, pattern.findall(p)) for p in pieces(text, CUTS.get(pattern.pattern)))), np.int32)
 
 
 def load(path: str) -> dict[bytes, int]:
@@ -212,6 +220,9 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, keep: tuple[s
             offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.empty(0, np.int32), *rows])))
             yield pa.RecordBatch.from_arrays([*(column(batch, k) for k in keep), ids], [*keep, "ids"])
+        for remembered in (memory, memory.of_parts):  # the worker may be idle, or serve other operators, from here on
+            if len(remembered) > KEPT:
+                _shrink(remembered)
 
     fields = ", ".join(f"`{k}` {t}" for k, t in kept.dtypes if k in keep)
     return kept.mapInArrow(run, f"{fields}, ids array<int>")
