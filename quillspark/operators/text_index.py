@@ -19,7 +19,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..tables import path_of
+from ..tables import last_version, new_file, text_of
 from . import search
 
 #: Bytes of a row group of postings: a query reads the groups with its terms only.
@@ -91,7 +91,7 @@ class StoredIndex:
     def _committed(self, **changes) -> StoredIndex:
         new = replace(self, version=self.version + 1, **changes)
         state = {f: getattr(new, f) for f in ("key", "fields", "stems", "version", "n", "total", "id_type")} | {f: [asdict(c) for c in getattr(new, f)] for f in ("segments", "marks")}
-        _write(self.spark, f"{self.folder}/manifest-{new.version}.json", json.dumps(state))
+        new_file(self.spark, f"{self.folder}/manifest-{new.version}.json", json.dumps(state))
         return new
 
     def add(self, docs: DataFrame) -> StoredIndex:
@@ -132,16 +132,6 @@ class StoredIndex:
         return self._committed(segments=(*old, self._sized(new)), marks=tuple(m for m in self.marks if old and m.seq > old[0].seq))
 
 
-def _write(spark: SparkSession, path: str, text: str) -> None:
-    """A small file that mustn't be there yet."""
-    files, at = path_of(spark, path)
-    out = files.create(at, False)
-    try:
-        out.write(bytearray(text.encode()))
-    finally:
-        out.close()
-
-
 def create(spark: SparkSession, folder: str, key: str, fields: list[str], stems: bool = False, id_type: str = "long") -> StoredIndex:
     """An empty index under a folder that all executors share."""
     new = StoredIndex(spark, folder, key, tuple(fields), stems, -1, (), (), 0, 0, id_type)
@@ -150,10 +140,9 @@ def create(spark: SparkSession, folder: str, key: str, fields: list[str], stems:
 
 def opened(spark: SparkSession, folder: str, version: int | None = None) -> StoredIndex:
     """The latest version of an index, or the given one."""
+    version = last_version(spark, folder) if version is None else version
     if version is None:
-        files, at = path_of(spark, folder)
-        names = [s.getPath().getName() for s in files.listStatus(at)]
-        version = max(int(n[len("manifest-") : -len(".json")]) for n in names if n.startswith("manifest-") and n.endswith(".json"))
-    state = json.loads("\n".join(r[0] for r in spark.read.text(f"{folder}/manifest-{version}.json").collect()))  # a line
+        raise FileNotFoundError(f"no index under {folder}")
+    state = json.loads(text_of(spark, f"{folder}/manifest-{version}.json"))
     changes = {k: tuple(Change(**c) for c in state.pop(k)) for k in ("segments", "marks")}
     return StoredIndex(spark, folder, fields=tuple(state.pop("fields")), **changes, **state)

@@ -99,12 +99,12 @@ def i16_read_back(s, d):
     return merge.read_back(local, pushed, "id")
 
 
-@query("SELECT c_custkey AS id, c_custkey // 7 AS updated_at FROM customer WHERE c_custkey // 7 > 3", views=False)
+@query("""SELECT id, updated_at, page, max(updated_at) OVER w AS next_clock, last_value(id) OVER w AS next_id FROM (SELECT *, (row_number() OVER (ORDER BY updated_at, id) + 999) // 1000 AS page
+FROM (SELECT l_linenumber + l_orderkey * 10 AS id, l_orderkey // 7 AS updated_at FROM lineitem WHERE l_orderkey // 7 > 3)) WINDOW w AS (PARTITION BY page ORDER BY updated_at, id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)""", views=False)
 def i17_m3_feed(s, d):
-    """Pages through a change feed; every row behind the cursor arrives."""
-    rows = B.table(s, d, "customer")
-    feed = rows.select(F.col("c_custkey").alias("id"), F.floor(F.col("c_custkey") / 7).alias("updated_at"))
-    return merge.pulled(feed, 3, max(20, rows.count() // 4))[0]
+    """Pages of 1,000 of a change feed with many equal clocks; every row behind the cursor arrives once."""
+    feed = B.table(s, d, "lineitem").select((F.col("l_linenumber") + F.col("l_orderkey") * 10).alias("id"), F.floor(F.col("l_orderkey") / 7).alias("updated_at"))
+    return merge.pulled(feed, 3)
 
 
 @query("SELECT c_custkey AS id, c_custkey // 7 AS updated_at FROM customer WHERE c_custkey // 7 > 3 ORDER BY 2, 1 LIMIT 40", views=False)

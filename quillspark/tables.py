@@ -61,6 +61,28 @@ def dropped(*tables: DataFrame) -> None:
         files.delete(at, True)
 
 
+def new_file(spark: SparkSession, path: str, text: str) -> None:
+    """A small file that mustn't be there yet."""
+    files, at = path_of(spark, path)
+    out = files.create(at, False)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def text_of(spark: SparkSession, path: str) -> str:
+    """A small text file."""
+    return "\n".join(r[0] for r in spark.read.text(path).collect())
+
+
+def last_version(spark: SparkSession, folder: str) -> int | None:
+    """The highest N of the files manifest-N.json of a folder; None without any."""
+    files, at = path_of(spark, folder)
+    names = [s.getPath().getName() for s in files.listStatus(at)] if files.exists(at) else []
+    return max((int(n[len("manifest-") : -len(".json")]) for n in names if n.startswith("manifest-") and n.endswith(".json")), default=None)
+
+
 #: Keys that matched() broadcasts, at most.
 HEAVY_KEYS = 4096
 
