@@ -2,9 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import folded, folded_name
+
+#: Fixed values, in points: how far items of a line are apart at most, the spacing of a page that shows none, gaps that aren't spacing.
+SAME_LINE, SPACING, NO_SPACING = 5, 12, 100
+#: Fixed value: the share of a font's height above its baseline.
+ASCENT = 0.8
+#: Characters of a block by which matches and items of a page are joined.
+BLOCK = 64
+
 
 def running(lines: DataFrame, doc: str, line: str, least: int = 3) -> DataFrame:
     """Lines that occur least times or more in a document (headers and footers), in any case, and how often."""
@@ -77,3 +86,108 @@ def digests(rows: DataFrame, key: str, term: str, most: int) -> DataFrame:
     counts = rows.groupBy(key, term).agg(F.count("*").alias("n"))
     listed = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("o"), F.col(term).alias("t")))), 1, most)
     return counts.groupBy(key).agg(listed.alias("l")).select(key, F.array_join(F.transform("l", lambda e: F.concat(e["t"], F.lit(": "), (-e["o"]).cast("string"))), "\n").alias("digest"))
+
+
+_LINE = "struct<text: string, y: double, min_x: double, width: double>"
+
+
+def lines(items: DataFrame, page: str = "page") -> DataFrame:
+    """Page, line (from 1, top to bottom), text, y, min_x, width of the lines of each page.
+
+    items: page, x, y, str, width. From top to bottom, an item more than SAME_LINE below the first item of a line begins the next one. Then tokens of
+    one or two characters (marks above the line) join the nearer line, if it is nearer than the page's median spacing. Folds over one
+    page's items, sorted.
+    """
+    item = F.struct((-F.col("y")).alias("down"), "x", "str", "width")
+    pages = items.groupBy(page).agg(F.array_sort(F.collect_list(item)).alias("items"))
+    start = F.struct(F.lit(None).cast("double").alias("first"), F.lit(0).alias("i"), F.array().cast("array<int>").alias("cuts"))
+
+    def placed(acc: Column, e: Column) -> Column:
+        new = acc["first"].isNull() | (e["down"] - acc["first"] > SAME_LINE)
+        return F.struct(F.when(new, e["down"]).otherwise(acc["first"]).alias("first"), (acc["i"] + 1).alias("i"), F.when(new, F.concat(acc["cuts"], F.array(acc["i"]))).otherwise(acc["cuts"]).alias("cuts"))
+
+    cuts = F.aggregate("items", start, placed)["cuts"]
+
+    def line(first: Column, i: Column, every: Column) -> Column:
+        end = F.coalesce(F.get(every, i + 1), F.size("items"))
+        own = F.array_sort(F.transform(F.slice("items", first + 1, end - first), lambda e: F.struct(e["x"].alias("x"), e["down"].alias("down"), e["str"].alias("str"), e["width"].alias("width"))))
+        real = F.get(F.filter(own, lambda e: F.trim(e["str"]) != ""), F.lit(0))
+        text = F.trim(F.array_join(F.transform(own, lambda e: e["str"]), ""))
+        width = F.aggregate(own, F.lit(0.0), lambda s, e: s + e["width"])
+        return F.struct(text.alias("text"), (-F.get(own, F.lit(0))["down"]).alias("y"), real["x"].alias("min_x"), width.alias("width")).cast(_LINE)
+
+    raw = pages.withColumn("cuts", cuts).select(page, F.filter(F.transform("cuts", lambda c, i: line(c, i, F.col("cuts"))), lambda x: x["text"] != "").alias("raw"))
+    gaps = F.filter(F.zip_with(F.slice("raw", 1, F.size("raw") - 1), F.slice("raw", 2, F.size("raw")), lambda a, b: F.abs(a["y"] - b["y"])), lambda g: (g > 0) & (g < NO_SPACING))
+    by_size = raw.filter(F.size("raw") > 0).withColumn("gaps", F.when(F.size("raw") > 1, F.array_sort(gaps)).otherwise(F.array().cast("array<double>")))
+    half = F.floor(F.size("gaps") / 2).cast("int")
+    middle = F.when(F.size("gaps") % 2 == 1, F.get("gaps", half)).otherwise((F.get("gaps", half - 1) + F.get("gaps", half)) / 2)
+    rows = by_size.withColumn("spacing", F.coalesce(middle, F.lit(float(SPACING))))
+
+    none = F.array().cast(f"array<{_LINE}>")
+    begin = F.struct(none.alias("done"), F.lit(False).alias("skip"))
+    numbered = F.transform("raw", lambda x, i: F.struct(x.alias("x"), i.alias("i")))
+
+    def merged(acc: Column, e: Column) -> Column:
+        x, done, far = e["x"], acc["done"], F.lit(float("inf"))
+        last, after = F.get(done, F.size(done) - 1), F.get("raw", e["i"] + 1)
+        up = F.when(F.size(done) > 0, F.abs(last["y"] - x["y"])).otherwise(far)
+        down = F.when(after.isNotNull(), F.abs(x["y"] - after["y"])).otherwise(far)
+        short = F.length(x["text"]) <= 2
+        back = F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(F.struct(F.concat(last["text"], x["text"]).alias("text"), last["y"].alias("y"), last["min_x"].alias("min_x"), (last["width"] + x["width"]).alias("width")).cast(_LINE)))
+        ahead = F.struct(F.concat(x["text"], after["text"]).alias("text"), after["y"].alias("y"), F.least(x["min_x"], after["min_x"]).alias("min_x"), (x["width"] + after["width"]).alias("width")).cast(_LINE)
+        joins_up = short & (up <= down) & (up < F.col("spacing"))
+        joins_down = short & ~joins_up & (down < F.col("spacing"))
+        new = F.when(acc["skip"], done).when(joins_up, back).when(joins_down, F.concat(done, F.array(ahead))).otherwise(F.concat(done, F.array(x)))
+        return F.struct(new.alias("done"), (~acc["skip"] & joins_down).alias("skip"))
+
+    out = rows.select(page, F.posexplode(F.aggregate(numbered, begin, merged)["done"]).alias("line", "e"))
+    return out.select(page, (F.col("line") + 1).alias("line"), "e.text", "e.y", "e.min_x", "e.width")
+
+
+def item_rect(transform: Column, width: Column, viewport: Column) -> Column:
+    """array(x, y, width, height) of a text item, from the top left: its affine transform (six numbers) seen through the viewport's."""
+    m = lambda i: F.get(viewport, F.lit(i))
+    t = lambda i: F.get(transform, F.lit(i))
+    b, c, d = m(1) * t(0) + m(3) * t(1), m(0) * t(2) + m(2) * t(3), m(1) * t(2) + m(3) * t(3)
+    a, e, f = m(0) * t(0) + m(2) * t(1), m(0) * t(4) + m(2) * t(5) + m(4), m(1) * t(4) + m(3) * t(5) + m(5)
+    angle, height = F.atan2(b, a), F.hypot(c, d)
+    ascent = height * ASCENT
+    return F.array(e + ascent * F.sin(angle), f - ascent * F.cos(angle), width.cast("double"), height)
+
+
+def sliced(rect: Column, start: Column, end: Column) -> Column:
+    """The part of a rectangle between two shares of its width."""
+    x, y, w, h = (F.get(rect, F.lit(i)) for i in range(4))
+    return F.array(x + w * start, y, w * (end - start), h)
+
+
+def contains_point(rect: Column, x: Column, y: Column) -> Column:
+    """Whether a point lies in a rectangle, its edges included."""
+    left, top, w, h = (F.get(rect, F.lit(i)) for i in range(4))
+    return (x >= left) & (x <= left + w) & (y >= top) & (y <= top + h)
+
+
+def found_rects(items: DataFrame, needle: str, page: str = "page") -> DataFrame:
+    """Page, n (from 1, in reading order), slices (array of rectangles) of each occurrence of the needle on a page, without overlaps; case and
+    diacritics don't matter.
+
+    items: page, i (their order), str, rect (array of x, y, width, height), eol (a line ends behind the item). A match over several items has a slice of
+    each. Matches and items are joined by blocks of characters and then by their overlap.
+    """
+    wanted = folded_name(needle)
+    text = folded(F.coalesce("str", F.lit("")))
+    broken = F.when(F.coalesce("eol", F.lit(False)) & ~text.rlike(r"\s$"), F.concat(text, F.lit(" "))).otherwise(text)
+    rows = items.select(F.col(page).alias("page"), "i", broken.alias("t"), F.length(text).alias("size"), "rect")
+    before = Window.partitionBy("page").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    held = rows.withColumn("a", F.coalesce(F.sum(F.length("t")).over(before), F.lit(0)))
+    whole = rows.groupBy("page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "t"))), lambda e: e["t"]), "").alias("t"))
+    parts = whole.select("page", F.split("t", r"\Q" + wanted + r"\E", -1).alias("p")).filter((F.size("p") > 1) & F.lit(bool(wanted)))
+    gaps = parts.select("page", F.posexplode(F.slice("p", 1, F.size("p") - 1)).alias("n", "gap"))
+    to = F.sum(F.length("gap") + len(wanted)).over(Window.partitionBy("page").orderBy("n").rowsBetween(Window.unboundedPreceding, 0))
+    matches = gaps.select("page", (F.col("n") + 1).alias("n"), to.alias("e"), (to - len(wanted)).alias("s"))
+    blocks = lambda a, b: F.explode(F.sequence(F.floor(a / BLOCK), F.floor((b - 1) / BLOCK)))
+    cut_matches = matches.select("*", blocks(F.col("s"), F.col("e")).alias("block"))
+    cut_items = held.filter("size > 0").select("page", "i", "a", "size", "rect", blocks(F.col("a"), F.col("a") + F.col("size")).alias("block"))
+    met = cut_matches.join(cut_items, ["page", "block"]).filter((F.col("a") < F.col("e")) & (F.col("a") + F.col("size") > F.col("s")) & (F.floor(F.greatest("a", "s") / BLOCK) == F.col("block")))
+    part = sliced(F.col("rect"), F.greatest(F.col("s") - F.col("a"), F.lit(0)) / F.col("size"), F.least(F.col("e") - F.col("a"), F.col("size")) / F.col("size"))
+    return met.groupBy("page", "n").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", part.alias("r")))), lambda e: e["r"]).alias("slices")).withColumnRenamed("page", page)

@@ -301,4 +301,4 @@ def m10_daily_totals(s, d):
     return _dated(streams.daily_totals(B.table(s, d, "events"))).withColumn("value", F.round("value", 4))
 
 
-from . import queries_lists, queries_more, queries_stream, queries_sync, queries_taste, queries_text  # noqa: E402, F401  each registers its queries
+from . import queries_lists, queries_more, queries_pages, queries_stream, queries_sync, queries_taste, queries_text  # noqa: E402, F401  each registers its queries
