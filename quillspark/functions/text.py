@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from functools import cache
 
 from pyspark.sql import Column
@@ -14,6 +15,11 @@ ENTITIES = (("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&qu
 MARKS = range(0x300, 0x370)
 
 
+def with_value(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, however often f names it: expressions that name large ones often would grow with each step."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def folded_name(text: str) -> str:
     """H8 for one text on the driver."""
     return "".join(c for c in unicodedata.normalize("NFD", text.lower()) if ord(c) not in MARKS)
@@ -183,23 +189,32 @@ def is_http(url: Column) -> Column:
 
 def without_dots(url: Column) -> Column:
     """An absolute URL whose path has no . and .. segments; .. doesn't go beyond the top."""
-    head, path, tail = (F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)([^?#]*)(.*)$", i) for i in (1, 2, 3))
     step = lambda done, x: F.when(x == ".", done).when(x == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(x)))
-    parts = F.aggregate(F.split(F.substr(path, F.lit(2)), "/"), F.array().cast("array<string>"), step)
-    end = F.when(path.rlike(r"/\.\.?$") & (F.size(parts) > 0), "/").otherwise("")
-    return F.when(path.rlike(r"/\.\.?(/|$)"), F.concat(head, F.lit("/"), F.array_join(parts, "/"), end, tail)).otherwise(url)
+
+    def rebuilt(u: Column) -> Column:
+        head, path, tail = (F.regexp_extract(u, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)([^?#]*)(.*)$", i) for i in (1, 2, 3))
+        parts = F.aggregate(F.split(F.substr(path, F.lit(2)), "/"), F.array().cast("array<string>"), step)
+        whole = with_value(parts, lambda p: F.concat(F.array_join(p, "/"), F.when(path.rlike(r"/\.\.?$") & (F.size(p) > 0), "/").otherwise("")))
+        return F.when(path.rlike(r"/\.\.?(/|$)"), F.concat(head, F.lit("/"), whole, tail)).otherwise(u)
+
+    return with_value(url, rebuilt)
 
 
 def resolved_url(base: Column, link: Column) -> Column:
     """A link of a page as an absolute URL."""
-    scheme, origin = F.regexp_extract(base, r"^([A-Za-z]+:)", 1), F.regexp_extract(base, r"^([A-Za-z]+://[^/?#]*)", 1)
-    bare = F.regexp_replace(base, r"(?s)[?#].*$", "")
-    folder = F.regexp_extract(bare, r"^([A-Za-z]+://.*/)", 1)
-    own = F.when(F.length(F.regexp_extract(base, r"^[A-Za-z]+://[^/]*(/)", 1)) > 0, folder).otherwise(F.concat(origin, F.lit("/")))
-    query = F.regexp_replace(base, r"(?s)#.*$", "")
-    found = F.when(link == "", query).when(link.startswith("//"), F.concat(scheme, link)).when(link.startswith("/"), F.concat(origin, link))
-    found = found.when(link.startswith("#"), F.concat(query, link)).when(link.startswith("?"), F.concat(bare, link)).otherwise(F.concat(own, link))
-    return without_dots(F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), link).otherwise(found))
+
+    def resolved(both: Column) -> Column:
+        base, link = both["base"], both["link"]
+        scheme, origin = F.regexp_extract(base, r"^([A-Za-z]+:)", 1), F.regexp_extract(base, r"^([A-Za-z]+://[^/?#]*)", 1)
+        bare = F.regexp_replace(base, r"(?s)[?#].*$", "")
+        folder = F.regexp_extract(bare, r"^([A-Za-z]+://.*/)", 1)
+        own = F.when(F.length(F.regexp_extract(base, r"^[A-Za-z]+://[^/]*(/)", 1)) > 0, folder).otherwise(F.concat(origin, F.lit("/")))
+        query = F.regexp_replace(base, r"(?s)#.*$", "")
+        found = F.when(link == "", query).when(link.startswith("//"), F.concat(scheme, link)).when(link.startswith("/"), F.concat(origin, link))
+        found = found.when(link.startswith("#"), F.concat(query, link)).when(link.startswith("?"), F.concat(bare, link)).otherwise(F.concat(own, link))
+        return F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), link).otherwise(found)
+
+    return without_dots(with_value(F.struct(base.alias("base"), link.alias("link")), resolved))
 
 
 def numeric_chapter(url: Column) -> Column:

@@ -17,7 +17,8 @@ PREV_TEXT = r"(?i)^\s*(prev(ious)?(\s*(chapter|part|page|episode|chap))?|←|‹
 def nav_link(html: Column, url: Column, rel: str) -> Column:
     """The absolute URL of a page's link to the next (or prev) one: <link rel>, else <a rel>, else the first link or button whose text or label says
     so; null without one."""
-    attribute = lambda tag, name: F.coalesce(*(F.nullif(F.regexp_extract(tag, rf"(?is)\s{name}\s*=\s*{q}", 1), F.lit("")) for q in ('"([^"]*)"', "'([^']*)'", "([^\\s\"'>]+)")))
+    forms = ('"([^"]*)"', "'([^']*)'", "([^\\s\"'>]+)")
+    attribute = lambda tag, name: T.with_value(tag, lambda t: F.coalesce(*(F.nullif(F.regexp_extract(t, rf"(?is)\s{name}\s*=\s*{q}", 1), F.lit("")) for q in forms)))
     tags = lambda name: F.regexp_extract_all(html, F.lit(rf"(?is)<{name}\s[^>]*>"), 0)
     with_rel = lambda name: F.get(F.filter(tags(name), lambda t: F.lower(attribute(t, "rel")) == rel), F.lit(0))
     said = NEXT_TEXT if rel == "next" else PREV_TEXT
@@ -31,13 +32,13 @@ def nav_link(html: Column, url: Column, rel: str) -> Column:
 
     by_text = attribute(F.get(F.filter(whole, says), F.lit(0)), "href")
     by_rel = attribute(with_rel("a"), "href")
-    found = F.coalesce(attribute(with_rel("link"), "href"), F.when(~by_rel.startswith("#"), by_rel), by_text)
-    return F.when(found.isNotNull(), T.resolved_url(url, found))
+    in_page = T.with_value(by_rel, lambda x: F.when(~x.startswith("#"), x))
+    return T.resolved_url(url, F.coalesce(attribute(with_rel("link"), "href"), in_page, by_text))
 
 
 def page_key(url: Column) -> Column:
     """What pages are told apart by: origin in lower case, path without an end slash, query."""
-    return T.canonical_url(url)
+    return T.with_value(url, T.canonical_url)
 
 
 def walked(links: DataFrame, starts: DataFrame, most: int) -> DataFrame:

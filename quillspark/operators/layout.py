@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import folded, folded_name
+from ..functions.text import folded, folded_name, with_value
 
 #: Fixed values, in points: how far items of a line are apart at most, the spacing of a page that shows none, gaps that aren't spacing.
 SAME_LINE, SPACING, NO_SPACING = 5, 12, 100
@@ -123,25 +123,28 @@ def lines(items: DataFrame, page: str = "page") -> DataFrame:
     middle = F.when(F.size("gaps") % 2 == 1, F.get("gaps", half)).otherwise((F.get("gaps", half - 1) + F.get("gaps", half)) / 2)
     rows = by_size.withColumn("spacing", F.coalesce(middle, F.lit(float(SPACING))))
 
-    none = F.array().cast(f"array<{_LINE}>")
-    begin = F.struct(none.alias("done"), F.lit(False).alias("skip"))
-    numbered = F.transform("raw", lambda x, i: F.struct(x.alias("x"), i.alias("i")))
-
-    def merged(acc: Column, e: Column) -> Column:
-        x, done, far = e["x"], acc["done"], F.lit(float("inf"))
-        last, after = F.get(done, F.size(done) - 1), F.get("raw", e["i"] + 1)
-        up = F.when(F.size(done) > 0, F.abs(last["y"] - x["y"])).otherwise(far)
-        down = F.when(after.isNotNull(), F.abs(x["y"] - after["y"])).otherwise(far)
-        short = F.length(x["text"]) <= 2
-        back = F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(F.struct(F.concat(last["text"], x["text"]).alias("text"), last["y"].alias("y"), last["min_x"].alias("min_x"), (last["width"] + x["width"]).alias("width")).cast(_LINE)))
-        ahead = F.struct(F.concat(x["text"], after["text"]).alias("text"), after["y"].alias("y"), F.least(x["min_x"], after["min_x"]).alias("min_x"), (x["width"] + after["width"]).alias("width")).cast(_LINE)
-        joins_up = short & (up <= down) & (up < F.col("spacing"))
-        joins_down = short & ~joins_up & (down < F.col("spacing"))
-        new = F.when(acc["skip"], done).when(joins_up, back).when(joins_down, F.concat(done, F.array(ahead))).otherwise(F.concat(done, F.array(x)))
-        return F.struct(new.alias("done"), (~acc["skip"] & joins_down).alias("skip"))
-
-    out = rows.select(page, F.posexplode(F.aggregate(numbered, begin, merged)["done"]).alias("line", "e"))
-    return out.select(page, (F.col("line") + 1).alias("line"), "e.text", "e.y", "e.min_x", "e.width")
+    # of each line: the number of the line it becomes part of, and how: 0 as itself, 1 behind it, -1 before it
+    begin = F.struct(F.lit(None).cast("double").alias("y"), F.lit(0).alias("n"), F.lit(False).alias("skip"), F.array().cast("array<struct<n: int, how: int>>").alias("out"))
+    far = F.lit(float("inf"))
+
+    def decided(acc: Column, e: Column) -> Column:
+        both = F.struct(F.coalesce(F.abs(acc["y"] - e["y"]), far).alias("up"), F.coalesce(F.abs(e["y"] - e["after"]), far).alias("down"))
+        how = with_value(both, lambda g: F.when(acc["skip"] | ~e["short"], 0).when((g["up"] <= g["down"]) & (g["up"] < F.col("spacing")), 1).when(g["down"] < F.col("spacing"), -1).otherwise(0))
+
+        def taken(how: Column) -> Column:
+            n = acc["n"] + F.when(acc["skip"] | (how == 1), 0).otherwise(1)
+            y = F.when(how == 1, acc["y"]).when(how == -1, e["after"]).otherwise(e["y"])
+            return F.struct(y.alias("y"), n.alias("n"), (how == -1).alias("skip"), F.concat(acc["out"], F.array(F.struct(n.alias("n"), how.alias("how")))).alias("out"))
+
+        return with_value(how, taken)
+
+    seen = F.transform("raw", lambda x, i: F.struct(x["y"].alias("y"), F.get("raw", i + 1)["y"].alias("after"), (F.length(x["text"]) <= 2).alias("short")))
+    marked = rows.select(page, "raw", F.aggregate(seen, begin, decided)["out"].alias("out"))
+    each = marked.select(page, F.posexplode(F.zip_with("raw", "out", lambda x, o: F.struct(x.alias("x"), o.alias("o")))).alias("i", "e")).select(page, "i", "e.x", "e.o")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "x.text"))), lambda e: e["text"]), "")
+    main = lambda c: F.max(F.when(F.col("o.how") == 0, F.col(f"x.{c}")))
+    whole = each.groupBy(page, F.col("o.n").alias("line")).agg(text.alias("text"), main("y").alias("y"), F.min(F.when(F.col("o.how") < 1, F.col("x.min_x"))).alias("min_x"), F.sum("x.width").alias("width"))
+    return whole.select(page, "line", "text", "y", "min_x", "width")
 
 
 def item_rect(transform: Column, width: Column, viewport: Column) -> Column:
