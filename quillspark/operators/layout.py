@@ -99,7 +99,7 @@ def lines(items: DataFrame, page: str = "page") -> DataFrame:
     page's items, sorted.
     """
     item = F.struct((-F.col("y")).alias("down"), "x", "str", "width")
-    pages = items.groupBy(page).agg(F.array_sort(F.collect_list(item)).alias("items"))
+    pages = items.groupBy(page).agg(F.sort_array(F.collect_list(item)).alias("items"))
     start = F.struct(F.lit(None).cast("double").alias("first"), F.lit(0).alias("i"), F.array().cast("array<int>").alias("cuts"))
 
     def placed(acc: Column, e: Column) -> Column:
@@ -110,15 +110,19 @@ def lines(items: DataFrame, page: str = "page") -> DataFrame:
 
     def line(first: Column, i: Column, every: Column) -> Column:
         end = F.coalesce(F.get(every, i + 1), F.size("items"))
-        own = F.array_sort(F.transform(F.slice("items", first + 1, end - first), lambda e: F.struct(e["x"].alias("x"), e["down"].alias("down"), e["str"].alias("str"), e["width"].alias("width"))))
-        real = F.get(F.filter(own, lambda e: F.trim(e["str"]) != ""), F.lit(0))
-        text = F.trim(F.array_join(F.transform(own, lambda e: e["str"]), ""))
-        width = F.aggregate(own, F.lit(0.0), lambda s, e: s + e["width"])
-        return F.struct(text.alias("text"), (-F.get(own, F.lit(0))["down"]).alias("y"), real["x"].alias("min_x"), width.alias("width")).cast(_LINE)
+        own = F.sort_array(F.transform(F.slice("items", first + 1, end - first), lambda e: F.struct(e["x"].alias("x"), e["down"].alias("down"), e["str"].alias("str"), e["width"].alias("width"))))
+
+        def joined(own: Column) -> Column:
+            real = F.get(F.filter(own, lambda e: F.trim(e["str"]) != ""), F.lit(0))
+            text = F.trim(F.array_join(F.transform(own, lambda e: e["str"]), ""))
+            width = F.aggregate(own, F.lit(0.0), lambda s, e: s + e["width"])
+            return F.struct(text.alias("text"), (-F.get(own, F.lit(0))["down"]).alias("y"), real["x"].alias("min_x"), width.alias("width")).cast(_LINE)
+
+        return with_value(own, joined)
 
     raw = pages.withColumn("cuts", cuts).select(page, F.filter(F.transform("cuts", lambda c, i: line(c, i, F.col("cuts"))), lambda x: x["text"] != "").alias("raw"))
     gaps = F.filter(F.zip_with(F.slice("raw", 1, F.size("raw") - 1), F.slice("raw", 2, F.size("raw")), lambda a, b: F.abs(a["y"] - b["y"])), lambda g: (g > 0) & (g < NO_SPACING))
-    by_size = raw.filter(F.size("raw") > 0).withColumn("gaps", F.when(F.size("raw") > 1, F.array_sort(gaps)).otherwise(F.array().cast("array<double>")))
+    by_size = raw.withColumn("gaps", F.when(F.size("raw") > 1, F.array_sort(gaps)).otherwise(F.array().cast("array<double>")))
     half = F.floor(F.size("gaps") / 2).cast("int")
     middle = F.when(F.size("gaps") % 2 == 1, F.get("gaps", half)).otherwise((F.get("gaps", half - 1) + F.get("gaps", half)) / 2)
     rows = by_size.withColumn("spacing", F.coalesce(middle, F.lit(float(SPACING))))
