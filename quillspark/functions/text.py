@@ -228,30 +228,12 @@ def links(html: Column) -> Column:
     return F.regexp_extract_all(html, F.lit(r'(?i)<a\s[^>]*href="([^"]*)"'), 1)
 
 
-def page_kind(html: Column) -> Column:
-    """Toc, chapter or article, by its links and paragraphs."""
-    n, p = F.size(links(html)), F.regexp_count(html, F.lit("(?i)<p[ >]"))
-    return F.when((n >= 5) & (n > p), "toc").when(html.rlike(r"(?i)\bchapter\s+\d+"), "chapter").otherwise("article")
-
-
-def chapter_count(html: Column) -> Column:
-    """Options of a chapter list, else what `N chapters` says, else 1."""
-    options, said = F.regexp_count(html, F.lit("(?i)<option[ >]")), F.regexp_extract(html, r"(?i)(\d+)\s+chapters", 1)
-    return F.when(options > 0, options).when(F.length(said) > 0, said.cast("int")).otherwise(1)
-
-
 def page_title(html: Column) -> Column:
     """The first heading, else the title, as text; null without either."""
     h1, title = (html_to_text(F.regexp_extract(html, rf"(?is)<{t}\b[^>]*>(.*?)</{t}\s*>", 1)) for t in ("h1", "title"))
     return F.when(F.length(h1) > 0, h1).when(F.length(title) > 0, title)
 
 
-def site_key(url: Column) -> Column:
-    """The last two labels of the host."""
-    host = F.lower(F.regexp_extract(url, r"^[A-Za-z]+://([^/?#:]*)", 1))
-    return F.substring_index(host, ".", -2)
-
-
 def escaped_html(text: Column) -> Column:
     """H12."""
     out = text

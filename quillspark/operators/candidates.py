@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..tables import written
+from ..tables import matched, written
 
 #: Fixed value: subjects of comics, which a reader of texts can't show.
 GRAPHIC = r"(?i)graphic novel|comic book|comics\s*&\s*graphic|comics,\s*strips|\bmanga\b|cartoons and comics"
@@ -111,11 +111,11 @@ def floored(book: Column, fic: Column, floor: int, has_book: Column, has_fic: Co
 def blended(scored: DataFrame, fits: DataFrame, weight: float, group: str = "bucket") -> DataFrame:
     """Scores of the rows that have a fit: a part of it, stretched over the scores of their group (or as it is, where
     these are all equal)."""
-    ends = scored.groupBy(group).agg(F.min("score").alias("lo"), F.max("score").alias("hi"))
+    ends = written(scored.groupBy(group).agg(F.min("score").alias("lo"), F.max("score").alias("hi"), F.count("*").alias("met")))
     span = F.col("hi") - F.col("lo")
     scaled = F.when(span > 0, F.col("lo") + F.col("fit") * span).otherwise(F.col("fit"))
     new = F.when(F.col("fit").isNull(), F.col("score")).otherwise((1 - weight) * F.col("score") + weight * scaled)
-    return scored.join(F.broadcast(ends), group).join(fits, "id", "left").withColumn("score", new).drop("lo", "hi", "fit")
+    return matched(scored, ends, [group]).join(fits, "id", "left").withColumn("score", new).drop("lo", "hi", "fit")
 
 
 def rankings(replies: DataFrame, known: DataFrame) -> DataFrame:
@@ -138,9 +138,11 @@ def seed_queries(sources: DataFrame, subjects: int, authors: int) -> DataFrame:
     names = liked.filter(F.col("author").isNotNull()).select(F.lit("author").alias("kind"), "weight", "seq", F.lit(0).alias("at"), F.col("author").alias("term"))
     terms = tags.unionByName(names).withColumn("term", T.collapse(F.regexp_replace("term", '"', " "))).filter("term <> ''")
     sums = terms.groupBy("kind", F.lower("term").alias("k")).agg(F.sum("weight").alias("weight"), F.min_by("term", F.struct("seq", "at")).alias("term"))
-    place = F.row_number().over(Window.partitionBy("kind").orderBy(F.desc(F.round("weight", 9)), "term"))
-    most = F.when(F.col("kind") == "subject", subjects).otherwise(authors)
-    return sums.withColumn("place", place).filter(F.col("place") <= most).select("kind", "term", F.concat("kind", F.lit(':"'), "term", F.lit('"')).alias("q"), "weight", "place")
+    order = F.desc(F.round("weight", 9)), F.asc("term")
+    # each kind is cut by its own limit, task by task; only what is left is ranked
+    best = [sums.filter(F.col("kind") == kind).orderBy(*order).limit(most) for kind, most in (("subject", subjects), ("author", authors))]
+    place = F.row_number().over(Window.partitionBy("kind").orderBy(*order))
+    return best[0].unionByName(best[1]).withColumn("place", place).select("kind", "term", F.concat("kind", F.lit(':"'), "term", F.lit('"')).alias("q"), "weight", "place")
 
 
 def length_profile(meta: DataFrame, least: int = 3, long: int = 40_000, short: int = 20_000, skew: float = 0.7) -> DataFrame:

@@ -5,35 +5,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import pages as P
 from ..functions import text as T
 from ..tables import dropped, written
 
-#: Most pages of a serial, most steps back from a page, what links to the next and the previous page say as a whole.
-MAX_CHAPTERS, MAX_PREV_HOPS = 1000, 500
-NEXT_TEXT = r"(?i)^\s*(next(\s*(chapter|part|page|episode|chap))?|→|›|>>|continue\s+reading)\s*$"
-PREV_TEXT = r"(?i)^\s*(prev(ious)?(\s*(chapter|part|page|episode|chap))?|←|‹|<<)\s*$"
+#: Fixed value: most steps back from a page.
+MAX_PREV_HOPS = 500
 
 
 def nav_link(html: Column, url: Column, rel: str) -> Column:
     """The absolute URL of a page's link to the next (or prev) one: <link rel>, else <a rel>, else the first link or button whose text or label says
     so; null without one."""
-    forms = ('"([^"]*)"', "'([^']*)'", "([^\\s\"'>]+)")
-    attribute = lambda tag, name: T.with_value(tag, lambda t: F.coalesce(*(F.nullif(F.regexp_extract(t, rf"(?is)\s{name}\s*=\s*{q}", 1), F.lit("")) for q in forms)))
-    tags = lambda name: F.regexp_extract_all(html, F.lit(rf"(?is)<{name}\s[^>]*>"), 0)
-    with_rel = lambda name: F.get(F.filter(tags(name), lambda t: F.lower(attribute(t, "rel")) == rel), F.lit(0))
-    said = NEXT_TEXT if rel == "next" else PREV_TEXT
-    whole = F.regexp_extract_all(html, F.lit(r"(?is)<(?:a|button)\s[^>]*>.*?</(?:a|button)\s*>"), 0)
+    with_rel = lambda name: F.get(F.filter(P.tags(html, name), lambda t: F.lower(P.attribute(t, "rel")) == rel), F.lit(0))
+    wanted = P.NEXT_TEXT if rel == "next" else P.PREV_TEXT
 
-    def says(t: Column) -> Column:
-        text = T.common_entities(F.regexp_replace(t, "(?s)<[^>]*>", ""))
-        href = F.coalesce(attribute(F.regexp_extract(t, "(?s)^<[^>]*>", 0), "href"), F.lit(""))
-        labelled = F.coalesce(attribute(F.regexp_extract(t, "(?s)^<[^>]*>", 0), "aria-label"), F.lit("")).rlike(said)
-        return (text.rlike(said) | labelled) & (href != "") & ~href.startswith("#")
+    def leads(e: Column) -> Column:
+        href = F.coalesce(P.attribute(F.regexp_extract(e, "(?s)^<[^>]*>", 0), "href"), F.lit(""))
+        return P.says(e, wanted) & (href != "") & ~href.startswith("#")
 
-    by_text = attribute(F.get(F.filter(whole, says), F.lit(0)), "href")
-    by_rel = attribute(with_rel("a"), "href")
-    in_page = T.with_value(by_rel, lambda x: F.when(~x.startswith("#"), x))
-    return T.resolved_url(url, F.coalesce(attribute(with_rel("link"), "href"), in_page, by_text))
+    by_text = P.attribute(F.get(F.filter(P.elements(html, "a|button"), leads), F.lit(0)), "href")
+    in_page = T.with_value(P.attribute(with_rel("a"), "href"), lambda x: F.when(~x.startswith("#"), x))
+    return T.resolved_url(url, F.coalesce(P.attribute(with_rel("link"), "href"), in_page, by_text))
 
 
 def page_key(url: Column) -> Column:
@@ -65,7 +57,7 @@ def walked(links: DataFrame, starts: DataFrame, most: int) -> DataFrame:
     return path
 
 
-def crawl_order(pages: DataFrame, starts: DataFrame, most: int = MAX_CHAPTERS, back: int = MAX_PREV_HOPS) -> DataFrame:
+def crawl_order(pages: DataFrame, starts: DataFrame, most: int = P.MAX_CHAPTERS, back: int = MAX_PREV_HOPS) -> DataFrame:
     """L3: start, place (from 0), node of the pages of a serial, first to last: from the start page back over its previous pages, back at most, then on over
     the next ones; a page that was already there ends either way, and there are no more than most pages.
 

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from .functions import pages as P
 from .functions import text as T
 from .operators import layout, lists, search, text_index
 from .plans import binding as B
@@ -211,10 +212,33 @@ def h10_body_text(s, d):
     return B.table(s, d, "pages").select("page_id", T.body_text(body).alias("text"))
 
 
-@query(f"SELECT page_id, h AS title, n AS links, CASE WHEN n >= 5 AND n > p THEN 'toc' WHEN regexp_matches(html, '(?i)\\bchapter\\s+\\d+') THEN 'chapter' ELSE 'article' END AS kind, CASE WHEN o > 0 THEN o WHEN length(c) > 0 THEN c::INTEGER ELSE 1 END AS chapters FROM (SELECT page_id, html, len(regexp_extract_all(html, '(?i)<a\\s[^>]*href=\"([^\"]*)\"')) AS n, len(regexp_extract_all(html, '(?i)<p[ >]')) AS p, len(regexp_extract_all(html, '(?i)<option[ >]')) AS o, regexp_extract(html, '(?i)(\\d+)\\s+chapters', 1) AS c, {_STRIP.format(chr(34) + 'hh' + chr(34))} AS h FROM (SELECT *, CASE WHEN regexp_extract(html, '(?is)<h1\\b[^>]*>(.*?)</h1\\s*>', 1) <> '' THEN regexp_extract(html, '(?is)<h1\\b[^>]*>(.*?)</h1\\s*>', 1) ELSE regexp_extract(html, '(?is)<title\\b[^>]*>(.*?)</title\\s*>', 1) END AS hh FROM pages))", views=False)
+def _serial_pages(s, d):
+    """Pages with what marks a serial's: links to neighbours, a chapter list, works' paths, meta tags; by the number of the page."""
+    i = F.col("page_id")
+    more = F.coalesce(
+        F.when(i % 8 == 1, F.lit('<link rel="next" href="x"><select><option>1</option><option>2</option><option>3</option></select><meta property="og:title" content="A Tale - Chapter 3: on">')),
+        F.when(i % 8 == 2, F.lit('<a href="p"> &gt;&gt; </a><p>It has 12 chapters.</p><meta name="author" content=" An Author ">')),
+        F.when(i % 8 == 3, F.lit('<a href="1">Chapter 1</a><a href="2">Prologue</a><a href="3">The <i>last</i> part</a><select><option>1</option></select><meta property="og:image" content="http://i/c.png">')),
+        F.when(i % 8 == 4, F.lit('<a href="/works/w/1">a</a><a href="/works/w/2">b</a><a href="/works/w">self</a><a href="/users/u">A User</a><a href="/works/w/3">c</a><p>1 chapter</p><meta property="og:image" content="http://i/logo.png">')),
+        F.lit(""),
+    )
+    host = F.element_at(F.array(*map(F.lit, ("archiveofourown.org", "www.fanfiction.net", "forums.spacebattles.com", "example.org", "m.wattpad.com"))), (i % 5 + 1).cast("int"))
+    path = F.when(i % 8 == 4, "/works/w").when(i % 8 == 5, "/story/9/chapter-4").otherwise(F.concat(F.lit("/p/"), i.cast("string")))
+    return B.table(s, d, "pages").select("page_id", F.concat(F.lit("https://"), host, path).alias("url"), F.concat("html", more).alias("html"))
+
+
+@query(f"""SELECT page_id, {_STRIP.format('h')} AS title, CASE page_id % 8 WHEN 1 THEN 'chapter' WHEN 2 THEN 'chapter' WHEN 5 THEN 'chapter' WHEN 3 THEN 'toc' WHEN 4 THEN 'toc' ELSE CASE WHEN len(list_filter(a, lambda x: regexp_matches(x, '(?i)\\b(chapter|prologue|epilogue|interlude|afterword|arc|book|volume|part)\\b'))) >= 3 THEN 'toc' ELSE 'article' END END AS kind,
+CASE page_id % 8 WHEN 1 THEN 3 WHEN 2 THEN 12 END AS chapters, CASE page_id % 8 WHEN 1 THEN 'A Tale' ELSE trim({_COMMON.format("regexp_extract(html, '(?is)<title>(.*?)</title>', 1)")}) END AS series, CASE page_id % 8 WHEN 2 THEN 'An Author' WHEN 4 THEN 'A User' END AS author, CASE page_id % 8 WHEN 3 THEN 'http://i/c.png' END AS cover
+FROM (SELECT *, regexp_extract_all(html, '(?is)<a\\s[^>]*>(.*?)</a>', 1) AS a, CASE WHEN regexp_extract(html, '(?is)<h1\\b[^>]*>(.*?)</h1\\s*>', 1) <> '' THEN regexp_extract(html, '(?is)<h1\\b[^>]*>(.*?)</h1\\s*>', 1) ELSE regexp_extract(html, '(?is)<title\\b[^>]*>(.*?)</title\\s*>', 1) END AS h FROM pages)""", views=False)
 def l5_h15_h16_h17_page_rows(s, d):
-    h = F.col("html")
-    return B.table(s, d, "pages").select("page_id", T.page_title(h).alias("title"), F.size(T.links(h)).alias("links"), T.page_kind(h).alias("kind"), T.chapter_count(h).alias("chapters"))
+    h, u = F.col("html"), F.col("url")
+    found = {"title": T.page_title(h), "kind": P.kind(h, u), "chapters": P.chapters(h), "series": P.series_title(h, F.lit("?")), "author": P.author(h), "cover": P.cover(h)}
+    return _serial_pages(s, d).select("page_id", *(c.alias(n) for n, c in found.items()))
+
+
+@query("SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'ao3' WHEN 1 THEN 'ffnet' WHEN 2 THEN 'xenforo' WHEN 4 THEN 'wattpad' END AS parser, CASE page_id % 5 WHEN 0 THEN 'ao3' WHEN 1 THEN 'ffn' END AS site FROM pages", views=False)
+def l1_h20_dispatch(s, d):
+    return _serial_pages(s, d).select("page_id", P.parser(F.col("url")).alias("parser"), P.site_key(F.col("url")).alias("site"))
 
 
 @query("SELECT page_id, regexp_extract(url, '^([A-Za-z]+://[^/?#]*)', 1) || link AS url FROM (SELECT page_id, url, unnest(regexp_extract_all(html, '(?i)<a\\s[^>]*href=\"([^\"]*)\"', 1)) AS link FROM pages) WHERE starts_with(link, '/') AND NOT starts_with(link, '//')", views=False)
@@ -226,7 +250,7 @@ def h13_l3_links(s, d):
 @query("SELECT page_id, CASE WHEN ok THEN regexp_extract(url, '^(.*[/_-])(\\d+)(/?([?#].*)?)$', 1) END AS head, CASE WHEN ok THEN regexp_extract(url, '^(.*[/_-])(\\d+)(/?([?#].*)?)$', 2)::BIGINT END AS number, regexp_matches(url, '(?i)^https?://[^/?#\\s]+') AS http, array_to_string(string_split(regexp_extract(url, '^[A-Za-z]+://([^/?#:]*)', 1), '.')[-2:], '.') AS site FROM (SELECT *, regexp_matches(url, '^(.*[/_-])(\\d+)(/?([?#].*)?)$') AS ok FROM pages)", views=False)
 def h14_h20_b16_urls(s, d):
     u = F.col("url")
-    rows = B.table(s, d, "pages").select("page_id", T.numeric_chapter(u).alias("c"), T.is_http(u).alias("http"), T.site_key(u).alias("site"))
+    rows = B.table(s, d, "pages").select("page_id", T.numeric_chapter(u).alias("c"), T.is_http(u).alias("http"), F.substring_index(F.regexp_extract(u, r"^[A-Za-z]+://([^/?#:]*)", 1), ".", -2).alias("site"))
     return rows.select("page_id", "c.head", "c.number", "http", "site")
 
 
