@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..tables import written
-from .library import live, with_progress
-from .stats import finished, period_start
+from .library import live, nested_tags, with_progress
+from .stats import finished, period_start, shown_status
 
 DAY = 86_400_000
 #: The swatches of highlights in their order (name, dot), and what each color means unless a user says otherwise.
@@ -55,6 +55,38 @@ def library_order(sort: str) -> list[Column]:
     return [*keys[sort], F.desc("date_saved")]
 
 
+def cards(
+    items: DataFrame, progress: DataFrame, tags: DataFrame, links: DataFrame, status: str | None = None, collection: int | None = None, any_tags: list[str] | None = None, authors: list[str] | None = None,
+    types: list[str] | None = None, query: str = "",
+) -> DataFrame:
+    """The cards of the library: id, shown_id, title, author, content_type, status, tags. A live item is a card unless it is derived from a live one, whose card
+    then shows the last such item (by date, then id). What is shown is filtered by status, collection, tags (any of them), types and text (title,
+    author, description or a tag, in any case); authors are those of the cards' own items.
+    """
+    here = live(items)
+    sources = here.select(F.col("id").alias("derived_from"))
+    grouped = here.join(sources, "derived_from", "left_semi")
+    last = grouped.groupBy(F.col("derived_from").alias("id")).agg(F.max_by("id", F.struct("date_saved", "id")).alias("last"))
+    own = here.join(grouped.select("id"), "id", "left_anti").join(last, "id", "left")
+    own = own.select("id", F.col("author").alias("own_author"), F.coalesce("last", "id").alias("shown_id"))
+    shown = nested_tags(with_progress(here, progress), tags).select(F.col("id").alias("shown_id"), "title", "author", "content_type", "description", shown_status().alias("status"), "tags")
+    out = own.join(shown, "shown_id")
+    if status:
+        out = out.filter(F.col("status") == status)
+    if collection is not None:
+        out = out.join(links.filter(F.col("deleted_at").isNull() & (F.col("collection_id") == collection)).select(F.col("item_id").alias("shown_id")), "shown_id", "left_semi")
+    if any_tags:
+        out = out.filter(F.arrays_overlap("tags", F.array(*map(F.lit, any_tags))))
+    if authors:
+        out = out.filter(F.col("own_author").isin(authors))
+    if types:
+        out = out.filter(F.col("content_type").isin(types))
+    if query.strip():
+        has = [contains(F.col(c), query) for c in ("title", "author", "description")]
+        out = out.filter(has[0] | has[1] | has[2] | F.exists("tags", lambda t: contains(t, query)))
+    return out.select("id", "shown_id", "title", "author", "content_type", "status", "tags")
+
+
 def in_collections(items: DataFrame, links: DataFrame, progress: DataFrame) -> DataFrame:
     """C4: live items of each collection, with progress."""
     own = links.filter("deleted_at IS NULL").select("collection_id", F.col("item_id").alias("id"), "sort_order")

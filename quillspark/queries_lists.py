@@ -107,6 +107,28 @@ def c7_goal_items(s, d):
     return B.goal_items(s, d).join(rows, "item_id").select("goal_id", "item_id", "title", "scroll", "status")
 
 
+@query(""", here AS (SELECT *, substr(text, 60, 80) AS description FROM items WHERE deleted_at IS NULL),
+grouped AS (SELECT l.* FROM here l JOIN here s ON s.id = l.derived_from),
+last AS (SELECT derived_from AS id, arg_max(id, (date_saved, id)) AS last FROM grouped GROUP BY 1),
+t AS (SELECT item_id, list_sort(list(DISTINCT tag)) AS tags FROM item_tags GROUP BY 1),
+cards AS (SELECT i.id, d.id AS shown_id, i.author AS own_author, d.title, d.author, d.content_type, d.description, coalesce(t.tags, []) AS tags,
+  coalesce(p.status, CASE WHEN coalesce(p.scroll, 0) <= 0 THEN 'unread' WHEN p.scroll >= 1 THEN 'finished' ELSE 'reading' END) AS status
+  FROM here i LEFT JOIN last ON last.id = i.id JOIN here d ON d.id = coalesce(last.last, i.id) LEFT JOIN t ON t.item_id = d.id LEFT JOIN progress p ON p.item_id = d.id WHERE i.id NOT IN (SELECT id FROM grouped))
+SELECT 'a' AS view, id, shown_id, title, status, tags FROM cards WHERE status = 'unread' AND list_has_any(tags, ['Brand#12', 'Brand#23', 'Brand#34'])
+UNION ALL SELECT 'b', id, shown_id, title, status, tags FROM cards WHERE shown_id IN (SELECT item_id FROM collection_items WHERE collection_id = 3 AND deleted_at IS NULL) AND content_type IN ('epub', 'pdf')
+UNION ALL SELECT 'c', id, shown_id, title, status, tags FROM cards WHERE own_author IN ('src1', 'src2', 'src3', 'src4', 'src5') AND (contains(lower(title), 'and') OR contains(lower(author), 'and') OR contains(lower(description), 'and') OR len(list_filter(tags, lambda x: contains(lower(x), 'and'))) > 0)
+UNION ALL SELECT 'd', id, shown_id, title, status, tags FROM cards WHERE contains(lower(title), 'her') OR contains(lower(author), 'her') OR contains(lower(coalesce(description, '')), 'her') OR len(list_filter(tags, lambda x: contains(lower(x), 'her'))) > 0""")
+def b5_cards(s, d):
+    """Four views of the library: by status and tags, by collection and type, by author and text, by text alone."""
+    tables = B.items(s, d).withColumn("description", F.substring("text", 60, 80)), B.progress(s, d), B.item_tags(s, d), B.collection_items(s, d)
+    views = {
+        "a": {"status": "unread", "any_tags": ["Brand#12", "Brand#23", "Brand#34"]}, "b": {"collection": 3, "types": ["epub", "pdf"]},
+        "c": {"authors": ["src1", "src2", "src3", "src4", "src5"], "query": " AND "}, "d": {"query": "Her"},
+    }
+    rows = [lists.cards(*tables, **v).select(F.lit(n).alias("view"), "id", "shown_id", "title", "status", "tags") for n, v in views.items()]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3])
+
+
 @query("SELECT derived_from AS id, arg_max(id, (date_saved, id)) AS companion FROM items WHERE derived_from IS NOT NULL AND deleted_at IS NULL GROUP BY 1")
 def c22_companions(s, d):
     return lists.companions(B.items(s, d))
