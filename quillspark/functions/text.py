@@ -342,9 +342,25 @@ def base_forms(word: Column) -> Column:
     return F.array_distinct(F.filter(F.array_compact(F.array(*by_rule, doubled)), lambda x: (F.length(x) >= 2) & (x != word)))
 
 
+#: How lines that begin a chapter start; titles of what isn't a chapter, by how they begin and as a whole.
+HEADING = r"(?i)^(chapter|part|section|prologue|epilogue|afterword|interlude|book|volume|arc|coda|preface|introduction|conclusion|appendix)\b"
+MATTER_PREFIX = (
+    r"^(half[\s-]?title|title\s?page|frontispiece|copyright|colophon|imprint|dedication|epigraph|foreword|preface|prologue|prelude|introduction|epilogue|afterword|postscript|acknowledge?ments?"
+    r"|appendix|appendices|glossary|bibliography|discography|filmography|maps? of|list of|about the author|about the publisher|also by|by the same author|other books(?: by)?|coming soon|praise for"
+    r"|permissions|author.?s note|translator.?s note|publisher.?s note)\b"
+)
+MATTER_WHOLE = r"^(cover|contents|table of contents|notes|endnotes?|footnotes?|index|references?|credits|excerpt|newsletter|dramatis personae|maps?)[\s:.-]*$"
+
+
 def is_heading(line: Column) -> Column:
     """A line that begins a chapter."""
-    return F.coalesce(line.rlike(r"(?i)^\s*(chapter|part|book|prologue|epilogue)\b"), F.lit(False))
+    return F.coalesce(line.rlike(HEADING), F.lit(False))
+
+
+def is_matter(title: Column) -> Column:
+    """The title of front or back matter, which has no number: by how it begins, or a general word that stands alone."""
+    plain = F.lower(collapse(F.translate(decoded_numbers(common_entities(title)), "\u00a0", " ")))
+    return F.coalesce(with_value(plain, lambda t: t.rlike(MATTER_PREFIX) | t.rlike(MATTER_WHOLE)), F.lit(False))
 
 
 def is_blob_key(key: Column) -> Column:

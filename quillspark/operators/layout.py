@@ -21,6 +21,28 @@ def running(lines: DataFrame, doc: str, line: str, least: int = 3) -> DataFrame:
     return lines.filter(text != "").groupBy(doc, text.alias(line)).agg(F.count("*").alias("n")).filter(F.col("n") >= least)
 
 
+#: Pages looked at, fewest pages and first page of such a look, shares of the height that are header and footer, fewest hits,
+#: and texts that number pages.
+SAMPLE, LEAST_PAGES, FIRST_PAGE, HEADER, FOOTER, HITS = 8, 6, 4, 0.92, 0.08, 3
+PAGE_NUMBER = r"(?i)^\d+$|^page\s+\d+|^\d+\s*of\s*\d+$"
+
+
+def running_text(items: DataFrame, doc: str = "doc") -> DataFrame:
+    """Doc, line of the headers and footers of documents: texts (in any case) that stand at the top or bottom of HITS or more of SAMPLE pages
+    spread over the document, and page numbers there. Documents of a few pages have none.
+
+    items: doc, page (from 1), y (from the bottom), height (of the page), str.
+    """
+    n = items.groupBy(doc).agg(F.max("page").alias("n")).filter(F.col("n") >= LEAST_PAGES)
+    start = F.least(F.lit(FIRST_PAGE), F.col("n"))
+    page = F.transform(F.sequence(F.lit(0), F.lit(SAMPLE - 1)), lambda i: F.least(F.floor(start + i / (SAMPLE - 1) * (F.col("n") - start) + 0.5), F.col("n")).cast("long"))
+    looked = n.select(doc, F.explode(F.array_distinct(page)).alias("page"))
+    edge = (F.col("y") > F.col("height") * HEADER) | (F.col("y") < F.col("height") * FOOTER)
+    text = F.lower(F.trim("str"))
+    found = items.filter(edge & (text != "")).withColumn("page", F.col("page").cast("long")).join(looked, [doc, "page"])
+    return found.groupBy(doc, text.alias("line")).agg(F.count("*").alias("n")).filter((F.col("n") >= HITS) | F.col("line").rlike(PAGE_NUMBER)).select(doc, "line")
+
+
 def spacing(rows: DataFrame, doc: str, gap: str) -> DataFrame:
     """Of each document, the median gap and the one at a tenth of the sorted gaps."""
     g = rows.groupBy(doc).agg(F.median(gap).alias("middle"), F.sort_array(F.collect_list(gap)).alias("gaps"))

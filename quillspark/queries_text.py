@@ -307,11 +307,40 @@ def h40_h41_h46_progress(s, d):
     return rows.select("id", "wait", T.progress(F.col("c.done"), F.col("c.total")).alias("percent"), F.col("c.total").alias("total"))
 
 
-@query("SELECT doc_id AS id, len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '(?i)^\\s*(chapter|part|book|prologue|epilogue)\\b'))) AS headings, doc_id % 3 = 0 AS is_key FROM documents", views=False)
+_TITLES = ("Chapter", "Appendix B:", "Notes", "Notes from", "Title&nbsp;Page", "Author&#8217;s Note", "MAPS OF", "Index.", "The Index", "part")
+
+
+@query(f"""SELECT doc_id AS id, len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '(?i)^(chapter|part|section|prologue|epilogue|afterword|interlude|book|volume|arc|coda|preface|introduction|conclusion|appendix)\\b'))) + CASE WHEN doc_id % 10 IN (0, 1, 9) THEN 1 ELSE 0 END AS headings,
+doc_id % 3 = 0 AS is_key, doc_id % 10 IN (1, 4, 5, 6) OR (doc_id % 10 IN (2, 7) AND doc_id % 2 = doc_id % 4) AS matter FROM documents""", views=False)
 def b19_b21_shapes(s, d):
     i = F.col("doc_id")
     key = F.when(i % 3 == 0, F.concat(F.lit("users/u/content/"), F.sha2("text", 256))).otherwise(F.concat(F.lit("users//cover/"), F.sha2("text", 256)))
-    return B.table(s, d, "documents").select(i.alias("id"), F.size(F.filter(F.split("text", "\n"), T.is_heading)).alias("headings"), T.is_blob_key(key).alias("is_key"))
+    title = F.element_at(F.array(*map(F.lit, _TITLES)), (i % 10 + 1).cast("int"))
+    lines = F.concat(F.split("text", "\n"), F.array(title))
+    whole = F.when((i % 10).isin(2, 7) & (i % 2 == i % 4), title).otherwise(F.concat(title, F.lit(" "), i.cast("string")))
+    return B.table(s, d, "documents").select(i.alias("id"), F.size(F.filter(lines, T.is_heading)).alias("headings"), T.is_blob_key(key).alias("is_key"), T.is_matter(whole).alias("matter"))
+
+
+_PAGE = 40
+
+
+@query(f"""WITH w AS (SELECT doc_id AS doc, k - 1 AS k, l[k] AS str FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS k FROM (SELECT doc_id, regexp_split_to_array(text, '\\s+') AS l FROM documents))),
+i AS (SELECT doc, k // {_PAGE} + 1 AS page, lower(trim(CASE WHEN k % {_PAGE} = {_PAGE - 1} THEN 'Page ' || (k // {_PAGE} + 1) ELSE str END)) AS line, k % {_PAGE} < 3 OR k % {_PAGE} > {_PAGE - 3} AS edge FROM w),
+n AS (SELECT doc, max(page) AS n FROM i GROUP BY 1 HAVING max(page) >= 6),
+s AS (SELECT DISTINCT doc, least(floor(4 + i / 7.0::DOUBLE * (n - 4) + 0.5)::BIGINT, n) AS page FROM n, range(8) r(i))
+SELECT doc, line FROM i JOIN s USING (doc, page) WHERE edge AND line <> '' GROUP BY 1, 2 HAVING count(*) >= 3 OR regexp_matches(line, '(?i)^\\d+$|^page\\s+\\d+|^\\d+\\s*of\\s*\\d+$')""", views=False)
+def d27_running_text(s, d):
+    """Headers, footers and page numbers of documents laid out as pages of forty words."""
+    words = B.table(s, d, "documents").select(F.col("doc_id").alias("doc"), F.posexplode(F.split("text", r"\s+")).alias("k", "w"))
+    page, at = F.floor(F.col("k") / _PAGE) + 1, F.col("k") % _PAGE
+    text = F.when(at == _PAGE - 1, F.concat(F.lit("Page "), page.cast("string"))).otherwise(F.col("w"))
+    return layout.running_text(words.select("doc", page.alias("page"), F.when(at < 3, 790.0).when(at > _PAGE - 3, 20.0).otherwise(400.0).alias("y"), F.lit(800.0).alias("height"), text.alias("str")))
+
+
+@query("SELECT doc_id AS doc, lower(trim(line)) AS line, count(*) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE trim(line) <> '' GROUP BY 1, 2 HAVING count(*) >= 3", views=False)
+def d27_running_lines(s, d):
+    lines = B.table(s, d, "documents").select(F.col("doc_id").alias("doc"), F.explode(F.split("text", "\n")).alias("line"))
+    return layout.running(lines, "doc", "line", 3)
 
 
 _BLOCKS = "(SELECT conv_id AS doc, turn AS page, role AS line, length(text) AS gap, text FROM conversations)"
