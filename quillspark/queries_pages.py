@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .functions import net
+from .functions import colors, net
 from .functions import text as T
 from .operators import crawl, layout
 from .plans import binding as B
@@ -83,3 +83,18 @@ def e17_lines(s, d):
     row, column = F.floor(F.col("w") / 9), F.col("w") % 9
     raised = F.when(F.length("str") <= 2, 6.0).otherwise(0.0)
     return layout.lines(items.select(F.concat_ws("/", F.col("doc").cast("string"), F.floor(row / 40).cast("string")).alias("page"), (50 + 40 * column).cast("double").alias("x"), (700 - 14 * (row % 40) + raised).alias("y"), F.concat("str", F.lit(" ")).alias("str"), (5.0 * F.length("str")).alias("width")))
+
+
+@query("""WITH s AS (SELECT c_custkey AS id, [c_custkey * 37 % 256, c_custkey * 91 % 256, c_custkey * 53 % 256]::DOUBLE[] AS bg, [c_custkey * 5 % 256, 255, c_custkey % 256]::DOUBLE[] AS ac, c_acctbal > 3000 AS light FROM customer),
+a AS (SELECT *, list_transform(bg, lambda v: greatest(0, least(255, v + CASE WHEN light THEN -10 ELSE 10 END))) AS surface, list_transform(bg, lambda v: greatest(0, least(255, v + CASE WHEN light THEN -20 ELSE 20 END))) AS hover,
+  list_transform(bg, lambda v: CASE WHEN light THEN floor(v * (1 - 0.88::DOUBLE) + 0.5) ELSE least(255, v + 180) END) AS text, list_transform(ac, lambda v: floor(v * 0.75::DOUBLE + 0.5)) AS dim,
+  list_transform(bg, lambda v: CASE WHEN v / 255 <= 0.04045::DOUBLE THEN v / 255 / 12.92::DOUBLE ELSE pow((v / 255 + 0.055::DOUBLE) / 1.055::DOUBLE, 2.4::DOUBLE) END) AS l FROM s),
+b AS (SELECT *, list_transform([1, 2, 3], lambda i: floor(bg[i] * 0.4::DOUBLE + surface[i] * (1 - 0.4::DOUBLE) + 0.5)) AS border, list_transform([1, 2, 3], lambda i: floor(text[i] * 0.5::DOUBLE + bg[i] * 0.5::DOUBLE + 0.5)) AS muted FROM a)
+SELECT id, '#' || printf('%02x%02x%02x', surface[1]::INTEGER, surface[2]::INTEGER, surface[3]::INTEGER) AS surface, '#' || printf('%02x%02x%02x', hover[1]::INTEGER, hover[2]::INTEGER, hover[3]::INTEGER) AS hover, '#' || printf('%02x%02x%02x', border[1]::INTEGER, border[2]::INTEGER, border[3]::INTEGER) AS border, '#' || printf('%02x%02x%02x', text[1]::INTEGER, text[2]::INTEGER, text[3]::INTEGER) AS text, '#' || printf('%02x%02x%02x', muted[1]::INTEGER, muted[2]::INTEGER, muted[3]::INTEGER) AS muted, '#' || printf('%02x%02x%02x', dim[1]::INTEGER, dim[2]::INTEGER, dim[3]::INTEGER) AS accent_dim,
+CASE WHEN l[1] * 0.2126::DOUBLE + l[2] * 0.7152::DOUBLE + l[3] * 0.0722::DOUBLE > 0.3 THEN 'rgba(0,0,0,0.55)' ELSE 'rgba(0,0,0,0.72)' END AS scrim FROM b""", views=False)
+def h34_themes(s, d):
+    """Colors of themes from seeds of customers."""
+    k = F.col("c_custkey")
+    color = lambda *x: F.lower(F.concat(F.lit("#"), *(F.lpad(F.hex(v), 2, "0") for v in x)))
+    rows = B.table(s, d, "customer").select(k.alias("id"), color(k * 37 % 256, k * 91 % 256, k * 53 % 256).alias("bg"), color(k * 5 % 256, F.lit(255).cast("long"), k % 256).alias("ac"), (F.col("c_acctbal") > 3000).alias("light"))
+    return rows.select("id", *(c.alias(n) for n, c in colors.theme(F.col("bg"), F.col("ac"), F.col("light")).items()))

@@ -95,3 +95,15 @@ def test_content_hash_counts_units(spark, text):
     for u in sample:
         h = (h * 31 + u) & 0xFFFFFFFF
     assert one(spark, T.content_hash, text) == f"{len(units)}:{h}"
+
+
+def test_colors(spark):
+    from quillspark.functions import colors
+
+    one_row = spark.range(1)
+    c = lambda x: F.lit(x)
+    got = one_row.select(
+        colors.shifted(c("#0a14FA"), c(10)), colors.shifted(c("#0a1405"), c(-10)), colors.darkened(c("#804020"), 0.25), colors.blend(c("#ffffff"), c("#000000"), 0.5), colors.luminance(c("#ffffff")),
+        colors.luminance(c("#000000")), colors.shifted(c("red"), c(1)), colors.luminance(c("#fff")), colors.is_hex(c("#12345")), colors.is_hex(c("#aBcDeF")), colors.is_hex(F.lit(None).cast("string")),
+    ).first()
+    assert tuple(got) == ("#141eff", "#000a00", "#603018", "#808080", pytest.approx(1.0), 0.0, None, None, False, True, False)
