@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..tables import matched, written
+from ..tables import dropped, matched, written
 
 #: Fixed value: subjects of comics, which a reader of texts can't show.
 GRAPHIC = r"(?i)graphic novel|comic book|comics\s*&\s*graphic|comics,\s*strips|\bmanga\b|cartoons and comics"
@@ -70,15 +70,18 @@ def united(pools: DataFrame, id: str = "source_id", key: str = "key", order: str
     """G1: of rows in order, each whose id and key no earlier kept row has (one that was dropped counts for nothing).
 
     In each round, rows that come first among the undecided ones of both their id and their key are kept, and those that
-    share either with a kept row go; a row is decided as in a walk through all rows, but the rounds are few. order is
-    different in each row.
+    share either with a kept row go; a row is decided as in a walk through all rows. There are as many rounds as the longest
+    chain of rows that hinge on one another has rows, at most. order is different in each row.
     """
     left, kept = written(pools), None
     while not left.isEmpty():
         first = left.groupBy(id).agg(F.min(order).alias("_a")), left.groupBy(key).agg(F.min(order).alias("_b"))
         now = written(left.join(first[0], id).join(first[1], key).filter((F.col(order) == F.col("_a")) & (F.col(order) == F.col("_b"))).select(*pools.columns))
         kept = now if kept is None else kept.unionByName(now)
-        left = written(left.join(now.select(id), id, "left_anti").join(now.select(key), key, "left_anti").select(*pools.columns))
+        rest = written(left.join(now.select(id), id, "left_anti").join(now.select(key), key, "left_anti").select(*pools.columns))
+        dropped(left)
+        left = rest
+    dropped(left)
     return kept if kept is not None else pools
 
 
