@@ -240,9 +240,13 @@ def e7_g2_first_per_source(s, d):
     return library.first_per(B.candidates(s, d).select("source_id", "id"), "source_id", [F.col("id")])
 
 
-@query()
+@query(f"""WITH RECURSIVE {B.DUCK.strip()}, k AS (SELECT id, source_id, {_KEY} AS key, row_number() OVER (ORDER BY id) AS n FROM candidates),
+w AS (SELECT 0::BIGINT AS n, 0::BIGINT AS id, '' AS source_id, '' AS key, []::VARCHAR[] AS ids, []::VARCHAR[] AS keys, false AS kept
+UNION ALL SELECT n, id, source_id, key, CASE WHEN ok THEN list_append(ids, source_id) ELSE ids END, CASE WHEN ok THEN list_append(keys, key) ELSE keys END, ok
+FROM (SELECT k.*, w.ids, w.keys, NOT list_contains(w.ids, k.source_id) AND NOT list_contains(w.keys, k.key) AS ok FROM w JOIN k ON k.n = w.n + 1))
+SELECT id, source_id, key FROM w WHERE kept""", views=False)
 def g1_united(s, d):
-    """A walk through ordered pools: compared with a plain version in the tests."""
+    """A walk through ordered pools, in which what was kept decides on what comes."""
     c = B.candidates(s, d).select("id", "source_id", candidates.key(F.col("title"), F.col("author")).alias("key"))
     return candidates.united(c.withColumn("seq", F.col("id"))).select("id", "source_id", "key")
 
