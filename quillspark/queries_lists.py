@@ -79,7 +79,7 @@ def b24_theme_choice(s, d):
 
 @query(f"SELECT id, ({AS_OF} - deleted_at) // {DAY} AS days_ago, greatest(0, 30 - ({AS_OF} - deleted_at) // {DAY}) AS days_left FROM items WHERE deleted_at IS NOT NULL AND purged_at IS NULL")
 def b25_days_to_purge(s, d):
-    age = F.floor((F.lit(AS_OF) - F.col("deleted_at")) / DAY).cast("long")
+    age = ((F.lit(AS_OF) - F.col("deleted_at")) / DAY).cast("long")  # whole days towards 0, as SQL's //
     return library.trash(B.items(s, d)).select("id", age.alias("days_ago"), F.greatest(F.lit(0), 30 - age).alias("days_left"))
 
 

@@ -74,3 +74,21 @@ def test_streamed_sessions_match_batch(spark, tmp_path):
     q = stream.writeStream.format("memory").queryName("once").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("once").count() == sessions.ingested_once(events).count()
+
+
+def _replaced_table(tmp_path, name, select):
+    """A folder of the tables in which select, over v, replaces one; and DuckDB on it."""
+    con, where = duckdb.connect(), tmp_path / "data"
+    where.mkdir()
+    for t in TABLES:
+        con.sql(f"CREATE VIEW {t} AS {select.format(v=f"'{DATA}/{t}.parquet'") if t == name else f"SELECT * FROM '{DATA}/{t}.parquet'"}")
+        con.sql(f"COPY {t} TO '{where}/{t}.parquet' (FORMAT parquet)")
+    return con, str(where)
+
+
+def test_days_to_purge_of_times_to_come(spark, tmp_path):
+    """Items deleted after the moment asked for: SQL's // cuts towards 0."""
+    con, where = _replaced_table(tmp_path, "documents", "SELECT * REPLACE (doc_id * 251 AS doc_id) FROM {v}")
+    want = sorted(con.sql(ORACLES["b25_days_to_purge"]).fetchall())
+    assert any(r[2] > 29 for r in want)
+    assert sorted(map(tuple, QUERIES["b25_days_to_purge"](spark, where).collect())) == want
