@@ -14,6 +14,11 @@ def dot(a: Column, b: Column) -> Column:
     return F.when(F.size(a) == F.size(b), F.aggregate(products, F.lit(0.0), lambda s, x: s + x)).otherwise(F.lit(0.0))
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """x (double) to digits after the point, halves away from 0 and a zero with the sign of x, as C's round() does."""
+    return F.signum(x) * F.round(F.abs(x) * 10.0**digits) / 10.0**digits
+
+
 def affinity() -> Column:
     """From rating, else status; longer reading and a review strengthen it; within -1 and 1."""
     by_status = F.when(F.col("status") == "finished", 0.6).when(F.col("status") == "reading", 0.3).when(F.col("status") == "dropped", -0.5).otherwise(0.0)

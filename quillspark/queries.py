@@ -169,7 +169,7 @@ def d19_weighted_terms(s, d):
 @query("SELECT label, list(round(s / n, 6) ORDER BY i) AS centroid FROM (SELECT *, sqrt(sum(s * s) OVER (PARTITION BY label)) AS n FROM (SELECT label, i, sum(cast(x AS DOUBLE) * (1 + id % 3)) AS s FROM (SELECT id, label, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM vectors) GROUP BY 1, 2)) GROUP BY 1")
 def d23_weighted_mean(s, d):
     rows = B.vectors(s, d).withColumn("w", 1 + F.col("id") % 3)
-    return vectors.weighted_mean(rows, "v", "w", "label").select("label", F.transform("centroid", lambda x: F.round(x, 6)).alias("centroid"))
+    return vectors.weighted_mean(rows, "v", "w", "label").select("label", F.transform("centroid", lambda x: vectors.rounded(x, 6)).alias("centroid"))
 
 
 @query(f"""SELECT item_id, max(n) AS longest, coalesce(max(n) FILTER (last BETWEEN DATE '{AS_OF_DAY}' - 1 AND DATE '{AS_OF_DAY}'), 0) AS current FROM

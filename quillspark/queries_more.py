@@ -33,7 +33,7 @@ def decoded(b: pd.Series) -> pd.Series:
 @query("SELECT id, 256 AS bytes, list_transform(v, lambda x: round(cast(x AS DOUBLE), 6)) AS v FROM vectors")
 def a27_codec(s, d):
     rows = B.vectors(s, d).select("id", encoded("v").alias("b"))
-    return rows.select("id", F.length("b").alias("bytes"), F.transform(decoded("b"), lambda x: F.round(x.cast("double"), 6)).alias("v"))
+    return rows.select("id", F.length("b").alias("bytes"), F.transform(decoded("b"), lambda x: vectors.rounded(x.cast("double"), 6)).alias("v"))
 
 
 @query("SELECT source, id, score, cast(place AS INTEGER) AS place FROM (SELECT source, id, score, row_number() OVER (PARTITION BY source ORDER BY score DESC, id) AS place FROM candidates) WHERE place <= 40")

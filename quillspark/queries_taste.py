@@ -43,19 +43,19 @@ _SCORES = f"{_FACETS}, scores AS (SELECT id, max(list_dot_product(w.v, f) / sqrt
 
 @query(f", {_FACETS} SELECT label AS facet, list_transform({_UNIT.format('f')}, lambda x: round(x, 6)) AS centroid FROM facets")
 def j8_rocchio(s, d):
-    return _facets(s, d).select("facet", F.transform("centroid", lambda x: F.round(x, 6)).alias("centroid"))
+    return _facets(s, d).select("facet", F.transform("centroid", lambda x: vectors.rounded(x, 6)).alias("centroid"))
 
 
 @query(f", {_SCORES} SELECT id, round(score, 6) AS score FROM scores")
 def j8_j10_scores(s, d):
-    return _scored(s, d).select("id", F.round("score", 6).alias("score"))
+    return _scored(s, d).select("id", vectors.rounded(F.col("score"), 6).alias("score"))
 
 
 @query()
 def j7_facets(s, d):
     """Weighted spherical k-means: iterative, compared with a plain version in the tests."""
     liked = _weighted(s, d).filter("weight > 0").select("id", taste.normalised(F.col("v")).alias("v"), "weight")
-    return taste.facets(liked).select("facet", F.transform("centroid", lambda x: F.round(x, 5)).alias("centroid"))
+    return taste.facets(liked).select("facet", F.transform("centroid", lambda x: vectors.rounded(x, 5)).alias("centroid"))
 
 
 def _rounds(k: int) -> str:
@@ -151,7 +151,7 @@ def j17_two_tier(s, d):
 @query("SELECT label, list(round(s / n, 6) ORDER BY i) AS pooled FROM (SELECT *, sqrt(sum(s * s) OVER (PARTITION BY label)) AS n FROM (SELECT label, i, avg(cast(x AS DOUBLE)) AS s FROM (SELECT label, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM vectors) GROUP BY 1, 2)) GROUP BY 1")
 def d24_pooled(s, d):
     mean = vectors.weighted_mean(B.vectors(s, d).withColumn("w", F.lit(1.0)), "v", "w", "label")
-    return mean.select("label", F.transform("centroid", lambda x: F.round(x, 6)).alias("pooled"))
+    return mean.select("label", F.transform("centroid", lambda x: vectors.rounded(x, 6)).alias("pooled"))
 
 
 @query("SELECT id FROM items LEFT JOIN (SELECT doc_id AS eid, sha256(CASE WHEN doc_id % 3 = 0 THEN text || '!' ELSE text END) AS h, CASE WHEN doc_id % 5 = 0 THEN 'old' ELSE 'new' END AS m FROM documents WHERE doc_id % 4 <> 0) e ON eid = id WHERE deleted_at IS NULL AND (eid IS NULL OR h <> sha256(text) OR m <> 'new')")

@@ -92,3 +92,12 @@ def test_days_to_purge_of_times_to_come(spark, tmp_path):
     want = sorted(con.sql(ORACLES["b25_days_to_purge"]).fetchall())
     assert any(r[2] > 29 for r in want)
     assert sorted(map(tuple, QUERIES["b25_days_to_purge"](spark, where).collect())) == want
+
+
+def test_codec_keeps_the_sign_of_zero(spark, tmp_path):
+    """Components that round to zero from below are -0.0, as in SQL; halves are taken away from 0."""
+    v = "[-0.0000003, 0.0000003, '-0'::FLOAT, 0.0000005, -0.0000015, 1.0000005, -7.5]::FLOAT[]"
+    con, where = _replaced_table(tmp_path, "embeddings", f"SELECT * REPLACE ({v} AS embedding) FROM {{v}}")
+    want = sorted(str(r) for r in con.sql(f"SELECT id, v FROM ({ORACLES['a27_codec']})").fetchall())
+    assert "-0.0, 0.0, -0.0" in want[0]
+    assert sorted(str((r["id"], r["v"])) for r in QUERIES["a27_codec"](spark, where).collect()) == want
