@@ -172,3 +172,27 @@ def test_a_stored_index_is_scanned_by_term(spark, tmp_path):
         again.remove(docs.select("id"))
     last = text_index.opened(spark, str(tmp_path / "i"))
     assert len(last.segments) == 3 and last.index().lengths.count() == last.n == 2
+
+
+@pytest.mark.parametrize("stems", [False, True])
+def test_postings_are_grouped_where_texts_are_read(spark, monkeypatch, stems):
+    """No term is shuffled, runs are sorted by term, and first counts each text of a term once, over several runs of a task."""
+    monkeypatch.setattr(search, "RUN", 1)
+    monkeypatch.setattr(search, "READ", 100)
+    r = random.Random(5)
+    say = lambda: " ".join(r.choice("Running runs Café cafe\u0301 of the The king \u0301 z".split()) for _ in range(r.randrange(0, 30)))
+    docs = spark.createDataFrame([(i, say() if i % 4 else None, say()) for i in range(300)], "id long, title string, text string").coalesce(1)
+    postings = search.term_postings(docs, "id", ["title", "text"], stems)
+    plan = postings._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Aggregate" not in plan
+    want = {}
+    for row in docs.collect():
+        for name in ("title", "text"):
+            for at, w in enumerate(words(row[name])):
+                want.setdefault((stem(w) if stems else w, name, row["id"]), []).append(at)
+    rows = postings.collect()
+    assert {(x["term"], x["field"], x["id"]): x["places"] for x in rows} == want and len(rows) == len(want)
+    assert all(x["tf"] == len(x["places"]) and x["first"] == (x["field"] == "title" or (x["term"], "title", x["id"]) not in want) for x in rows)
+    monkeypatch.setattr(search, "RUN", 1 << 20)
+    whole = [x["term"] for x in search.sorted_postings(postings.repartition(1)).collect()]
+    assert whole == sorted(x["term"] for x in rows)
