@@ -125,6 +125,18 @@ def picks(scored: DataFrame, owned_authors: DataFrame, quota: int, weight: float
 FOLDS = 2048
 
 
+#: Cosines that a task holds at once.
+CELLS = 1 << 20
+
+
+def outranking(others: np.ndarray, x: np.ndarray, ids: np.ndarray, c: np.ndarray, mine: np.ndarray) -> np.ndarray:
+    """How many of the others (rows of x) are nearer to each centroid of c than its own item (ids; mine: their cosines)."""
+    better, rows = np.zeros(len(ids), np.int64), max(1, CELLS // max(1, len(ids)))
+    for at in range(0, len(x), rows):
+        better += ((x[at : at + rows].astype(float) @ c.T > mine + 1e-9) & (others[at : at + rows, None] != ids)).sum(axis=0)
+    return better
+
+
 def leave_one_out(items: DataFrame) -> DataFrame:
     """E10, J14 with one centroid: id, rank of each liked item (id, v, weight > 0) among all items, where the taste is that of the others.
 
@@ -154,8 +166,8 @@ def leave_one_out(items: DataFrame) -> DataFrame:
             better = np.zeros(len(ids), np.int64)
             for batch in batches:
                 if batch.num_rows and len(ids):
-                    x = batch.column(1).flatten().to_numpy().astype(float).reshape(batch.num_rows, -1)
-                    better += ((x @ c.T > mine + 1e-9) & (batch.column(0).to_numpy()[:, None] != ids)).sum(axis=0)
+                    x = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1)
+                    better += outranking(batch.column(0).to_numpy(), x, ids, c, mine)
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(better)], ["id", "better"])
 
         counted = rows.select("id", "v").mapInArrow(count, "id long, better long").groupBy("id").agg((F.sum("better") + 1).alias("rank"))

@@ -128,3 +128,19 @@ def test_places_are_whole_and_nulls_last(spark):
         got = [r["id"] for r in sorted(lists.placed(df, *lists.library_order(sort)).collect(), key=lambda r: r["place"])]
         assert got == [x[0] for x in sorted(rows, key=lambda x: (x[1] is None, sign * (x[1] or 0), -x[2]))]
     assert lists.placed(df.limit(0), "id").collect() == []
+
+
+def test_ranks_hold_few_cosines_at_once():
+    """A batch of Spark's usual size against a pack of folds, counted as over all of its cosines."""
+    import tracemalloc
+
+    r = np.random.default_rng(2)
+    x, c, ids = r.standard_normal((10_000, 16)).astype(np.float32), r.standard_normal((taste.FOLDS, 16)), np.arange(taste.FOLDS)
+    mine = (x[: taste.FOLDS] * c).sum(axis=1)
+    tracemalloc.start()
+    got = taste.outranking(np.arange(10_000), x, ids, c, mine)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40e6  # 10,000 x 2,048 cosines take 164 MB
+    for f in (0, 7, 2047):
+        assert got[f] == sum(np.delete(x.astype(float) @ c[f], f) > mine[f] + 1e-9)
