@@ -16,14 +16,17 @@ from .tables import shared_dir
 LAST_KEY, LAST_MS = -1, 4_102_444_800_000
 
 
-def _files(frame: DataFrame, files: int, end: DataFrame | None = None) -> DataFrame:
-    """A stream of frame's rows in several files of the shared folder, a file a micro-batch; the row of end comes last."""
+#: Files of a micro-batch, which as many tasks write and read.
+FILES = 16
+
+
+def _files(frame: DataFrame, batches: int, end: DataFrame | None = None) -> DataFrame:
+    """A stream of frame's rows in so many micro-batches, from files of the shared folder; the row of end comes last."""
     s, at = frame.sparkSession, f"{shared_dir(frame.sparkSession)}/stream-{uuid.uuid4().hex}"
-    for n in range(files):
-        frame.filter(F.pmod(F.xxhash64(*frame.columns), F.lit(files)) == n).coalesce(1).write.mode("append").parquet(at)
+    frame.repartition(batches * FILES, F.xxhash64(*frame.columns)).write.parquet(at)
     if end is not None:
         end.coalesce(1).write.mode("append").parquet(at)
-    return s.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(at)
+    return s.readStream.schema(frame.schema).option("maxFilesPerTrigger", FILES).parquet(at)
 
 
 def _collected(stream: DataFrame) -> DataFrame:

@@ -118,3 +118,34 @@ def test_cached_entries_vanish(spark, tmp_path):
     assert set(map(tuple, keyed.cached(requests).collect())) == want and any(x[2] for x in want) and any(x[2] is None for x in want)
     got = drained(spark, lambda s: keyed.cached(s, late="300 days"), requests, tmp_path, "k").filter("key >= 0").collect()
     assert set(map(tuple, got)) == want
+
+
+def test_waiting_events_are_read_once_their_time_has_come(spark):
+    """New events are put behind those that wait, which aren't read or written again, and a key has one timer."""
+    from pyspark.sql import Row
+
+    class Kept:
+        def __init__(self):
+            self.rows, self.reads = [], 0
+
+        def get(self):
+            self.reads += 1
+            return iter(list(self.rows))
+
+        def appendList(self, new):
+            self.rows += new
+
+        def put(self, new):
+            raise AssertionError("written again")
+
+    class Timers(set):
+        listTimers, registerTimer, deleteTimer = (lambda self: iter(set(self))), set.add, set.remove
+
+    class Now:
+        getCurrentWatermarkInMs = staticmethod(lambda: 0)
+
+    p = keyed.Sessions()
+    p.waiting, p.handle = Kept(), Timers()
+    for batch in ((50, 30), (40,), (20, 60)):
+        assert list(p.handleInputRows((1,), iter([Row(ms=t, hidden=False) for t in batch]), Now)) == []
+    assert sorted(p.waiting.rows) == [(t, False) for t in (20, 30, 40, 50, 60)] and p.waiting.reads == 0 and set(p.handle) == {20}
