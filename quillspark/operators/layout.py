@@ -121,7 +121,12 @@ def lines(items: DataFrame, page: str = "page") -> DataFrame:
     page's items, sorted.
     """
     item = F.struct((-F.col("y")).alias("down"), "x", "str", "width")
-    pages = items.groupBy(page).agg(F.sort_array(F.collect_list(item)).alias("items"))
+    return lines_of_pages(items.groupBy(page).agg(F.collect_list(item).alias("items")), page)
+
+
+def lines_of_pages(pages: DataFrame, page: str = "page") -> DataFrame:
+    """E17 for rows that hold all items (down: -y, x, str, width) of a page: lines() without a shuffle of the items."""
+    pages = pages.withColumn("items", F.sort_array("items"))
     start = F.struct(F.lit(None).cast("double").alias("first"), F.lit(0).alias("i"), F.array().cast("array<int>").alias("cuts"))
 
     def placed(acc: Column, e: Column) -> Column:

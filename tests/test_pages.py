@@ -3,6 +3,7 @@
 import ipaddress
 import math
 import random
+import re
 import statistics
 
 import pytest
@@ -177,3 +178,21 @@ def test_rectangles_of_items(spark):
     assert plain == pytest.approx([50, 92, 30, 10]) and turned == pytest.approx([50 + 8 * math.sin(-math.pi / 2), 100 - 8 * math.cos(-math.pi / 2), 30, 10])
     r = one.select(layout.sliced(array(10, 20, 100, 8), F.lit(0.25), F.lit(0.5)).alias("s"), *(layout.contains_point(array(10, 20, 100, 8), F.lit(x), F.lit(y)).alias(n) for n, x, y in (("i", 10, 28), ("o", 9, 22)))).first()
     assert tuple(r) == ([35, 20, 25, 8], True, False)
+
+
+def test_words_of_documents_become_lines_where_they_are_read(spark):
+    """e17_lines shuffles lines, not words; its pages hold the words of a document in order."""
+    from quillspark.queries import QUERIES
+
+    out = QUERIES["e17_lines"](spark, "/root/testdata/sf0.001")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [") == 1
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
+    items = {}
+    for r in docs:
+        for w, word in enumerate(re.sub(r"[ \t\n\x0b\f\r]+", " ", r["text"]).split(" ") if r["text"] is not None else ()):
+            row = w // 9
+            items.setdefault(f"{r['doc_id']}/{row // 40}", []).append((50.0 + 40 * (w % 9), 700.0 - 14 * (row % 40) + (6.0 if len(word) <= 2 else 0.0), word + " ", 5.0 * len(word)))
+    flat = [(p, *i) for p, own in items.items() for i in own]
+    want = layout.lines(spark.createDataFrame(flat, "page string, x double, y double, str string, width double"))
+    assert sorted(map(str, out.collect())) == sorted(map(str, want.collect()))
