@@ -7,9 +7,9 @@ array of all bytes isn't needed: each LENGTH-byte window has one anchor, the sma
 1. one pass gathers the anchors' hashes and marks those met twice in a bitmap of bounded size (which only saves work);
 2. a second pass sends each run of windows with one marked anchor (a phrase) by its hash to the anchor's bucket;
    documents after the first that holds the same phrase repeat all of it;
-3. where phrases of one anchor begin in different documents, their bytes are fetched, and a bucket sorts the suffixes
-   of its distinct phrases by difference cover (sort sampled triples, recurse on names, merge the remaining suffixes),
-   compares adjacent prefixes, and takes the smallest document of each LENGTH-byte string;
+3. where phrases of one anchor begin in different documents, their bytes are fetched, and a bucket, some anchors at a time,
+   sorts the suffixes of its distinct phrases by difference cover (sort sampled triples, recurse on names, merge the
+   remaining suffixes), compares adjacent prefixes, and takes the smallest document of each LENGTH-byte string;
    an anchor with about HOT phrases or more has no bucket: its phrases are dealt by phrase, and its LENGTH-byte strings by
    string; of a phrase or string that is common itself, the smallest document is aggregated and broadcast, so that its rows
    can be dealt by row;
@@ -45,6 +45,8 @@ BUCKET_BYTES, LEAST_BITS, MOST_BITS = 6 << 20, 20, 30
 PART_BYTES = 16 << 20
 #: Phrases from which an anchor is hot, estimated on one in SAMPLED documents.
 HOT, SAMPLED = 1 << 14, 64
+#: Bytes of phrases whose suffixes are sorted at a time (or those of one anchor): a worker holds about a hundred times as many.
+SORTED = 1 << 17
 #: Rows from which a phrase of a hot anchor is common: its first document is broadcast (HEAVY_KEYS of them at most, by that estimate).
 COMMON = 1 << 10
 
@@ -56,7 +58,7 @@ _powers: dict[str, np.ndarray] = {}
 def _power(base: int, n: int) -> np.ndarray:
     have = _powers.get(str(base))
     if have is None or len(have) < n:
-        steps = np.full(max(n, 1 << 20), base % 2**64, np.uint64)
+        steps = np.full(1 << max(16, (n - 1).bit_length()), base % 2**64, np.uint64)
         steps[0] = 1
         have = _powers[str(base)] = np.multiply.accumulate(steps)
     return have[:n]
@@ -294,6 +296,43 @@ def _split(table: pa.Table) -> pa.Table:
     return table.take(pa.array(order[keep])).append_column("whole", pa.array(whole[keep]))
 
 
+def _parts(group: np.ndarray, sizes: np.ndarray) -> Iterator[slice]:
+    """Phrases of SORTED bytes at most, or those of one anchor; an anchor's phrases (its group is sorted) stay together."""
+    ends = np.append(np.flatnonzero(group[1:] != group[:-1]) + 1, len(group))
+    total = np.cumsum(sizes)[ends - 1]
+    start = i = 0
+    while i < len(ends):
+        i = max(i + 1, int(np.searchsorted(total, SORTED + (total[i - 1] if i else 0), side="right")))
+        yield slice(start, int(ends[i - 1]))
+        start = int(ends[i - 1])
+
+
+def _repeated(pieces: list[np.ndarray], counts: np.ndarray, earliest: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Number, starts and ends of the runs of each phrase with LENGTH-byte strings that another phrase has in an earlier document."""
+    long = np.array([len(p) + 1 for p in pieces])
+    begin = np.concatenate([[0], np.cumsum(long)[:-1]])
+    whole = np.concatenate([np.append(p.astype(np.int64) + 1, 257 + i) for i, p in enumerate(pieces)])
+    of = np.repeat(np.arange(len(pieces)), long)
+    order = suffix_array(whole)
+    order = order[order - begin[of[order]] < counts[of[order]]]  # starts of windows
+    raw = np.concatenate([(whole - 1).astype(np.uint8), np.zeros(8, np.uint8)])
+    eight = np.lib.stride_tricks.sliding_window_view(raw, 8)
+    eight = np.ascontiguousarray(eight).view(np.uint64).ravel()
+    same = np.ones(len(order) - 1, bool)
+    for i in [*range(0, LENGTH - 8, 8), LENGTH - 8]:  # a window has no end mark
+        word = eight[order + i]
+        same &= word[1:] == word[:-1]
+    string = np.cumsum(np.append([True], ~same)) - 1
+    least = np.full(string[-1] + 1, np.iinfo(np.int64).max)
+    np.minimum.at(least, string, earliest[of[order]])
+    repeated = np.zeros(len(whole) + 1, bool)
+    repeated[order[least[string] < earliest[of[order]]]] = True
+    for i in np.unique(of[np.flatnonzero(repeated)]):
+        flags = np.concatenate([[False], repeated[begin[i] : begin[i] + counts[i]], [False]]).astype(np.int8)
+        edge = np.diff(flags)
+        yield int(i), np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1 + LENGTH
+
+
 def _resolve(table: pa.Table) -> pa.Table:
     """Spans that repeat an earlier document, from one bucket's phrases and their bytes."""
     anchor, phrase, doc, row, first, count = (table[c].to_numpy() for c in ("anchor", "phrase", "doc_id", "row", "first", "n"))
@@ -309,42 +348,24 @@ def _resolve(table: pa.Table) -> pa.Table:
     group = np.cumsum(new_anchor)[heads]
     mixed = np.flatnonzero(np.bincount(group)[group] > 1)
     if len(mixed):
-        given = table["text"].combine_chunks().take(pa.array(order))
-        texts: dict[int, bytes] = {}
-        for i in np.flatnonzero(given.is_valid().to_numpy(zero_copy_only=False)):
-            texts.setdefault(int(kind[i]), i)
-        pieces = [np.frombuffer(given[texts[int(k)]].as_buffer(), np.uint8).astype(np.int64) + 1 for k in mixed]
-        long = np.array([len(p) + 1 for p in pieces])
-        begin = np.concatenate([[0], np.cumsum(long)[:-1]])
-        whole = np.concatenate([np.append(p, 257 + i) for i, p in enumerate(pieces)])
-        of = np.repeat(np.arange(len(pieces)), long)
-        order = suffix_array(whole)
-        order = order[order - begin[of[order]] < count[heads[mixed]][of[order]]]  # starts of windows
-        raw = np.concatenate([(whole - 1).astype(np.uint8), np.zeros(8, np.uint8)])
-        eight = np.lib.stride_tricks.sliding_window_view(raw, 8)
-        eight = np.ascontiguousarray(eight).view(np.uint64).ravel()
-        same = np.ones(len(order) - 1, bool)
-        for i in [*range(0, LENGTH - 8, 8), LENGTH - 8]:  # a window has no end mark
-            word = eight[order + i]
-            same &= word[1:] == word[:-1]
-        string = np.cumsum(np.append([True], ~same)) - 1
-        least = np.full(string[-1] + 1, np.iinfo(np.int64).max)
-        np.minimum.at(least, string, earliest[mixed][of[order]])
-        repeated = np.zeros(len(whole) + 1, bool)
-        repeated[order[least[string] < earliest[mixed][of[order]]]] = True
-        for i in np.unique(of[np.flatnonzero(repeated)]):
-            k = mixed[i]
-            flags = np.concatenate([[False], repeated[begin[i] : begin[i] + count[heads[k]]], [False]]).astype(np.int8)
-            edge = np.diff(flags)
-            a, b = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1 + LENGTH
-            end = heads[k + 1] if k + 1 < len(heads) else len(doc)
-            for o in range(heads[k], end):
-                if doc[o] != earliest[k]:
-                    break
-                ids.append(np.repeat(doc[o], len(a)))
-                rows.append(np.repeat(row[o], len(a)))
-                starts.append(first[o] + a)
-                ends.append(first[o] + b)
+        given = table["text"].combine_chunks()
+        given = given.chunk(0) if isinstance(given, pa.ChunkedArray) else given
+        texts: dict[int, int] = {}
+        for i in np.flatnonzero(given.is_valid().to_numpy(zero_copy_only=False)[order]):
+            texts.setdefault(int(kind[i]), int(order[i]))
+        for part in _parts(group[mixed], count[heads[mixed]] + LENGTH - 1):
+            some = mixed[part]
+            pieces = [np.frombuffer(given[texts[int(k)]].as_buffer(), np.uint8) for k in some]
+            for k, a, b in _repeated(pieces, count[heads[some]], earliest[some]):
+                k = some[k]
+                end = heads[k + 1] if k + 1 < len(heads) else len(doc)
+                for o in range(heads[k], end):
+                    if doc[o] != earliest[k]:
+                        break
+                    ids.append(np.repeat(doc[o], len(a)))
+                    rows.append(np.repeat(row[o], len(a)))
+                    starts.append(first[o] + a)
+                    ends.append(first[o] + b)
     return pa.table({"doc_id": np.concatenate(ids), "row": np.concatenate(rows), "first": np.concatenate(starts).astype(np.int64), "last": np.concatenate(ends).astype(np.int64)})
 
 

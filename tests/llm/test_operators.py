@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 
 import duckdb
 import numpy as np
@@ -176,6 +177,33 @@ def test_repeated_strings_of_odd_texts(spark, monkeypatch):
     assert sorted((x["doc_id"], x["n_removed"] > 0) for x in suffix_dedup.digests(same).collect()) == [(7, False), (7, False), (8, True)]
 
 
+def test_suffixes_of_a_bucket_are_sorted_some_anchors_at_a_time():
+    """A bucket of 1 MB of different phrases: the repeated strings of brute force, in a few times its memory."""
+    r = np.random.RandomState(5)
+    rows = []
+    for anchor in range(200):
+        middle = r.bytes(60)
+        for _ in range(80):
+            a, b = sorted(r.randint(0, 60, 2))
+            text = (r.bytes(a) + middle[a:] + r.bytes(9) if b % 2 else middle[:b] + r.bytes(69 - b))[:69]
+            rows.append((anchor, len(rows), int(r.randint(1000)), len(rows), 3, len(text) - suffix_dedup.LENGTH + 1, text))
+    r.shuffle(rows)
+    names = ["anchor", "phrase", "doc_id", "row", "first", "n", "text"]
+    table = pa.table({k: pa.array(v, pa.binary() if k == "text" else pa.int32() if k in ("first", "n") else pa.int64()) for k, v in zip(names, zip(*rows))})
+    windows = [(row, doc, 3 + i, text[i : i + suffix_dedup.LENGTH]) for _, _, doc, row, _, n, text in rows for i in range(n)]
+    least = {}
+    for _, doc, _, w in windows:
+        least[w] = min(doc, least.get(w, doc))
+    want = {(row, j) for row, doc, i, w in windows if least[w] < doc for j in range(i, i + suffix_dedup.LENGTH)}
+    tracemalloc.start()
+    found = suffix_dedup._resolve(table)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    got = {(x["row"], j) for x in found.to_pylist() for j in range(x["first"], x["last"])}
+    assert len(want) > 1000 and got == want
+    assert peak < 40e6, peak
+
+
 def test_near_duplicates_of_odd_texts(spark, monkeypatch):
     """Long texts and words beyond a piece; a Thue-Morse word and its complement; rows without an id; an id with two texts."""
     monkeypatch.setattr(hashing, "PIECE", 64)
